@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpuspark.llm import chat
+from corpuspark.llm import bpe, chat
 
-MODULES = (chat,)
+MODULES = (chat, bpe)
 
 
 def queries():
