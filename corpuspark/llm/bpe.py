@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -185,7 +186,7 @@ class PieceCache:
 def slices(batch: pa.RecordBatch, chars: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """A batch in runs of rows with about ``chars`` bytes of text; null text is empty."""
     column = batch.column(batch.schema.get_field_index("text"))
-    ends = np.cumsum([0 if n is None else n for n in pa.compute.binary_length(column).to_pylist()])
+    ends = np.cumsum([0 if n is None else n for n in pc.binary_length(column).to_pylist()])
     at = 0
     while at < batch.num_rows:
         base = ends[at - 1] if at else 0
