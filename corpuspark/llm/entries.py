@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpuspark.llm import bpe, chat
+from corpuspark.llm import bpe, chat, packing
 
-MODULES = (chat, bpe)
+MODULES = (chat, bpe, packing)
 
 
 def queries():
