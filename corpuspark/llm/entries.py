@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpuspark.llm import bpe, chat, packing
+from corpuspark.llm import bpe, chat, langid, packing, toxicity
 
-MODULES = (chat, bpe, packing)
+MODULES = (chat, langid, toxicity, bpe, packing)
 
 
 def queries():
