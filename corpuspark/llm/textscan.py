@@ -96,3 +96,31 @@ def spans(is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of True."""
     edge = np.diff(np.concatenate([[0], is_word.view(np.int8), [0]]))
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words of each text, their hashes in order); words are runs of bytes that are no ASCII white space."""
+    n = len(offsets) - 1
+    out = np.full(len(data) + n, 32, np.uint8)
+    out[np.arange(len(data)) + np.repeat(np.arange(1, n + 1), np.diff(offsets))] = data
+    starts, ends = spans(~_SPACE[out])
+    doc = np.searchsorted(offsets[:-1] + np.arange(n), starts, "right") - 1
+    return np.bincount(doc, minlength=n), span_hashes(out, starts, ends)
+
+
+def shingles(counts: np.ndarray, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the runs of ``size`` words, offsets by text); a shorter text with words has one shingle of all of them."""
+    first = np.concatenate([[0], np.cumsum(counts)])
+    n = np.where(counts >= size, counts - size + 1, np.minimum(counts, 1))
+    at = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+    start = np.repeat(first[:-1] - at[:-1], n) + np.arange(at[-1])
+    length = np.repeat(np.minimum(counts, size), n)
+    out = np.zeros(len(start), np.uint64)
+    for j in range(size):
+        some = length > j
+        out[some] = out[some] * np.uint64(BASE) + hashes[start[some] + j]
+    return mix(out + length.astype(np.uint64)), at
