@@ -1,8 +1,13 @@
-"""Connected components by alternating large and small stars: edges stay distributed, rounds grow with the log of a component."""
+"""Connected components, and exact comparison of all pairs within candidate components.
+
+Components come from alternating large and small stars: edges stay distributed, rounds grow with the log of a component.
+Pairs are compared in cells of two blocks of bounded size; a cell returns counts and star edges, never its pairs.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuspark.llm.common import discard, stored
@@ -42,3 +47,36 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         raise RuntimeError(f"components: not settled after {MAX_ROUNDS} rounds")
     roots = now.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def cells(members: DataFrame, rep: Column, *columns: str) -> DataFrame:
+    """Place members (component, blocks, columns) in cells (component, i, j), sorted, so that any two meet in one.
+
+    ``blocks`` is the number of blocks of the component; a member goes to one block by the hash of ``rep``.
+    """
+    block = F.pmod(F.xxhash64(rep), "blocks").cast("int")
+    return (
+        members.withColumn("block", block)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", *columns)
+        .repartition("component", "i", "j")
+        .sortWithinPartitions("component", "i", "j")
+    )
+
+
+def links_of_cell(ids: np.ndarray, weight: np.ndarray, block: np.ndarray, linked: np.ndarray, across: bool) -> list[tuple[int, int, int]]:
+    """(id, the least id it is connected with here, weight of the linked ones) for the ids that have links in this cell.
+
+    ``across``: the cell has two blocks, and only pairs with one member of each count.
+    """
+    np.fill_diagonal(linked, False)
+    if across:
+        linked &= block[:, None] != block
+    least = ids.copy()
+    while True:  # least ids spread along links
+        spread = np.minimum(least, np.where(linked, least, np.iinfo(np.int64).max).min(1))
+        if (spread == least).all():
+            break
+        least = spread
+    rows = zip(ids.tolist(), least.tolist(), (linked @ weight).tolist(), linked.any(1).tolist(), strict=True)
+    return [(i, m, n) for i, m, n, some in rows if some]

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpuspark.llm import bpe, chat, jaccard, langid, packing, simhash, toxicity
+from corpuspark.llm import bpe, chat, embeddings, jaccard, langid, packing, simhash, toxicity
 
-MODULES = (chat, langid, jaccard, toxicity, bpe, simhash, packing)
+MODULES = (chat, embeddings, langid, jaccard, toxicity, bpe, simhash, packing)
 
 
 def queries():

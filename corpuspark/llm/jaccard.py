@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuspark.llm.common import stored, table
-from corpuspark.llm.components import components
+from corpuspark.llm.components import cells, components, links_of_cell
 from corpuspark.llm.textscan import mix, row_slices, shingles, words
 
 GRAM = 5
@@ -118,26 +118,16 @@ def _intersections(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _links_of_cell(rows: list[tuple], across: bool) -> list[tuple[int, int, int]]:
-    """(class, the least class it is connected with here, linked documents) of the classes of a cell that have links."""
-    rows = list({r[0]: r for r in rows}.values())
-    ids = np.array([r[0] for r in rows])
+    """``links_of_cell`` of the rows (block, rep, n, grams)."""
+    rows = list({r[1]: r for r in rows}.values())
+    ids = np.array([r[1] for r in rows])
     if len(ids) < 2:
         return []
-    sets = [np.frombuffer(r[2], np.uint64) for r in rows]
-    sizes, weight, block = np.array([len(s) for s in sets]), np.array([r[1] for r in rows]), np.array([r[3] for r in rows])
+    sets = [np.frombuffer(r[3], np.uint64) for r in rows]
+    sizes, weight, block = np.array([len(s) for s in sets]), np.array([r[2] for r in rows]), np.array([r[0] for r in rows])
     both = _intersections(sets)
     linked = THRESHOLD[1] * both >= THRESHOLD[0] * (sizes[:, None] + sizes - both)
-    np.fill_diagonal(linked, False)
-    if across:
-        linked &= block[:, None] != block
-    least = ids.copy()
-    while True:  # least ids spread along links
-        spread = np.minimum(least, np.where(linked, least, np.iinfo(np.int64).max).min(1))
-        if (spread == least).all():
-            break
-        least = spread
-    links = linked @ weight
-    return [(int(i), int(m), int(n)) for i, m, n, any_ in zip(ids, least, links, linked.any(1), strict=True) if any_]
+    return links_of_cell(ids, weight, block, linked, across)
 
 
 def verified_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -147,7 +137,7 @@ def verified_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     todo = (
         classes.join(sized, "component")
         .withColumn("blocks", n_blocks)
-        .select("component", F.col("rep").alias("doc_id"), "n", "blocks", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"))
+        .select("component", F.col("rep").alias("doc_id"), "n", "blocks")
     )
     texts = docs.select("doc_id", F.lower("text").alias("text")).join(todo, "doc_id")
 
@@ -155,7 +145,7 @@ def verified_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
         for batch in batches:
             for part, data, offsets in row_slices(batch):
                 sets = pa.array([s.tobytes() for s in gram_sets(data, offsets)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], sets], ["component", "rep", "n", "blocks", "block", "grams"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], sets], ["component", "rep", "n", "blocks", "grams"])
 
     def link(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -167,13 +157,8 @@ def verified_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
             if found := _links_of_cell([r[3:] for r in cell], cell[0][1] != cell[0][2]):
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["rep", "least", "links"])
 
-    cells = (
-        texts.select("component", "doc_id", "n", "blocks", "block", "text")
-        .mapInArrow(with_sets, "component long, rep long, n long, blocks int, block int, grams binary")
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "n", "grams", "block")
-    )
-    return cells.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(link, "rep long, least long, links long")
+    sets = texts.select("component", "doc_id", "n", "blocks", "text").mapInArrow(with_sets, "component long, rep long, n long, blocks int, grams binary")
+    return cells(sets, F.col("rep"), "rep", "n", "grams").mapInArrow(link, "rep long, least long, links long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
