@@ -14,6 +14,8 @@ import base64
 import hashlib
 import heapq
 import re
+import sys
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpuspark.llm.common import table
 
-CACHED_PIECES = 450_000
+CACHED_PIECES = 700_000
 LONGEST_CACHED = 48
 SLICE_CHARS = 2_000_000
 M64 = (1 << 64) - 1
@@ -85,59 +87,73 @@ class PerfectHash:
         return [int(index[s]) if keys[s] == p else -1 for s, p in zip(slot, pieces, strict=True)]
 
 
+def little_endian(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder != "little":
+        out.byteswap()
+    return out.tobytes()
+
+
 class BytePairCodec:
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str):
         with open(path, "rb") as f:
             pairs = [line.split() for line in f if line.strip()]
         self.tokens = {int(r): base64.b64decode(t) for t, r in pairs}
-        self.pattern = regex.compile(pattern)
         self.ids = list(self.tokens)
         self.whole = PerfectHash([self.tokens[i] for i in self.ids])
         rank = {t: i for i, t in self.tokens.items()}
         self.byte = [rank.get(bytes([b]), -1) for b in range(256)]
+        self.byte_pair = [rank.get(bytes([a, b]), -1) for a in range(256) for b in range(256)]
+        self.shift = max(self.ids).bit_length()
         self.merged = {
-            rank[t[:k]] << 32 | rank[t[k:]]: i for t, i in rank.items() for k in range(1, len(t)) if t[:k] in rank and t[k:] in rank
+            rank[t[:k]] << self.shift | rank[t[k:]]: i for t, i in rank.items() for k in range(1, len(t)) if t[:k] in rank and t[k:] in rank
         }
 
     def merge(self, piece: bytes) -> list[int]:
         """Lowest rank first, leftmost on ties: a heap of pairs over a linked list of parts."""
-        parts, merged = [self.byte[b] for b in piece], self.merged
-        n = len(parts)
+        n, pairs, get, shift = len(piece), self.byte_pair, self.merged.get, self.shift
+        parts = [self.byte[b] for b in piece]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [r << 32 | i for i in range(n - 1) if (r := merged.get(parts[i] << 32 | parts[i + 1])) is not None]
+        rank_at = [pairs[a << 8 | b] for a, b in zip(piece, piece[1:], strict=False)]
+        rank_at.append(-1)
+        width = n.bit_length()
+        mask = (1 << width) - 1
+        heap = [r << width | i for i, r in enumerate(rank_at) if r >= 0]
         heapq.heapify(heap)
         while heap:
             top = heapq.heappop(heap)
-            r, i = top >> 32, top & 0xFFFFFFFF
-            j = after[i]
-            if parts[i] < 0 or j >= n or merged.get(parts[i] << 32 | parts[j]) != r:
+            i = top & mask
+            r = top >> width
+            if rank_at[i] != r:
                 continue
-            parts[i], parts[j] = r, -1
+            j = after[i]
             k = after[i] = after[j]
+            parts[i], parts[j] = r, -1
+            rank_at[i] = rank_at[j] = -1
             if k < n:
                 before[k] = i
-                if (s := merged.get(r << 32 | parts[k])) is not None:
-                    heapq.heappush(heap, s << 32 | i)
-            if (p := before[i]) >= 0 and (s := merged.get(parts[p] << 32 | r)) is not None:
-                heapq.heappush(heap, s << 32 | p)
+                if (s := get(r << shift | parts[k], -1)) >= 0:
+                    rank_at[i] = s
+                    heapq.heappush(heap, s << width | i)
+            if (p := before[i]) >= 0:
+                rank_at[p] = s = get(parts[p] << shift | r, -1)
+                if s >= 0:
+                    heapq.heappush(heap, s << width | p)
         return [p for p in parts if p >= 0]
 
-    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece as little-endian unsigned 32-bit integers."""
-        split = [[m.encode() for m in self.pattern.findall(p)] for p in pieces]
-        known = dict.fromkeys(t for ts in split for t in ts)
-        names = list(known)
-        for t, k in zip(names, self.whole.find(names), strict=True):
-            known[t] = np.array([self.ids[k]] if k >= 0 else self.merge(t), "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, ts)) for ts in split]
+    def encode_tokens(self, tokens: list[str]) -> list[bytes]:
+        """Ids of each pre-token as little-endian unsigned 32-bit integers."""
+        data = [t.encode() for t in tokens]
+        found = [[self.ids[k]] if k >= 0 else self.merge(t) for t, k in zip(data, self.whole.find(data), strict=True)]
+        return list(map(little_endian, found))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 @lru_cache(maxsize=2)
-def codec(path: str, pattern: str) -> BytePairCodec:
-    return BytePairCodec(path, pattern)
+def codec(path: str) -> BytePairCodec:
+    return BytePairCodec(path)
 
 
 HARD_SPACE = re.compile(r" (?!\S)")
@@ -151,36 +167,38 @@ def cut_at_spaces(text: str) -> list[str]:
 
 
 class PieceCache:
-    """Ids of texts, piece by piece; ``encode`` maps a list of pieces to their ids."""
+    """Ids of texts, piece by piece; ``encode`` maps pre-tokens to their ids. ``young[x]`` has the ids of a space and x."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], size: int = CACHED_PIECES):
-        self.encode, self.size, self.young, self.old = encode, size, {}, {}
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], pattern: str, size: int = CACHED_PIECES):
+        self.encode, self.size, self.split = encode, size, regex.compile(pattern).findall
+        self.young: dict = {None: b""}
+        self.old: dict = {}
 
     def ids_of(self, texts: list[str]) -> list[bytes]:
         if len(self.young) > self.size:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
+            self.young, self.old = {None: b""}, self.young
+        young, old, split = self.young, self.old, self.split
         parts = [cut_at_spaces(t) if t else [""] for t in texts]
-        first = self.encode([p[0] for p in parts])
-        new, long = set(), {}
+        heads = [split(p[0]) for p in parts]
+        new: set = set()
         for p in parts:
-            p[0] = ""
+            p[0] = None  # the head has no space before it
             new.update(set(p).difference(young))
-        young[""] = b""
-        new.discard("")
-        for p in list(new):
-            if (got := old.get(p)) is not None:
-                young[p] = got
-                new.discard(p)
-        new = list(new)
-        for p, ids in zip(new, self.encode([" " + p for p in new]), strict=True):
-            if len(p) <= LONGEST_CACHED:
-                young[p] = ids
-            else:
-                long[p] = ids
-        if not long:
-            return [f + b"".join(map(young.__getitem__, p)) for f, p in zip(first, parts, strict=True)]
-        return [f + b"".join([young[x] if x in young else long[x] for x in p]) for f, p in zip(first, parts, strict=True)]
+        young.update((p, old[p]) for p in new.intersection(old))
+        tokens = {p: split(" " + p) for p in new.difference(young)}
+        fresh = {t for ts in tokens.values() for t in ts}
+        fresh.update(t for ts in heads for t in ts)
+        known = {t: young[t[1:]] for t in fresh if t[0] == " " and t[1:] in young}
+        fresh = list(fresh.difference(known))
+        known.update(zip(fresh, self.encode(fresh), strict=True))
+        young.update((t[1:], known[t]) for t in fresh if t[0] == " " and len(t) <= LONGEST_CACHED)
+        rest = {}
+        for p, ts in tokens.items():
+            (young if len(p) < LONGEST_CACHED else rest)[p] = b"".join([known[t] for t in ts])
+        get = young.__getitem__
+        if rest:
+            get = lambda p: rest[p] if p in rest else young[p]
+        return [b"".join([known[t] for t in ts]) + b"".join(map(get, p)) for ts, p in zip(heads, parts, strict=True)]
 
 
 def slices(batch: pa.RecordBatch, chars: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -196,18 +214,20 @@ def slices(batch: pa.RecordBatch, chars: int = SLICE_CHARS) -> Iterator[tuple[pa
         at = to
 
 
-_caches: dict = {}
+@lru_cache(maxsize=2)
+def cache_of(path: str, pattern: str) -> PieceCache:
+    """One for each Python worker; Spark keeps workers from task to task."""
+    return PieceCache(codec(path).encode_tokens, pattern)
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id") -> DataFrame:
     """(id, ids binary: little-endian unsigned 32-bit) for each row's whole ``text``. No shuffle."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (path, pattern) not in _caches:
-            _caches[path, pattern] = PieceCache(codec(path, pattern).encode_pieces)
+        cache = cache_of(path, pattern)
         for batch in batches:
             for part, texts in slices(batch):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_caches[path, pattern].ids_of(texts), pa.binary())], ["id", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cache.ids_of(texts), pa.binary())], ["id", "ids"])
 
     kind = docs.schema[id_column].dataType.simpleString()
     return docs.select(id_column, "text").mapInArrow(run, f"id {kind}, ids binary").withColumnRenamed("id", id_column)
@@ -217,12 +237,10 @@ def digest_round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Encode and decode every text; (doc_id, n_tokens, ids_sha256, decoded_sha256) in the same pass, so that ids needn't move."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = codec(path, pattern)
-        if (path, pattern) not in _caches:
-            _caches[path, pattern] = PieceCache(bpe.encode_pieces)
+        bpe, cache = codec(path), cache_of(path, pattern)
         for batch in batches:
             for part, texts in slices(batch):
-                ids = _caches[path, pattern].ids_of(texts)
+                ids = cache.ids_of(texts)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
