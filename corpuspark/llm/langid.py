@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpuspark.llm.common import in_fold, table
 from corpuspark.llm.textscan import SYMBOLS, letters, row_slices
@@ -183,7 +184,7 @@ def predict(docs: DataFrame, trees: ContextTrees, keep: list[str] | None = None)
                 pred = [trees.langs[b] if o else UNKNOWN for b, o in zip(best, ok, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(pred, pa.string()), pa.array(np.where(ok, score, 0.0))], names)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields) + ", lang_pred string, score double"
+    schema = T.StructType([*docs.select(*keep).schema.fields, *T.StructType.fromDDL("lang_pred string, score double").fields])
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
 
 

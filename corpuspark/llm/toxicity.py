@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpuspark.llm.common import in_fold, stored, table
 from corpuspark.llm.textscan import letters, mix, row_slices, span_hashes, spans
@@ -267,7 +268,7 @@ def score(docs: DataFrame, model: Classifier, keep: list[str] | None = None) ->
                 predicted = (p >= 0.5).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(p), pa.array(predicted)], [*keep, "score", "predicted"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields) + ", score double, predicted int"
+    schema = T.StructType([*docs.select(*keep).schema.fields, *T.StructType.fromDDL("score double, predicted int").fields])
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
