@@ -1,7 +1,8 @@
-"""Registered queries over the given tables, with their DuckDB SQL."""
+"""All registered queries of the engine with their DuckDB SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = "search_flagship"
+from corpuspark.plans import access, usage  # noqa: F401
+from corpuspark.plans.base import ORACLE_SQL, QUERIES  # noqa: F401
+
+FLAGSHIP = "r20_search"
