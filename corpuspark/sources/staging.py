@@ -5,12 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` below ``spark.checkpoint.dir`` (a temporary folder only where that is unset) and read it back; removed at the driver's end."""
-    spark = df.sparkSession
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new folder name below ``spark.checkpoint.dir`` (a temporary folder only where that is unset), removed at the driver's end."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = f"file://{tempfile.mkdtemp(prefix='spark-corpuspark-')}"
@@ -18,5 +17,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    return path
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to a fresh folder and read it back."""
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
