@@ -62,7 +62,7 @@ def reconstruct(events: DataFrame) -> DataFrame:
             "conv_id",
             "msg_id",
             F.expr("ev[0].seq").alias("seq"),
-            F.expr("coalesce(filter(ev, x -> x.role is not null)[0].role, '')").alias("role"),
+            F.expr("coalesce(get(filter(ev, x -> x.role is not null), 0).role, '')").alias("role"),
             F.expr("array_join(transform(slice(ev, reset_at, size(ev)), x -> coalesce(x.text, '')), '')").alias("text"),
             F.expr("element_at(ev, -1).event <=> 'delete'").alias("deleted"),
             F.expr("array_max(filter(ev, x -> x.event = 'regenerate')).seq").alias("regenerated"),

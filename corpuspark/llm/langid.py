@@ -102,7 +102,7 @@ class ContextTrees:
         for k in range(1, ORDER + 1):
             rows = (first[k] + np.arange(len(contexts[k]))).astype(np.int32)
             row_of.reshape(-1, R**k)[:, contexts[k]] = rows
-        return cls(langs, row_of, bits.reshape(-1, len(langs)))
+        return cls(langs, row_of, bits.reshape(first[-1] * R, len(langs)))
 
     def code_lengths(self, symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Bits of each text under each language. The first symbols of a text, all 0, are its context."""
