@@ -16,7 +16,7 @@ END = "2100-01-01"
 
 
 def stream_of(v, name: str, rows=None):
-    """The rows as a stream of Parquet files, with a place for its output and its checkpoint."""
+    """The rows as a stream of Parquet files, all in one batch, with a place for its output and its checkpoint."""
     table = staged((getattr(v, name) if rows is None else rows).repartition(4), f"stream-{name}")
     path = table.inputFiles()[0].rsplit("/", 1)[0]
     return streams.read_log(v.spark, path, table.schema), f"{path}-out-{uuid.uuid4().hex[:8]}"
@@ -71,11 +71,8 @@ def t4(v):
 def t5(v):
     built = audit.build_chain(v.v_audit)
     tampered = built.withColumn("result", F.when(F.col("id") % 1000 == 7, "tampered").otherwise(F.col("result")))
-    # One file: a stream must bring a tenant's rows in order.
-    table = staged(tampered.coalesce(1), "stream-audit")
-    path = table.inputFiles()[0].rsplit("/", 1)[0]
-    stream = streams.read_log(v.spark, path, table.schema)
-    return finished(v, streams.verify_audit(stream), f"{path}-out").select("id", "mismatch", "broken", "gap")
+    stream, out = stream_of(v, "audit", tampered)
+    return finished(v, streams.verify_audit(stream), out).select("id", "mismatch", "broken", "gap")
 
 
 @query(
@@ -84,10 +81,8 @@ def t5(v):
 SELECT tenant_id, period, (arg_max(d, seq) - least(0, min(d)))::BIGINT AS docs, (arg_max(b, seq) - least(0, min(b)))::BIGINT AS bytes FROM s GROUP BY 1, 2""",
 )
 def t6(v):
-    table = staged(v.v_meter_event.coalesce(1), "stream-meter")
-    path = table.inputFiles()[0].rsplit("/", 1)[0]
-    usage = streams.meter_usage(streams.read_log(v.spark, path, table.schema))
-    out = f"{path}-out"
+    stream, out = stream_of(v, "v_meter_event")
+    usage = streams.meter_usage(stream)
     write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
     usage.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start().awaitTermination()
     last = v.spark.read.parquet(out).groupBy("tenant_id", "period").agg(F.max_by(F.struct("docs", "bytes"), "batch").alias("u"))
