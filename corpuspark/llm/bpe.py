@@ -30,7 +30,7 @@ from corpuspark.llm.common import table
 
 CACHED_PIECES = 700_000
 LONGEST_CACHED = 48
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_500_000
 M64 = (1 << 64) - 1
 # Odd 64-bit multipliers that mix a displacement into a hash.
 MIX_D, MIX_H = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -177,28 +177,45 @@ class PieceCache:
     def ids_of(self, texts: list[str]) -> list[bytes]:
         if len(self.young) > self.size:
             self.young, self.old = {None: b""}, self.young
-        young, old, split = self.young, self.old, self.split
+        young, split = self.young, self.split
         parts = [cut_at_spaces(t) if t else [""] for t in texts]
         heads = [split(p[0]) for p in parts]
-        new: set = set()
+        found, holes = [], []
         for p in parts:
             p[0] = None  # the head has no space before it
-            new.update(set(p).difference(young))
-        young.update((p, old[p]) for p in new.intersection(old))
-        tokens = {p: split(" " + p) for p in new.difference(young)}
-        fresh = {t for ts in tokens.values() for t in ts}
-        fresh.update(t for ts in heads for t in ts)
-        known = {t: young[t[1:]] for t in fresh if t[0] == " " and t[1:] in young}
-        fresh = list(fresh.difference(known))
-        known.update(zip(fresh, self.encode(fresh), strict=True))
-        young.update((t[1:], known[t]) for t in fresh if t[0] == " " and len(t) <= LONGEST_CACHED)
-        rest = {}
-        for p, ts in tokens.items():
-            (young if len(p) < LONGEST_CACHED else rest)[p] = b"".join([known[t] for t in ts])
-        get = young.__getitem__
-        if rest:
-            get = lambda p: rest[p] if p in rest else young[p]
-        return [b"".join([known[t] for t in ts]) + b"".join(map(get, p)) for ts, p in zip(heads, parts, strict=True)]
+            ids = list(map(young.get, p))
+            found.append(ids)
+            i = -1
+            for _ in range(ids.count(None)):
+                i = ids.index(None, i + 1)
+                holes.append((ids, i, p[i]))
+        known = self._learn({x for _, _, x in holes}, {t for ts in heads for t in ts})
+        for ids, i, x in holes:
+            ids[i] = known[x]
+        return [b"".join([known[None, t] for t in ts]) + b"".join(ids) for ts, ids in zip(heads, found, strict=True)]
+
+    def _learn(self, new: set[str], plain: set[str]) -> dict:
+        """Ids of new pieces x (a space before them) under x, and of pre-tokens t as they are under (None, t)."""
+        young, old, split = self.young, self.old, self.split
+        known = {x: old[x] for x in new if x in old}
+        young.update(known)
+        new.difference_update(known)
+        tokens = {x: split(" " + x) for x in new if not x.isalpha()}  # letters alone are one pre-token
+        spaced = {x for x in new if x.isalpha()}
+        for ts in tokens.values():
+            for t in ts:
+                (spaced if t[0] == " " and len(t) > 1 and t[1:].isalpha() else plain).add(t[1:] if t[0] == " " and t[1:].isalpha() else t)
+        ready = {x: young[x] for x in spaced if x in young}
+        spaced = list(spaced.difference(ready))
+        ready.update(zip(spaced, self.encode([" " + x for x in spaced]), strict=True))
+        plain = list(plain)
+        other = dict(zip(plain, self.encode(plain), strict=True))
+        known.update(ready)
+        known.update(((None, t), ids) for t, ids in other.items())
+        for x, ts in tokens.items():
+            known[x] = b"".join([ready[t[1:]] if t[0] == " " and t[1:].isalpha() else other[t] for t in ts])
+        young.update((x, known[x]) for x in (*spaced, *tokens) if len(x) < LONGEST_CACHED)
+        return known
 
 
 def slices(batch: pa.RecordBatch, chars: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -212,6 +229,7 @@ def slices(batch: pa.RecordBatch, chars: int = SLICE_CHARS) -> Iterator[tuple[pa
         part = batch.slice(at, to - at)
         yield part, [t or "" for t in part.column(batch.schema.get_field_index("text")).to_pylist()]
         at = to
+    pa.default_memory_pool().release_unused()
 
 
 @lru_cache(maxsize=2)

@@ -22,24 +22,55 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpuspark.llm.bpe import PieceCache, slices
+from corpuspark.llm.bpe import CACHED_PIECES, PieceCache, little_endian, slices
 from corpuspark.llm.common import stored, table
 
 CAPACITY = 1024
 END_ID = 2
 ROWS_PER_SALT = 20_000
+RUN = 200
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 SLOTS = "length long, slots array<struct<first:long,sequence:long,offset:long>>"
 
 
 @lru_cache(maxsize=2)
-def _cache(path: str) -> PieceCache:
+def _cache(path: str, pattern: str, size: int = CACHED_PIECES) -> PieceCache:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    return PieceCache(lambda texts: [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+    return PieceCache(Joined(tokenizer), pattern, size)
+
+
+class Joined:
+    """Ids of pre-tokens from few calls: those of a space and a non-space are encoded in runs and cut apart by their bytes.
+
+    The pattern has a boundary before each of them, so a run has the ids of its pre-tokens one after the other.
+    """
+
+    def __init__(self, tokenizer):
+        self.encode = tokenizer.encode_batch_fast
+        vocabulary = tokenizer.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.bytes_of[i] = len(token)  # byte-level tokens are written with one character for a byte
+
+    def __call__(self, tokens: list[str]) -> list[bytes]:
+        out: dict[str, bytes] = {}
+        plain = [t for t in tokens if len(t) > 1 and t[0] == " " and not t[1].isspace()]
+        runs = [plain[a : a + RUN] for a in range(0, len(plain), RUN)]
+        for run, found in zip(runs, self.encode(["".join(r) for r in runs], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
+            ends = np.cumsum([len(t.encode()) for t in run])
+            at = np.cumsum(self.bytes_of[ids])
+            cuts = np.searchsorted(at, ends)
+            if len(at) and cuts[-1] == len(at) - 1 and (at[cuts] == ends).all():
+                data, edges = ids.tobytes(), [0, *(4 * (cuts + 1)).tolist()]
+                out.update((t, data[a:b]) for t, a, b in zip(run, edges, edges[1:], strict=False))
+        rest = [t for t in tokens if t not in out]
+        out.update((t, little_endian(e.ids)) for t, e in zip(rest, self.encode(rest, add_special_tokens=False), strict=True))
+        return [out[t] for t in tokens]
 
 
 def cut(ids: bytes, capacity: int) -> Iterator[tuple[int, int, bytes]]:
@@ -50,12 +81,12 @@ def cut(ids: bytes, capacity: int) -> Iterator[tuple[int, int, bytes]]:
         yield a, b - a, ids[4 * a : 4 * b]
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pieces(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, end_id: int = END_ID, cached: int = CACHED_PIECES) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document. No shuffle; ids don't leave the task."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _cache(path)
+        cache = _cache(path, pattern, cached)
         for batch in batches:
             for part, texts in slices(batch):
                 rows = [
@@ -158,14 +189,15 @@ def place(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     )
 
 
-def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    return place(stored(pieces(docs, path, capacity, end_id), "pieces"), capacity)
+def pack(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, end_id: int = END_ID, cached: int = CACHED_PIECES) -> DataFrame:
+    """Tokenise, cut and place every document; ``cached`` bounds the memory of each worker's cache of short pieces."""
+    return place(stored(pieces(docs, path, pattern, capacity, end_id, cached), "pieces"), capacity)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     import public_tokenizers
 
-    return pack(table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
 QUERIES = {"op10_packing": op10_packing}
