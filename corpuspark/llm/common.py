@@ -50,6 +50,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(name: str, taken: list[str]) -> str:
+    """``name``, or with underscores added until no column has it, whatever the case."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
 def in_fold(column: str, buckets: int, remainder: int):
     """crc32 of the id as text, modulo ``buckets``, equals ``remainder``."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(buckets)) == remainder
+
+
+class IdFilter:
+    """A bitmap of hashed ids as a table of at most ``MOST_BITS`` / 32768 rows of 4 KB: small enough to broadcast, whatever the ids.
+
+    ``maybe`` keeps the rows whose id may be among them, ``surely_not`` the others. Large rows then need no shuffle to find that they
+    have no partner. With more ids than the bitmap can tell apart more rows pass ``maybe``; results don't change.
+    """
+
+    LEAST_BITS, MOST_BITS, BITS_FOR_ID = 1 << 23, 1 << 29, 16
+
+    def __init__(self, ids: DataFrame, column: str):
+        n = ids.count()
+        self.bits = self.LEAST_BITS
+        while self.bits < min(self.MOST_BITS, n * self.BITS_FOR_ID):
+            self.bits *= 2
+        x = self._hashed(column)
+        self.column = column
+        self.bitmap = ids.groupBy(F.bitmap_bucket_number(x).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(x)).alias("_bitmap"))
+
+    def _hashed(self, column: str):
+        return F.pmod(F.xxhash64(column), F.lit(self.bits).cast("long"))
+
+    def _join(self, df: DataFrame, how: str) -> DataFrame:
+        x = self._hashed(self.column)
+        at = F.bitmap_bit_position(x)
+        byte = F.conv(F.hex(F.substring("_bitmap", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+        is_set = F.getbit(byte, (at % 8).cast("int")) == 1
+        return df.join(F.broadcast(self.bitmap), (F.bitmap_bucket_number(x) == F.col("_bucket")) & is_set, how)
+
+    def maybe(self, df: DataFrame) -> DataFrame:
+        return self._join(df, "left_semi")
+
+    def surely_not(self, df: DataFrame) -> DataFrame:
+        return self._join(df, "left_anti")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuspark.llm.common import stored, table
+from corpuspark.llm.common import IdFilter, stored, table
 from corpuspark.llm.components import cells, components, links_of_cell
 from corpuspark.llm.textscan import mix, row_slices, shingles, words
 
@@ -135,17 +135,16 @@ def verified_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     sized = classes.groupBy("component").agg(F.count("*").alias("n_classes"), F.sum("grams").alias("n_grams")).where("n_classes > 1")
     n_blocks = F.ceil(F.greatest(F.col("n_classes") / BLOCK_SETS, F.col("n_grams") / BLOCK_GRAMS)).cast("int")
     todo = (
-        classes.join(sized, "component")
-        .withColumn("blocks", n_blocks)
-        .select("component", F.col("rep").alias("doc_id"), "n", "blocks")
+        classes.join(sized, "component").withColumn("blocks", n_blocks).select("component", F.col("rep").alias("doc_id"), "n", "blocks")
     )
-    texts = docs.select("doc_id", F.lower("text").alias("text")).join(todo, "doc_id")
+    todo = stored(todo, "classes")
+    wanted = IdFilter(todo, "doc_id")  # texts without candidates stay where they are
 
     def with_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in row_slices(batch):
                 sets = pa.array([s.tobytes() for s in gram_sets(data, offsets)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], sets], ["component", "rep", "n", "blocks", "grams"])
+                yield pa.RecordBatch.from_arrays([part.column(0), sets], ["doc_id", "grams"])
 
     def link(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -157,7 +156,8 @@ def verified_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
             if found := _links_of_cell([r[3:] for r in cell], cell[0][1] != cell[0][2]):
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["rep", "least", "links"])
 
-    sets = texts.select("component", "doc_id", "n", "blocks", "text").mapInArrow(with_sets, "component long, rep long, n long, blocks int, grams binary")
+    texts = wanted.maybe(docs.select("doc_id", "text")).select("doc_id", F.lower("text").alias("text"))
+    sets = texts.mapInArrow(with_sets, "doc_id long, grams binary").join(todo, "doc_id").withColumnRenamed("doc_id", "rep")
     return cells(sets, F.col("rep"), "rep", "n", "grams").mapInArrow(link, "rep long, least long, links long")
 
 
