@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuspark.llm.common import in_fold, table
+from corpuspark.llm.common import in_fold, table, unused
 from corpuspark.llm.textscan import SYMBOLS, letters, row_slices
 
 ORDER = 3
@@ -160,21 +160,21 @@ def train(docs: DataFrame) -> ContextTrees:
 
 
 def predict(docs: DataFrame, trees: ContextTrees, keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` of docs with lang_pred and score. No shuffle."""
+    """Columns ``keep`` of docs, then lang_pred and score (with underscores added to a name that ``keep`` has). No shuffle."""
     keep = keep or ["doc_id"]
     model = docs.sparkSession.sparkContext.broadcast((trees.langs, trees.row_of, trees.bits))
-    names = [*keep, "lang_pred", "score"]
+    names = [*keep, unused("lang_pred", keep), unused("score", keep)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = ContextTrees(*model.value)
         for batch in batches:
-            for part, data, offsets in row_slices(batch, "_text"):
+            for part, data, offsets in row_slices(batch):
                 symbols, at = letters(data, offsets)
                 size = np.diff(at)
                 some = np.add.reduceat(symbols != 0, at[:-1]) > 0
                 plain = np.add.reduceat((symbols > 0) & (symbols < 27), at[:-1]) > 0
                 for i in np.flatnonzero(some & ~plain):  # bytes from 0x80 need not be letters
-                    some[i] = any(map(str.isalpha, part.column(part.num_columns - 1)[i].as_py()))
+                    some[i] = any(map(str.isalpha, part.column(part.schema.get_field_index("text"))[i].as_py()))
                 best, score = np.zeros(len(size), np.int64), np.zeros(len(size))
                 if trees.langs:
                     bits = trees.code_lengths(symbols, at)
@@ -182,10 +182,11 @@ def predict(docs: DataFrame, trees: ContextTrees, keep: list[str] | None = None)
                     score = 1 / np.exp2(np.minimum(0, np.maximum(bits.min(1)[:, None] - bits, -1000))).sum(1)
                 ok = some & bool(trees.langs)
                 pred = [trees.langs[b] if o else UNKNOWN for b, o in zip(best, ok, strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(pred, pa.string()), pa.array(np.where(ok, score, 0.0))], names)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(np.where(ok, score, 0.0))], names)
 
-    schema = T.StructType([*docs.select(*keep).schema.fields, *T.StructType.fromDDL("lang_pred string, score double").fields])
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    rows = docs.select(*keep, *([] if "text" in keep else ["text"]))
+    schema = T.StructType([*rows.schema.fields[: len(keep)], T.StructField(names[-2], T.StringType()), T.StructField(names[-1], T.DoubleType())])
+    return rows.mapInArrow(run, schema)
 
 
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
 #: Symbols of ``letters``: 0 a run of anything that is no letter, 1-26 a-z, then the bytes 0x80-0xFF.
 SYMBOLS = 27 + 128
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 #: Fixed value: an odd multiplier, the base of the rolling hashes.
 BASE = 0x9E3779B97F4A7C15
 
@@ -35,6 +34,7 @@ def row_slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BY
         part = batch.slice(at, to - at)
         yield part, *utf8(part.column(k))
         at = to
+    pa.default_memory_pool().release_unused()
 
 
 _CLASS = np.zeros(256, np.uint8)
@@ -59,20 +59,17 @@ def letters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out[keep], np.concatenate([kept[starts], kept[-1:]]).astype(np.int64)
 
 
-@lru_cache(maxsize=4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n."""
-    inverse = pow(BASE, -1, 1 << 64)
-    out = []
-    for base in (BASE, inverse):
-        factors = np.full(n, base, np.uint64)
-        factors[0] = 1
-        out.append(np.cumprod(factors))
-    return out[0], out[1]
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(1 << max(16, int(n).bit_length()))
+    """BASE**i and BASE**-i modulo 2**64 for i < n at least; one pair of arrays for each worker, grown when needed."""
+    if n > len(_POWERS[0]):
+        for k, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
+            factors = np.full(1 << max(16, int(n - 1).bit_length()), base, np.uint64)
+            factors[0] = 1
+            _POWERS[k] = np.cumprod(factors)
+    return _POWERS[0], _POWERS[1]
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuspark.llm.common import in_fold, stored, table
+from corpuspark.llm.common import in_fold, stored, table, unused
 from corpuspark.llm.textscan import letters, mix, row_slices, span_hashes, spans
 
 MAX_LABELLED = 20_000
@@ -252,24 +252,27 @@ def fit(docs: DataFrame, labels: DataFrame, usable=None) -> Classifier:
 
 
 def score(docs: DataFrame, model: Classifier, keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` of docs with score and predicted. No shuffle; the model has at most ``LEXICON`` entries."""
+    """Columns ``keep`` of docs, then score and predicted (with underscores added to a name that ``keep`` has). No shuffle; the model has at
+    most ``LEXICON`` entries."""
     keep = keep or ["doc_id"]
     lexicon, weights = model.lexicon, model.weights
+    names = [*keep, unused("score", keep), unused("predicted", keep)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup, size = Lookup(lexicon), len(lexicon)
         for batch in batches:
-            for part, data, offsets in row_slices(batch, "_text"):
+            for part, data, offsets in row_slices(batch):
                 words, doc, entry, count = _lexicon_counts(data, offsets, lookup, size)
                 n = len(words)
                 total, distinct = np.bincount(doc, count, n), np.bincount(doc, minlength=n)
                 z = np.bincount(doc, np.log1p(count) * weights[entry], n) + _summary(total, distinct, words) @ weights[size:]
                 p = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
                 predicted = (p >= 0.5).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(p), pa.array(predicted)], [*keep, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(p), pa.array(predicted)], names)
 
-    schema = T.StructType([*docs.select(*keep).schema.fields, *T.StructType.fromDDL("score double, predicted int").fields])
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    rows = docs.select(*keep, *([] if "text" in keep else ["text"]))
+    schema = T.StructType([*rows.schema.fields[: len(keep)], T.StructField(names[-2], T.DoubleType()), T.StructField(names[-1], T.IntegerType())])
+    return rows.mapInArrow(run, schema)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
