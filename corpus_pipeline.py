@@ -7,42 +7,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuspark.llm import jaccard, langid, packing, toxicity
-from corpuspark.llm.common import in_fold, stored, table
+from corpuspark.llm.common import IdFilter, in_fold, stored, table
 
 #: SQL can't express a trained classifier or a tokenizer; tests compare the stages with brute force.
 ORACLE_SQL = None
 LEAST_LANGUAGE_SCORE = 0.5
-
-
-def _as_row(docs: DataFrame) -> DataFrame:
-    """All columns as one, so that none clashes with what an operator adds."""
-    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
+CACHED_PIECES = 60_000  # workers also hold what the stages before left
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier calls toxic go. It learns labels of the training rows among ``docs`` only."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~in_fold("doc_id", 5, 0))
-    return toxicity.score(_as_row(docs), model, ["row"]).where("predicted = 0").select("row.*")
+    scored = toxicity.score(docs, model, docs.columns)
+    return scored.where(F.col(scored.columns[-1]) == 0).select(docs.columns)
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, and those that no language explains clearly better than the others, go."""
     trees = langid.train(docs.where(~in_fold("doc_id", 4, 2)))
-    found = langid.predict(_as_row(docs), trees, ["row"])
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("row.*")
+    found = langid.predict(docs, trees, docs.columns)
+    lang, score = map(F.col, found.columns[-2:])
+    return found.where((lang != langid.UNKNOWN) & (score >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group stays; repeated rows of an id are one document. Rows without id are told apart by text."""
     gone = jaccard.near_duplicates(docs).where("NOT kept").select("doc_id")
+    again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    gone, again = stored(gone, "gone"), stored(again, "again")
+    touched = IdFilter(gone.unionByName(again), "doc_id")  # all other rows stay where they are
     key = "only where the id is null"
-    kept = docs.join(gone, "doc_id", "left_anti").withColumn(key, F.when(F.col("doc_id").isNull(), F.col("text")))
-    return kept.dropDuplicates(["doc_id", key]).select(*(f"`{c}`" for c in docs.columns))
+    few = touched.maybe(docs).join(gone, "doc_id", "left_anti").withColumn(key, F.when(F.col("doc_id").isNull(), F.col("text")))
+    few = few.dropDuplicates(["doc_id", key]).select(*(f"`{c}`" for c in docs.columns))
+    return touched.surely_not(docs).unionByName(few)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 1024 tokens; see the packing operator for the columns."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, cached=CACHED_PIECES)
 
 
 STAGES = [
