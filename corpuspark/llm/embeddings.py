@@ -2,10 +2,13 @@
 
 Vectors are compared only within a label (and dimension). Equal vectors are one class. The neighbour graph is seeded by
 buckets of random sign hashes - as many tables as the target recall at the threshold asks for - and refined by local joins of
-neighbours of neighbours until a round adds no edge near the threshold. A class whose list is full of near ones
-(saturated) has its list enlarged to the whole candidate component: all pairs of a component are compared exactly, in double
-precision, in cells of two bounded blocks. An audit compares a bounded query set with all vectors; while it finds missing
-links, the graph is built again with twice the tables and list length.
+neighbours of neighbours until a round adds no edge near the threshold. Lists are bounded, so they don't decide what is near:
+every block of vectors that are compared also gives star edges (to the least id that near pairs of the block connect), which are
+all kept, and buckets larger than a block are compared whole, in cells of two blocks, unless they are of one candidate
+component already. So each near pair that shares a bucket is in one component, however full the lists. All pairs of a component
+are compared exactly, in double precision, in cells of two bounded blocks. An audit compares a bounded query set with all
+vectors; while it finds missing links, the graph is built again with twice the tables and list length; if the last one still
+misses some, there is an error and no result.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and those with a null label, link with
 nothing and are their own components; vectors of different dimensions don't link; repeated rows of a vec_id are one vector and
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from corpuspark.llm.common import stored, table
+from corpuspark.llm.common import discard, stored, table
 from corpuspark.llm.components import cells, components, links_of_cell
 
 THRESHOLD = 0.98
@@ -37,6 +40,7 @@ BUCKET = 8
 BLOCK = 192
 AUDIT_QUERIES = 256
 AUDIT_RECALL = 0.9999
+ROUNDING = 1e-12  # links this close to the threshold may differ by the order of a sum; the audit doesn't ask for them
 
 
 def classes(vectors: DataFrame) -> DataFrame:
@@ -95,7 +99,7 @@ def _as_arrays(block: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _proposals(key_columns: int, size: int):
-    """Each row's most similar others of its block."""
+    """Each row's most similar others of its block, and the block's star edges, whose ``sim`` is null."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, v in _blocks(batches, key_columns, size):
@@ -106,15 +110,27 @@ def _proposals(key_columns: int, size: int):
             src, sim = np.repeat(ids, k), np.take_along_axis(s, best, 1).ravel()
             ok = sim > -2
             yield pa.RecordBatch.from_arrays([pa.array(src[ok]), pa.array(ids[best.ravel()][ok]), pa.array(sim[ok])], ["src", "dst", "sim"])
+            yield from _stars(ids, np.zeros(len(ids)), s, False)
 
     return run
 
 
+def _stars(ids: np.ndarray, block: np.ndarray, s: np.ndarray, across: bool) -> Iterator[pa.RecordBatch]:
+    """An edge from each row with a near other to the least id that near pairs connect it with here."""
+    near = s >= THRESHOLD - MARGIN
+    if near.any():
+        found = [(i, least) for i, least, _ in links_of_cell(ids, np.ones(len(ids), np.int64), block, near, across) if i != least]
+        if found:
+            src, dst = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64()), pa.nulls(len(src), pa.float32())], ["src", "dst", "sim"])
+
+
 EDGES = "src long, dst long, sim float"
+KEYS = ["label", "dim", "t", "key"]
 
 
-def seeds(reps: DataFrame, bits: int, tables: int) -> DataFrame:
-    """Proposed edges among vectors of equal sign hashes."""
+def sign_hashes(reps: DataFrame, bits: int, tables: int) -> DataFrame:
+    """(label, dim, t, key, along, rep, half): each vector under its bucket of every table."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,9 +149,35 @@ def seeds(reps: DataFrame, bits: int, tables: int) -> DataFrame:
                         ["label", "dim", "t", "key", "along", "rep", "half"],
                     )
 
-    keys = ["label", "dim", "t", "key"]
-    keyed = reps.select("rep", "label", "dim", "vector").mapInArrow(run, "label long, dim int, t int, key long, along double, rep long, half binary")
-    return keyed.repartition(*keys).sortWithinPartitions(*keys, "along").select(*keys, "rep", "half").mapInArrow(_proposals(4, BLOCK), EDGES)
+    return reps.select("rep", "label", "dim", "vector").mapInArrow(run, "label long, dim int, t int, key long, along double, rep long, half binary")
+
+
+def seeds(keyed: DataFrame) -> DataFrame:
+    """Proposed edges and star edges among vectors of equal sign hashes."""
+    return keyed.repartition(*KEYS).sortWithinPartitions(*KEYS, "along").select(*KEYS, "rep", "half").mapInArrow(_proposals(4, BLOCK), EDGES)
+
+
+def crowded_stars(keyed: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Star edges of buckets larger than a block, all pairs compared, but for buckets within one candidate component."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for batch in batches:
+                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+        for _, cell in groupby(rows(), key=lambda r: r[:3]):
+            cell = list(cell)
+            ids, v = _as_arrays(cell)
+            s = v @ v.T
+            s[ids[:, None] == ids] = -2
+            yield from _stars(ids, np.array([r[3] for r in cell]), s, cell[0][1] != cell[0][2])
+
+    of_rep = keyed.select(*KEYS, "rep").join(candidates.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    sizes = of_rep.groupBy(*KEYS).agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most"))
+    crowded = sizes.where(f"n > {BLOCK} AND least <> most").select(*KEYS, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    buckets = stored(crowded.withColumn("component", F.monotonically_increasing_id()), "buckets")
+    members = keyed.select(*KEYS, "rep", "half").join(buckets, KEYS)
+    return cells(members, F.col("rep"), "rep", "half").mapInArrow(run, EDGES)
 
 
 def nearest(edges: DataFrame, k: int) -> DataFrame:
@@ -145,26 +187,38 @@ def nearest(edges: DataFrame, k: int) -> DataFrame:
 
 
 def local_join(graph: DataFrame, halves: DataFrame, turn: int) -> DataFrame:
-    """Proposed edges among the neighbours, in either direction, of each node; a hub's neighbours meet in bounded blocks."""
+    """Proposed edges and star edges among the neighbours, in either direction, of each node; a hub's neighbours meet in bounded blocks."""
     around = graph.select("src", "dst").unionByName(graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     met = around.withColumnRenamed("dst", "rep").join(halves, "rep").withColumn("mixed", F.xxhash64("rep", F.lit(turn)))
     return met.repartition("src").sortWithinPartitions("src", "mixed").select("src", "rep", "half").mapInArrow(_proposals(1, BLOCK), EDGES)
 
 
-def neighbour_graph(reps: DataFrame, largest_label: int, more: int = 1) -> DataFrame:
-    """(src, dst, sim) after NN-descent; it ends when a round adds no edge near the threshold."""
+def candidate_components(reps: DataFrame, largest_label: int, more: int = 1) -> DataFrame:
+    """(node, component) after NN-descent, which ends when a round adds no edge near the threshold, and the large buckets."""
     k = NEIGHBOURS * more
     to_half = F.col("vector")
     halves = stored(reps.select("rep", to_half.alias("vector")).mapInArrow(_halve, "rep long, half binary"), "halves")
-    graph = stored(nearest(seeds(reps, *sign_tables(largest_label, more)), k), "graph")
+    keyed = sign_hashes(reps, *sign_tables(largest_label, more))
+    proposed = stored(seeds(keyed), "proposed")
+    graph = stored(nearest(proposed.where("sim IS NOT NULL"), k), "graph")
+    stars = stored(proposed.where("sim IS NULL").select("src", "dst").distinct(), "stars")
+    discard(proposed)
     near = F.count(F.when(F.col("sim") >= THRESHOLD - MARGIN, 1))
     found = graph.agg(near).first()[0]
     for turn in range(MAX_ROUNDS):
-        graph = stored(nearest(graph.unionByName(local_join(graph, halves, turn)), k), "graph")
+        proposed = stored(local_join(graph, halves, turn), "proposed")
+        graph = stored(nearest(graph.unionByName(proposed.where("sim IS NOT NULL")), k), "graph")
+        stars = stored(stars.unionByName(proposed.where("sim IS NULL").select("src", "dst")).distinct(), "stars")
+        discard(proposed)
         before, found = found, graph.agg(near).first()[0]
         if found == before:
             break
-    return graph
+    candidates = components(stars, "src", "dst")
+    joined = stored(crowded_stars(keyed, candidates).select("src", "dst").distinct(), "stars")
+    if joined.isEmpty():
+        return candidates
+    known = candidates.select(F.col("node").alias("src"), F.col("component").alias("dst"))
+    return components(known.unionByName(joined), "src", "dst")
 
 
 def _halve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +267,7 @@ def audit(reps: DataFrame, links: DataFrame) -> float:
                 ids, weight = np.array([r[0] for r in group]), np.array([r[3] for r in group])
                 own = np.array([q for q, _ in by_label[key]])
                 v = np.frombuffer(b"".join(r[4] for r in group), np.float64).reshape(len(group), -1)
-                linked = (np.stack([x for _, x in by_label[key]]) @ v.T >= THRESHOLD) & (own[:, None] != ids)
+                linked = (np.stack([x for _, x in by_label[key]]) @ v.T >= THRESHOLD + ROUNDING) & (own[:, None] != ids)
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(linked @ weight)], ["rep", "links"])
 
     all_ = reps.select("rep", "label", "dim", "n", "vector").mapInArrow(run, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("all"))
@@ -228,12 +282,13 @@ def near_duplicates(vectors: DataFrame, attempts: int = 3) -> DataFrame:
     reps = stored(grouped, "classes")
     largest = reps.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
     for attempt in range(attempts):
-        graph = neighbour_graph(reps, largest, 2**attempt)
-        candidates = components(graph.where(F.col("sim") >= THRESHOLD - MARGIN), "src", "dst")
+        candidates = candidate_components(reps, largest, 2**attempt)
         found = stored(exact_links(reps, candidates), "links")
         links = stored(found.groupBy("rep").agg(F.sum("links").alias("links")), "links")
-        if audit(reps, links) >= AUDIT_RECALL:
+        if (recall := audit(reps, links)) >= AUDIT_RECALL:
             break
+    else:
+        raise RuntimeError(f"op2_embeddings: recall {recall} after {attempts} attempts")
     groups = components(found, "rep", "least").select(F.col("node").alias("rep"), F.col("component").alias("component_id"))
     of_class = reps.join(links, "rep", "left").join(groups, "rep", "left")
     of_vector = usable.join(of_class, ["label", "dim", "vector"]).select(

@@ -124,6 +124,23 @@ def test_embedding_links_are_all_links(spark):
     assert embeddings.near_duplicates(empty).count() == 0
 
 
+def test_links_between_tight_groups_are_not_crowded_out(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for label, size in ((0, 30), (1, embeddings.BLOCK)):  # within a block, and a group filling each block of a bucket
+        a, b = np.linalg.qr(rng.standard_normal((64, 2)))[0].T
+        for centre in (a, 0.983 * a + np.sqrt(1 - 0.983**2) * b):
+            noise = rng.standard_normal((size, 64))
+            noise *= 0.002 / np.linalg.norm(noise, axis=1, keepdims=True)
+            rows += [(len(rows) + i, x.astype(np.float32).tolist(), label) for i, x in enumerate(centre + noise)]
+    got = {r.vec_id: r for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    links = links_by_force([np.array(v, np.float32) for _, v, _ in rows], [label for *_, label in rows], embeddings.THRESHOLD)
+    root = roots(len(rows), links)
+    assert len(set(root)) == 2
+    assert [got[i].n_links for i in range(len(rows))] == [len(links[i]) for i in range(len(rows))]
+    assert [got[i].component_id for i in range(len(rows))] == root
+
+
 def test_language_of_held_out_texts(spark, docs):
     got = entries.queries()["op3_langid"](spark, SMALL).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
     assert len(got) > 30 and (got.lang_pred == got.lang).mean() >= 0.98 and got.score.between(0, 1).all()
