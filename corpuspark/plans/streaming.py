@@ -44,7 +44,7 @@ def t1(v):
 @query("t2_sliding_p95")
 def t2(v):
     stream, out = stream_of(v, "query_log", with_end(v.v_query_log))
-    windows = streams.sliding_p95(streams.with_event_time(stream, late="100 days"), "1 hour", "30 minutes")
+    windows = streams.sliding_p95(streams.with_event_time(stream, late="100 days"))
     return finished(v, windows, out).where(f"start < '{END}'").withColumn("start", F.col("start").cast("string"))
 
 
