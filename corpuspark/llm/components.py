@@ -7,29 +7,33 @@ Pairs are compared in cells of two blocks of bounded size; a cell returns counts
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from corpuspark.llm.common import discard, stored
 
 MAX_ROUNDS = 40
+EDGES_PER_FILE = 500_000
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
-    """(u, v, m): m is the least of u and all its neighbours v. Partial minima keep a hub from being one task."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    return edges.join(least, "u").select("u", "v", F.least("u", "m").alias("m"))
+    """(u, v, m): m is the least of u and all its neighbours v. Partial minima keep a hub from being one task; the minima are dealt out
+    under a name of their own, so that the join of a hub's edges can be split."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.expr("u + 0").alias("hub"), "m")
+    return edges.join(least, F.col("u") == F.col("hub")).select("u", "v", F.least("u", "m").alias("m"))
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _kept(edges: DataFrame, files: int | None) -> tuple[DataFrame, tuple]:
+    """The edges as a stored table of about so many files, with their number and a mark of which they are, from the same pass."""
+    seen = Observation()
+    counted = edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").bitwiseAND((1 << 40) - 1)).alias("mark"))
+    return stored(counted.coalesce(files) if files else counted, "edges"), (seen.get["n"], seen.get["mark"])
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) of every node of an edge between different nodes; component is its least node."""
     down = lambda df: df.where("u > v").select("u", "v").distinct()
-    now = stored(down(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))), "edges")
-    mark = _mark(now)
+    now, mark = _kept(down(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))), None)
     for _ in range(MAX_ROUNDS):
         if not mark[0]:
             break
@@ -37,9 +41,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = _with_least(down(large))
         moved = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        after = stored(down(moved), "edges")
-        before, mark, old = mark, _mark(after), now
-        now = after
+        before, old = mark, now
+        now, mark = _kept(down(moved), max(1, mark[0] // EDGES_PER_FILE))
         discard(old)
         if mark == before:
             break
