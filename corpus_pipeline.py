@@ -11,7 +11,6 @@ from corpuspark.llm.common import IdFilter, in_fold, stored, table
 
 #: SQL can't express a trained classifier or a tokenizer; tests compare the stages with brute force.
 ORACLE_SQL = None
-LEAST_LANGUAGE_SCORE = 0.5
 CACHED_PIECES = 60_000  # workers also hold what the stages before left
 
 
@@ -23,11 +22,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, and those that no language explains clearly better than the others, go."""
+    """Documents without a letter go, and those that no language codes in fewer bits than the bare frequencies of bytes do: text in no
+    known language. Short documents of several possible languages stay."""
     trees = langid.train(docs.where(~in_fold("doc_id", 4, 2)))
     found = langid.predict(docs, trees, docs.columns)
-    lang, score = map(F.col, found.columns[-2:])
-    return found.where((lang != langid.UNKNOWN) & (score >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
+    lang, _, saved = map(F.col, found.columns[-3:])
+    return found.where((lang != langid.UNKNOWN) & (saved > 0)).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
