@@ -2,28 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a temporary one only where none is set."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:
-        conf = f"file://{tempfile.mkdtemp(prefix='spark-corpuspark-')}"
-        spark.conf.set("spark.checkpoint.dir", conf)
-    return conf.rstrip("/")
+from corpuspark.sources.staging import fresh_path
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder name in the shared folder, removed when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return path
+    return fresh_path(spark, name)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -50,6 +37,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def kind_of(df: DataFrame, column: str) -> str:
+    """A column's type as schema strings name it."""
+    return df.schema[column].dataType.simpleString()
+
+
 def unused(name: str, taken: list[str]) -> str:
     """``name``, or with underscores added until no column has it, whatever the case."""
     while name.lower() in {t.lower() for t in taken}:

@@ -1,14 +1,17 @@
 """N-gram Jaccard join by MinHash banding.
 
 Every text's set of word five-grams gets a MinHash signature; band and row counts follow from the target recall at the
-threshold. Texts that share a band hash are joined by star edges to the smallest id in the bucket, so buckets of any size
-give linearly many rows. Within each connected set of candidates every pair of different sets is then compared on the
-full n-gram sets; large candidate sets are cut into pairs of blocks of bounded size, each a task's small piece of work.
+threshold. Texts with equal sets are one class, so that copies, however many, are compared once. Classes that share a band hash
+are joined by star edges to the first of the bucket, so buckets of any size give linearly many rows. Within each connected set
+of candidates every pair of classes is then compared on the full n-gram sets; large candidate sets are cut into pairs of blocks
+of bounded size, each a task's small piece of work.
 
 Defined results: words are runs of non-white-space of the lower-cased text; a text of one to four words has a single n-gram
-of all of them; null texts and texts without words link with nothing; texts with equal sets are one class and link
-with each other; repeated rows of an id are one document; ties of similarity don't matter; an empty table gives no rows;
-columns other than the named ones are ignored.
+of all of them; null texts and texts without words link with nothing; texts with equal sets link with each other; repeated rows
+of an id are one document; an id with several texts has the links of all of them, each text's counted, and the least of their
+classes and groups; rows without an id are one document for each different set (and one for all without words), which takes
+class_id and group_id from the ids it is grouped with and is kept if there are none and it is the group's first; ties of
+similarity don't matter; an empty table gives no rows; columns other than the named ones are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuspark.llm.common import IdFilter, stored, table
+from corpuspark.llm.common import IdFilter, kind_of, stored, table
 from corpuspark.llm.components import cells, components, links_of_cell
 from corpuspark.llm.textscan import mix, row_slices, shingles, words
 
@@ -78,21 +81,26 @@ def signatures(docs: DataFrame) -> DataFrame:
                     [
                         part.column(0).take(pa.array(some)),
                         pa.array([len(sets[i]) for i in some], pa.int64()),
-                        pa.array([hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest() for i in some], pa.binary()),
+                        pa.array([set_digest(sets[i]) for i in some], pa.binary()),
                         pa.ListArray.from_arrays(ends, pa.array(keys.ravel())),
                     ],
                     ["doc_id", "grams", "digest", "bands"],
                 )
 
     texts = docs.select("doc_id", F.lower("text").alias("text")).where(F.col("text").isNotNull())
-    return texts.mapInArrow(run, "doc_id long, grams long, digest binary, bands array<long>")
+    return texts.mapInArrow(run, f"doc_id {kind_of(docs, 'doc_id')}, grams long, digest binary, bands array<long>")
 
 
-def candidate_sets(signed: DataFrame) -> DataFrame:
-    """(node, component): ids connected by shared band hashes."""
-    keyed = signed.select("doc_id", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key", "least")
-    return components(keyed.join(shared, "key").where("doc_id > least"), "doc_id", "least")
+def set_digest(grams: np.ndarray) -> bytes:
+    return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
+
+
+def candidate_sets(classes: DataFrame) -> DataFrame:
+    """(node, component): classes (rep, bands) connected by shared band hashes."""
+    keyed = classes.select("rep", F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most")
+    shared = shared.select(F.expr("key + 0").alias("bucket"), "least")  # a name of its own: the join of a large bucket can be split
+    return components(keyed.join(shared, F.col("key") == F.col("bucket")).where("rep > least"), "rep", "least")
 
 
 def _intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -130,21 +138,19 @@ def _links_of_cell(rows: list[tuple], across: bool) -> list[tuple[int, int, int]
     return links_of_cell(ids, weight, block, linked, across)
 
 
-def verified_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(rep, least, links) by cell from classes (component, rep, n, grams): each pair of a component is compared once."""
-    sized = classes.groupBy("component").agg(F.count("*").alias("n_classes"), F.sum("grams").alias("n_grams")).where("n_classes > 1")
+def verified_links(docs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(rep, least, links) by cell from classes (component, rep, digest, first_id, n, grams): each pair of a component is compared once."""
+    sized = candidates.groupBy("component").agg(F.count("*").alias("n_classes"), F.sum("grams").alias("n_grams")).where("n_classes > 1")
     n_blocks = F.ceil(F.greatest(F.col("n_classes") / BLOCK_SETS, F.col("n_grams") / BLOCK_GRAMS)).cast("int")
-    todo = (
-        classes.join(sized, "component").withColumn("blocks", n_blocks).select("component", F.col("rep").alias("doc_id"), "n", "blocks")
-    )
+    todo = candidates.join(sized, "component").withColumn("blocks", n_blocks).select("component", "rep", "digest", F.col("first_id").alias("doc_id"), "n", "blocks")
     todo = stored(todo, "classes")
     wanted = IdFilter(todo, "doc_id")  # texts without candidates stay where they are
 
     def with_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in row_slices(batch):
-                sets = pa.array([s.tobytes() for s in gram_sets(data, offsets)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), sets], ["doc_id", "grams"])
+            for _, data, offsets in row_slices(batch):
+                sets = gram_sets(data, offsets)
+                yield pa.RecordBatch.from_arrays([pa.array([f(x) for x in sets], pa.binary()) for f in (set_digest, np.ndarray.tobytes)], ["digest", "grams"])
 
     def link(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -156,38 +162,47 @@ def verified_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
             if found := _links_of_cell([r[3:] for r in cell], cell[0][1] != cell[0][2]):
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["rep", "least", "links"])
 
-    texts = wanted.maybe(docs.select("doc_id", "text")).select("doc_id", F.lower("text").alias("text"))
-    sets = texts.mapInArrow(with_sets, "doc_id long, grams binary").join(todo, "doc_id").withColumnRenamed("doc_id", "rep")
+    texts = wanted.maybe(docs.select("doc_id", "text")).select(F.lower("text").alias("text"))
+    sets = texts.mapInArrow(with_sets, "digest binary, grams binary").join(todo.drop("doc_id"), "digest")
     return cells(sets, F.col("rep"), "rep", "n", "grams").mapInArrow(link, "rep long, least long, links long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row for each document: doc_id, class_id, n_links (other documents at or above the threshold), group_id, kept."""
     signed = stored(signatures(docs), "signatures")
-    member = signed.select("doc_id", "grams", "digest").distinct().join(candidate_sets(signed).withColumnRenamed("node", "doc_id"), "doc_id")
-    member = stored(member, "members")
-    classes = member.groupBy("component", "digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.max("grams").alias("grams"))
-    found = stored(verified_links(docs, classes), "links")
+    members = signed.select("doc_id", "digest").distinct()
+    of_set = members.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
+    sets = signed.groupBy("digest").agg(F.first("grams").alias("grams"), F.first("bands").alias("bands"))
+    classes = stored(of_set.join(sets, "digest").withColumn("rep", F.monotonically_increasing_id()), "classes")
+    candidates = candidate_sets(classes).withColumnRenamed("node", "rep").join(classes.drop("bands"), "rep")
+    found = stored(verified_links(docs, candidates), "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    groups = components(found, "rep", "least").select(F.col("node").alias("rep"), F.col("component").alias("group_id"))
-    of_class = classes.join(links, "rep", "left").join(groups, "rep", "left")
-    of_doc = (
-        member.join(of_class.drop("grams"), ["component", "digest"])
-        .select("doc_id", F.col("rep").alias("class_id"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("group_id", "rep").alias("group_id"))
-        .dropDuplicates(["doc_id"])
+    linked = stored(components(found, "rep", "least").withColumnRenamed("node", "rep").join(classes.select("rep", "digest", "first_id"), "rep"), "groups")
+    firsts = linked.groupBy("component").agg(F.min("first_id").alias("group_id"), F.min("digest").alias("group_digest"))
+    groups = linked.select("rep", "component").join(firsts.select(F.expr("component + 0").alias("of"), "group_id", "group_digest"), F.col("component") == F.col("of"))
+    of_class = classes.join(links, "rep", "left").join(groups.drop("component", "of"), "rep", "left")
+    of_class = of_class.select(
+        F.expr("substring(digest, 1, 16)").alias("set"),  # a name of its own, as above: many copies of one text can be split
+        "first_id",
+        (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
+        F.when(F.col("group_digest").isNull(), F.col("first_id")).otherwise(F.col("group_id")).alias("group_id"),
+        F.coalesce("group_digest", "digest").alias("group_digest"),
     )
-    return (
-        docs.select("doc_id")
-        .distinct()
-        .join(of_doc, "doc_id", "left")
-        .select(
-            "doc_id",
-            F.coalesce("class_id", "doc_id").alias("class_id"),
-            F.coalesce("n_links", F.lit(0)).alias("n_links"),
-            F.coalesce("group_id", "doc_id").alias("group_id"),
-        )
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("group_id")))
+    of_text = members.join(of_class, F.col("digest") == F.col("set"))
+    named = of_text.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("first_id").alias("class_id"), F.sum("n_links").alias("n_links"), F.min("group_id").alias("group_id"))
+    ids = docs.select("doc_id").where("doc_id IS NOT NULL").distinct()
+    with_id = ids.join(named, "doc_id", "left").select(
+        "doc_id",
+        F.coalesce("class_id", "doc_id").alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.coalesce("group_id", "doc_id").alias("group_id"),
     )
+    with_id = with_id.withColumn("kept", F.col("doc_id") == F.col("group_id"))
+    first = F.col("group_id").isNull() & (F.col("digest") == F.col("group_digest"))
+    nameless = of_text.where("doc_id IS NULL").select("doc_id", F.col("first_id").alias("class_id"), "n_links", "group_id", first.alias("kept"))
+    blank = docs.where("doc_id IS NULL").where(~F.coalesce(F.col("text").rlike("[^ \\t\\n\\r\\f\\x0b]"), F.lit(False))).limit(1)
+    blank = blank.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("group_id"), F.lit(True).alias("kept"))
+    return with_id.unionByName(nameless).unionByName(blank)
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -147,17 +147,67 @@ def test_language_of_held_out_texts(spark, docs):
 
 
 def test_language_of_odd_texts(odd, none, docs):
-    trees = langid.train(docs)
-    got = {r.doc_id: r for r in langid.predict(odd, trees).collect()}
+    model = langid.train(docs)
+    got = {r.doc_id: r for r in langid.predict(odd, model).collect()}
     assert {i for i, r in got.items() if r.lang_pred == "und"} == {1, 2, 3, 7} and got[1].score == 0
-    assert langid.predict(none, trees).count() == 0
+    assert langid.predict(odd, model, odd.columns).columns[-3:] == ["lang_pred_", "score_", "saved"]
+    assert langid.predict(none, model).count() == 0
     assert {r.lang_pred for r in langid.predict(odd, langid.train(none)).collect()} == {"und"}
-
-
-def test_frozen_code_lengths_are_probabilities(docs):
-    trees = langid.train(docs.limit(40))
-    table = trees.bits.reshape(-1, langid.R, len(trees.langs))
-    assert np.allclose(np.exp2(-table.astype(float)).sum(1), 1, atol=1e-3)
+    assert langid.has_letter(np.frombuffer("é1 ÷".encode(), np.uint8), np.array([0, 2, 3, 6]), "é1÷".__getitem__).tolist() == [True, False, False]
+
+
+def ppm_bits(train, text):
+    """Method C with exclusions, byte by byte: the definition."""
+    seen = [defaultdict(lambda: defaultdict(int)) for _ in range(langid.ORDER + 1)]
+    pad = bytes([langid.BEFORE] * langid.ORDER)
+    for t in train:
+        b = pad + t
+        for i in range(langid.ORDER, len(b)):
+            for k, of_context in enumerate(seen):
+                of_context[b[i - k : i]][b[i]] += 1
+    bits, b = 0.0, pad + text
+    for i in range(langid.ORDER, len(b)):
+        excluded = set()
+        for k in range(langid.ORDER, -1, -1):
+            own = {x: n for x, n in seen[k].get(b[i - k : i], {}).items() if x not in excluded}
+            if not own:
+                continue
+            whole = sum(own.values()) + len(own)
+            if b[i] in own:
+                bits += np.log2(whole / own[b[i]])
+                break
+            bits += np.log2(whole / len(own))
+            excluded |= set(own)
+        else:
+            bits += np.log2(256 - len(excluded))
+    return bits
+
+
+def flat(texts):
+    return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+
+
+def test_code_lengths_are_those_of_the_definition(monkeypatch):
+    monkeypatch.setattr(langid, "CACHED_BYTES", 1 << 14)  # the table of known costs is overwritten many times
+    rng = np.random.default_rng(4)
+    train = [bytes(rng.choice([97, 98, 99, 32, 10, 195], rng.integers(0, 60)).tolist()) for _ in range(25)]
+    texts = [bytes(rng.choice([97, 98, 99, 100, 32, 10, 0, 195], rng.integers(0, 50)).tolist()) for _ in range(40)]
+    model = langid.Model.freeze({"x": np.unique(langid.grams(*flat(train)), return_counts=True)})
+    coder = langid.Coder(model)
+    for _ in range(2):
+        assert np.allclose(coder.bits(*flat(texts))[:, 0], [ppm_bits(train, t) for t in texts], atol=1e-3)
+
+
+def test_rare_grams_and_contexts_count(spark):
+    rows = spark.createDataFrame([("xyz" + "ab" * 4000, "a"), ("ab" * 4000, "b")], "text string, lang string")  # xyz is seen once
+    got = langid.predict(spark.createDataFrame([(1, "xyz"), (2, "ab")], "doc_id long, text string"), langid.train(rows)).collect()
+    assert got[0].lang_pred == "a" and got[0].score > 0.99
+
+
+def test_training_share_is_bounded(spark, docs, monkeypatch):
+    monkeypatch.setattr(langid, "TRAIN_BYTES", 60_000)
+    got = langid.predict(docs, langid.train(docs), ["doc_id", "lang"]).toPandas()
+    assert (got.lang == got.lang_pred).mean() > 0.95
 
 
 def shingle_sets(texts):
@@ -203,6 +253,22 @@ def test_jaccard_blocks_and_odd_rows(spark, odd, none, monkeypatch):
     assert jaccard.near_duplicates(none).count() == 0
 
 
+def test_jaccard_of_shared_and_missing_ids(spark):
+    a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    lone = " ".join(f"c{k}" for k in range(30))
+    rows = [("x", a), ("y", b), ("z", a), ("z", b), (None, a), (None, lone), (None, lone), (None, ""), (None, None), ("e", None)]
+    got = sorted((r.doc_id or "", r.class_id or "", r.n_links, r.group_id or "", r.kept) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string")).collect())
+    assert got == [
+        ("", "", 0, "", True),
+        ("", "", 0, "", True),
+        ("", "x", 2, "x", False),
+        ("e", "e", 0, "e", True),
+        ("x", "x", 2, "x", True),
+        ("y", "y", 1, "y", True),
+        ("z", "x", 3, "x", False),
+    ]
+
+
 def test_band_choice():
     bands, rows = jaccard.choose_bands()
     assert bands * rows <= jaccard.HASHES and 1 - (1 - 0.8**rows) ** bands >= jaccard.RECALL
@@ -224,14 +290,45 @@ def test_toxicity_of_odd_rows(spark, odd, none):
     assert {r.predicted for r in toxicity.score(odd, untaught).collect()} == {0}
 
 
-def test_label_model_finds_accuracies_and_correlation():
+def test_label_model_finds_accuracies_and_correlations(spark):
+    """Planted voters: two good ones, a weak one with an almost exact copy, and one that mostly abstains; a tenth of the rows has labels."""
     rng = np.random.default_rng(0)
-    y = (rng.random(4000) < 0.3).astype(int)
-    good = np.where(rng.random(4000) < 0.9, y, 1 - y)
-    bad = np.where(rng.random(4000) < 0.6, y, 1 - y)
-    v = np.stack([2 * good - 1, 2 * bad - 1, 2 * bad - 1, 2 * bad - 1], 1).astype(np.int8)
-    model, q = toxicity.fit_label_model(v, np.where(np.arange(4000) < 400, y, -1))
-    assert model.share[0] > 2 * model.share[1] and ((q > 0.5) == y).mean() > 0.85
+    n = 20_000
+    y = (rng.random(n) < 0.3).astype(int)
+    right = lambda p: np.where(rng.random(n) < p, 2 * y - 1, 1 - 2 * y)
+    good, fair, weak = right(0.9), right(0.8), right(0.65)
+    copy = np.where(rng.random(n) < 0.95, weak, -weak)
+    rare = np.where(rng.random(n) < 0.1, right(0.95), 0)
+    v = np.stack([good, fair, weak, copy, rare], 1).astype(np.int8)
+    label = np.where(np.arange(n) % 10 == 0, np.where(rng.random(n) < 0.97, y, 1 - y), -1)
+    rows = [(x.tobytes(), None if t < 0 else int(t)) for x, t in zip(v, label, strict=True)]
+    patterns = spark.createDataFrame(rows, "votes binary, toxic int").groupBy("votes", "toxic").agg(F.count("*").alias("n"))
+    model = toxicity.fit_label_model(patterns)
+    q = model.posterior(v, label)
+    assert abs(model.prior - 0.3) < 0.05 and ((q > 0.5) == y).mean() > 0.88
+    assert np.abs(model.accuracy - [0.9, 0.8, 0.65, 0.64, 0.95]).max() < 0.06
+    assert {(2, 3), (3, 2)} & {(i, int(p)) for i, p in enumerate(model.parent)}
+    others = [c for i, c in enumerate(model.correlation) if not {i, int(model.parent[i])} == {2, 3}]
+    assert max(model.correlation) > 10 * max(others)
+
+
+def test_named_words_and_stems_vote(spark):
+    lexicon = toxicity.Lexicon(np.zeros(0, np.uint64), np.zeros(0, np.int32))
+    texts = ["You IDIOT, you clown!", "a fine day", "", "WHAT LOUD WORDS"]
+    raw = [t.encode() for t in texts]
+    words, shouted, doc, column, n = lexicon.counts(*flat(raw))
+    assert [toxicity.NAMES[c] for c in column] == ["stupidity", "ridicule"] and doc.tolist() == [0, 0] and words.tolist() == [4, 3, 0, 3]
+    votes = lexicon.votes(words, shouted, doc, column, n)
+    assert votes[0, 6 + toxicity.NAMES.index("ridicule")] == 1 and votes[1, -4] == -1 and votes[3, -1] == 1
+
+
+def test_terms_are_mined_from_all_labelled_rows(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "FIT_ROWS", 50)  # bounds the classifier's sample alone
+    rows = [(i, f"plain words number w{i} " + ("grumbolt here" if i % 3 == 0 else "nothing"), int(i % 3 == 0)) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    got = toxicity.score(docs, model, ["doc_id", "toxic"]).toPandas()
+    assert (got.predicted == got.toxic).all() and len(model.lexicon.mined) > 0
 
 
 def test_bpe_equals_tiktoken(spark, odd, none):
