@@ -2,7 +2,7 @@
 
 A pre-token that is itself a vocabulary entry is resolved by a minimal perfect hash over the vocabulary; any other is
 merged with a heap over its linked bytes. Texts are cut before single spaces that a non-space follows (the pattern always
-has a pre-token boundary there), and the ids of such short pieces are kept in a bounded two-generation cache per worker.
+has a pre-token boundary there), and the ids of such short pieces are kept in a table of bounded size per worker.
 
 Defined results: null text counts as empty and has no ids; texts of any length are whole (the heap takes n log n steps on
 a pre-token of n bytes); repeated rows give repeated results; an empty table gives no rows; columns other than the named ones are ignored.
@@ -13,7 +13,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import re
 import sys
 from array import array
 from collections.abc import Callable, Iterable, Iterator
@@ -21,16 +20,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuspark.llm.common import table
+from corpuspark.llm.common import kind_of, table
+from corpuspark.llm.textscan import row_slices, span_hashes
 
-CACHED_PIECES = 700_000
+CACHED_PIECES = 1 << 21
 LONGEST_CACHED = 48
-SLICE_CHARS = 1_500_000
+SLICE_BYTES = 600_000
 M64 = (1 << 64) - 1
 # Odd 64-bit multipliers that mix a displacement into a hash.
 MIX_D, MIX_H = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -102,6 +101,11 @@ class BytePairCodec:
         self.ids = list(self.tokens)
         self.whole = PerfectHash([self.tokens[i] for i in self.ids])
         rank = {t: i for i, t in self.tokens.items()}
+        self.lengths = np.zeros(max(self.ids) + 1, np.int64)
+        self.lengths[self.ids] = [len(t) for t in self.tokens.values()]
+        self.starts = np.zeros(len(self.lengths), np.int64)
+        self.starts[self.ids] = np.cumsum([0, *(len(t) for t in self.tokens.values())])[:-1]
+        self.token_bytes = np.frombuffer(b"".join(self.tokens.values()), np.uint8)
         self.byte = [rank.get(bytes([b]), -1) for b in range(256)]
         self.byte_pair = [rank.get(bytes([a, b]), -1) for a in range(256) for b in range(256)]
         self.shift = max(self.ids).bit_length()
@@ -148,7 +152,12 @@ class BytePairCodec:
         return list(map(little_endian, found))
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return self.decoded(np.frombuffer(ids, "<u4"))[0].tobytes()
+
+    def decoded(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of all tokens, where each token ends)."""
+        n = self.lengths[ids]
+        return _gathered(self.token_bytes, self.starts[ids], n), np.cumsum(n)
 
 
 @lru_cache(maxsize=2)
@@ -156,120 +165,159 @@ def codec(path: str) -> BytePairCodec:
     return BytePairCodec(path)
 
 
-HARD_SPACE = re.compile(r" (?!\S)")
-
-
-def cut_at_spaces(text: str) -> list[str]:
-    """Parts between the single spaces that a non-space follows; all but the first stand for a space and the part."""
-    if not HARD_SPACE.search(text):
-        return text.split(" ")
-    return re.split(r" (?=\S)", text)
-
-
-class PieceCache:
-    """Ids of texts, piece by piece; ``encode`` maps pre-tokens to their ids. ``young[x]`` has the ids of a space and x."""
-
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], pattern: str, size: int = CACHED_PIECES):
-        self.encode, self.size, self.split = encode, size, regex.compile(pattern).findall
-        self.young: dict = {None: b""}
-        self.old: dict = {}
-
-    def ids_of(self, texts: list[str]) -> list[bytes]:
-        if len(self.young) > self.size:
-            self.young, self.old = {None: b""}, self.young
-        young, split = self.young, self.split
-        parts = [cut_at_spaces(t) if t else [""] for t in texts]
-        heads = [split(p[0]) for p in parts]
-        found, holes = [], []
-        for p in parts:
-            p[0] = None  # the head has no space before it
-            ids = list(map(young.get, p))
-            found.append(ids)
-            i = -1
-            for _ in range(ids.count(None)):
-                i = ids.index(None, i + 1)
-                holes.append((ids, i, p[i]))
-        known = self._learn({x for _, _, x in holes}, {t for ts in heads for t in ts})
-        for ids, i, x in holes:
-            ids[i] = known[x]
-        return [b"".join([known[None, t] for t in ts]) + b"".join(ids) for ts, ids in zip(heads, found, strict=True)]
-
-    def _learn(self, new: set[str], plain: set[str]) -> dict:
-        """Ids of new pieces x (a space before them) under x, and of pre-tokens t as they are under (None, t)."""
-        young, old, split = self.young, self.old, self.split
-        known = {x: old[x] for x in new if x in old}
-        young.update(known)
-        new.difference_update(known)
-        tokens = {x: split(" " + x) for x in new if not x.isalpha()}  # letters alone are one pre-token
-        spaced = {x for x in new if x.isalpha()}
-        for ts in tokens.values():
-            for t in ts:
-                (spaced if t[0] == " " and len(t) > 1 and t[1:].isalpha() else plain).add(t[1:] if t[0] == " " and t[1:].isalpha() else t)
-        ready = {x: young[x] for x in spaced if x in young}
-        spaced = list(spaced.difference(ready))
-        ready.update(zip(spaced, self.encode([" " + x for x in spaced]), strict=True))
-        plain = list(plain)
-        other = dict(zip(plain, self.encode(plain), strict=True))
-        known.update(ready)
-        known.update(((None, t), ids) for t, ids in other.items())
-        for x, ts in tokens.items():
-            known[x] = b"".join([ready[t[1:]] if t[0] == " " and t[1:].isalpha() else other[t] for t in ts])
-        young.update((x, known[x]) for x in (*spaced, *tokens) if len(x) < LONGEST_CACHED)
-        return known
-
-
-def slices(batch: pa.RecordBatch, chars: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """A batch in runs of rows with about ``chars`` bytes of text; null text is empty."""
-    column = batch.column(batch.schema.get_field_index("text"))
-    ends = np.cumsum([0 if n is None else n for n in pc.binary_length(column).to_pylist()])
-    at = 0
-    while at < batch.num_rows:
-        base = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, base + chars, "right")))
-        part = batch.slice(at, to - at)
-        yield part, [t or "" for t in part.column(batch.schema.get_field_index("text")).to_pylist()]
-        at = to
-    pa.default_memory_pool().release_unused()
+def _gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The runs ``values[start : start + length]`` one after the other."""
+    ends = np.cumsum(lengths)
+    return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)]
+
+
+#: Bytes that begin no character that is white space (the others are not cut before), and those of ASCII letters and digits, signs, line ends.
+SAFE = np.ones(256, bool)
+SAFE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0xC2, 0xE1, 0xE2, 0xE3]] = False
+_WORD, _SIGN, _LINE = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_WORD[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_SIGN[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+_LINE[[9, 10, 13]] = True
+
+
+def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where pieces begin: at each text that isn't empty, at a space before a character that surely is no white space, at such a character
+    after a single line end or tab, and at a sign after a letter or digit. The pattern has a boundary at all of these, and none of its
+    tokens before one depends on what follows."""
+    cut = np.zeros(len(data), bool)
+    if len(data):
+        this, following = data[:-1], data[1:]
+        cut[:-1] = (this == 32) & SAFE[following]
+        cut[1:] |= _WORD[this] & _SIGN[following]
+        cut[2:] |= (_WORD | _SIGN)[data[:-2]] & _LINE[this[1:]] & SAFE[following[1:]]
+    full = np.diff(offsets) > 0
+    ends = offsets[1:][full] - 1
+    cut[ends[data[ends] == 32]] = False  # a space at the end of a text belongs to it, whatever the next text begins with
+    cut[offsets[:-1][full]] = True
+    return np.flatnonzero(cut)
+
+
+class PieceTable:
+    """Ids of texts, piece by piece. ``encode`` gives (ids, where each piece's begin, how many) of pieces (UTF-8); those of short ones are
+    kept in a two-way table by hash, with length and first bytes as a check, of at most ``size`` places (28 bytes and some four ids
+    each). A whole batch is looked up at once, without an object for a word."""
+
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]], size: int):
+        self.encode = encode
+        self.bits = max(4, int(size).bit_length() - 1)
+        self.room = 4 << self.bits
+        self._clear()
+
+    def _clear(self) -> None:
+        sets = 1 << self.bits
+        self.keys = np.zeros(sets, np.uint64)
+        self.checks = np.zeros(sets, np.uint64)  # 0 marks a free place: a piece has a byte
+        self.at = np.zeros(sets, np.int64)
+        self.n = np.zeros(sets, np.int32)
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.used = 0
+
+    def _keep(self, ids: np.ndarray) -> int:
+        """Where the ids now begin."""
+        at, self.used = self.used, self.used + len(ids)
+        if self.used > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint32)])
+        self.ids[at : self.used] = ids
+        return at
+
+    def ids_of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, offsets by text)."""
+        if self.used > self.room:
+            self._clear()
+        starts = piece_starts(data, offsets)
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        ends = np.append(starts[1:], len(data))
+        key = span_hashes(data, starts, ends)
+        length = ends - starts
+        head = np.zeros(len(starts), np.uint64)  # the first six bytes and the length
+        for k in range(6):
+            more = length > k
+            head[more] |= data[starts[more] + k].astype(np.uint64) << np.uint64(8 * k)
+        check = head | np.minimum(length, 0xFFFF).astype(np.uint64) << np.uint64(48)
+        slot = (key >> np.uint64(65 - self.bits)).astype(np.int64) * 2
+        other = (self.keys[slot] != key) | (self.checks[slot] != check)
+        slot[other] += 1
+        missed = other & ((self.keys[slot] != key) | (self.checks[slot] != check))
+        at, n = self.at[slot], self.n[slot].astype(np.int64)
+        if missed.any():
+            where = np.flatnonzero(missed)
+            _, first, inverse = np.unique(key[where], return_index=True, return_inverse=True)
+            new = where[first]
+            same = check[where] == check[new][inverse]
+            if not same.all():  # two pieces of one hash: these go one by one
+                new = np.concatenate([new, where[~same]])
+                inverse[~same] = len(first) + np.arange((~same).sum())
+            raw = data.tobytes()
+            ids, begin, sizes = self.encode([raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+            begin = begin + self._keep(ids)
+            at[where], n[where] = begin[inverse], sizes[inverse]
+            short = np.flatnonzero(length[new] < LONGEST_CACHED)
+            place, last = np.unique(slot[new[short]] & ~np.int64(1), return_index=True)
+            for values in (self.keys, self.checks, self.at, self.n):  # the younger of two stays
+                values[place + 1] = values[place]
+            short = short[last]
+            self.keys[place], self.checks[place] = key[new[short]], check[new[short]]
+            self.at[place], self.n[place] = begin[short], sizes[short]
+        edges = np.concatenate([[0], np.cumsum(n)])
+        return _gathered(self.ids, at, n), edges[np.searchsorted(starts, offsets)]
 
 
 @lru_cache(maxsize=2)
-def cache_of(path: str, pattern: str) -> PieceCache:
+def table_of(path: str, pattern: str) -> PieceTable:
     """One for each Python worker; Spark keeps workers from task to task."""
-    return PieceCache(codec(path).encode_tokens, pattern)
+    split, encode = regex.compile(pattern).findall, codec(path).encode_tokens
+
+    def ids_of_pieces(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        texts = [x.decode() for x in pieces]
+        tokens = [[x] if x.isalpha() or x[1:].isalpha() and x[0] == " " else split(x) for x in texts]  # letters alone are one pre-token
+        several = list(dict.fromkeys(t for ts in tokens for t in ts))
+        known = dict(zip(several, encode(several), strict=True))
+        found = [known[ts[0]] if len(ts) == 1 else b"".join(map(known.__getitem__, ts)) for ts in tokens]
+        sizes = np.array([len(x) // 4 for x in found], np.int64)
+        return np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes, sizes
+
+    return PieceTable(ids_of_pieces, CACHED_PIECES)
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id") -> DataFrame:
     """(id, ids binary: little-endian unsigned 32-bit) for each row's whole ``text``. No shuffle."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = cache_of(path, pattern)
+        pieces = table_of(path, pattern)
         for batch in batches:
-            for part, texts in slices(batch):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cache.ids_of(texts), pa.binary())], ["id", "ids"])
+            for part, data, offsets in row_slices(batch, size=SLICE_BYTES):
+                ids, at = pieces.ids_of(data, offsets)
+                raw, at = ids.astype("<u4").tobytes(), (4 * at).tolist()
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([raw[a:b] for a, b in zip(at, at[1:], strict=False)], pa.binary())], ["id", "ids"])
 
-    kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(id_column, "text").mapInArrow(run, f"id {kind}, ids binary").withColumnRenamed("id", id_column)
+    return docs.select(id_column, "text").mapInArrow(run, f"id {kind_of(docs, id_column)}, ids binary").withColumnRenamed("id", id_column)
 
 
 def digest_round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Encode and decode every text; (doc_id, n_tokens, ids_sha256, decoded_sha256) in the same pass, so that ids needn't move."""
 
+    def digests(raw: bytes, at: list[int]) -> pa.Array:
+        return pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(at, at[1:], strict=False)], pa.string())
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, cache = codec(path), cache_of(path, pattern)
+        bpe, pieces = codec(path), table_of(path, pattern)
         for batch in batches:
-            for part, texts in slices(batch):
-                ids = cache.ids_of(texts)
+            for part, data, offsets in row_slices(batch, size=SLICE_BYTES):
+                ids, at = pieces.ids_of(data, offsets)
+                back, ends = bpe.decoded(ids)
+                of_text = np.concatenate([[0], ends])[at]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array([len(x) // 4 for x in ids], pa.int64()),
-                        pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
-                        pa.array([hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids], pa.string()),
-                    ],
+                    [part.column(0), pa.array(np.diff(at)), digests(ids.astype("<u4").tobytes(), (4 * at).tolist()), digests(back.tobytes(), of_text.tolist())],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind_of(docs, 'doc_id')}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:

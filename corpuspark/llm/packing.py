@@ -6,7 +6,8 @@ bin's smallest piece by two others that fit its enlarged gap more tightly, and r
 allow. Pieces then take the planned places by their rank among pieces of their length; ranks come from salted groups and
 prefix sums, so that a length which a third of all pieces share is no single task.
 
-Defined results: null text counts as empty and yields the end id alone; repeated rows are packed each; very long texts
+Defined results: ids are the library's own, so the string of an added token in a text is that token's id; null text counts as
+empty and yields the end id alone; repeated rows are packed each; very long texts
 become full sequences plus one shorter first piece; an empty table gives no rows; columns other than the named ones are ignored.
 """
 
@@ -22,83 +23,103 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpuspark.llm.bpe import CACHED_PIECES, PieceCache, little_endian, slices
-from corpuspark.llm.common import stored, table
+from corpuspark.llm.bpe import CACHED_PIECES, SAFE, SLICE_BYTES, PieceTable
+from corpuspark.llm.common import kind_of, stored, table
+from corpuspark.llm.textscan import row_slices
 
 CAPACITY = 1024
 END_ID = 2
 ROWS_PER_SALT = 20_000
 RUN = 200
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "piece int, start long, length long, ids_crc32 long"
 SLOTS = "length long, slots array<struct<first:long,sequence:long,offset:long>>"
 
 
-@lru_cache(maxsize=2)
-def _cache(path: str, pattern: str, size: int = CACHED_PIECES) -> PieceCache:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    return PieceCache(Joined(tokenizer), pattern, size)
-
-
-class Joined:
-    """Ids of pre-tokens from few calls: those of a space and a non-space are encoded in runs and cut apart by their bytes.
+class Tokens:
+    """Ids of whole texts as the tokenizer gives them, by way of a table of pieces; a text that holds the string of an added token,
+    which the library finds before any piece, goes to the library whole."""
 
-    The pattern has a boundary before each of them, so a run has the ids of its pre-tokens one after the other.
-    """
+    def __init__(self, path: str, size: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-    def __init__(self, tokenizer):
-        self.encode = tokenizer.encode_batch_fast
-        vocabulary = tokenizer.get_vocab()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.bytes_of[i] = len(token)  # byte-level tokens are written with one character for a byte
-
-    def __call__(self, tokens: list[str]) -> list[bytes]:
-        out: dict[str, bytes] = {}
-        plain = [t for t in tokens if len(t) > 1 and t[0] == " " and not t[1].isspace()]
+        self.table = PieceTable(self._ids_of_pieces, size)
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _ids_of_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces that begin with a space and no other white space are encoded in runs and cut apart by their bytes: the pattern has a
+        boundary before each, so a run has the ids of its pieces one after the other."""
+        plain = [i for i, t in enumerate(pieces) if len(t) > 1 and t[0] == 32 and SAFE[t[1]]]
+        rest = set(range(len(pieces))).difference(plain)
+        begin, sizes = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        ids_of_runs, used = [], 0
         runs = [plain[a : a + RUN] for a in range(0, len(plain), RUN)]
-        for run, found in zip(runs, self.encode(["".join(r) for r in runs], add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, "<u4")
-            ends = np.cumsum([len(t.encode()) for t in run])
-            at = np.cumsum(self.bytes_of[ids])
+        for run, ids in zip(runs, self._encode([b"".join(map(pieces.__getitem__, r)).decode() for r in runs]), strict=True):
+            ends, at = np.cumsum([len(pieces[i]) for i in run]), np.cumsum(self.bytes_of[ids])
             cuts = np.searchsorted(at, ends)
             if len(at) and cuts[-1] == len(at) - 1 and (at[cuts] == ends).all():
-                data, edges = ids.tobytes(), [0, *(4 * (cuts + 1)).tolist()]
-                out.update((t, data[a:b]) for t, a, b in zip(run, edges, edges[1:], strict=False))
-        rest = [t for t in tokens if t not in out]
-        out.update((t, little_endian(e.ids)) for t, e in zip(rest, self.encode(rest, add_special_tokens=False), strict=True))
-        return [out[t] for t in tokens]
+                n = np.diff(cuts, prepend=-1)
+                sizes[run], begin[run] = n, used + cuts + 1 - n
+                ids_of_runs.append(ids)
+                used += len(ids)
+            else:
+                rest.update(run)
+        rest = sorted(rest)
+        found = self._encode([pieces[i].decode() for i in rest])
+        n = np.array([len(x) for x in found], np.int64)
+        sizes[rest], begin[rest] = n, used + np.cumsum(n) - n
+        return np.concatenate([np.zeros(0, np.uint32), *ids_of_runs, *found]), begin, sizes
+
+    def ids_of(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        ids, at = self.table.ids_of(data, offsets)
+        found = [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        raw = data.tobytes()
+        if any(x in raw for x in self.added):
+            for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
+                if any(x in raw[a:b] for x in self.added):
+                    found[i] = np.array(self.tokenizer.encode(raw[a:b].decode(), add_special_tokens=False).ids, np.uint32)
+        return found
+
+
+@lru_cache(maxsize=2)
+def _tokens(path: str, size: int = CACHED_PIECES) -> Tokens:
+    """One for each Python worker."""
+    return Tokens(path, size)
 
 
-def cut(ids: bytes, capacity: int) -> Iterator[tuple[int, int, bytes]]:
-    """(start, length, ids) of a document's pieces; only the first may be shorter than ``capacity``."""
-    n = len(ids) // 4
+def cut(n: int, capacity: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of the pieces of a document of ``n`` ids; only the first may be shorter than ``capacity``."""
     first = n % capacity or min(n, capacity)
-    for a, b in [(0, first), *((i, i + capacity) for i in range(first, n, capacity))]:
-        yield a, b - a, ids[4 * a : 4 * b]
+    yield 0, first
+    for a in range(first, n, capacity):
+        yield a, a + capacity
 
 
-def pieces(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, end_id: int = END_ID, cached: int = CACHED_PIECES) -> DataFrame:
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, cached: int = CACHED_PIECES) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document. No shuffle; ids don't leave the task."""
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _cache(path, pattern, cached)
+        tokens = _tokens(path, cached)
         for batch in batches:
-            for part, texts in slices(batch):
-                rows = [
-                    (doc, k, a, n, zlib.crc32(ids))
-                    for doc, whole in zip(part.column(0).to_pylist(), cache.ids_of(texts), strict=True)
-                    for k, (a, n, ids) in enumerate(cut(whole + end, capacity))
-                ]
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
+            for part, data, offsets in row_slices(batch, size=SLICE_BYTES):
+                rows = []
+                for row, ids in enumerate(tokens.ids_of(data, offsets)):
+                    whole = np.append(ids, np.uint32(end_id)).astype("<u4").tobytes()
+                    rows += [(row, k, a, b - a, zlib.crc32(whole[4 * a : 4 * b])) for k, (a, b) in enumerate(cut(len(whole) // 4, capacity))]
+                row, *columns = zip(*rows, strict=True)
+                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                columns = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), *columns], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind_of(docs, 'doc_id')}, {PIECES}")
 
 
 def best_two_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
@@ -189,15 +210,15 @@ def place(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     )
 
 
-def pack(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, end_id: int = END_ID, cached: int = CACHED_PIECES) -> DataFrame:
-    """Tokenise, cut and place every document; ``cached`` bounds the memory of each worker's cache of short pieces."""
-    return place(stored(pieces(docs, path, pattern, capacity, end_id, cached), "pieces"), capacity)
+def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, cached: int = CACHED_PIECES) -> DataFrame:
+    """Tokenise, cut and place every document; ``cached`` bounds the memory of each worker's table of short pieces."""
+    return place(stored(pieces(docs, path, capacity, end_id, cached), "pieces"), capacity)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     import public_tokenizers
 
-    return pack(table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return pack(table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
 
 
 QUERIES = {"op10_packing": op10_packing}

@@ -341,11 +341,18 @@ def test_bpe_equals_tiktoken(spark, odd, none):
     signs = [" ", " ", "\n", "\t", "a", "bc", "é", "1", "'s", "'", "!", " ", "\x1c", "\x85", "字", "🙂", "<|endoftext|>"]
     rng = np.random.default_rng(3)
     texts = ["".join(rng.choice(signs, rng.integers(0, 40))) for _ in range(400)] + [r[1] or "" for r in ODD]
-    cache = bpe.PieceCache(bpe.codec(path).encode_tokens, public_tokenizers.PATTERN, size=50)
-    for a in range(0, len(texts), 20):  # the small cache is emptied many times
-        for t, ids in zip(texts[a : a + 20], cache.ids_of(texts[a : a + 20]), strict=True):
-            assert np.frombuffer(ids, "<u4").tolist() == own.encode_ordinary(t)
-            assert bpe.codec(path).decode(ids) == t.encode()
+    small = bpe.table_of(path, public_tokenizers.PATTERN)
+    small.bits, small.room = 5, 150  # the table is overwritten and emptied many times
+    small._clear()
+    for _ in range(2):
+        for a in range(0, len(texts), 20):
+            some = texts[a : a + 20]
+            data, offsets = flat([t.encode() for t in some])
+            ids, at = small.ids_of(data, offsets)
+            for k, t in enumerate(some):
+                assert ids[at[k] : at[k + 1]].tolist() == own.encode_ordinary(t)
+                assert bpe.codec(path).decode(ids[at[k] : at[k + 1]].astype("<u4").tobytes()) == t.encode()
+    bpe.table_of.cache_clear()
     assert bpe.encode_documents(odd, path, public_tokenizers.PATTERN).count() == len(ODD)
     assert bpe.digest_round_trip(none, path, public_tokenizers.PATTERN).count() == 0
 
@@ -385,8 +392,9 @@ def test_packing_is_a_round_trip(spark, odd, none):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    args = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
-    rows = odd.where("doc_id <> 6")
+    args = (public_tokenizers.path("byte_bpe_50k.json"),)
+    more = spark.createDataFrame([(20, "a <|endoftext|> b<|endoftext|>"), (21, "<|endoftext|>"), (22, " ' '' 's  x\u00a0 y \u3000z \x1f ")], "doc_id long, text string")
+    rows = odd.where("doc_id <> 6").select("doc_id", "text").unionByName(more)
     got = packing.pack(rows, *args).toPandas()
     for r in rows.collect():
         ids = np.array([*tokenizer.encode(r.text or "", add_special_tokens=False).ids, packing.END_ID], "<u4")
@@ -398,6 +406,8 @@ def test_packing_is_a_round_trip(spark, odd, none):
         assert s.offset.tolist() == [0, *np.cumsum(s.length)[:-1]] and s.length.sum() <= 1024
     assert packing.pack(none, *args).count() == 0
     assert packing.pack(odd, *args).where("doc_id = 6").count() == 2
+    named = packing.pack(spark.createDataFrame([("a", "x"), (None, "y")], "doc_id string, text string"), *args).toPandas()
+    assert sorted(named.doc_id, key=str) == [None, "a"] or set(named.doc_id.dropna()) == {"a"}
 
 
 def test_best_two_fit_uses_all_and_packs_tightly():
