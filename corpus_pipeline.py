@@ -11,7 +11,7 @@ from corpuspark.llm.common import IdFilter, in_fold, stored, table
 
 #: SQL can't express a trained classifier or a tokenizer; tests compare the stages with brute force.
 ORACLE_SQL = None
-CACHED_PIECES = 60_000  # workers also hold what the stages before left
+CACHED_PIECES = 1 << 20  # workers also hold what the stages before left
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 1024 tokens; see the packing operator for the columns."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, cached=CACHED_PIECES)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), cached=CACHED_PIECES)
 
 
 STAGES = [
