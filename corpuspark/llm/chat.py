@@ -14,18 +14,18 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpuspark.llm.common import table, text_or_empty
+from corpuspark.llm.common import kind_of, table, text_or_empty
 
 START, END = "<|im_start|>", "<|im_end|>"
 RESETS = ("message", "edit", "regenerate")
 DELTA_CHARS = 256
-DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+DIGESTS = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
 def escape(text: Column) -> Column:
@@ -90,18 +90,24 @@ def render(messages: DataFrame) -> DataFrame:
     )
 
 
-def _digest_stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _digest_stream(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come by conversation and order; only running digests are held."""
-    key, state = None, None
+    key, state, out = None, None, []
+
+    def flushed(kind: pa.DataType) -> pa.RecordBatch:
+        columns = zip(*out, strict=True) if out else [[]] * 6
+        kinds = (kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+        names = ["conv_id", *(c.split()[0] for c in DIGESTS.split(", "))]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
     def row():
         n, turns, chars, loss, total = state
         return (key, n, turns.hexdigest(), chars, loss.hexdigest(), total)
 
+    kind = pa.null()
     for batch in batches:
-        out = []
-        for conv, rendered, a, b in zip(batch.conv_id, batch.rendered, batch.loss_start, batch.loss_end, strict=True):
-            conv = None if pd.isna(conv) else int(conv)
+        kind = batch.column(0).type
+        for conv, rendered, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if state is None or conv != key:
                 if state is not None:
                     out.append(row())
@@ -109,25 +115,28 @@ def _digest_stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             role, _, body = rendered[len(START) : -len(END) - 1].partition("\n")
             state[0] += 1
             state[1].update(f"{unescape_role(role)}\n{unescape(body)}\n".encode())
-            if not pd.isna(a):
-                learnt = unescape(rendered[int(a) : int(b)])
+            if a is not None:
+                learnt = unescape(rendered[a:b])
                 state[2] += len(learnt)
                 state[3].update(learnt.encode())
             state[4] += len(rendered)
         if out:
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in DIGESTS.split(", ")]).astype({"conv_id": "Int64"})
+            yield flushed(kind)
+            out.clear()
     if state is not None:
-        yield pd.DataFrame([row()], columns=[c.split()[0] for c in DIGESTS.split(", ")]).astype({"conv_id": "Int64"})
+        out.append(row())
+        yield flushed(kind)
 
 
 def read_back(rendered: DataFrame) -> DataFrame:
-    """Digest rendered turns by conversation. A digest is sequential, so a conversation is one stream, never held whole."""
+    """Digest rendered turns by conversation. A digest is sequential, so a conversation is one stream, in order and never held whole:
+    that is inherent in a SHA-256 of all its turns."""
     return (
         rendered.select("conv_id", "seq", "msg_id", "rendered", "loss_start", "loss_end")
         .repartition("conv_id")
         .sortWithinPartitions("conv_id", "seq", "msg_id")
         .select("conv_id", "rendered", "loss_start", "loss_end")
-        .mapInPandas(_digest_stream, DIGESTS)
+        .mapInArrow(_digest_stream, f"conv_id {kind_of(rendered, 'conv_id')}, {DIGESTS}")
     )
 
 

@@ -3,7 +3,9 @@
 Arrivals are appended as small immutable Parquet shards. Shards of similar size (the same power of ``FAN_IN``) that have become
 ``FAN_IN`` or more are merged, whole files at a time and without a shuffle, into files of about the target size. Every change is one
 versioned manifest - the list of live shards - committed by an atomic rename that fails if the version exists; readers see a
-version's shards and nothing else, so files of failed or repeated tasks are never visible.
+version's shards and nothing else, so files of failed or repeated tasks are never visible. The rename must be atomic, as on HDFS and
+local disks; on an object store without it, give the folder a committer or file system that has it. A manifest lists one line for each
+file of about the target size, so ``TARGET_BYTES`` is to grow with the corpus (at 1 GB a file, 100,000 lines for 100 TB).
 
 Defined results: all columns and all rows, nulls and repeated ones included, come back as they were; a row longer than the target is
 in a file of its own size; an empty arrival adds no shard; reading a store without shards gives no rows; a lost race for a version
@@ -20,7 +22,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuspark.llm.common import scratch_path, table
+from corpuspark.llm.common import scratch_path, table, unused
 
 FAN_IN = 4
 TARGET_BYTES = 64 << 20
@@ -84,7 +86,8 @@ class ShardStore:
         if not by:
             return [self._written(folder)]
         parts = [s.getPath() for s in self._fs.listStatus(self._path(folder)) if s.isDirectory()]
-        return [self._written(p.toString()) for p in sorted(parts, key=lambda p: int(p.getName().split("=")[1]))]
+        number = lambda p: int(p.getName().split("=")[1])
+        return [self._written(p.toString()) for p in sorted(parts, key=number)]
 
     def tier(self, size: int) -> int:
         return max(0, math.floor(math.log(max(size, 1) / LEAST_BYTES, self.fan_in)) + 1) if size >= LEAST_BYTES else 0
@@ -122,10 +125,10 @@ class ShardStore:
                 fresh += self.write(reduce(DataFrame.unionAll, parts))[0]
             merged = {s["path"] for r in runs for s in r}
             self.commit([s for s in shards if s["path"] not in merged] + fresh, base)
-            self.vacuum([s["path"] for s in fresh])
+            self.vacuum()
         raise RuntimeError("compaction did not settle")
 
-    def vacuum(self, _keep: list[str]) -> None:
+    def vacuum(self) -> None:
         """Delete shards that only versions before the latest two list."""
         version = self.version()
         live = {s["path"] for v in range(max(1, version - 1), version + 1) for s in self.shards(v)}
@@ -136,9 +139,11 @@ class ShardStore:
 
 
 def ingest(docs: DataFrame, store: ShardStore, arrival, arrivals: int) -> None:
-    """Write docs once, as ``arrivals`` arrivals (0-based numbers of the column ``arrival``); append and compact after each."""
-    batches = store.write(docs.withColumn("_arrival", arrival), "_arrival")
-    for shards in batches[:arrivals]:
+    """Write docs once, as ``arrivals`` arrivals by the column ``arrival`` (numbers from 0; rows without one come first); append and
+    compact after each."""
+    by = unused("_arrival", docs.columns)
+    batches = store.write(docs.withColumn(by, F.coalesce(F.greatest(F.lit(0), F.least(arrival.cast("int"), F.lit(arrivals - 1))), F.lit(0))), by)
+    for shards in batches:
         base = store.version()
         store.commit(store.shards(base) + [s for s in shards if s["bytes"]], base)
         store.compact(docs.schema)

@@ -77,9 +77,21 @@ def test_chat_folds_events(spark):
     assert back[1].loss_chars == 8 and back[1].loss_sha256 == hashlib.sha256(b"new text").hexdigest()
     assert back[2].turns_sha256 == hashlib.sha256(f"us\ner\\n\n<\\|{chat.START}\n".encode()).hexdigest()
     assert back[None].n_turns == 1
+    wide = spark.createDataFrame([(2**53 + 1, "a", 1, "message", "user", "x"), (None, "a", 1, "message", "user", "y")], log.schema)
+    assert {r.conv_id for r in chat.read_back(chat.render(chat.reconstruct(wide))).collect()} == {2**53 + 1, None}
     assert chat.read_back(chat.render(chat.reconstruct(log.where("false")))).count() == 0
 
 
+def test_turns_become_events_and_come_back(spark):
+    rows = [(1, 0, "user", None), (1, 1, "assistant", "a" * 700), (1, 1, "assistant", "a" * 700), (1, 1, None, ""), (None, None, "user", "z"), (2, 5, "user", "")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").selectExpr("*", "'mine' AS seq", "1 AS msg_id", "'e' AS event")
+    got = {r.conv_id: r for r in chat.read_back(chat.render(chat.reconstruct(chat.as_events(turns)))).collect()}
+    assert {k: (r.n_turns, r.loss_chars) for k, r in got.items()} == {1: (4, 1400), None: (1, 0), 2: (1, 0)}
+    told = "user\n\n" + "\n\n" + 2 * f"assistant\n{'a' * 700}\n"
+    assert got[1].turns_sha256 == hashlib.sha256(told.encode()).hexdigest()
+    assert chat.as_events(turns.where("false")).count() == 0
+
+
 def links_by_force(vectors, labels, threshold):
     n = len(vectors)
     ok = [v is not None and len(v) > 0 and np.isfinite(np.array(v, float)).all() and np.any(v) and lab is not None for v, lab in zip(vectors, labels, strict=True)]
@@ -441,6 +453,10 @@ def test_compaction_keeps_all_rows_and_versions(spark, odd, none, tmp_path):
     with pytest.raises(Exception, match="(?i)exist"):
         store.commit([], store.version() - 1)  # a writer that lost the race
     assert store.shards() == before
+    own = spark.createDataFrame([(1, 7, None), (2, 8, 1), (3, 9, 0)], "doc_id long, _arrival int, at int")
+    clash = compaction.ShardStore(spark, f"file://{tmp_path}/clash")
+    compaction.ingest(own, clash, F.col("at"), 2)
+    assert sorted(clash.read(own.schema).collect()) == sorted(own.collect())
     empty = compaction.ShardStore(spark, f"file://{tmp_path}/none")
     compaction.ingest(none, empty, F.lit(0), 2)
     assert empty.read(none.schema).count() == 0
