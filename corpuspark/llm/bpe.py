@@ -24,12 +24,11 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuspark.llm.common import kind_of, table
+from corpuspark.llm.common import kind_of, map_texts, table
 from corpuspark.llm.textscan import row_slices, span_hashes
 
 CACHED_PIECES = 1 << 21
 LONGEST_CACHED = 48
-SLICE_BYTES = 600_000
 M64 = (1 << 64) - 1
 # Odd 64-bit multipliers that mix a displacement into a hash.
 MIX_D, MIX_H = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -291,12 +290,12 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_column: str =
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = table_of(path, pattern)
         for batch in batches:
-            for part, data, offsets in row_slices(batch, size=SLICE_BYTES):
+            for part, data, offsets in row_slices(batch):
                 ids, at = pieces.ids_of(data, offsets)
                 raw, at = ids.astype("<u4").tobytes(), (4 * at).tolist()
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([raw[a:b] for a, b in zip(at, at[1:], strict=False)], pa.binary())], ["id", "ids"])
 
-    return docs.select(id_column, "text").mapInArrow(run, f"id {kind_of(docs, id_column)}, ids binary").withColumnRenamed("id", id_column)
+    return map_texts(docs.select(id_column, "text"), run, f"id {kind_of(docs, id_column)}, ids binary").withColumnRenamed("id", id_column)
 
 
 def digest_round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -308,7 +307,7 @@ def digest_round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, pieces = codec(path), table_of(path, pattern)
         for batch in batches:
-            for part, data, offsets in row_slices(batch, size=SLICE_BYTES):
+            for part, data, offsets in row_slices(batch):
                 ids, at = pieces.ids_of(data, offsets)
                 back, ends = bpe.decoded(ids)
                 of_text = np.concatenate([[0], ends])[at]
@@ -317,7 +316,7 @@ def digest_round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind_of(docs, 'doc_id')}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_texts(docs.select("doc_id", "text"), run, f"doc_id {kind_of(docs, 'doc_id')}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from corpuspark.sources.staging import fresh_path
 
 
+BATCH_BYTES = 4 << 20
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder name in the shared folder, removed when the driver's JVM ends."""
     return fresh_path(spark, name)
@@ -37,6 +40,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def map_texts(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow`` for rows with long texts: from here on the session's Arrow batches are bounded by bytes as well as by rows, so that
+    neither an executor nor its Python workers hold thousands of long texts at once."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInArrow(run, schema)
+
+
 def kind_of(df: DataFrame, column: str) -> str:
     """A column's type as schema strings name it."""
     return df.schema[column].dataType.simpleString()

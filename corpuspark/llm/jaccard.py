@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuspark.llm.common import IdFilter, kind_of, stored, table
+from corpuspark.llm.common import IdFilter, kind_of, map_texts, stored, table
 from corpuspark.llm.components import cells, components, links_of_cell
 from corpuspark.llm.textscan import mix, row_slices, shingles, words
 
@@ -88,7 +88,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 )
 
     texts = docs.select("doc_id", F.lower("text").alias("text")).where(F.col("text").isNotNull())
-    return texts.mapInArrow(run, f"doc_id {kind_of(docs, 'doc_id')}, grams long, digest binary, bands array<long>")
+    return map_texts(texts, run, f"doc_id {kind_of(docs, 'doc_id')}, grams long, digest binary, bands array<long>")
 
 
 def set_digest(grams: np.ndarray) -> bytes:
@@ -163,7 +163,7 @@ def verified_links(docs: DataFrame, candidates: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["rep", "least", "links"])
 
     texts = wanted.maybe(docs.select("doc_id", "text")).select(F.lower("text").alias("text"))
-    sets = texts.mapInArrow(with_sets, "digest binary, grams binary").join(todo.drop("doc_id"), "digest")
+    sets = map_texts(texts, with_sets, "digest binary, grams binary").join(todo.drop("doc_id"), "digest")
     return cells(sets, F.col("rep"), "rep", "n", "grams").mapInArrow(link, "rep long, least long, links long")
 
 

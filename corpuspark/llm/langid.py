@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuspark.llm.common import in_fold, table, unused
+from corpuspark.llm.common import in_fold, map_texts, table, unused
 from corpuspark.llm.textscan import row_slices
 
 ORDER = 3
@@ -34,7 +34,7 @@ TRAIN_BYTES = 16_000_000
 UNKNOWN = "und"
 #: What precedes every text.
 BEFORE = 10
-CACHED_BYTES = 32_000_000
+CACHED_BYTES = 16_000_000
 
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -69,7 +69,7 @@ def count_grams(train: DataFrame, langs: list[str]) -> DataFrame:
             columns = [pa.array(np.full(len(found), lang, np.int32)), pa.array(found.astype(np.int64)), pa.array(n.astype(np.int64))]
             yield pa.RecordBatch.from_arrays(columns, ["lang", "gram", "n"])
 
-    return train.select("lang", "text").mapInArrow(run, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return map_texts(train.select("lang", "text"), run, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -250,7 +250,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
     rows = docs.select(*keep, *([] if "text" in keep else ["text"]))
     kinds = (T.StringType(), T.DoubleType(), T.DoubleType())
     schema = T.StructType([*rows.schema.fields[: len(keep)], *(T.StructField(n, t) for n, t in zip(names[-3:], kinds, strict=True))])
-    return rows.mapInArrow(run, schema)
+    return map_texts(rows, run, schema)
 
 
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

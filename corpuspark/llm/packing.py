@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpuspark.llm.bpe import CACHED_PIECES, SAFE, SLICE_BYTES, PieceTable
-from corpuspark.llm.common import kind_of, stored, table
+from corpuspark.llm.bpe import CACHED_PIECES, SAFE, PieceTable
+from corpuspark.llm.common import kind_of, map_texts, stored, table
 from corpuspark.llm.textscan import row_slices
 
 CAPACITY = 1024
@@ -109,7 +109,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _tokens(path, cached)
         for batch in batches:
-            for part, data, offsets in row_slices(batch, size=SLICE_BYTES):
+            for part, data, offsets in row_slices(batch):
                 rows = []
                 for row, ids in enumerate(tokens.ids_of(data, offsets)):
                     whole = np.append(ids, np.uint32(end_id)).astype("<u4").tobytes()
@@ -119,7 +119,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
                 columns = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), *columns], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind_of(docs, 'doc_id')}, {PIECES}")
+    return map_texts(docs.select("doc_id", "text"), run, f"doc_id {kind_of(docs, 'doc_id')}, {PIECES}")
 
 
 def best_two_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:

@@ -9,7 +9,7 @@ import pyarrow as pa
 
 #: Symbols of ``letters``: 0 a run of anything that is no letter, 1-26 a-z, then the bytes 0x80-0xFF.
 SYMBOLS = 27 + 128
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 400_000
 #: Fixed value: an odd multiplier, the base of the rolling hashes.
 BASE = 0x9E3779B97F4A7C15
 

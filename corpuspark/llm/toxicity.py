@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuspark.llm.common import IdFilter, discard, in_fold, stored, table, unused
+from corpuspark.llm.common import IdFilter, discard, in_fold, map_texts, stored, table, unused
 from corpuspark.llm.textscan import letters, mix, row_slices, span_hashes, spans
 
 STEM_BYTES = (4, 5, 6, 7, 8)
@@ -169,7 +169,7 @@ def _document_frequencies(texts: DataFrame, only: np.ndarray | None = None) -> D
                         [pa.array(features.view(np.int64)), pa.array(np.full(len(features), kind, np.int32)), pa.array(n.astype(np.int64))], ["feature", "kind", "n"]
                     )
 
-    return texts.select("text").mapInArrow(run, "feature long, kind int, n long").groupBy("feature", "kind").agg(F.sum("n").alias("n"))
+    return map_texts(texts.select("text"), run, "feature long, kind int, n long").groupBy("feature", "kind").agg(F.sum("n").alias("n"))
 
 
 def mine(labelled: DataFrame, n_toxic: int, n_clean: int) -> Lexicon:
@@ -333,7 +333,7 @@ def _hits(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
                 )
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, votes binary, words long, columns array<int>, counts array<int>")
+    return map_texts(texts.select("doc_id", "text"), run, f"doc_id {kind}, votes binary, words long, columns array<int>, counts array<int>")
 
 
 def _fit_rows(hits: DataFrame, toxic: int, n: int) -> tuple:
@@ -396,7 +396,7 @@ def score(docs: DataFrame, model: Classifier, keep: list[str] | None = None) ->
 
     rows = docs.select(*keep, *([] if "text" in keep else ["text"]))
     schema = T.StructType([*rows.schema.fields[: len(keep)], T.StructField(names[-2], T.DoubleType()), T.StructField(names[-1], T.IntegerType())])
-    return rows.mapInArrow(run, schema)
+    return map_texts(rows, run, schema)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
