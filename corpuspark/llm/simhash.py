@@ -4,26 +4,33 @@ Terms are pairs of adjacent lower-cased words; a term weighs 1 to 4 by its lengt
 term's 128 hash bits vote with its weight; a fingerprint bit is set if the votes for it exceed half of all weight. Votes
 are summed two to a long (32 bits each), so a fingerprint is 64 sums of one hash aggregate that needs no shuffle of words.
 
-``near_counts`` finds all fingerprints within a Hamming radius r by r + 1 permuted block tables: two such fingerprints agree
-on a whole block of 128 / (r + 1) bits. Large buckets are compared in pairs of blocks of bounded size, without emitting pairs.
+``near_counts`` finds all fingerprints within the Hamming radius by permuted block tables: of eight blocks of 16 bits, two
+fingerprints that differ in at most six bits agree on two whole blocks, so a table for each pair of blocks (28 tables, keys of 32
+bits) misses none. Large buckets are compared in pairs of parts of bounded size, without emitting pairs. A radius of six is what
+one changed word in about two hundred makes on average; an edit of one word in a hundred differs by about nine bits.
 
 Defined results: null text counts as empty; a text without words has the zero fingerprint; a single word is its own term;
 equal texts have equal fingerprints; repeated rows of an id follow each other in the order of their text; the document after the
-last is the first; a single document is its own next one; an empty table gives no rows; columns other than the named ones are ignored.
+last is the first; a single document is its own next one; rows without an id stand outside the order and are followed by the
+first document (by an empty text if no row has an id); an empty table gives no rows; columns other than the named ones are ignored.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuspark.llm.common import stored, table, text_or_empty
 
 BITS = 128
-RADIUS = 3
-MAX_RANGES = 2_000
-ROWS_PER_RANGE = 4_000
-BUCKET_BLOCK = 128
+RADIUS = 6
+BLOCKS = 8
+ROWS_PER_RANGE = 500
+MOST_RANGES = 1_000_000
+BUCKET_PART = 128
 LANES = "4294967297L"  # the lowest bit of each half of a long
 
 
@@ -73,35 +80,42 @@ def likeness(a: str, b: str) -> Column:
     return F.expr(f"1 - (bit_count({a}0 ^ {b}0) + bit_count({a}1 ^ {b}1)) / {BITS}.0D")
 
 
-def with_next(docs: DataFrame) -> DataFrame:
+def ranges(docs: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> Bucketizer | None:
+    """A cut of the ids into ranges of about equal numbers of documents, however the ids lie: bounds are the ids that a hash picks, at
+    most about ``MOST_RANGES`` longs. None where there are no ids."""
+    n = docs.where("doc_id IS NOT NULL").count()
+    every = max(rows_per_range, n // MOST_RANGES)
+    picked = docs.where("doc_id IS NOT NULL").where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
+    bounds = sorted({float(r.doc_id) for r in picked.select("doc_id").distinct().collect()})  # ids that are equal as doubles share a range
+    return Bucketizer(splits=[-float("inf"), *bounds, *([float("inf")] if bounds else [0.0, float("inf")])], inputCol="place", outputCol="range") if n else None
+
+
+def with_next(docs: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """(range, nth, doc_id, text, next_id, next_text): every document beside the following one.
 
-    Ids are cut into at most ``MAX_RANGES`` equal ranges, each ordered for itself; the first document of a range also closes the
-    range before it. Only the ranges' first ids, at most ``MAX_RANGES`` rows, are ordered together.
+    Each range of ids is ordered for itself; the first document of a range also closes the range before it. Only the ranges' first ids
+    are ordered together. Rows without an id get range -1 and their own order only to be told apart.
     """
     rows = docs.select("doc_id", text_or_empty().alias("text"))
-    least, most, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    least, most = least or 0, most or 0
-    width = max(1, -(-(most - least + 1) // min(MAX_RANGES, n // ROWS_PER_RANGE + 1)))
-    ranged = rows.withColumn("range", F.coalesce(F.floor((F.col("doc_id") - least) / width), F.lit(-1)))
-    in_order = Window.orderBy("range")
-    firsts = docs.select("doc_id").withColumn("range", F.coalesce(F.floor((F.col("doc_id") - least) / width), F.lit(-1)))
-    firsts = firsts.groupBy("range").agg(F.min("doc_id").alias("first_id"))  # at most MAX_RANGES + 1 rows
-    closes = firsts.select("first_id", F.lag("range").over(in_order).alias("before"), F.max("range").over(Window.partitionBy(F.lit(1))).alias("last"))
-    closes = closes.select(F.col("first_id"), F.coalesce("before", "last").alias("range"))
-    ghosts = (
-        rows.join(F.broadcast(closes), F.col("doc_id").eqNullSafe(F.col("first_id")))
-        .groupBy("range", "doc_id")
-        .agg(F.min("text").alias("text"))
-        .select("doc_id", "text", "range", F.lit(1).alias("ghost"))
+    named, nameless = rows.where("doc_id IS NOT NULL"), rows.where("doc_id IS NULL")
+    cut = ranges(docs, rows_per_range)
+    if cut is None:
+        lone = nameless.select(F.lit(-1.0).alias("range"), F.monotonically_increasing_id().alias("nth"), "doc_id", "text")
+        return lone.select("*", F.col("doc_id").alias("next_id"), F.lit("").alias("next_text"))
+    ranged = cut.transform(named.withColumn("place", F.col("doc_id").cast("double"))).drop("place")
+    firsts = cut.transform(docs.where("doc_id IS NOT NULL").select("doc_id", F.col("doc_id").cast("double").alias("place"))).groupBy("range").agg(F.min("doc_id").alias("first_id"))
+    closes = firsts.select("first_id", F.lag("range").over(Window.orderBy("range")).alias("before"), F.max("range").over(Window.partitionBy(F.lit(1))).alias("last"))
+    closes = closes.select("first_id", F.coalesce("before", "last").alias("range"), F.col("before").isNull().alias("is_first"))  # one row a range
+    ghosts = stored(
+        named.join(F.broadcast(closes), F.col("doc_id") == F.col("first_id")).groupBy("range", "doc_id", "is_first").agg(F.min("text").alias("text")), "firsts"
     )
     order = Window.partitionBy("range").orderBy("ghost", "doc_id", "text")
-    return (
+    ordered = (
         ranged.withColumn("ghost", F.lit(0))
-        .unionByName(ghosts)
+        .unionByName(ghosts.select("doc_id", "text", "range", F.lit(1).alias("ghost")))
         .select(
             "range",
-            F.row_number().over(order).alias("nth"),
+            F.row_number().over(order).cast("long").alias("nth"),
             "doc_id",
             "text",
             "ghost",
@@ -111,35 +125,52 @@ def with_next(docs: DataFrame) -> DataFrame:
         .where("ghost = 0")
         .drop("ghost")
     )
+    first = ghosts.where("is_first").select(F.col("doc_id").alias("next_id"), F.col("text").alias("next_text"))  # one row
+    outside = nameless.select(F.lit(-1.0).alias("range"), F.monotonically_increasing_id().alias("nth"), "doc_id", "text").crossJoin(F.broadcast(first))
+    return ordered.unionByName(outside)
 
 
-def near_counts(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+def near_counts(prints: DataFrame, radius: int = RADIUS, part_size: int = BUCKET_PART) -> DataFrame:
     """(f0, f1, n_near) of distinct fingerprints (f0, f1, n): documents of other fingerprints within ``radius``, if any."""
-    size = BITS // (radius + 1)
-    if 64 % size:
-        raise ValueError("blocks must not cross the halves of a fingerprint")
+    agree = BLOCKS - radius  # so many whole blocks at least
+    if agree < 1:
+        raise ValueError(f"{BLOCKS} blocks find radii below {BLOCKS}")
+    size = BITS // BLOCKS
     per_half = 64 // size
     block = lambda p, k: f"(shiftrightunsigned({p}f{k // per_half}, {k % per_half * size}) & {(1 << size) - 1}L)"
-    tables = ", ".join(f"struct({k} AS t, {block('', k)} AS block)" for k in range(radius + 1))
+    choices = list(combinations(range(BLOCKS), agree))
+    key = lambda ks: " | ".join(f"shiftleft({block('', k)}, {i * size})" for i, k in enumerate(ks))
+    if agree * size > 63:
+        key = lambda ks: f"xxhash64({', '.join(block('', k) for k in ks)})"
+    tables = ", ".join(f"struct({t} AS t, {key(ks)} AS block)" for t, ks in enumerate(choices))
     keyed = prints.withColumn("b", F.explode(F.expr(f"array({tables})"))).select("b.t", "b.block", "f0", "f1", "n")
     crowded = keyed.groupBy("t", "block").agg(F.count("*").alias("size")).where("size > 1")
-    parts = F.ceil(F.col("size") / BUCKET_BLOCK).cast("int")
-    placed = keyed.join(crowded, ["t", "block"]).withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("f0", "f1"), "parts").cast("int"))
+    crowded = crowded.select(F.expr("t + 0").alias("of_t"), F.expr("block + 0").alias("of_block"), "size")  # names of its own: a large bucket can be split
+    parts = F.ceil(F.col("size") / part_size).cast("int")
+    placed = keyed.join(crowded, (F.col("t") == F.col("of_t")) & (F.col("block") == F.col("of_block")))
+    placed = placed.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("f0", "f1"), "parts").cast("int"))
     cells = (
         placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .groupBy("t", "block", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
         .agg(F.collect_list(F.struct("f0", "f1", "n", "part")).alias("members"))
     )
-    earlier = " OR ".join(f"(t > {k} AND {block('x.', k)} = {block('y.', k)})" for k in range(radius))  # such pairs were met in an earlier table
+    # A pair is counted in the table of its first agreeing blocks alone.
+    same = lambda k: f"({block('x.', k)} = {block('y.', k)})"
+    whole = " + ".join(f"if({same(k)}, {1 << k}, 0)" for k in range(BLOCKS))
+    first = {}
+    for mask in range(1 << BLOCKS):
+        ks = tuple(k for k in range(BLOCKS) if mask >> k & 1)[:agree]
+        first[mask] = choices.index(ks) if len(ks) == agree else -1
+    table_of = f"element_at(array({', '.join(str(first[m]) for m in range(1 << BLOCKS))}), 1 + {whole})"
     apart = f"bit_count(x.f0 ^ y.f0) + bit_count(x.f1 ^ y.f1) BETWEEN 1 AND {radius}"
-    near = f"aggregate(members, 0L, (s, y) -> s + if({apart} AND (i = j OR x.part <> y.part) AND NOT ({earlier}), y.n, 0L))"
+    near = f"aggregate(members, 0L, (s, y) -> s + if({apart} AND (i = j OR x.part <> y.part) AND t = {table_of}, y.n, 0L))"
     found = cells.select(F.explode(F.expr(f"transform(members, x -> struct(x.f0 AS f0, x.f1 AS f1, {near} AS n_near))")).alias("x"))
     return found.where("x.n_near > 0").groupBy("x.f0", "x.f1").agg(F.sum("x.n_near").alias("n_near"))
 
 
-def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    sides = with_next(docs).withColumn("n_chars", F.length("text").cast("long")).withColumn("half", F.expr("int(n_chars div 2)"))
+def fingerprint_documents(docs: DataFrame) -> DataFrame:
+    """Fingerprints of each document and of its edited text, their likeness and that to the next document, and how many others are near."""
+    sides = with_next(docs.select("doc_id", "text"), ROWS_PER_RANGE).withColumn("n_chars", F.length("text").cast("long")).withColumn("half", F.expr("int(n_chars div 2)"))
     edited = F.expr("concat(left(text, int(n_chars) - half), left(next_text, half))")
     both = (
         sides.withColumn("edited", edited)
@@ -155,12 +186,17 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "fingerprints",
     )
     following = rows.select(F.col("doc_id").alias("next_id"), "nth", F.col("f0").alias("n0"), F.col("f1").alias("n1"))
-    following = following.groupBy("next_id").agg(F.min_by(F.struct("n0", "n1"), "nth").alias("next")).select("next_id", "next.n0", "next.n1")
-    prints = rows.groupBy("f0", "f1").agg(F.count("*").alias("n"))
-    near = prints.join(near_counts(prints), ["f0", "f1"], "left").select("f0", "f1", (F.col("n") - 1 + F.coalesce("n_near", F.lit(0))).alias("n_near"))
+    following = following.where("next_id IS NOT NULL").groupBy("next_id").agg(F.min_by(F.struct("n0", "n1"), "nth").alias("next"))
+    following = following.select(F.expr("next_id + 0").alias("following_id"), "next.n0", "next.n1")
+    prints = stored(rows.groupBy("f0", "f1").agg(F.count("*").alias("n")), "prints")
+    near = prints.join(near_counts(prints, RADIUS, BUCKET_PART), ["f0", "f1"], "left")
+    # Names of their own: the many documents of one fingerprint, or before one document, can be split.
+    near = near.select(F.expr("f0 + 0").alias("p0"), F.expr("f1 + 0").alias("p1"), (F.col("n") - 1 + F.coalesce("n_near", F.lit(0))).alias("n_near"))
+    none = F.lit(0).cast("long")  # the fingerprint of an empty text
     return (
-        rows.join(following.withColumnRenamed("next_id", "following_id"), F.col("next_id").eqNullSafe(F.col("following_id")))
-        .join(near, ["f0", "f1"])
+        rows.join(following, F.col("next_id") == F.col("following_id"), "left")
+        .withColumns({"n0": F.coalesce("n0", none), "n1": F.coalesce("n1", none)})
+        .join(near, (F.col("f0") == F.col("p0")) & (F.col("f1") == F.col("p1")))
         .select(
             "doc_id",
             "n_chars",
@@ -174,5 +210,9 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {"op9_simhash": op9_simhash}
 ORACLE_SQL: dict = {}

@@ -376,12 +376,32 @@ def test_perfect_hash_is_minimal():
     assert sorted(table.keys) == sorted(keys)
 
 
+def by_definition(spark, texts):
+    """SimHash of each text, counted bit by bit from the hashes of its word pairs."""
+    pairs = []
+    for i, t in enumerate(texts):
+        w = re.split(r"\s+", t.lower(), flags=re.ASCII)
+        while w and w[-1] == "" and len(w) > 1:  # as Java's split
+            w.pop()
+        pairs += [(i, a, b) for a, b in zip(w, w[1:], strict=False)] if len(w) > 1 else [(i, w[0], None)] * (w[0] != "")
+    hashed = spark.createDataFrame(pairs, "i int, a string, b string").selectExpr("i", "a", "b", "xxhash64(a, b) AS h", "xxhash64(a) AS one")
+    ballots = defaultdict(lambda: np.zeros(128))
+    weights = defaultdict(int)
+    for r in hashed.selectExpr("*", "xxhash64(if(b IS NULL, one, h)) AS more").collect():
+        low, w = (r.one, 1) if r.b is None else (r.h, min(4, 1 + (len(r.a) + len(r.b)) // 6))
+        bits = [(x & (1 << 64) - 1) >> k & 1 for x in (low, r.more) for k in range(64)]
+        ballots[r.i] += w * np.array(bits)
+        weights[r.i] += w
+    return [sum(1 << k for k in range(128) if 2 * ballots[i][k] > weights[i]) for i in range(len(texts))]
+
+
 def test_fingerprints_and_neighbours(spark, docs, monkeypatch):
     monkeypatch.setattr(simhash, "ROWS_PER_RANGE", 20)
-    monkeypatch.setattr(simhash, "BUCKET_BLOCK", 3)
+    monkeypatch.setattr(simhash, "BUCKET_PART", 3)
     got = simhash.op9_simhash(spark, SMALL).toPandas().sort_values("doc_id").reset_index(drop=True)
     texts = [t or "" for t in docs.orderBy("doc_id").toPandas().text]
     prints = [int(x, 16) for x in got.fingerprint]
+    assert prints[:60] == by_definition(spark, texts[:60])
     for i, t in enumerate(texts):
         half, nxt = len(t) // 2, texts[(i + 1) % len(texts)]
         edited = t[: len(t) - half] + nxt[:half]
@@ -391,13 +411,41 @@ def test_fingerprints_and_neighbours(spark, docs, monkeypatch):
     assert got.near_edited.mean() > got.near_next.mean() + 0.1
 
 
+def test_block_tables_find_the_whole_radius(spark):
+    rng = np.random.default_rng(8)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    base = [int.from_bytes(rng.bytes(16), "big") for _ in range(12)]
+    prints = sorted({b ^ sum(1 << int(k) for k in rng.choice(128, n, replace=False)) for b in base for n in range(10) for _ in range(4)})
+    rows = [(signed(p & (1 << 64) - 1), signed(p >> 64), i % 3 + 1) for i, p in enumerate(prints)]
+    for radius in (3, 6):
+        got = {(r.f0, r.f1): r.n_near for r in simhash.near_counts(spark.createDataFrame(rows, "f0 long, f1 long, n int"), radius, 5).collect()}
+        for p, (f0, f1, _) in zip(prints, rows, strict=True):
+            want = sum(n for q, (_, _, n) in zip(prints, rows, strict=True) if 0 < bin(p ^ q).count("1") <= radius)
+            assert got.get((f0, f1), 0) == want
+
+
 def test_fingerprints_of_odd_rows(spark, odd, none):
     got = simhash.fingerprints(odd.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("t")), ["doc_id", "source"], "t").collect()
     by_id = {r.doc_id: (r.f0, r.f1) for r in got}
     assert by_id[5] == by_id[6] and by_id[1] == by_id[2] == (0, 0) and len(by_id) == 9
-    assert simhash.with_next(none).count() == 0
+    assert simhash.with_next(none).count() == 0 and simhash.fingerprint_documents(none).count() == 0
     one = simhash.with_next(odd.where("doc_id = 5")).first()
     assert one.next_id == 5
+    wide = spark.createDataFrame([(-(2**63), "a"), (2**63 - 1, "b"), (0, "c"), (1, "d"), (None, "e"), (None, "e")], "doc_id long, text string")
+    follows = {(r.doc_id, r.next_id, r.next_text) for r in simhash.with_next(wide, 1).collect()}
+    least, most = -(2**63), 2**63 - 1
+    assert follows == {(least, 0, "c"), (0, 1, "d"), (1, most, "b"), (most, least, "a"), (None, least, "a")}
+    whole = simhash.fingerprint_documents(wide.unionByName(odd.select("doc_id", "text"))).collect()
+    assert len(whole) == 6 + len(ODD) and sum(r.doc_id is None for r in whole) == 2
+    nameless = simhash.fingerprint_documents(wide.where("doc_id IS NULL")).collect()
+    assert [(r.n_near, r.n_chars) for r in nameless] == [(1, 1), (1, 1)]
+
+
+def test_ranges_hold_equal_numbers_however_ids_lie(spark):
+    crowded = spark.range(2000).selectExpr("id AS doc_id").unionByName(spark.range(1).selectExpr("1000000000000000L AS doc_id"))
+    cut = simhash.ranges(crowded, 20)
+    sizes = cut.transform(crowded.withColumn("place", F.col("doc_id").cast("double"))).groupBy("range").count().toPandas()["count"]
+    assert len(sizes) > 50 and sizes.max() < 300
 
 
 def test_packing_is_a_round_trip(spark, odd, none):
