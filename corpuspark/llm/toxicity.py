@@ -29,13 +29,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuspark.llm.common import IdFilter, discard, in_fold, map_texts, stored, table, unused
+from corpuspark.llm.common import IdFilter, discard, in_fold, kind_of, map_texts, stored, table, unused
 from corpuspark.llm.textscan import letters, mix, row_slices, span_hashes, spans
 
 STEM_BYTES = (4, 5, 6, 7, 8)
 MIN_TOXIC = 4
 LEAST_SHARE = 1 / 400  # of the toxic texts must have a term; so there are at most 400 times as many candidates as a text has terms
 MIN_RATIO = 6.0
+LEAST_RATIO = 2.0  # a term with the ratio above has this one, too, unless two fifths of the unlabelled texts are toxic
 LEXICON = 256
 FIT_ROWS = 4_000
 FIT_TASKS = 16
@@ -172,17 +173,46 @@ def _document_frequencies(texts: DataFrame, only: np.ndarray | None = None) -> D
     return map_texts(texts.select("text"), run, "feature long, kind int, n long").groupBy("feature", "kind").agg(F.sum("n").alias("n"))
 
 
-def mine(labelled: DataFrame, n_toxic: int, n_clean: int) -> Lexicon:
-    """The ``LEXICON`` terms with the greatest gain that no named list has: of a least share of all toxic texts, rare in all clean ones."""
+def _clean_frequencies(rows: DataFrame, clean: DataFrame, hashes: np.ndarray) -> np.ndarray:
+    """In how many of the texts labelled clean each term is. Texts stay where they are: only the numbers of the terms they have are joined."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = Lookup(hashes)
+        for batch in batches:
+            for part, data, offsets in row_slices(batch):
+                keys = [np.zeros(0, np.int64)]
+                for doc, h in word_features(data, offsets)[2]:
+                    at, entry = lookup(h)
+                    keys.append(doc[at] * len(hashes) + entry)
+                pairs = np.unique(np.concatenate(keys))
+                ends = np.searchsorted(pairs // len(hashes), np.arange(part.num_rows + 1)).astype(np.int32)
+                found = pa.ListArray.from_arrays(pa.array(ends), pa.array((pairs % len(hashes)).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column(0), found], ["doc_id", "terms"])
+
+    terms = map_texts(rows, run, f"doc_id {kind_of(rows, 'doc_id')}, terms array<int>").where("size(terms) > 0").join(clean, "doc_id")
+    counted = terms.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).toArrow()
+    out = np.zeros(len(hashes))
+    out[counted.column("term").to_numpy()] = counted.column("n").to_numpy()
+    return out
+
+
+def mine(toxic: DataFrame, rows: DataFrame, clean: DataFrame, n_toxic: int, n_clean: int, n_rows: int) -> Lexicon:
+    """The ``LEXICON`` terms with the greatest gain that no named list has: of a least share of all toxic texts, and rare in clean ones. What is
+    not even ``LEAST_RATIO`` times as frequent as in all other rows is left out before."""
     least = max(MIN_TOXIC, int(n_toxic * LEAST_SHARE))
-    toxic = _document_frequencies(labelled.where("toxic = 1")).where(F.col("n") >= least).toArrow()
-    hashes, kinds, n1 = (toxic.column(c).to_numpy() for c in ("feature", "kind", "n"))
-    clean = _document_frequencies(labelled.where("toxic = 0"), hashes.view(np.uint64)).groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
-    n0 = np.zeros(len(hashes))
+    frequent = _document_frequencies(toxic).where(F.col("n") >= least).toArrow()
+    hashes, kinds, n1 = (frequent.column(c).to_numpy() for c in ("feature", "kind", "n"))
+    everywhere = _document_frequencies(rows.select("text"), hashes.view(np.uint64)).toArrow()
+    others = -n1.astype(float)
     order = np.argsort(hashes, kind="stable")
-    n0[order[np.searchsorted(hashes[order], clean.column("feature").to_numpy())]] = clean.column("n").to_numpy()
-    ratio = (n1 + 0.5) / (n_toxic + 1) / ((n0 + 0.5) / (n_clean + 1))
-    gain = np.where((ratio >= MIN_RATIO) & ~np.isin(hashes.view(np.uint64), named_hashes()[0]), n1 * np.log(ratio), 0)
+    others[order[np.searchsorted(hashes[order], everywhere.column("feature").to_numpy())]] += everywhere.column("n").to_numpy()
+    ratio = lambda n0, n: (n1 + 0.5) / (n_toxic + 1) / ((np.maximum(n0, 0) + 0.5) / (n + 1))
+    some = (ratio(others, n_rows - n_toxic) >= LEAST_RATIO) & ~np.isin(hashes.view(np.uint64), named_hashes()[0])
+    hashes, kinds, n1 = hashes[some], kinds[some], n1[some]
+    if not len(hashes):
+        return Lexicon(np.zeros(0, np.uint64), np.zeros(0, np.int32))
+    r = ratio(_clean_frequencies(rows, clean, hashes.view(np.uint64)), n_clean)
+    gain = np.where(r >= MIN_RATIO, n1 * np.log(r), 0)
     best = np.lexsort((hashes, -gain))[: min(LEXICON, int((gain > 0).sum()))]
     return Lexicon(hashes[best].view(np.uint64).copy(), kinds[best].copy())
 
@@ -348,17 +378,17 @@ def fit(docs: DataFrame, labels: DataFrame, usable=None) -> Classifier:
     known = labels.where(usable & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = stored(known, "toxicity-labels")
     rows = docs.where(usable).select("doc_id", "text")
-    labelled = IdFilter(known, "doc_id").maybe(rows).join(known, "doc_id")  # texts without labels stay where they are
-    labelled = stored(labelled.select("toxic", "text"), "toxicity-labelled")
-    n_of = {r.toxic: r.n for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    n_of = {r.toxic: r.n for r in rows.select("doc_id").join(known, "doc_id", "left").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = n_of.get(1, 0), n_of.get(0, 0)
     if not n_toxic or not n_clean:
         share = n_toxic / max(1, n_toxic + n_clean)
         bias = np.log(share / (1 - share)) if 0 < share < 1 else (40.0 if share else -800.0)
         none = Lexicon(np.zeros(0, np.uint64), np.zeros(0, np.int32))
         return Classifier(none, np.concatenate([np.zeros(none.size + 4), [bias]]))
-    lexicon = mine(labelled, n_toxic, n_clean)
-    discard(labelled)
+    bad = known.where("toxic = 1")
+    toxic = stored(IdFilter(bad, "doc_id").maybe(rows).join(bad, "doc_id").select("text"), "toxicity-texts")  # the others stay where they are
+    lexicon = mine(toxic, rows, known.where("toxic = 0").select("doc_id"), n_toxic, n_clean, sum(n_of.values()))
+    discard(toxic)
     hits = stored(_hits(rows, lexicon).join(known, "doc_id", "left"), "toxicity-hits")  # no texts: some 50 bytes a row
     patterns = stored(hits.groupBy("votes", "toxic").agg(F.count("*").alias("n")).repartition(FIT_TASKS), "toxicity-patterns")
     model = fit_label_model(patterns)
