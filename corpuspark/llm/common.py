@@ -47,6 +47,12 @@ def map_texts(df: DataFrame, run, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def afresh(column: str):
+    """The same whole number under an expression that the planner doesn't see through. A join on it deals both sides out by exchanges of
+    its own, even after an aggregate by the column, and Spark may then split the many rows of one key among tasks."""
+    return F.col(column).bitwiseXOR(F.lit(0))
+
+
 def kind_of(df: DataFrame, column: str) -> str:
     """A column's type as schema strings name it."""
     return df.schema[column].dataType.simpleString()

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from corpuspark.llm.common import discard, stored
+from corpuspark.llm.common import afresh, discard, stored
 
 MAX_ROUNDS = 40
 EDGES_PER_FILE = 500_000
@@ -19,7 +19,7 @@ EDGES_PER_FILE = 500_000
 def _with_least(edges: DataFrame) -> DataFrame:
     """(u, v, m): m is the least of u and all its neighbours v. Partial minima keep a hub from being one task; the minima are dealt out
     under a name of their own, so that the join of a hub's edges can be split."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.expr("u + 0").alias("hub"), "m")
+    least = edges.groupBy("u").agg(F.min("v").alias("m")).select(afresh("u").alias("hub"), "m")
     return edges.join(least, F.col("u") == F.col("hub")).select("u", "v", F.least("u", "m").alias("m"))
 
 

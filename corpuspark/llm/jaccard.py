@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuspark.llm.common import IdFilter, kind_of, map_texts, stored, table
+from corpuspark.llm.common import IdFilter, afresh, kind_of, map_texts, stored, table
 from corpuspark.llm.components import cells, components, links_of_cell
 from corpuspark.llm.textscan import mix, row_slices, shingles, words
 
@@ -99,7 +99,7 @@ def candidate_sets(classes: DataFrame) -> DataFrame:
     """(node, component): classes (rep, bands) connected by shared band hashes."""
     keyed = classes.select("rep", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most")
-    shared = shared.select(F.expr("key + 0").alias("bucket"), "least")  # a name of its own: the join of a large bucket can be split
+    shared = shared.select(afresh("key").alias("bucket"), "least")  # a name of its own: the join of a large bucket can be split
     return components(keyed.join(shared, F.col("key") == F.col("bucket")).where("rep > least"), "rep", "least")
 
 
@@ -179,7 +179,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     linked = stored(components(found, "rep", "least").withColumnRenamed("node", "rep").join(classes.select("rep", "digest", "first_id"), "rep"), "groups")
     firsts = linked.groupBy("component").agg(F.min("first_id").alias("group_id"), F.min("digest").alias("group_digest"))
-    groups = linked.select("rep", "component").join(firsts.select(F.expr("component + 0").alias("of"), "group_id", "group_digest"), F.col("component") == F.col("of"))
+    groups = linked.select("rep", "component").join(firsts.select(afresh("component").alias("of"), "group_id", "group_digest"), F.col("component") == F.col("of"))
     of_class = classes.join(links, "rep", "left").join(groups.drop("component", "of"), "rep", "left")
     of_class = of_class.select(
         F.expr("substring(digest, 1, 16)").alias("set"),  # a name of its own, as above: many copies of one text can be split

@@ -23,7 +23,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpuspark.llm.common import stored, table, text_or_empty
+from corpuspark.llm.common import afresh, stored, table, text_or_empty
 
 BITS = 128
 RADIUS = 6
@@ -145,7 +145,7 @@ def near_counts(prints: DataFrame, radius: int = RADIUS, part_size: int = BUCKET
     tables = ", ".join(f"struct({t} AS t, {key(ks)} AS block)" for t, ks in enumerate(choices))
     keyed = prints.withColumn("b", F.explode(F.expr(f"array({tables})"))).select("b.t", "b.block", "f0", "f1", "n")
     crowded = keyed.groupBy("t", "block").agg(F.count("*").alias("size")).where("size > 1")
-    crowded = crowded.select(F.expr("t + 0").alias("of_t"), F.expr("block + 0").alias("of_block"), "size")  # names of its own: a large bucket can be split
+    crowded = crowded.select(afresh("t").alias("of_t"), afresh("block").alias("of_block"), "size")  # names of its own: a large bucket can be split
     parts = F.ceil(F.col("size") / part_size).cast("int")
     placed = keyed.join(crowded, (F.col("t") == F.col("of_t")) & (F.col("block") == F.col("of_block")))
     placed = placed.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("f0", "f1"), "parts").cast("int"))
@@ -187,11 +187,11 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     )
     following = rows.select(F.col("doc_id").alias("next_id"), "nth", F.col("f0").alias("n0"), F.col("f1").alias("n1"))
     following = following.where("next_id IS NOT NULL").groupBy("next_id").agg(F.min_by(F.struct("n0", "n1"), "nth").alias("next"))
-    following = following.select(F.expr("next_id + 0").alias("following_id"), "next.n0", "next.n1")
+    following = following.select(afresh("next_id").alias("following_id"), "next.n0", "next.n1")
     prints = stored(rows.groupBy("f0", "f1").agg(F.count("*").alias("n")), "prints")
     near = prints.join(near_counts(prints, RADIUS, BUCKET_PART), ["f0", "f1"], "left")
     # Names of their own: the many documents of one fingerprint, or before one document, can be split.
-    near = near.select(F.expr("f0 + 0").alias("p0"), F.expr("f1 + 0").alias("p1"), (F.col("n") - 1 + F.coalesce("n_near", F.lit(0))).alias("n_near"))
+    near = near.select(afresh("f0").alias("p0"), afresh("f1").alias("p1"), (F.col("n") - 1 + F.coalesce("n_near", F.lit(0))).alias("n_near"))
     none = F.lit(0).cast("long")  # the fingerprint of an empty text
     return (
         rows.join(following, F.col("next_id") == F.col("following_id"), "left")
