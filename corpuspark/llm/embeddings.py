@@ -1,18 +1,22 @@
 """Embedding near-dedup by NN-descent.
 
-Vectors are compared only within a label (and dimension). Equal vectors are one class. The neighbour graph is seeded by
-buckets of random sign hashes - as many tables as the target recall at the threshold asks for - and refined by local joins of
-neighbours of neighbours until a round adds no edge near the threshold. Lists are bounded, so they don't decide what is near:
-every block of vectors that are compared also gives star edges (to the least id that near pairs of the block connect), which are
-all kept, and buckets larger than a block are compared whole, in cells of two blocks, unless they are of one candidate
-component already. So each near pair that shares a bucket is in one component, however full the lists. All pairs of a component
-are compared exactly, in double precision, in cells of two bounded blocks. An audit compares a bounded query set with all
-vectors; while it finds missing links, the graph is built again with twice the tables and list length; if the last one still
-misses some, there is an error and no result.
+Vectors are compared only within a label (and dimension). Equal vectors are one class. Each class keeps a list of its nearest
+others. The lists start from a few tables of random sign hashes, which miss many pairs; rounds of local joins then compare the
+neighbours of each vector, in either direction, with one another and keep the best, as long as there are fresh neighbours and
+lists still change. Every comparison also keeps its threshold edges, as star edges (to the least id that near pairs of the block
+connect). A list that is full of near neighbours is saturated: others may be near as well. It is enlarged by setting the component
+that its near neighbours form aside: its places go to vectors outside, until the nearest of those is below the threshold. So no list
+holds the n^2 edges of a dense group, and none ends before the threshold.
+
+All pairs of a component of threshold edges are then compared exactly, in double precision, in cells of two bounded blocks. An
+audit compares a bounded query set with all vectors. While it finds missing links the lists are built again, twice as long and from
+other tables; labels in which the last lists still miss some are compared whole, in cells. ``recall``, a column of the result, is
+what the audit found of the lists that were used.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and those with a null label, link with
-nothing and are their own components; vectors of different dimensions don't link; repeated rows of a vec_id are one vector and
-get one row; links need cosine >= the threshold; an empty table gives no rows; columns other than the named ones are ignored.
+nothing and are their own components; vectors of different dimensions don't link; labels may be of any type; repeated rows of a
+vec_id are one vector, the least if they differ, and get one row; rows without a vec_id are one row that links with nothing; links
+need cosine >= the threshold; an empty table gives no rows; columns other than the named ones are ignored.
 """
 
 from __future__ import annotations
@@ -23,28 +27,27 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from corpuspark.llm.common import discard, stored, table
+from corpuspark.llm.common import afresh, discard, stored, table
 from corpuspark.llm.components import cells, components, links_of_cell
 
 THRESHOLD = 0.98
 MARGIN = 0.005  # of half-precision similarities, which only propose candidates
-MISS = 1e-6
-NEIGHBOURS = 10
-PROPOSED = 5
-MAX_ROUNDS = 4
-BUCKET = 8
+NEIGHBOURS = 8
+SEED_TABLES = 4
+SEED_BUCKET = 24
+LEAST_CHANGE = 0.1  # of the places of all lists, by which a round counts as changing them
+MAX_ROUNDS = 24  # only the audit's doubled lists come after these
 BLOCK = 192
-AUDIT_QUERIES = 256
+AUDIT_QUERIES = 2_048
 AUDIT_RECALL = 0.9999
 ROUNDING = 1e-12  # links this close to the threshold may differ by the order of a sum; the audit doesn't ask for them
 
 
 def classes(vectors: DataFrame) -> DataFrame:
-    """(rep, label, dim, n, vector): the distinct usable vectors, normalised, as bytes of doubles."""
+    """(vec_id, label, dim, vector) of the usable vectors, normalised, as bytes of doubles."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -53,10 +56,11 @@ def classes(vectors: DataFrame) -> DataFrame:
                 if not v.is_valid or not len(v):
                     continue
                 x = np.asarray(v.values.to_numpy(zero_copy_only=False), np.float64)
-                norm = np.sqrt(x @ x)
-                if np.isfinite(norm) and norm > 0:
+                most = np.abs(x).max()  # NaN where a component is
+                if np.isfinite(most) and most > 0:
+                    x = x / most  # so that no square over- or underflows
                     keep.append(i)
-                    units.append((x / norm).tobytes())
+                    units.append((x / np.sqrt(x @ x)).tobytes())
                     dims.append(len(x))
             if keep:
                 at = pa.array(keep)
@@ -65,15 +69,13 @@ def classes(vectors: DataFrame) -> DataFrame:
                     ["vec_id", "label", "dim", "vector"],
                 )
 
-    usable = vectors.where("label IS NOT NULL AND vec_id IS NOT NULL").select("vec_id", F.col("label").cast("long").alias("label"), "embedding")
-    return usable.mapInArrow(run, "vec_id long, label long, dim int, vector binary")
+    usable = vectors.where("label IS NOT NULL AND vec_id IS NOT NULL").select("vec_id", F.col("label").cast("string").alias("label"), "embedding")
+    return usable.mapInArrow(run, "vec_id long, label string, dim int, vector binary")
 
 
-def sign_tables(largest_label: int, more: int = 1) -> tuple[int, int]:
-    """(bits, tables): small buckets, and a pair at the threshold shares one but with probability ``MISS``."""
-    bits = max(4, min(40, math.ceil(math.log2(max(1, largest_label / BUCKET)))))
-    meet = (1 - math.acos(THRESHOLD) / math.pi) ** bits
-    return bits, more * math.ceil(math.log(MISS) / math.log(1 - meet))
+def seed_bits(largest_label: int) -> int:
+    """Sign bits that make buckets of about ``SEED_BUCKET``."""
+    return max(2, min(40, math.ceil(math.log2(max(1, largest_label / SEED_BUCKET)))))
 
 
 def _blocks(batches: Iterable[pa.RecordBatch], key_columns: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -98,39 +100,34 @@ def _as_arrays(block: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
     return np.array([r[-2] for r in block]), np.frombuffer(b"".join(r[-1] for r in block), np.float16).reshape(len(block), -1).astype(np.float32)
 
 
-def _proposals(key_columns: int, size: int):
+def _proposals(key_columns: int, size: int, best_of: int):
     """Each row's most similar others of its block, and the block's star edges, whose ``sim`` is null."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, v in _blocks(batches, key_columns, size):
             s = v @ v.T
             s[ids[:, None] == ids] = -2
-            k = min(PROPOSED, len(ids) - 1)
+            k = min(best_of, len(ids) - 1)
             best = np.argpartition(-s, k - 1, axis=1)[:, :k]
             src, sim = np.repeat(ids, k), np.take_along_axis(s, best, 1).ravel()
             ok = sim > -2
             yield pa.RecordBatch.from_arrays([pa.array(src[ok]), pa.array(ids[best.ravel()][ok]), pa.array(sim[ok])], ["src", "dst", "sim"])
-            yield from _stars(ids, np.zeros(len(ids)), s, False)
+            near = s >= THRESHOLD - MARGIN
+            if near.any():
+                found = [(i, least) for i, least, _ in links_of_cell(ids, np.ones(len(ids), np.int64), np.zeros(len(ids)), near, False) if i != least]
+                if found:
+                    src, dst = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64()), pa.nulls(len(src), pa.float32())], ["src", "dst", "sim"])
 
     return run
 
 
-def _stars(ids: np.ndarray, block: np.ndarray, s: np.ndarray, across: bool) -> Iterator[pa.RecordBatch]:
-    """An edge from each row with a near other to the least id that near pairs connect it with here."""
-    near = s >= THRESHOLD - MARGIN
-    if near.any():
-        found = [(i, least) for i, least, _ in links_of_cell(ids, np.ones(len(ids), np.int64), block, near, across) if i != least]
-        if found:
-            src, dst = zip(*found, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64()), pa.nulls(len(src), pa.float32())], ["src", "dst", "sim"])
-
-
 EDGES = "src long, dst long, sim float"
 KEYS = ["label", "dim", "t", "key"]
 
 
-def sign_hashes(reps: DataFrame, bits: int, tables: int) -> DataFrame:
-    """(label, dim, t, key, along, rep, half): each vector under its bucket of every table."""
+def seeds(reps: DataFrame, bits: int, seed: int, best_of: int) -> DataFrame:
+    """Proposed edges and star edges among vectors of equal sign hashes, in blocks of neighbours along another random direction."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,8 +137,8 @@ def sign_hashes(reps: DataFrame, bits: int, tables: int) -> DataFrame:
                 some = batch.take(pa.array(at))
                 v = np.frombuffer(b"".join(some.column(3).to_pylist()), np.float64).reshape(len(at), dim)
                 half = pa.array([x.tobytes() for x in v.astype(np.float16)], pa.binary())
-                random = np.random.default_rng(int(dim))
-                for t in range(tables):
+                random = np.random.default_rng([int(dim), seed])
+                for t in range(SEED_TABLES):
                     side = v @ random.standard_normal((dim, bits + 1))
                     key = (side[:, :bits] > 0) @ (1 << np.arange(bits, dtype=np.int64))
                     yield pa.RecordBatch.from_arrays(
@@ -149,76 +146,62 @@ def sign_hashes(reps: DataFrame, bits: int, tables: int) -> DataFrame:
                         ["label", "dim", "t", "key", "along", "rep", "half"],
                     )
 
-    return reps.select("rep", "label", "dim", "vector").mapInArrow(run, "label long, dim int, t int, key long, along double, rep long, half binary")
-
-
-def seeds(keyed: DataFrame) -> DataFrame:
-    """Proposed edges and star edges among vectors of equal sign hashes."""
-    return keyed.repartition(*KEYS).sortWithinPartitions(*KEYS, "along").select(*KEYS, "rep", "half").mapInArrow(_proposals(4, BLOCK), EDGES)
-
-
-def crowded_stars(keyed: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Star edges of buckets larger than a block, all pairs compared, but for buckets within one candidate component."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            for batch in batches:
-                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
-
-        for _, cell in groupby(rows(), key=lambda r: r[:3]):
-            cell = list(cell)
-            ids, v = _as_arrays(cell)
-            s = v @ v.T
-            s[ids[:, None] == ids] = -2
-            yield from _stars(ids, np.array([r[3] for r in cell]), s, cell[0][1] != cell[0][2])
-
-    of_rep = keyed.select(*KEYS, "rep").join(candidates.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    sizes = of_rep.groupBy(*KEYS).agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most"))
-    crowded = sizes.where(f"n > {BLOCK} AND least <> most").select(*KEYS, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    buckets = stored(crowded.withColumn("component", F.monotonically_increasing_id()), "buckets")
-    members = keyed.select(*KEYS, "rep", "half").join(buckets, KEYS)
-    return cells(members, F.col("rep"), "rep", "half").mapInArrow(run, EDGES)
+    keyed = reps.select("rep", "label", "dim", "vector").mapInArrow(run, "label string, dim int, t int, key long, along double, rep long, half binary")
+    in_blocks = keyed.repartition(*KEYS).sortWithinPartitions(*KEYS, "along").select(*KEYS, "rep", "half")
+    return in_blocks.mapInArrow(_proposals(4, BLOCK, best_of), EDGES)
 
 
-def nearest(edges: DataFrame, k: int) -> DataFrame:
-    """The ``k`` most similar neighbours of each node."""
+def nearest(edges: DataFrame, apart: DataFrame | None, k: int) -> DataFrame:
+    """(src, dst, sim, fresh): the ``k`` most similar neighbours of each node that are not of its component of ``apart`` (node, component).
+    An edge that was there before isn't fresh."""
+    once = edges.groupBy("src", "dst").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
+    if apart is not None:
+        of = lambda name: apart.select(F.col("node").alias(name), F.col("component").alias(f"{name}_in"))
+        once = once.join(of("src"), "src", "left").join(of("dst"), "dst", "left")
+        once = once.where("src_in IS NULL OR dst_in IS NULL OR src_in <> dst_in").drop("src_in", "dst_in")
     best = Window.partitionBy("src").orderBy(F.desc("sim"), "dst")
-    return edges.groupBy("src", "dst").agg(F.max("sim").alias("sim")).withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k).drop("nth")
-
-
-def local_join(graph: DataFrame, halves: DataFrame, turn: int) -> DataFrame:
-    """Proposed edges and star edges among the neighbours, in either direction, of each node; a hub's neighbours meet in bounded blocks."""
-    around = graph.select("src", "dst").unionByName(graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    met = around.withColumnRenamed("dst", "rep").join(halves, "rep").withColumn("mixed", F.xxhash64("rep", F.lit(turn)))
-    return met.repartition("src").sortWithinPartitions("src", "mixed").select("src", "rep", "half").mapInArrow(_proposals(1, BLOCK), EDGES)
-
-
-def candidate_components(reps: DataFrame, largest_label: int, more: int = 1) -> DataFrame:
-    """(node, component) after NN-descent, which ends when a round adds no edge near the threshold, and the large buckets."""
-    k = NEIGHBOURS * more
-    to_half = F.col("vector")
-    halves = stored(reps.select("rep", to_half.alias("vector")).mapInArrow(_halve, "rep long, half binary"), "halves")
-    keyed = sign_hashes(reps, *sign_tables(largest_label, more))
-    proposed = stored(seeds(keyed), "proposed")
-    graph = stored(nearest(proposed.where("sim IS NOT NULL"), k), "graph")
-    stars = stored(proposed.where("sim IS NULL").select("src", "dst").distinct(), "stars")
-    discard(proposed)
-    near = F.count(F.when(F.col("sim") >= THRESHOLD - MARGIN, 1))
-    found = graph.agg(near).first()[0]
-    for turn in range(MAX_ROUNDS):
-        proposed = stored(local_join(graph, halves, turn), "proposed")
-        graph = stored(nearest(graph.unionByName(proposed.where("sim IS NOT NULL")), k), "graph")
-        stars = stored(stars.unionByName(proposed.where("sim IS NULL").select("src", "dst")).distinct(), "stars")
+    return once.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k).drop("nth")
+
+
+def local_join(graph: DataFrame, halves: DataFrame, turn: int, best_of: int) -> DataFrame:
+    """Proposed edges and star edges among the neighbours, in either direction, of each node that has a fresh one. A hub's many neighbours
+    meet in bounded blocks, dealt out anew in each turn."""
+    back = graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "fresh")
+    around = graph.select("src", "dst", "fresh").unionByName(back).groupBy("src", "dst").agg(F.max("fresh").alias("fresh"))
+    degrees = around.groupBy("src").agg(F.count("*").alias("n"), F.max("fresh").alias("any"))
+    active = degrees.where("any = 1 AND n > 1").select(afresh("src").alias("center"), F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+    met = around.join(active, F.col("src") == F.col("center")).select("src", F.col("dst").alias("rep"), "parts")
+    met = met.withColumn("part", F.pmod(F.xxhash64("rep", F.lit(turn)), "parts").cast("int")).join(halves, "rep")
+    return met.repartition("src", "part").sortWithinPartitions("src", "part").select("src", "part", "rep", "half").mapInArrow(_proposals(2, BLOCK, best_of), EDGES)
+
+
+def neighbour_graph(reps: DataFrame, largest_label: int, k: int, seed: int, known: DataFrame | None = None) -> DataFrame:
+    """(node, component) of the threshold edges that NN-descent finds, and of those that are ``known``, in the same form."""
+    halves = stored(reps.select("rep", "vector").mapInArrow(_halve, "rep long, half binary"), "halves")
+    proposed = stored(seeds(reps, seed_bits(largest_label), seed, k), "proposed")
+    stars, apart, graph = None, known, None
+    for turn in range(MAX_ROUNDS + 1):
+        found = proposed.where("sim IS NULL").select("src", "dst")
+        met = found if apart is None else found.join(apart.withColumnRenamed("node", "src"), "src", "left").join(
+            apart.select(F.col("node").alias("dst"), F.col("component").alias("other")), "dst", "left"
+        ).where("component IS NULL OR other IS NULL OR component <> other").select("src", "dst")
+        if not met.isEmpty():  # saturated lists: what is near by now is set aside, so that other vectors get a place
+            before = stars if stars is not None else known.select(F.col("node").alias("src"), F.col("component").alias("dst")) if known is not None else None
+            stars = stored((found if before is None else before.unionByName(found)).distinct(), "stars")
+            apart = stored(components(stars, "src", "dst"), "apart")
+        fresh = proposed.where("sim IS NOT NULL").withColumn("fresh", F.lit(1))
+        old = None if graph is None else graph.withColumn("fresh", F.lit(0))
+        after = stored(nearest(fresh if old is None else old.unionByName(fresh), apart, k), "graph")
         discard(proposed)
-        before, found = found, graph.agg(near).first()[0]
-        if found == before:
+        if graph is not None:
+            discard(graph)
+        graph = after
+        new, places = graph.agg(F.coalesce(F.sum("fresh"), F.lit(0)), F.count("*")).first()
+        if turn == MAX_ROUNDS or new <= LEAST_CHANGE * places:
             break
-    candidates = components(stars, "src", "dst")
-    joined = stored(crowded_stars(keyed, candidates).select("src", "dst").distinct(), "stars")
-    if joined.isEmpty():
-        return candidates
-    known = candidates.select(F.col("node").alias("src"), F.col("component").alias("dst"))
-    return components(known.unionByName(joined), "src", "dst")
+        proposed = stored(local_join(graph, halves, turn, k), "proposed")
+    discard(graph)
+    return apart if apart is not None else graph.select(F.col("src").alias("node"), F.col("dst").alias("component")).where("false")
 
 
 def _halve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,8 +233,8 @@ def exact_links(reps: DataFrame, candidates: DataFrame) -> DataFrame:
     return cells(full, F.col("rep"), "rep", "n", "vector").mapInArrow(run, "rep long, least long, links long")
 
 
-def audit(reps: DataFrame, links: DataFrame) -> float:
-    """The share of all links of a bounded, hash-chosen query set that ``links`` (rep, links) has."""
+def audit(reps: DataFrame, links: DataFrame) -> tuple[float, list[tuple[str, int]]]:
+    """The share of all links of a bounded, hash-chosen query set that ``links`` (rep, links) has, and the (label, dim) that miss some."""
     asked = reps.orderBy(F.xxhash64("rep"), "rep").limit(AUDIT_QUERIES).select("rep", "label", "dim", "n", "vector").collect()  # at most AUDIT_QUERIES rows
     by_label: dict = {}
     for r in asked:
@@ -271,27 +254,40 @@ def audit(reps: DataFrame, links: DataFrame) -> float:
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(linked @ weight)], ["rep", "links"])
 
     all_ = reps.select("rep", "label", "dim", "n", "vector").mapInArrow(run, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("all"))
-    row = all_.join(links, "rep", "left").agg(F.sum("all").alias("all"), F.sum(F.least("all", F.coalesce("links", F.lit(0)))).alias("found")).first()
-    return 1.0 if not row["all"] else row["found"] / row["all"]
+    rows = all_.join(links, "rep", "left").select("rep", "all", F.least("all", F.coalesce("links", F.lit(0))).alias("found")).collect()  # at most AUDIT_QUERIES
+    of = {r.rep: (r.label, r.dim) for r in asked}
+    whole = sum(r["all"] for r in rows)
+    return sum(r.found for r in rows) / whole if whole else 1.0, sorted({of[r.rep] for r in rows if r.found < r["all"]})
 
 
-def near_duplicates(vectors: DataFrame, attempts: int = 3) -> DataFrame:
-    """One row for each vector: vec_id, n_links, component_id, kept."""
-    usable = stored(classes(vectors).dropDuplicates(["vec_id"]), "vectors")
+def near_duplicates(vectors: DataFrame, attempts: int = 2) -> DataFrame:
+    """One row for each vector: vec_id, n_links, component_id, kept, recall."""
+    once = classes(vectors).groupBy("vec_id").agg(F.min(F.struct("vector", "label", "dim")).alias("v"))
+    usable = stored(once.select("vec_id", "v.label", "v.dim", "v.vector"), "vectors")
     grouped = usable.groupBy("label", "dim", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
     reps = stored(grouped, "classes")
     largest = reps.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
+    whole = lambda found: stored(found.groupBy("rep").agg(F.sum("links").alias("links")), "links")
+    candidates = None
     for attempt in range(attempts):
-        candidates = candidate_components(reps, largest, 2**attempt)
-        found = stored(exact_links(reps, candidates), "links")
-        links = stored(found.groupBy("rep").agg(F.sum("links").alias("links")), "links")
-        if (recall := audit(reps, links)) >= AUDIT_RECALL:
+        candidates = neighbour_graph(reps, largest, NEIGHBOURS << attempt, attempt, candidates)
+        found = stored(exact_links(reps, candidates), "found")
+        links = whole(found)
+        recall, missing = audit(reps, links)
+        if recall >= AUDIT_RECALL:
             break
-    else:
-        raise RuntimeError(f"op2_embeddings: recall {recall} after {attempts} attempts")
+    else:  # the exact way for the rest: labels that the lists don't exhaust are compared whole
+        wanted = reps.sparkSession.createDataFrame(missing, "label string, dim int")
+        first = reps.join(wanted, ["label", "dim"]).groupBy("label", "dim").agg(F.min("rep").alias("component"))
+        all_of = reps.join(first, ["label", "dim"]).select(F.col("rep").alias("node"), "component")
+        rest = candidates.join(all_of.select("node"), "node", "left_anti")
+        found = stored(exact_links(reps, rest.unionByName(all_of)), "found")
+        links = whole(found)
     groups = components(found, "rep", "least").select(F.col("node").alias("rep"), F.col("component").alias("component_id"))
     of_class = reps.join(links, "rep", "left").join(groups, "rep", "left")
-    of_vector = usable.join(of_class, ["label", "dim", "vector"]).select(
+    of_class = of_class.select(F.sha1("vector").alias("print"), *(F.col(c).alias(f"of_{c}") for c in ("label", "dim", "vector")), "rep", "n", "links", "component_id")
+    same = (F.sha1("vector") == F.col("print")) & (F.col("label") == F.col("of_label")) & (F.col("dim") == F.col("of_dim")) & (F.col("vector") == F.col("of_vector"))
+    of_vector = usable.join(of_class, same).select(
         "vec_id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id")
     )
     return (
@@ -300,6 +296,7 @@ def near_duplicates(vectors: DataFrame, attempts: int = 3) -> DataFrame:
         .join(of_vector, "vec_id", "left")
         .select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
         .withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+        .withColumn("recall", F.lit(float(recall)))
     )
 
 

@@ -36,7 +36,7 @@ STEM_BYTES = (4, 5, 6, 7, 8)
 MIN_TOXIC = 4
 LEAST_SHARE = 1 / 400  # of the toxic texts must have a term; so there are at most 400 times as many candidates as a text has terms
 MIN_RATIO = 6.0
-LEAST_RATIO = 2.0  # a term with the ratio above has this one, too, unless two fifths of the unlabelled texts are toxic
+LEAST_RATIO = 2.0
 LEXICON = 256
 FIT_ROWS = 4_000
 FIT_TASKS = 16
@@ -196,18 +196,20 @@ def _clean_frequencies(rows: DataFrame, clean: DataFrame, hashes: np.ndarray) ->
     return out
 
 
-def mine(toxic: DataFrame, rows: DataFrame, clean: DataFrame, n_toxic: int, n_clean: int, n_rows: int) -> Lexicon:
-    """The ``LEXICON`` terms with the greatest gain that no named list has: of a least share of all toxic texts, and rare in clean ones. What is
-    not even ``LEAST_RATIO`` times as frequent as in all other rows is left out before."""
+def mine(toxic: DataFrame, rows: DataFrame, clean: DataFrame, n_toxic: int, n_clean: int) -> Lexicon:
+    """The ``LEXICON`` terms with the greatest gain that no named list has: of a least share of all toxic texts, and rare in clean ones, the
+    rows of the ids ``clean``. What is not even ``LEAST_RATIO`` times as frequent as among rows that a bitmap of those ids lets pass,
+    which are few more, is left out before."""
+    rows = IdFilter(clean, "doc_id").maybe(rows)
     least = max(MIN_TOXIC, int(n_toxic * LEAST_SHARE))
     frequent = _document_frequencies(toxic).where(F.col("n") >= least).toArrow()
     hashes, kinds, n1 = (frequent.column(c).to_numpy() for c in ("feature", "kind", "n"))
     everywhere = _document_frequencies(rows.select("text"), hashes.view(np.uint64)).toArrow()
-    others = -n1.astype(float)
+    others = np.zeros(len(hashes))
     order = np.argsort(hashes, kind="stable")
-    others[order[np.searchsorted(hashes[order], everywhere.column("feature").to_numpy())]] += everywhere.column("n").to_numpy()
+    others[order[np.searchsorted(hashes[order], everywhere.column("feature").to_numpy())]] = everywhere.column("n").to_numpy()
     ratio = lambda n0, n: (n1 + 0.5) / (n_toxic + 1) / ((np.maximum(n0, 0) + 0.5) / (n + 1))
-    some = (ratio(others, n_rows - n_toxic) >= LEAST_RATIO) & ~np.isin(hashes.view(np.uint64), named_hashes()[0])
+    some = (ratio(others, n_clean) >= LEAST_RATIO) & ~np.isin(hashes.view(np.uint64), named_hashes()[0])
     hashes, kinds, n1 = hashes[some], kinds[some], n1[some]
     if not len(hashes):
         return Lexicon(np.zeros(0, np.uint64), np.zeros(0, np.int32))
@@ -387,7 +389,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable=None) -> Classifier:
         return Classifier(none, np.concatenate([np.zeros(none.size + 4), [bias]]))
     bad = known.where("toxic = 1")
     toxic = stored(IdFilter(bad, "doc_id").maybe(rows).join(bad, "doc_id").select("text"), "toxicity-texts")  # the others stay where they are
-    lexicon = mine(toxic, rows, known.where("toxic = 0").select("doc_id"), n_toxic, n_clean, sum(n_of.values()))
+    lexicon = mine(toxic, rows, known.where("toxic = 0").select("doc_id"), n_toxic, n_clean)
     discard(toxic)
     hits = stored(_hits(rows, lexicon).join(known, "doc_id", "left"), "toxicity-hits")  # no texts: some 50 bytes a row
     patterns = stored(hits.groupBy("votes", "toxic").agg(F.count("*").alias("n")).repartition(FIT_TASKS), "toxicity-patterns")

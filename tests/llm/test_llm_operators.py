@@ -153,6 +153,41 @@ def test_links_between_tight_groups_are_not_crowded_out(spark):
     assert [got[i].component_id for i in range(len(rows))] == root
 
 
+def isolated_pairs(n, seed):
+    """Random vectors, every tenth with a near copy: nothing but the descent leads from one to the other where no table has both."""
+    rng = np.random.default_rng(seed)
+    base = rng.standard_normal((n, 48))
+    near = base[::10] + 0.1 * rng.standard_normal((len(base[::10]), 48))
+    return [(i, x.astype(np.float32).tolist(), "one") for i, x in enumerate(np.concatenate([base, near]))]
+
+
+def test_rounds_find_what_the_start_misses(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "SEED_TABLES", 2)
+    vectors = spark.createDataFrame(isolated_pairs(1500, 3), "vec_id long, embedding array<float>, label string")
+    reps = vectors.transform(embeddings.classes).withColumnRenamed("vec_id", "rep").withColumn("n", F.lit(1)).cache()
+    joined = lambda: embeddings.neighbour_graph(reps, 1650, embeddings.NEIGHBOURS, 0).count() / 300
+    assert joined() > 0.99
+    monkeypatch.setattr(embeddings, "MAX_ROUNDS", 0)
+    assert joined() < 0.97
+
+
+def test_a_failed_audit_leads_to_the_exact_way(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "SEED_TABLES", 1)
+    monkeypatch.setattr(embeddings, "MAX_ROUNDS", 0)
+    rows = isolated_pairs(400, 4)
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string"), 1).toPandas()
+    links = links_by_force([np.array(v, np.float32) for _, v, _ in rows], [x for *_, x in rows], embeddings.THRESHOLD)
+    assert got.sort_values("vec_id").n_links.tolist() == [len(links[i]) for i in range(len(rows))]
+    assert got.recall.iloc[0] < 1
+
+
+def test_vectors_of_any_size_and_label(spark):
+    rows = [(1, [1e200, 0.0], "a"), (2, [1e200, 0.0], "a"), (3, [1e-200, 1e-202], "a"), (4, [1.0, 0.0], "b"), (None, [1.0, 0.0], "b"), (5, [float("inf"), 1.0], "b"), (6, [1.0, 0.0], None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string").selectExpr("*", "1 AS rep", "'x' AS component_id", "2 AS n")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(df).collect()}
+    assert got == {1: (2, 1, True), 2: (2, 1, False), 3: (2, 1, False), 4: (0, 4, True), None: (0, None, True), 5: (0, 5, True), 6: (0, 6, True)}
+
+
 def test_language_of_held_out_texts(spark, docs):
     got = entries.queries()["op3_langid"](spark, SMALL).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
     assert len(got) > 30 and (got.lang_pred == got.lang).mean() >= 0.98 and got.score.between(0, 1).all()
