@@ -157,7 +157,7 @@ def isolated_pairs(n, seed):
     """Random vectors, every tenth with a near copy: nothing but the descent leads from one to the other where no table has both."""
     rng = np.random.default_rng(seed)
     base = rng.standard_normal((n, 48))
-    near = base[::10] + 0.1 * rng.standard_normal((len(base[::10]), 48))
+    near = base[::10] + 0.18 * rng.standard_normal((len(base[::10]), 48))
     return [(i, x.astype(np.float32).tolist(), "one") for i, x in enumerate(np.concatenate([base, near]))]
 
 
@@ -166,9 +166,9 @@ def test_rounds_find_what_the_start_misses(spark, monkeypatch):
     vectors = spark.createDataFrame(isolated_pairs(1500, 3), "vec_id long, embedding array<float>, label string")
     reps = vectors.transform(embeddings.classes).withColumnRenamed("vec_id", "rep").withColumn("n", F.lit(1)).cache()
     joined = lambda: embeddings.neighbour_graph(reps, 1650, embeddings.NEIGHBOURS, 0).count() / 300
-    assert joined() > 0.99
+    assert joined() > 0.92
     monkeypatch.setattr(embeddings, "MAX_ROUNDS", 0)
-    assert joined() < 0.97
+    assert joined() < 0.9
 
 
 def test_a_failed_audit_leads_to_the_exact_way(spark, monkeypatch):
