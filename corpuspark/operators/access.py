@@ -15,16 +15,21 @@ def active_grants(grants: DataFrame, as_of: str) -> DataFrame:
 
 
 def apply_grants(events: DataFrame) -> DataFrame:
-    """Fold grant and revoke events (seq, user_id, kb_id, role, op, expires_date, event_date) to the current grants.
+    """Fold grant, bulk and revoke events (seq, user_id, kb_id, role, op, expires_date, event_date) to the current grants.
 
-    The last event decides; a grant clears a revocation; a revocation keeps role and expiry of the grant before it.
+    The last event decides; a grant clears a revocation, sets the role and, unless it is a bulk one, the expiry; a bulk grant keeps the
+    expiry that the grants before it left (none if it is the first); a revocation keeps role and expiry.
     """
-    last_grant = F.max_by(F.struct("role", "expires_date"), F.when(F.col("op") == "grant", F.col("seq")))
+    given, direct = F.col("op").isin("grant", "bulk"), F.col("op") == "grant"
+    at = lambda c: F.when(c, F.col("seq"))
     folded = events.groupBy("user_id", "kb_id").agg(
-        last_grant.alias("g"), F.max(F.when(F.col("op") == "grant", F.col("seq"))).alias("granted"), F.max_by(F.struct("op", "event_date"), "seq").alias("last")
+        F.max_by("role", at(given)).alias("role"),
+        F.max_by(F.struct("expires_date"), at(direct)).alias("direct"),
+        F.max(at(given)).alias("granted"),
+        F.max_by(F.struct("op", "event_date"), "seq").alias("last"),
     )
     return folded.where("granted IS NOT NULL").select(
-        "user_id", "kb_id", "g.role", "g.expires_date", F.when(F.col("last.op") == "revoke", F.col("last.event_date")).alias("revoked_date")
+        "user_id", "kb_id", "role", F.col("direct.expires_date").alias("expires_date"), F.when(F.col("last.op") == "revoke", F.col("last.event_date")).alias("revoked_date")
     )
 
 
@@ -47,23 +52,33 @@ def bulk_grants(targets: DataFrame, kbs: DataFrame, role: str) -> DataFrame:
     return targets.join(kbs.select("kb_id", "tenant_id"), "tenant_id").select("user_id", "kb_id", F.lit(role).alias("role"))
 
 
-def resolve_access(users: DataFrame, kbs: DataFrame, grants: DataFrame) -> DataFrame:
-    """(user_id, tenant_id, kb_id, role): owners and admins reach all bases of the tenant, editors the shared ones as viewers, and grants
-    add to both; the higher role counts."""
-    own = users.select("user_id", "tenant_id", "role")
-    bases = kbs.select("kb_id", F.col("tenant_id"), "visibility")
-    by_role = own.where(F.col("role").isin("owner", "admin")).join(bases, "tenant_id").select("user_id", "kb_id", role_rank(F.col("role")).alias("rank"))
-    shared = own.where("role = 'editor'").join(bases.where(F.col("visibility").isin("team", "tenant")), "tenant_id").select("user_id", "kb_id", F.lit(1).alias("rank"))
-    granted = grants.select("user_id", "kb_id", role_rank(F.col("role")).alias("rank"))
-    best = by_role.unionByName(shared).unionByName(granted).groupBy("user_id", "kb_id").agg(F.max("rank").alias("rank"))
-    return best.join(own.select("user_id", "tenant_id"), "user_id").select("user_id", "tenant_id", "kb_id", rank_role(F.col("rank")).alias("role"))
+def principals(asked: DataFrame, members: DataFrame) -> DataFrame:
+    """(user_id, tenant_id, role) of whoever acts in a tenant; who isn't a member of it is a viewer there."""
+    role = members.select("user_id", "tenant_id", F.col("role").alias("held"))
+    who = asked.select("user_id", "tenant_id").distinct().join(role, ["user_id", "tenant_id"], "left")
+    return who.select("user_id", "tenant_id", F.coalesce("held", F.lit("viewer")).alias("role"))
 
 
-def clearance(users: DataFrame, grants: DataFrame) -> DataFrame:
-    """The highest rank of a member's tenant role (owner, admin, editor) and grants; 0 at least."""
+def resolve_access(who: DataFrame, kbs: DataFrame, grants: DataFrame) -> DataFrame:
+    """(user_id, tenant_id, kb_id, role) for each principal (user_id, tenant_id, role): owners and admins reach all bases of that tenant,
+    editors the shared ones as viewers, and the user's grants add to both; the higher role counts. A role in one tenant says nothing of
+    another."""
+    bases = kbs.select("kb_id", "tenant_id", "visibility")
+    by_role = who.where(F.col("role").isin("owner", "admin")).join(bases, "tenant_id").select("user_id", "tenant_id", "kb_id", role_rank(F.col("role")).alias("rank"))
+    shared = who.where("role = 'editor'").join(bases.where(F.col("visibility").isin("team", "tenant")), "tenant_id")
+    shared = shared.select("user_id", "tenant_id", "kb_id", F.lit(1).alias("rank"))
+    granted = who.select("user_id", "tenant_id").join(grants.select("user_id", "kb_id", role_rank(F.col("role")).alias("rank")), "user_id")
+    granted = granted.select("user_id", "tenant_id", "kb_id", "rank")
+    best = by_role.unionByName(shared).unionByName(granted).groupBy("user_id", "tenant_id", "kb_id").agg(F.max("rank").alias("rank"))
+    return best.select("user_id", "tenant_id", "kb_id", rank_role(F.col("rank")).alias("role"))
+
+
+def clearance(who: DataFrame, grants: DataFrame) -> DataFrame:
+    """(user_id, tenant_id, clearance): the highest rank of a principal's role in the tenant (owner, admin, editor) and of the user's
+    grants; 0 at least."""
     own = F.when(F.col("role").isin("owner", "admin", "editor"), role_rank(F.col("role"))).otherwise(0)
     most = grants.groupBy("user_id").agg(F.max(role_rank(F.col("role"))).alias("granted"))
-    return users.join(most, "user_id", "left").select("user_id", "tenant_id", F.greatest(own, F.coalesce("granted", F.lit(0))).alias("clearance"))
+    return who.join(most, "user_id", "left").select("user_id", "tenant_id", F.greatest(own, F.coalesce("granted", F.lit(0))).alias("clearance"))
 
 
 def can_write(role: Column) -> Column:
@@ -88,8 +103,21 @@ def tenant_files(kbs: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def sensitivity_filter(files: DataFrame, sensitivity: DataFrame, cleared: DataFrame) -> DataFrame:
-    """Files (user_id, file_id) whose sensitivity is within the user's clearance."""
-    return files.join(sensitivity, "file_id").join(cleared.select("user_id", "clearance"), "user_id").where("sensitivity <= clearance").select("user_id", "file_id")
+    """Files (user_id, tenant_id, file_id) whose sensitivity is within the principal's clearance."""
+    known = files.join(sensitivity, "file_id").join(cleared.select("user_id", "tenant_id", "clearance"), ["user_id", "tenant_id"])
+    return known.where("sensitivity <= clearance").select("user_id", "tenant_id", "file_id")
+
+
+def authorised_files(queries: DataFrame, members: DataFrame, kbs: DataFrame, grants: DataFrame, links: DataFrame, requested: DataFrame | None = None) -> DataFrame:
+    """(query_id, tenant_id, file_id, clearance) that each query (query_id, user_id, tenant_id) may read: access is resolved for its
+    principal, cut to the requested bases (query_id, kb_id) if there are any, and to bases of its tenant."""
+    who = principals(queries, members)
+    bases = resolve_access(who, kbs, grants).join(kbs.select("kb_id", "tenant_id"), ["kb_id", "tenant_id"], "left_semi")
+    of_query = queries.select("query_id", "user_id", "tenant_id").join(bases.select("user_id", "tenant_id", "kb_id"), ["user_id", "tenant_id"])
+    if requested is not None:
+        of_query = of_query.join(requested, ["query_id", "kb_id"], "left_semi")
+    files = of_query.join(links, "kb_id").select("query_id", "user_id", "tenant_id", "file_id").distinct()
+    return files.join(clearance(who, grants), ["user_id", "tenant_id"]).select("query_id", "tenant_id", "file_id", "clearance")
 
 
 def effective_kbs(users: DataFrame, kbs: DataFrame, grants: DataFrame) -> DataFrame:

@@ -157,17 +157,44 @@ def admit_uploads(uploads: DataFrame, limits: DataFrame) -> DataFrame:
                 out.append(bool(ok))
             yield batch[["tenant_id", "period", "seq", "bytes"]].assign(admitted=out)
 
-    rows = uploads.join(F.broadcast(limits), "tenant_id").select("tenant_id", "period", "seq", "bytes", "max_docs", "max_bytes")  # one row a tenant
+    rows = uploads.join(limits, "tenant_id").select("tenant_id", "period", "seq", "bytes", "max_docs", "max_bytes")
     ordered = rows.repartition("tenant_id", "period").sortWithinPartitions("tenant_id", "period", "seq")
     return ordered.mapInPandas(admit, "tenant_id long, period string, seq long, bytes long, admitted boolean")
 
 
-def meter(events: DataFrame) -> DataFrame:
-    """Documents and bytes of each tenant-month after its events (+1 or -1, bytes), never below 0.
+SEQS_PER_PART = 65_536
+
+
+def meter_walk(events: DataFrame) -> DataFrame:
+    """(tenant_id, period, docs, bytes, least_docs, least_bytes): the sums of a tenant-month's events and their least prefix sums, 0 at most.
 
-    A running sum S clamped at 0 ends at S_n - min(0, least prefix sum), so windows replace the fold.
+    Prefixes are taken within parts of ``SEQS_PER_PART`` numbers, then over the parts, so that a tenant with many events is many tasks.
     """
-    w = Window.partitionBy("tenant_id", "period").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    sums = events.select("tenant_id", "period", "seq", F.sum("doc_delta").over(w).alias("d"), F.sum(F.col("doc_delta") * F.col("bytes")).over(w).alias("b"))
-    clamped = lambda c: (F.max_by(c, "seq") - F.least(F.lit(0), F.min(c))).cast("long")
-    return sums.groupBy("tenant_id", "period").agg(clamped("d").alias("docs"), clamped("b").alias("bytes"))
+    part = F.floor(F.col("seq") / SEQS_PER_PART).alias("part")
+    steps = events.select("tenant_id", "period", "seq", part, F.col("doc_delta").cast("long").alias("d"), (F.col("doc_delta") * F.col("bytes")).cast("long").alias("b"))
+    key = ["tenant_id", "period"]
+    so_far = Window.partitionBy(*key, "part").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    inside = steps.withColumns({"pd": F.sum("d").over(so_far), "pb": F.sum("b").over(so_far)})
+    parts = inside.groupBy(*key, "part").agg(F.sum("d").alias("d"), F.sum("b").alias("b"), F.min("pd").alias("pd"), F.min("pb").alias("pb"))
+    before = Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    placed = parts.select(*key, "d", "b", (base("d") + F.col("pd")).alias("pd"), (base("b") + F.col("pb")).alias("pb"))
+    least = lambda c: F.least(F.lit(0), F.min(c)).cast("long")
+    return placed.groupBy(*key).agg(F.sum("d").alias("docs"), F.sum("b").alias("bytes"), least("pd").alias("least_docs"), least("pb").alias("least_bytes"))
+
+
+def meter_from(walk: DataFrame, used: DataFrame | None = None) -> DataFrame:
+    """Documents and bytes of each tenant-month after a walk that starts at what is ``used`` (nothing by default), never below 0: a running
+    sum from u, clamped at 0, ends at u + S - min(0, u + its least prefix sum)."""
+    key = ["tenant_id", "period"]
+    if used is None:
+        start = walk.withColumns({"u_docs": F.lit(0).cast("long"), "u_bytes": F.lit(0).cast("long")})
+    else:
+        start = walk.join(used.select(*key, F.col("docs").alias("u_docs"), F.col("bytes").alias("u_bytes")), key, "full").na.fill(0)
+    end = lambda c: (F.col(f"u_{c}") + F.col(c) - F.least(F.lit(0), F.col(f"u_{c}") + F.col(f"least_{c}"))).alias(c)
+    return start.select(*key, end("docs"), end("bytes"))
+
+
+def meter(events: DataFrame) -> DataFrame:
+    """Documents and bytes of each tenant-month after its events (+1 or -1, bytes), never below 0."""
+    return meter_from(meter_walk(events))

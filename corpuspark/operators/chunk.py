@@ -59,10 +59,10 @@ def _greedy(blocks: list[tuple], size: int, overlap: float, tokenize: Callable[[
             return
         put("\n".join(b[0] for b, _ in waiting), waiting[0][0], False)
         tail, room = len(waiting), budget_of_overlap if keep_tail else 0
-        while tail > 1 and waiting[tail - 1][1] <= room:
+        while tail and waiting[tail - 1][1] <= room:
             tail -= 1
             room -= waiting[tail][1]
-        waiting[:] = waiting[tail:] if tail < len(waiting) else []
+        waiting[:] = waiting[tail:] if tail else []  # what would be all of it again is not carried
 
     for block in blocks:
         text, kind = block[0], block[1]
@@ -161,27 +161,45 @@ def content_hash(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-@F.pandas_udf(T.LongType())
-def simhash64(texts: pd.Series) -> pd.Series:
-    """Signed 64-bit SimHash of the character pairs (with multiplicity) of the lower-cased text without white space."""
-    known: dict[str, np.ndarray] = {}
+def _simhash_slice(texts: list[str]) -> np.ndarray:
+    """Fingerprints of texts that aren't empty: votes of the distinct pairs, looked up and summed by text."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    ends = np.cumsum([len(t) for t in texts])
+    pair = points << np.uint64(32)
+    pair[:-1] |= points[1:] + np.uint64(1)
+    lone = np.zeros(len(points), bool)
+    lone[ends - 1] = True  # the last character of a text begins no pair, unless it is the only one
+    single = np.array([len(t) for t in texts]) == 1
+    pair[ends[single] - 1] &= np.uint64(0xFFFFFFFF00000000)
+    keep = ~lone
+    keep[ends[single] - 1] = True
+    distinct, of = np.unique(pair[keep], return_inverse=True)
+    names = [chr(x >> 32) + (chr((x & 0xFFFFFFFF) - 1) if x & 0xFFFFFFFF else "") for x in distinct.tolist()]
+    digests = b"".join(hashlib.blake2b(f.encode("utf-8", "surrogatepass"), digest_size=8).digest() for f in names)
+    signs = 2 * np.unpackbits(np.frombuffer(digests, np.uint8)).reshape(-1, 64).astype(np.int32) - 1
+    starts = np.concatenate([[0], np.cumsum(keep)])[ends - [len(t) for t in texts]]
+    return np.packbits(np.add.reduceat(signs[of], starts, axis=0) > 0, axis=1).view(">i8").ravel()
+
 
-    def votes(feature: str) -> np.ndarray:
-        if feature not in known:
-            digest = np.frombuffer(hashlib.blake2b(feature.encode(), digest_size=8).digest(), np.uint8)
-            known[feature] = 2 * np.unpackbits(digest).astype(np.int32) - 1
-        return known[feature]
+SIMHASH_CHARS = 200_000
 
-    def one(text: str | None) -> int | None:
-        if text is None:
-            return None
-        s = "".join(text.lower().split())
-        found = [s[i : i + 2] for i in range(len(s) - 1)] if len(s) > 1 else [s] * len(s)
-        if not found:
-            return 0
-        return int(np.packbits(np.sum([votes(f) for f in found], 0) > 0).view(">i8")[0])
 
-    return texts.map(one).astype("Int64")
+@F.pandas_udf(T.LongType())
+def simhash64(texts: pd.Series) -> pd.Series:
+    """Signed 64-bit SimHash of the character pairs (with multiplicity) of the lower-cased text without white space."""
+    squeezed = [None if t is None else "".join(t.lower().split()) for t in texts]
+    out: list[int | None] = [None if t is None else 0 for t in squeezed]
+    part: list[int] = []
+    size = 0
+    full = [i for i, t in enumerate(squeezed) if t]
+    for i in full:
+        part.append(i)
+        size += len(squeezed[i])
+        if size >= SIMHASH_CHARS or i == full[-1]:
+            for k, h in zip(part, _simhash_slice([squeezed[k] for k in part]).tolist(), strict=True):
+                out[k] = h
+            part, size = [], 0
+    return pd.Series(out, index=texts.index, dtype="Int64")
 
 
 def same_segment(a: Column, b: Column, radius: int = 3) -> Column:
@@ -189,21 +207,30 @@ def same_segment(a: Column, b: Column, radius: int = 3) -> Column:
 
 
 def near_duplicate_segments(chunks: DataFrame, radius: int = 3, within_file: bool = True) -> DataFrame:
-    """Pairs (left, right, distance) of chunks (chunk_key, file_id, simhash) within a Hamming radius of at most 3.
+    """(chunk_key, class_key, n_links) of chunks (chunk_key, file_id, simhash): the first chunk with an equal fingerprint, and how many other
+    chunks lie within a Hamming radius of at most 3; in the same file, or anywhere.
 
-    Two such fingerprints agree on one of four 16-bit bands, so bands are the join keys.
+    Chunks of equal fingerprints are one class, so copies are never paired. Two fingerprints within the radius agree on one of four
+    16-bit bands; pairs of classes meet in the first band they share, and only their counts go on.
     """
     if radius > 3:
         raise ValueError("four bands find radii up to 3")
-    band = F.explode(F.array(*(F.struct(F.lit(k).alias("t"), F.shiftrightunsigned("simhash", 16 * k).bitwiseAND(0xFFFF).alias("v")) for k in range(4))))
-    keyed = chunks.select("chunk_key", "file_id", "simhash", band.alias("band"))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    same = (F.col("a.band") == F.col("b.band")) & (F.col("a.chunk_key") < F.col("b.chunk_key"))
-    if within_file:
-        same = (F.col("a.file_id") == F.col("b.file_id")) & same
-    distance = hamming(F.col("a.simhash"), F.col("b.simhash"))
-    pairs = a.join(b, same & (distance <= radius)).select(F.col("a.chunk_key").alias("left"), F.col("b.chunk_key").alias("right"), distance.alias("distance"))
-    return pairs.distinct()
+    place = F.col("file_id") if within_file else F.lit(0).cast("long")
+    known = chunks.select("chunk_key", place.alias("place"), "simhash")
+    classes = known.groupBy("place", "simhash").agg(F.min("chunk_key").alias("class_key"), F.count("*").alias("n"))
+    part = lambda c, k: F.shiftrightunsigned(c, 16 * k).bitwiseAND(0xFFFF)
+    band = F.explode(F.array(*(F.struct(F.lit(k).alias("t"), part("simhash", k).alias("v")) for k in range(4))))
+    a = classes.select("place", "simhash", band.alias("band"))
+    b = classes.select(F.col("place").alias("place_b"), F.col("simhash").alias("other"), F.col("n").alias("n_other"), band.alias("band_b"))
+    met = (F.col("place") == F.col("place_b")) & (F.col("band.t") == F.col("band_b.t")) & (F.col("band.v") == F.col("band_b.v"))
+    first = F.lit(True)
+    for k in range(3):  # not met in an earlier band
+        first = first & ((F.col("band.t") <= k) | (part("simhash", k) != part("other", k)))
+    near = (F.col("simhash") != F.col("other")) & (hamming(F.col("simhash"), F.col("other")) <= radius)
+    links = a.join(b, met & first & near).groupBy("place", "simhash").agg(F.sum("n_other").alias("near"))
+    of_class = classes.join(links, ["place", "simhash"], "left")
+    counted = of_class.select("place", "simhash", "class_key", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+    return known.join(counted, ["place", "simhash"]).select("chunk_key", "class_key", "n_links")
 
 
 def hash_embedding(dim: int):

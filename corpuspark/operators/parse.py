@@ -100,11 +100,14 @@ class _Blocks(HTMLParser):
         if tag in ("script", "style"):
             self.hidden += 1
         elif tag in self.KINDS:
-            if tag != "table":  # these end an open paragraph, and an item ends an open item
-                self.open = [b for b in self.open if b["tag"] != "p" and not (tag == "li" and b["tag"] == "li")]
+            if tag != "table":  # these end an open paragraph, and an item the item before it, within the same list or cell
+                self._close_within(("p", "li") if tag == "li" else ("p",))
             block = {"tag": tag, "words": [], "rows": []}
             self.found.append(block)
             self.open.append(block)
+        elif tag in ("ul", "ol"):
+            self._close_within(("p",))
+            self.open.append({"tag": tag, "words": []})  # holds no text of its own: items outside it stay open
         elif tag == "tr":
             for b in self._tables():
                 b["rows"].append([])
@@ -119,10 +122,10 @@ class _Blocks(HTMLParser):
             self.hidden = max(0, self.hidden - 1)
         elif tag in ("td", "th"):
             self.cell = None
-        elif tag in self.KINDS:
+        elif tag in (*self.KINDS, "ul", "ol"):
             for i in range(len(self.open) - 1, -1, -1):
                 if self.open[i]["tag"] == tag:
-                    del self.open[i]
+                    del self.open[i:]  # and what is still open in it
                     break
 
     def handle_data(self, data):
@@ -133,6 +136,14 @@ class _Blocks(HTMLParser):
         if self.cell is not None:
             self.cell.append(data.strip())
 
+    def _close_within(self, tags):
+        """Close open blocks of these kinds and what they hold, back to the list or table around them."""
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i]["tag"] in ("ul", "ol", "table"):
+                break
+            if self.open[i]["tag"] in tags:
+                del self.open[i:]
+
     def _tables(self):
         return [b for b in self.open if b["tag"] == "table"]
 

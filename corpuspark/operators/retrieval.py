@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuspark.functions.expr import bigrams, cosine, dot, hamming, norm, strip, tokens
+from corpuspark.operators.chunk import simhash64
 from corpuspark.sources.staging import staged
 
 DIGITS = 6  # scores are rounded before ranking, so that ties are ties on every engine
@@ -18,10 +19,17 @@ def _by_rank(score: str = "score", *ties: str) -> Window:
     return Window.partitionBy("query_id").orderBy(F.desc(score), *ties)
 
 
+def _first(rows: DataFrame, order: Window, k: int) -> DataFrame:
+    """The first ``k`` rows of each query with their ``rank`` from 0. The row number is compared as it is, so that Spark cuts each task's rows
+    to ``k`` a query before it shuffles them."""
+    nth = rows.drop("rank").withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= k)
+    return nth.withColumn("rank", F.col("_nth") - 1).drop("_nth")
+
+
 def lexical_overlap(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """(query_id, doc_key, overlap): the share of a query's distinct tokens that the document has. Pairs without a common token have no row.
 
-    An equi-join on tokens; the queries' tokens are few, so Spark may broadcast them.
+    An equi-join on tokens; where the queries' tokens are few Spark broadcasts them by itself.
     """
     q = queries.select("query_id", F.array_distinct(tokens(F.col("query_text"))).alias("t")).where(F.size("t") > 0)
     asked = q.select("query_id", F.size("t").alias("n"), F.explode("t").alias("token"))
@@ -30,47 +38,53 @@ def lexical_overlap(queries: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def bm25_score(queries: DataFrame, docs: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, doc_key, bm25) by Okapi BM25 with the smoothed inverse document frequency."""
+    """(query_id, doc_key, bm25) by Okapi BM25 with the smoothed inverse document frequency. Only tokens that some query asks for are counted."""
     terms = docs.select("doc_key", tokens(F.col("content")).alias("t"))
     sizes = terms.agg(F.count("*").alias("n_docs"), F.avg(F.size("t")).alias("mean"))
-    tf = terms.select("doc_key", F.size("t").alias("size"), F.explode("t").alias("token")).groupBy("doc_key", "size", "token").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("token").agg(F.count("*").alias("df"))
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query_text")))).alias("token"))
+    had = terms.select("doc_key", F.size("t").alias("size"), F.explode("t").alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
+    tf = staged(had.groupBy("doc_key", "size", "token").agg(F.count("*").alias("tf")), "postings")
+    df = tf.groupBy("token").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean")))
     scored = asked.join(df, "token").join(tf, "token").crossJoin(F.broadcast(sizes))  # one row
     return scored.groupBy("query_id", "doc_key").agg(F.round(F.sum(part), DIGITS).alias("bm25"))
 
 
-def vector_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(query_id, doc_key, similarity) of every query against every document of its tenant: a stated, small query set in one pass.
+def _similarity(pairs: DataFrame, *columns: str) -> DataFrame:
+    """Cosine of q_vec and embedding, 0 where a norm is 0; the norms are taken before, once for each vector."""
+    norms = F.col("q_norm") * F.col("norm")
+    cosine_ = F.when(norms == 0, 0.0).otherwise(dot(F.col("q_vec"), F.col("embedding")) / norms)
+    return pairs.select(*columns, F.round(cosine_, DIGITS).alias("similarity"))
 
-    Cosine, 0 where a norm is 0; norms are taken once for each vector, not for each pair.
-    """
+
+def vector_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """(query_id, doc_key, similarity) of every query against every document of its tenant."""
     asked = queries.select("query_id", "tenant_id", "q_vec", norm(F.col("q_vec")).alias("q_norm"))
-    pairs = docs.withColumn("norm", norm(F.col("embedding"))).join(F.broadcast(asked), "tenant_id")
-    norms = F.col("q_norm") * F.col("norm")
-    similarity = F.when(norms == 0, 0.0).otherwise(dot(F.col("q_vec"), F.col("embedding")) / norms)
-    return pairs.select("query_id", "doc_key", F.round(similarity, DIGITS).alias("similarity"))
+    pairs = docs.withColumn("norm", norm(F.col("embedding"))).join(asked, "tenant_id")
+    return _similarity(pairs, "query_id", "doc_key")
 
 
 def knn_topk(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """The ``k`` most similar documents of each query, exactly; ``docs`` is filtered beforehand."""
-    nth = F.row_number().over(_by_rank("similarity", "doc_key"))
-    return vector_scores(queries, docs).withColumn("rank", nth - 1).where(F.col("rank") < k)
+    return _first(vector_scores(queries, docs), _by_rank("similarity", "doc_key"), k)
 
 
 def hybrid_search(queries: DataFrame, docs: DataFrame, allowed: DataFrame, n: int = 24) -> DataFrame:
-    """Hits by lexical overlap plus cosine among the available documents (doc_key, file_id, tenant_id, content, embedding) of allowed files.
+    """Hits by lexical overlap plus cosine among documents (doc_key, file_id, tenant_id, content, embedding, available, sensitivity): those of
+    files that the query may read (query_id, tenant_id, file_id, clearance), available, and no more sensitive than its clearance.
 
     Documents without any common token still compete with their vector score.
     """
-    mine = docs.join(allowed, ["tenant_id", "file_id"], "left_semi")
-    asked = queries.select("query_id", "query_text", "tenant_id")
-    text = lexical_overlap(asked, mine)
-    both = vector_scores(queries, mine).join(text, ["query_id", "doc_key"], "left")
-    scored = both.withColumn("score", F.round(F.col("similarity") + F.coalesce("overlap", F.lit(0.0)), DIGITS))
-    top = scored.withColumn("rank", F.row_number().over(_by_rank("score", "doc_key")) - 1).where(F.col("rank") < n)
+    files = allowed.select("tenant_id", "file_id").distinct()
+    mine = docs.where("available = 1").join(files, ["tenant_id", "file_id"], "left_semi")
+    vectors = mine.select("doc_key", "file_id", "tenant_id", "sensitivity", "embedding", norm(F.col("embedding")).alias("norm"))
+    asked = queries.select("query_id", "q_vec", norm(F.col("q_vec")).alias("q_norm"))
+    readable = vectors.join(allowed, ["tenant_id", "file_id"]).where("sensitivity <= clearance").join(asked, "query_id")
+    near = _similarity(readable, "query_id", "doc_key")
+    text = lexical_overlap(queries.select("query_id", "query_text"), mine)
+    scored = near.join(text, ["query_id", "doc_key"], "left").withColumn("score", F.round(F.col("similarity") + F.coalesce("overlap", F.lit(0.0)), DIGITS))
+    top = _first(scored, _by_rank("score", "doc_key"), n)
     return top.join(mine.select("doc_key", "file_id", "content"), "doc_key").select("query_id", "rank", F.col("doc_key").alias("chunk_key"), "file_id", "content", "score")
 
 
@@ -84,8 +98,11 @@ def select_center(wanted: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def relocate_anchor(anchors: DataFrame, chunks: DataFrame, radius: int = 8) -> DataFrame:
-    """(summary_key, chunk_key, distance): the visible chunk of the same file whose fingerprint is nearest, within the radius."""
-    pairs = anchors.select("summary_key", "file_id", F.col("simhash").alias("wanted")).join(chunks.select("file_id", "chunk_key", "simhash"), "file_id")
+    """(summary_key, chunk_key, distance): the visible chunk of the same file whose fingerprint is nearest, within the radius. Only chunks of
+    files that have an anchor here are fingerprinted."""
+    near_by = chunks.select("file_id", "chunk_key", "content").join(anchors.select("file_id").distinct(), "file_id", "left_semi")
+    near_by = near_by.select("file_id", "chunk_key", simhash64("content").alias("simhash"))
+    pairs = anchors.select("summary_key", "file_id", F.col("simhash").alias("wanted")).join(near_by, "file_id")
     near = pairs.withColumn("distance", hamming(F.col("wanted"), F.col("simhash"))).where(F.col("distance") <= radius)
     return near.groupBy("summary_key").agg(F.min(F.struct("distance", "chunk_key")).alias("m")).select("summary_key", "m.chunk_key", "m.distance")
 
@@ -132,7 +149,7 @@ def soft_gate(centers: DataFrame, vectors: DataFrame, theta: float = 0.2, before
 
 
 def summary_search(queries: DataFrame, summaries: DataFrame, allowed: DataFrame, k: int = 5) -> DataFrame:
-    """The best summaries of each query, scored like other documents."""
+    """The best summaries of each query, found and filtered like other documents."""
     return hybrid_search(queries, summaries, allowed, k)
 
 
@@ -154,9 +171,12 @@ def path_a(queries, summaries, sources, anchors, chunks, vectors, allowed, k: in
     hits = hits.join(summaries.select(F.col("doc_key").alias("summary_key"), "coverage_ratio"), "summary_key")
     hits = hits.select("query_id", "rank", "chunk_key", "file_id", F.col("window_text").alias("content"), "score", weight.alias("weight"))
     state = resolved.join(passed, ["query_id", "summary_key"], "left")
+    reading = allowed.select("query_id").distinct().withColumn("reads", F.lit(True))
     reason = F.when(F.coalesce("validity", F.lit("stale")) == "stale", "anchor_stale").when(F.col("span").isNull(), "relevance_fail")
     per_query = state.groupBy("query_id").agg(F.count("*").alias("total"), F.count("span").alias("completed"), F.array_join(F.array_sort(F.collect_set(reason)), ",").alias("why"))
-    return hits, queries.select("query_id").join(per_query, "query_id", "left").select("query_id", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("completed", F.lit(0)).alias("completed"), degraded_reason().alias("degraded"))
+    all_queries = queries.select("query_id").join(per_query, "query_id", "left").join(reading, "query_id", "left")
+    degraded = F.when(F.col("reads").isNull(), "no_files").otherwise(degraded_reason())
+    return hits, all_queries.select("query_id", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("completed", F.lit(0)).alias("completed"), degraded.alias("degraded"))
 
 
 def degraded_reason() -> Column:
@@ -208,26 +228,27 @@ def score_threshold(hits: DataFrame, threshold: float | None) -> DataFrame:
     return hits.where(F.col("score") >= threshold) if threshold else hits
 
 
-def post_verify(hits: DataFrame, queries: DataFrame, allowed: DataFrame, visible: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(kept, violations): hits must be visible chunks of the query's tenant in an allowed file; the ids of others are reported by query."""
-    good = visible.select("chunk_key", "file_id", "tenant_id").join(allowed, ["tenant_id", "file_id"], "left_semi").select("chunk_key", F.col("tenant_id").alias("owner"))
-    checked = hits.join(queries.select("query_id", "tenant_id"), "query_id").join(good, "chunk_key", "left")
-    ok = F.coalesce(F.col("owner") == F.col("tenant_id"), F.lit(False))
-    bad = checked.where(~ok).groupBy("query_id").agg(F.sort_array(F.collect_set("chunk_key")).alias("dropped"))
-    return checked.where(ok).drop("owner", "tenant_id"), bad
+def post_verify(hits: DataFrame, allowed: DataFrame, visible: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(kept, violations): hits must be visible chunks (chunk_key, file_id, tenant_id) of a file that the query may read (query_id, tenant_id,
+    file_id); the ids of others are reported by query."""
+    owned = hits.join(visible.select("chunk_key", F.col("file_id").alias("in_file"), F.col("tenant_id").alias("owner")), "chunk_key", "left")
+    may = allowed.select(F.col("query_id").alias("q"), F.col("tenant_id").alias("t"), F.col("file_id").alias("f")).distinct().withColumn("ok", F.lit(True))
+    checked = owned.join(may, (F.col("query_id") == F.col("q")) & (F.col("owner") == F.col("t")) & (F.col("in_file") == F.col("f")), "left")
+    bad = checked.where("ok IS NULL").groupBy("query_id").agg(F.sort_array(F.collect_set("chunk_key")).alias("dropped"))
+    return checked.where("ok").select(*hits.columns), bad
 
 
 def cut(hits: DataFrame, k: int) -> DataFrame:
     """The first ``k`` hits of each query by their present order."""
-    nth = F.row_number().over(Window.partitionBy("query_id").orderBy("rank")) - 1
-    return hits.withColumn("rank", nth).where(F.col("rank") < k)
+    ordered = hits.withColumn("_order", F.col("rank"))
+    return _first(ordered, Window.partitionBy("query_id").orderBy("_order"), k).drop("_order")
 
 
-def final_topk(hits: DataFrame, queries: DataFrame, allowed: DataFrame, visible: DataFrame, reranked: bool, k: int = 8) -> DataFrame:
+def final_topk(hits: DataFrame, allowed: DataFrame, visible: DataFrame, reranked: bool, k: int = 8) -> DataFrame:
     """Cut then verify; after a rerank verify then cut."""
     if reranked:
-        return cut(post_verify(hits, queries, allowed, visible)[0], k)
-    return post_verify(cut(hits, k), queries, allowed, visible)[0]
+        return cut(post_verify(hits, allowed, visible)[0], k)
+    return post_verify(cut(hits, k), allowed, visible)[0]
 
 
 def route_stats(queries: DataFrame, a: DataFrame, b: DataFrame, reasons: DataFrame) -> DataFrame:
@@ -276,12 +297,14 @@ def cite(requests: DataFrame, chunks: DataFrame, allowed: DataFrame) -> DataFram
 
 
 def search(queries, chunks, vectors, summaries, sources, anchors, allowed, mode: str = "hybrid", k: int = 8, scores: DataFrame | None = None, threshold: float | None = None, radius: int = 8) -> DataFrame:
-    """The composition: both paths (or one), fusion, optional rerank and threshold, verification, top k. Queries without allowed files have no rows."""
+    """The composition: both paths (or one), fusion, optional rerank and threshold, verification, top k. ``allowed`` is what each query may
+    read, as from ``access.authorised_files``; queries that may read nothing have no rows."""
     empty = queries.select("query_id", F.lit(0).alias("rank"), F.lit("").alias("chunk_key"), F.lit(0).cast("long").alias("file_id"), F.lit("").alias("content"), F.lit(0.0).alias("score")).where("false")
-    a = path_a(queries, summaries, sources, anchors, chunks, vectors, allowed, radius=radius)[0] if mode in ("hybrid", "summary") else empty
+    shown = vectors.where("available = 1")
+    a = path_a(queries, summaries, sources, anchors, chunks, shown, allowed, radius=radius)[0] if mode in ("hybrid", "summary") else empty
     docs = vectors.withColumnRenamed("chunk_key", "doc_key")
     b = hybrid_search(queries, docs, allowed) if mode in ("hybrid", "embedding") else empty
     merged = staged(rrf_merge(a, b), "merged")
     if scores is not None:
         merged = apply_rerank(merged, scores)
-    return final_topk(score_threshold(merged, threshold), queries, allowed, chunks, scores is not None, k)
+    return final_topk(score_threshold(merged, threshold), allowed, chunks, scores is not None, k)

@@ -91,10 +91,10 @@ def chat_outcome(error: Column, hits: Column) -> Column:
 
 
 def kb_listing(kbs: DataFrame, links: DataFrame, access: DataFrame) -> DataFrame:
-    """For each user and accessible base: its number of documents and the user's role."""
+    """For each principal and accessible base of the tenant: its number of documents and the role there."""
     n = links.groupBy("kb_id").agg(F.countDistinct("file_id").alias("documents"))
     listed = access.join(kbs.select("kb_id", "name", F.col("tenant_id").alias("kb_tenant")), "kb_id").where("kb_tenant = tenant_id")
-    return listed.join(n, "kb_id", "left").select("user_id", "kb_id", "name", "role", F.coalesce("documents", F.lit(0)).alias("documents"))
+    return listed.join(n, "kb_id", "left").select("user_id", "tenant_id", "kb_id", "name", "role", F.coalesce("documents", F.lit(0)).alias("documents"))
 
 
 def kb_documents(files: DataFrame, links: DataFrame) -> DataFrame:
@@ -130,9 +130,9 @@ def member_listing(users: DataFrame, access: DataFrame, department: str | None =
         rows = rows.where(F.col("department") == department)
     if group is not None:
         rows = rows.where(F.col("group_name") == group)
-    n = access.groupBy("user_id").agg(F.count("*").alias("kbs"))
+    n = access.groupBy("user_id", "tenant_id").agg(F.count("*").alias("kbs"))
     w = Window.partitionBy("tenant_id").orderBy(F.asc_nulls_last("department"), F.asc_nulls_last("group_name"), "user_id")
-    return rows.join(n, "user_id", "left").select(
+    return rows.join(n, ["user_id", "tenant_id"], "left").select(
         "tenant_id", "user_id", "role", "department", "group_name", F.coalesce("kbs", F.lit(0)).alias("kbs"), F.row_number().over(w).alias("nth")
     )
 

@@ -14,10 +14,13 @@ MAX_ATTEMPTS = 3
 
 
 def dedupe_upload(files: DataFrame) -> DataFrame:
-    """Each file of a tenant with the first file of equal content: (file_id, tenant_id, kept_id, reused)."""
-    w = Window.partitionBy("tenant_id", F.sha2("content", 256)).orderBy("created_date", "file_id")
-    first = F.first("file_id").over(w)
-    return files.select("file_id", "tenant_id", first.alias("kept_id"), (first != F.col("file_id")).alias("reused"))
+    """Each file of a tenant with the first file of equal content: (file_id, tenant_id, kept_id, reused). The first is an aggregate, so that
+    the many copies of one content are never sorted together."""
+    hashed = files.select("file_id", "tenant_id", "created_date", F.sha2("content", 256).alias("hash"))
+    first = hashed.groupBy("tenant_id", "hash").agg(F.min(F.struct("created_date", "file_id")).alias("first"))
+    kept = first.select(F.col("tenant_id").alias("t"), F.concat("hash", F.lit("")).alias("h"), F.col("first.file_id").alias("kept_id"))
+    joined = hashed.join(kept, F.col("tenant_id").eqNullSafe(F.col("t")) & F.col("hash").eqNullSafe(F.col("h")))
+    return joined.select("file_id", "tenant_id", "kept_id", (F.col("kept_id") != F.col("file_id")).alias("reused"))
 
 
 def next_version(files: DataFrame, versions: DataFrame) -> DataFrame:
@@ -68,30 +71,48 @@ def publish(chunks: DataFrame, targets: DataFrame, pending: DataFrame) -> tuple[
 
 
 def visible_chunks(chunks: DataFrame, active: DataFrame) -> DataFrame:
-    """Chunks of each file's active version only, with the file's tenant."""
+    """Chunks of each file's active version only, with the file's tenant. Where chunks say whether they are ``available``, only those are."""
+    if "available" in chunks.columns:
+        chunks = chunks.where("available = 1")
     return chunks.join(active.select("file_id", "tenant_id", F.col("active_version").alias("version")), ["file_id", "version"])
 
 
-def apply_change_log(events: DataFrame) -> DataFrame:
-    """Fold events (seq, doc_key, event_type, available) to the documents of the index (doc_key, indexed_seq, available).
+def change_state(events: DataFrame) -> DataFrame:
+    """What a fold of change events (seq, doc_key, event_type, available) has to know of each document. States of parts of a log merge."""
+    at = lambda kind: F.when(F.col("event_type") == kind, F.col("seq"))
+    return events.groupBy("doc_key").agg(
+        F.max(at("index")).alias("indexed"),
+        F.max(at("delete")).alias("deleted"),
+        F.max(at("set_available")).alias("set_at"),
+        F.max_by("available", at("set_available")).alias("set_to"),
+        F.max_by("available", at("index")).alias("indexed_as"),
+    )
 
-    A document is there if an ``index`` follows its last ``delete``; its last ``set_available`` since then counts, else what was indexed.
-    """
-    at = lambda kind: F.max(F.when(F.col("event_type") == kind, F.col("seq")))
-    is_set, is_index = F.col("event_type") == "set_available", F.col("event_type") == "index"
-    last = events.groupBy("doc_key").agg(
-        at("index").alias("indexed"),
-        at("delete").alias("deleted"),
-        at("set_available").alias("set_at"),
-        F.max_by("available", F.when(is_set, F.col("seq"))).alias("set_to"),
-        F.max_by("available", F.when(is_index, F.col("seq"))).alias("indexed_as"),
+
+def merge_states(states: DataFrame) -> DataFrame:
+    """One state for each document of several, in any order; a state that is merged twice changes nothing."""
+    return states.groupBy("doc_key").agg(
+        F.max("indexed").alias("indexed"),
+        F.max("deleted").alias("deleted"),
+        F.max("set_at").alias("set_at"),
+        F.max_by("set_to", "set_at").alias("set_to"),
+        F.max_by("indexed_as", "indexed").alias("indexed_as"),
     )
-    there = last.where("indexed IS NOT NULL AND indexed > coalesce(deleted, -1)")
-    # A switch after the last delete holds even if the document was indexed again without one.
+
+
+def indexed_documents(state: DataFrame) -> DataFrame:
+    """The documents of the index (doc_key, indexed_seq, available): those with an ``index`` after their last ``delete``. A document's last
+    ``set_available`` since it was indexed counts, else what was indexed."""
+    there = state.where("indexed IS NOT NULL AND indexed > coalesce(deleted, -1)")
     available = F.when(F.col("set_at") > F.col("indexed"), F.col("set_to")).otherwise(F.coalesce("indexed_as", F.lit(0)))
     return there.select("doc_key", F.col("indexed").alias("indexed_seq"), available.cast("int").alias("available"))
 
 
+def apply_change_log(events: DataFrame) -> DataFrame:
+    """Fold events (seq, doc_key, event_type, available) to the documents of the index (doc_key, indexed_seq, available)."""
+    return indexed_documents(change_state(events))
+
+
 def write_index(state: DataFrame, path: str) -> None:
     """Replace the index table at ``path``; running it again changes nothing."""
     state.write.mode("overwrite").parquet(path)

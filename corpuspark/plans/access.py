@@ -9,14 +9,19 @@ from corpuspark.sources.views import AS_OF
 
 RANK = "CASE {} WHEN 'viewer' THEN 1 WHEN 'editor' THEN 2 WHEN 'admin' THEN 3 WHEN 'owner' THEN 4 ELSE 0 END"
 ROLE = "CASE {} WHEN 1 THEN 'viewer' WHEN 2 THEN 'editor' WHEN 3 THEN 'admin' WHEN 4 THEN 'owner' END"
-FOLDED = """folded AS (SELECT user_id, kb_id, arg_max(role, seq) FILTER (op = 'grant') AS role, arg_max(struct_pack(d := expires_date), seq) FILTER (op = 'grant') AS x,
-  count(*) FILTER (op = 'grant') AS n, arg_max(struct_pack(op := op, d := event_date), seq) AS last FROM {v_grant_event} GROUP BY 1, 2),
+FOLDED = """folded AS (SELECT user_id, kb_id, arg_max(role, seq) FILTER (op <> 'revoke') AS role, arg_max(struct_pack(d := expires_date), seq) FILTER (op = 'grant') AS x,
+  count(*) FILTER (op <> 'revoke') AS n, arg_max(struct_pack(op := op, d := event_date), seq) AS last FROM {v_grant_event} GROUP BY 1, 2),
 grants AS (SELECT user_id, kb_id, role, x.d AS expires_date, CASE WHEN last.op = 'revoke' THEN last.d END AS revoked_date FROM folded WHERE n > 0)"""
 ACTIVE = FOLDED + f""", active AS (SELECT * FROM grants WHERE revoked_date IS NULL AND (expires_date IS NULL OR expires_date > DATE '{AS_OF[:10]}'))"""
-BASES = f"""ranks AS (SELECT u.user_id, k.kb_id, {RANK.format("u.role")} AS r FROM {{v_user}} u JOIN {{v_kb}} k ON k.tenant_id = u.tenant_id WHERE u.role IN ('owner', 'admin')
-  UNION ALL SELECT u.user_id, k.kb_id, 1 FROM {{v_user}} u JOIN {{v_kb}} k ON k.tenant_id = u.tenant_id WHERE u.role = 'editor' AND k.visibility IN ('team', 'tenant'))"""
-ACCESS = f"""{ACTIVE}, {BASES}, access AS (SELECT a.user_id, u.tenant_id, a.kb_id, {ROLE.format("max(r)")} AS role
-  FROM (SELECT * FROM ranks UNION ALL SELECT user_id, kb_id, {RANK.format("role")} FROM active) a JOIN {{v_user}} u ON u.user_id = a.user_id GROUP BY 1, 2, 3)"""
+BASES = f"""ranks AS (SELECT u.user_id, u.tenant_id, k.kb_id, {RANK.format("u.role")} AS r FROM {{who}} u JOIN {{v_kb}} k ON k.tenant_id = u.tenant_id WHERE u.role IN ('owner', 'admin')
+  UNION ALL SELECT u.user_id, u.tenant_id, k.kb_id, 1 FROM {{who}} u JOIN {{v_kb}} k ON k.tenant_id = u.tenant_id WHERE u.role = 'editor' AND k.visibility IN ('team', 'tenant'))"""
+WHO = "who AS (SELECT a.user_id, a.tenant_id, coalesce(m.role, 'viewer') AS role FROM {v_actor} a LEFT JOIN {v_member} m ON m.user_id = a.user_id AND m.tenant_id = a.tenant_id)"
+ACCESS = f"""{ACTIVE}, {WHO}, {BASES.replace("{who}", "who")}, access AS (SELECT user_id, tenant_id, kb_id, {ROLE.format("max(r)")} AS role
+  FROM (SELECT * FROM ranks UNION ALL SELECT w.user_id, w.tenant_id, kb_id, {RANK.format("g.role")} FROM active g JOIN who w ON w.user_id = g.user_id) GROUP BY 1, 2, 3)"""
+
+
+def who_of(v):
+    return access.principals(v.v_actor, v.v_member)
 
 
 def grants_of(v):
@@ -30,22 +35,22 @@ def a1(v):
 
 @query("a2_resolve_access", f"WITH {ACCESS} SELECT * FROM access")
 def a2(v):
-    return access.resolve_access(v.v_user, v.v_kb, grants_of(v))
+    return access.resolve_access(who_of(v), v.v_kb, grants_of(v))
 
 
 CLEARED = f"""cleared AS (SELECT user_id, tenant_id, greatest(CASE WHEN role IN ('owner', 'admin', 'editor') THEN {RANK.format("role")} ELSE 0 END, coalesce(g, 0)) AS clearance
-  FROM {{v_user}} LEFT JOIN (SELECT user_id, max({RANK.format("role")}) AS g FROM active GROUP BY 1) USING (user_id))"""
+  FROM who LEFT JOIN (SELECT user_id, max({RANK.format("role")}) AS g FROM active GROUP BY 1) USING (user_id))"""
 
 
-@query("a3_clearance", f"WITH {ACTIVE}, {CLEARED} SELECT * FROM cleared")
+@query("a3_clearance", f"WITH {ACTIVE}, {WHO}, {CLEARED} SELECT * FROM cleared")
 def a3(v):
-    return access.clearance(v.v_user, grants_of(v))
+    return access.clearance(who_of(v), grants_of(v))
 
 
-@query("a4_permissions", f"WITH {ACCESS} SELECT user_id, kb_id, role IN ('editor', 'admin', 'owner') AS can_write, role IN ('admin', 'owner') AS is_admin FROM access")
+@query("a4_permissions", f"WITH {ACCESS} SELECT user_id, tenant_id, kb_id, role IN ('editor', 'admin', 'owner') AS can_write, role IN ('admin', 'owner') AS is_admin FROM access")
 def a4(v):
-    found = access.resolve_access(v.v_user, v.v_kb, grants_of(v))
-    return found.select("user_id", "kb_id", access.can_write(F.col("role")).alias("can_write"), access.is_kb_admin(F.col("role")).alias("is_admin"))
+    found = access.resolve_access(who_of(v), v.v_kb, grants_of(v))
+    return found.select("user_id", "tenant_id", "kb_id", access.can_write(F.col("role")).alias("can_write"), access.is_kb_admin(F.col("role")).alias("is_admin"))
 
 
 FILES = """files AS (SELECT DISTINCT a.user_id, a.tenant_id, l.file_id FROM access a JOIN {v_kb} k ON k.kb_id = a.kb_id AND k.tenant_id = a.tenant_id
@@ -54,24 +59,24 @@ FILES = """files AS (SELECT DISTINCT a.user_id, a.tenant_id, l.file_id FROM acce
 
 @query("a5_allowed_files", f"WITH {ACCESS}, {FILES} SELECT user_id, tenant_id, count(*) AS files, sum(file_id)::BIGINT AS ids FROM files GROUP BY 1, 2")
 def a5(v):
-    files = access.allowed_files(access.resolve_access(v.v_user, v.v_kb, grants_of(v)), v.v_kb, v.v_file_kb)
+    files = access.allowed_files(access.resolve_access(who_of(v), v.v_kb, grants_of(v)), v.v_kb, v.v_file_kb)
     return files.groupBy("user_id", "tenant_id").agg(F.count("*").alias("files"), F.sum("file_id").alias("ids"))
 
 
 @query(
     "a6_sensitivity_filter",
-    f"""WITH {ACCESS}, {FILES}, {CLEARED} SELECT f.user_id, count(*) AS files FROM files f JOIN {{v_sensitivity}} s ON s.file_id = f.file_id
-JOIN cleared c ON c.user_id = f.user_id WHERE sensitivity <= clearance GROUP BY 1""",
+    f"""WITH {ACCESS}, {FILES}, {CLEARED} SELECT f.user_id, f.tenant_id, count(*) AS files FROM files f JOIN {{v_sensitivity}} s ON s.file_id = f.file_id
+JOIN cleared c ON c.user_id = f.user_id AND c.tenant_id = f.tenant_id WHERE sensitivity <= clearance GROUP BY 1, 2""",
 )
 def a6(v):
     grants = grants_of(v)
-    files = access.allowed_files(access.resolve_access(v.v_user, v.v_kb, grants), v.v_kb, v.v_file_kb)
-    return access.sensitivity_filter(files, v.v_sensitivity, access.clearance(v.v_user, grants)).groupBy("user_id").agg(F.count("*").alias("files"))
+    files = access.allowed_files(access.resolve_access(who_of(v), v.v_kb, grants), v.v_kb, v.v_file_kb)
+    return access.sensitivity_filter(files, v.v_sensitivity, access.clearance(who_of(v), grants)).groupBy("user_id", "tenant_id").agg(F.count("*").alias("files"))
 
 
 @query(
     "a7_effective_kbs",
-    f"""WITH {ACTIVE}, {BASES}, d AS (SELECT user_id, kb_id, {ROLE.format("max(r)")} AS derived FROM ranks GROUP BY 1, 2),
+    f"""WITH {ACTIVE}, {BASES.replace("{who}", "{v_user}")}, d AS (SELECT user_id, kb_id, {ROLE.format("max(r)")} AS derived FROM ranks GROUP BY 1, 2),
 g AS (SELECT user_id, kb_id, role AS granted FROM active WHERE user_id IN (SELECT user_id FROM {{v_user}}))
 SELECT user_id, kb_id, coalesce(granted, derived) AS role, CASE WHEN granted IS NULL THEN 'role' WHEN derived IS NULL THEN 'grant' ELSE 'raised' END AS source,
   granted IS NOT NULL AS can_revoke FROM d FULL JOIN g USING (user_id, kb_id)""",

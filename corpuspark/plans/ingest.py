@@ -1,5 +1,8 @@
 """Queries of parsing and chunking."""
 
+import hashlib
+from functools import cache
+
 from pyspark.sql import functions as F
 
 from corpuspark.functions.expr import hamming, hex_to_signed, signed_to_hex
@@ -16,14 +19,40 @@ def markdown(v):
     return v.v_markdown.groupBy("file_id").agg(F.array_join(line, "\n").alias("text"))
 
 
-def fingerprint(text):
-    """15 hex digits of a SHA-256 as a long: a stand-in for a SimHash that SQL can state as well."""
-    return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
+#: The characters of the given tables that aren't white space, lower-cased, and more that may come.
+ALPHABET = "".join(chr(c) for c in range(33, 127) if not 65 <= c <= 90) + "ßàáâäåæçèéêëìíîïñòóôöøùúûüœ"
+
+
+@cache
+def _pair_hashes() -> str:
+    """The hash that the definition gives each pair of the alphabet, and each character of its own, in hexadecimal digits."""
+    pairs = [a + b for a in ALPHABET for b in ALPHABET] + list(ALPHABET)
+    return b"".join(hashlib.blake2b(p.encode(), digest_size=8).digest() for p in pairs).hex()
+
+
+def simhash_sql(table: str, key: str, text: str, name: str) -> str:
+    """Common table expressions that end in ``name`` (key, h): the 64-bit SimHash of each row's text, counted bit by bit."""
+    n = len(ALPHABET)
+    sign = "-9223372036854775808"
+    votes = ", ".join(f"sum(CASE WHEN (h >> {k}) & 1 = 1 THEN n ELSE -n END) AS b{k}" for k in range(64))
+    value = " + ".join(f"CASE WHEN b{k} > 0 THEN {1 << k if k < 63 else sign} ELSE 0 END" for k in range(64))
+    quoted = ALPHABET.replace("'", "''")
+    return f"""{name}_p AS (SELECT CASE WHEN i < {n * n} THEN substr(a, i // {n} + 1, 1) || substr(a, i % {n} + 1, 1) ELSE substr(a, i - {n * n} + 1, 1) END AS f,
+  CAST('0x' || substr(d, 16 * i + 1, 16) AS UBIGINT) AS h FROM (SELECT CAST(i AS INT) AS i, '{quoted}' AS a, '{_pair_hashes()}' AS d FROM range({n * n + n}) t(i))),
+{name}_s AS (SELECT {key} AS k, regexp_replace(lower({text}), '\\s+', '', 'g') AS s FROM {table}),
+{name}_f AS (SELECT k, f, count(*) AS n FROM (SELECT k, unnest(list_transform(range(1, greatest(len(s), 2)), lambda i: substr(s, i, 2))) AS f FROM {name}_s) WHERE f <> '' GROUP BY 1, 2),
+{name}_b AS (SELECT k, {votes} FROM {name}_f JOIN {name}_p USING (f) GROUP BY 1),
+{name} AS (SELECT s.k AS {key}, coalesce(CAST({value} AS BIGINT), 0) AS h FROM {name}_s s LEFT JOIN {name}_b b ON b.k = s.k)"""
 
 
 FINGERPRINT = "CAST(concat('0x', substr(sha256({}), 1, 15)) AS BIGINT)"
 
 
+def fingerprint(text):
+    """15 hex digits of a SHA-256 as a long: arbitrary bits, to measure distances of."""
+    return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
+
+
 @query("s1_read_corpus", "SELECT file_id, name, strlen(content) AS size_bytes, sha256(content) AS digest FROM {v_file}")
 def s1(v):
     return v.v_file.select("file_id", "name", F.octet_length("content").cast("long").alias("size_bytes"), F.sha2("content", 256).alias("digest"))
@@ -141,7 +170,11 @@ def c8(v):
     return v.v_line.select("file_id", "chunk_order", chunk.content_hash(F.col("content")).alias("hash"))
 
 
-@query("c9_simhash64")
+@query(
+    "c9_simhash64",
+    f"""WITH t AS (SELECT file_id || ':' || chunk_order AS k0, file_id, chunk_order, content FROM {{v_line}}), {simhash_sql("t", "k0", "content", "sh")}
+SELECT file_id, chunk_order, h AS simhash FROM t JOIN sh USING (k0)""",
+)
 def c9(v):
     return v.v_line.select("file_id", "chunk_order", chunk.simhash64("content").alias("simhash"))
 
@@ -158,17 +191,15 @@ def c10(v):
     return rows.select("file_id", "chunk_order", hamming(back, g).cast("byte").alias("distance"), chunk.same_segment(f, g, 24).alias("near"), signed_to_hex(f).alias("digits"))
 
 
-def fingerprinted(v):
-    return v.v_chunk_v1.select("chunk_key", "file_id", fingerprint(F.lower("content")).alias("simhash"))
-
-
 @query(
     "c11_near_duplicate_segments",
-    f"""WITH f AS (SELECT chunk_key, file_id, {FINGERPRINT.format("lower(content)")} AS h FROM {{v_chunk_v1}})
-SELECT a.chunk_key AS "left", b.chunk_key AS "right", bit_count(xor(a.h, b.h)) AS distance FROM f a JOIN f b ON a.file_id = b.file_id AND a.chunk_key < b.chunk_key WHERE bit_count(xor(a.h, b.h)) <= 3""",
+    f"""WITH t AS (SELECT chunk_key, content FROM {{v_chunk_v1}}), {simhash_sql("t", "chunk_key", "content", "sh")},
+f AS (SELECT c.file_id, c.chunk_key, h FROM {{v_chunk_v1}} c JOIN sh USING (chunk_key)),
+n AS (SELECT a.chunk_key, count(*) - 1 AS n_links FROM f a JOIN f b ON a.file_id = b.file_id AND bit_count(xor(a.h, b.h)) <= 3 GROUP BY 1)
+SELECT f.chunk_key, min(f.chunk_key) OVER (PARTITION BY file_id, h) AS class_key, n_links FROM f JOIN n USING (chunk_key)""",
 )
 def c11(v):
-    return chunk.near_duplicate_segments(fingerprinted(v)).withColumn("distance", F.col("distance").cast("byte"))
+    return chunk.near_duplicate_segments(v.v_chunk_v1.select("chunk_key", "file_id", chunk.simhash64("content").alias("simhash")))
 
 
 @query(

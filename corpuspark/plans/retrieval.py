@@ -1,33 +1,41 @@
 """Queries of the retrieval."""
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from corpuspark.functions.expr import cosine, tokens
 from corpuspark.operators import access, retrieval, versions
-from corpuspark.plans.access import ACCESS, FILES, grants_of
+from corpuspark.operators.chunk import simhash64
+from corpuspark.plans.access import ACCESS, CLEARED, FILES, grants_of, who_of
 from corpuspark.plans.base import query
-from corpuspark.plans.ingest import FINGERPRINT, fingerprint
+from corpuspark.plans.ingest import simhash_sql
 from corpuspark.sources.staging import staged
 
-RADIUS = 24  # for the stand-in fingerprints, which don't keep likeness
+RADIUS = 8
 TOKENS = r"list_distinct(list_filter(string_split_regex(lower({}), '[\s,，。.;；:：!！?？()（）\[\]]+'), lambda t: t <> ''))"
-Q = "q AS (SELECT query_id, query_text, tenant_id, q_vec::DOUBLE[] AS qv FROM {v_query})"
-DOCS = """docs AS (SELECT c.chunk_key AS doc_key, c.file_id, c.file_id % 4 AS tenant_id, chunk_order, content, embedding::DOUBLE[] AS v
-  FROM (SELECT * FROM {v_chunk_v1} UNION ALL SELECT * FROM {v_chunk_v2}) c JOIN {v_active} a ON a.file_id = c.file_id AND c.version = a.active_version
-  JOIN {embeddings} e ON e.vec_id = (c.file_id * 31 + c.chunk_order) % 500)"""
-SUMMARIES = """sums AS (SELECT summary_key AS doc_key, s.file_id, s.file_id % 4 AS tenant_id, summary_text AS content, coverage_ratio, embedding::DOUBLE[] AS v
-  FROM {v_summary} s JOIN {embeddings} e ON e.vec_id = (s.file_id * 13) % 500)"""
-ALLOWED = "allowed AS (SELECT DISTINCT k.tenant_id, l.file_id FROM {v_file_kb} l JOIN {v_kb} k ON k.kb_id = l.kb_id WHERE k.visibility <> 'me')"
+Q = "q AS (SELECT query_id, query_text, user_id, tenant_id, q_vec::DOUBLE[] AS qv FROM {v_query})"
+DOCS = """docs AS (SELECT c.chunk_key AS doc_key, c.file_id, c.file_id % 4 AS tenant_id, c.chunk_order, content, embedding::DOUBLE[] AS v, s.available, coalesce(sensitivity, 0) AS sensitivity
+  FROM (SELECT *, (file_id * 31 + chunk_order) % n_vectors AS slot FROM (SELECT * FROM {v_chunk_v1} UNION ALL SELECT * FROM {v_chunk_v2}) CROSS JOIN {v_size}) c
+  JOIN {v_active} a ON a.file_id = c.file_id AND c.version = a.active_version JOIN {embeddings} e ON e.vec_id = slot
+  JOIN {v_shown} s ON s.file_id = c.file_id AND s.chunk_order = c.chunk_order AND s.version = c.version
+  LEFT JOIN (SELECT DISTINCT * FROM {v_sensitivity}) l ON l.file_id = c.file_id)"""
+SUMMARIES = """sums AS (SELECT summary_key AS doc_key, s.file_id, s.file_id % 4 AS tenant_id, summary_text AS content, coverage_ratio, embedding::DOUBLE[] AS v,
+  CASE WHEN s.file_id % 31 = 3 THEN 0 ELSE 1 END AS available, coalesce(sensitivity, 0) AS sensitivity
+  FROM (SELECT *, (file_id * 13) % n_vectors AS slot FROM {v_summary} CROSS JOIN {v_size}) s JOIN {embeddings} e ON e.vec_id = slot
+  LEFT JOIN (SELECT DISTINCT * FROM {v_sensitivity}) l ON l.file_id = s.file_id)"""
+ALLOWED = f"""{ACCESS}, {FILES}, {CLEARED},
+allowed AS (SELECT q.query_id, q.tenant_id, f.file_id, c.clearance FROM q JOIN files f ON f.user_id = q.user_id AND f.tenant_id = q.tenant_id JOIN cleared c ON c.user_id = q.user_id AND c.tenant_id = q.tenant_id)"""
 
 
 def hybrid_sql(docs: str, name: str, n: int) -> str:
     """Common table expressions that end in ``name`` (query_id, rank, chunk_key, file_id, content, score)."""
-    return f"""{name}_mine AS (SELECT d.* FROM {docs} d SEMI JOIN allowed a ON a.tenant_id = d.tenant_id AND a.file_id = d.file_id),
-{name}_qt AS (SELECT query_id, len(t) AS n, unnest(t) AS token FROM (SELECT query_id, {TOKENS.format("query_text")} AS t FROM q) WHERE len(t) > 0),
-{name}_dt AS (SELECT doc_key, unnest({TOKENS.format("content")}) AS token FROM {name}_mine),
+    return f"""{name}_qt AS (SELECT query_id, len(t) AS n, unnest(t) AS token FROM (SELECT query_id, {TOKENS.format("query_text")} AS t FROM q) WHERE len(t) > 0),
+{name}_dt AS (SELECT doc_key, unnest({TOKENS.format("content")}) AS token FROM {docs}),
 {name}_lex AS (SELECT query_id, doc_key, round(count(*) / first(n), 6) AS overlap FROM {name}_dt JOIN {name}_qt USING (token) GROUP BY 1, 2),
 {name}_all AS (SELECT q.query_id, d.doc_key, d.file_id, d.content, round(round(list_cosine_similarity(qv, v), 6) + coalesce(overlap, 0.0), 6) AS score
-  FROM {name}_mine d JOIN q ON q.tenant_id = d.tenant_id LEFT JOIN {name}_lex l ON l.query_id = q.query_id AND l.doc_key = d.doc_key),
+  FROM {docs} d JOIN allowed a ON a.tenant_id = d.tenant_id AND a.file_id = d.file_id AND d.sensitivity <= a.clearance JOIN q ON q.query_id = a.query_id
+  LEFT JOIN {name}_lex l ON l.query_id = q.query_id AND l.doc_key = d.doc_key WHERE d.available = 1),
 {name} AS (SELECT query_id, CAST(nth - 1 AS INT) AS rank, doc_key AS chunk_key, file_id, content, score FROM
   (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_key) AS nth FROM {name}_all) WHERE nth <= {n})"""
 
@@ -35,56 +43,94 @@ def hybrid_sql(docs: str, name: str, n: int) -> str:
 PAIRS = "list_distinct(list_transform(range(1, greatest(length({0}), 1)), lambda i: substr({0}, i, 2)))"
 SQUEEZED = r"regexp_replace(lower({}), '\s+', '', 'g')"
 A = f"""{hybrid_sql("sums", "found", 5)},
-fp AS (SELECT summary_key, s.file_id, {FINGERPRINT.format("c.content")} AS h FROM {{v_source}} s JOIN {{v_chunk_v1}} c ON c.chunk_key = s.chunk_key WHERE pos = 0),
-sc AS (SELECT f.query_id, s.summary_key, s.pos, s.chunk_key, d.content, q.query_text FROM found f JOIN {{v_source}} s ON s.summary_key = f.chunk_key JOIN docs d ON d.doc_key = s.chunk_key JOIN q ON q.query_id = f.query_id),
+fp_t AS (SELECT summary_key, s.file_id, c.content FROM {{v_source}} s JOIN {{v_chunk_v1}} c ON c.chunk_key = s.chunk_key WHERE pos = 0),
+{simhash_sql("fp_t", "summary_key", "content", "fp_h")}, fp AS (SELECT summary_key, file_id, h FROM fp_t JOIN fp_h USING (summary_key)), {simhash_sql("live", "doc_key", "content", "live_h")},
+sc AS (SELECT f.query_id, s.summary_key, s.pos, s.chunk_key, d.content, q.query_text FROM found f JOIN {{v_source}} s ON s.summary_key = f.chunk_key JOIN live d ON d.doc_key = s.chunk_key JOIN q ON q.query_id = f.query_id),
 center AS (SELECT query_id, summary_key, chunk_key FROM (SELECT *, row_number() OVER (PARTITION BY query_id, summary_key ORDER BY len(list_intersect({PAIRS.format("qs")}, {PAIRS.format("cs")})) DESC, pos) AS nth
   FROM (SELECT *, {SQUEEZED.format("query_text")} AS qs, {SQUEEZED.format("content")} AS cs FROM sc)) WHERE nth = 1),
 moved AS (SELECT summary_key, arg_min(doc_key, (bit_count(xor(h, g)), doc_key)) AS moved, min(bit_count(xor(h, g))) AS distance FROM fp
-  JOIN (SELECT file_id, doc_key, {FINGERPRINT.format("content")} AS g FROM docs) d ON d.file_id = fp.file_id WHERE bit_count(xor(h, g)) <= {RADIUS} GROUP BY 1),
+  JOIN (SELECT file_id, doc_key, h AS g FROM live JOIN live_h USING (doc_key)) d ON d.file_id = fp.file_id WHERE bit_count(xor(h, g)) <= {RADIUS} GROUP BY 1),
 resolved AS (SELECT f.query_id, f.chunk_key AS summary_key, coalesce(c.chunk_key, moved) AS chunk_key,
   CASE WHEN c.chunk_key IS NOT NULL THEN 'valid' WHEN moved IS NOT NULL THEN 'relocated' ELSE 'stale' END AS validity
   FROM found f LEFT JOIN center c ON c.query_id = f.query_id AND c.summary_key = f.chunk_key LEFT JOIN moved m ON m.summary_key = f.chunk_key),
-placed AS (SELECT r.*, d.file_id, d.chunk_order, qv FROM resolved r JOIN docs d ON d.doc_key = r.chunk_key JOIN q ON q.query_id = r.query_id),
+placed AS (SELECT r.*, d.file_id, d.chunk_order, qv FROM resolved r JOIN live d ON d.doc_key = r.chunk_key JOIN q ON q.query_id = r.query_id),
 gate AS (SELECT p.query_id, p.summary_key, CASE WHEN max(round(list_cosine_similarity(qv, v), 6)) FILTER (d.chunk_order BETWEEN p.chunk_order - 2 AND p.chunk_order + 4) >= 0.2 THEN 1
-  WHEN max(round(list_cosine_similarity(qv, v), 6)) >= 0.2 THEN 2 END AS span FROM placed p JOIN docs d ON d.file_id = p.file_id AND d.chunk_order BETWEEN p.chunk_order - 4 AND p.chunk_order + 8 GROUP BY 1, 2),
+  WHEN max(round(list_cosine_similarity(qv, v), 6)) >= 0.2 THEN 2 END AS span FROM placed p JOIN live d ON d.file_id = p.file_id AND d.chunk_order BETWEEN p.chunk_order - 4 AND p.chunk_order + 8 GROUP BY 1, 2),
 a AS (SELECT p.query_id, f.rank, p.chunk_key, p.file_id, f.score, CASE WHEN coalesce(coverage_ratio, 0) = 0 THEN 1.0 ELSE coverage_ratio END AS weight,
-  (SELECT string_agg(content, chr(10) ORDER BY chunk_order) FROM docs d WHERE d.file_id = p.file_id AND d.chunk_order BETWEEN p.chunk_order - 2 * span AND p.chunk_order + 4 * span) AS content
+  (SELECT string_agg(content, chr(10) ORDER BY chunk_order) FROM live d WHERE d.file_id = p.file_id AND d.chunk_order BETWEEN p.chunk_order - 2 * span AND p.chunk_order + 4 * span) AS content
   FROM placed p JOIN gate g ON g.query_id = p.query_id AND g.summary_key = p.summary_key AND span IS NOT NULL JOIN found f ON f.query_id = p.query_id AND f.chunk_key = p.summary_key JOIN sums s ON s.doc_key = p.summary_key),
 why AS (SELECT r.query_id, count(*) AS total, count(span) AS completed, coalesce(string_agg(DISTINCT CASE WHEN validity = 'stale' THEN 'anchor_stale' WHEN span IS NULL THEN 'relevance_fail' END, ','
   ORDER BY CASE WHEN validity = 'stale' THEN 'anchor_stale' WHEN span IS NULL THEN 'relevance_fail' END), '') AS w FROM resolved r LEFT JOIN gate g ON g.query_id = r.query_id AND g.summary_key = r.summary_key GROUP BY 1),
-reasons AS (SELECT q.query_id, coalesce(total, 0) AS total, coalesce(completed, 0) AS completed, CASE WHEN coalesce(total, 0) = 0 THEN 'no_summary' WHEN completed > 0 AND w = '' THEN 'none'
+reasons AS (SELECT q.query_id, coalesce(total, 0) AS total, coalesce(completed, 0) AS completed, CASE WHEN q.query_id NOT IN (SELECT query_id FROM allowed) THEN 'no_files' WHEN coalesce(total, 0) = 0 THEN 'no_summary' WHEN completed > 0 AND w = '' THEN 'none'
   WHEN completed > 0 THEN 'partial:' || w WHEN w <> '' THEN string_split(w, ',')[1] ELSE 'empty' END AS degraded FROM q LEFT JOIN why ON why.query_id = q.query_id)"""
 B = hybrid_sql("docs", "b", 24)
 MERGED = """fa AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_key ORDER BY rank) AS nth FROM a) WHERE nth = 1),
 u AS (SELECT query_id, chunk_key, 'a' AS tag, rank, file_id, content, weight FROM fa UNION ALL SELECT query_id, chunk_key, 'b', rank, file_id, content, 1.0 FROM b),
 g AS (SELECT query_id, chunk_key, round(sum(weight / (60 + rank)), 9) AS score, arg_min(file_id, (tag, rank)) AS file_id, arg_min(content, (tag, rank)) AS content, string_agg(tag, '' ORDER BY tag) AS path, min((tag, rank)) AS f FROM u GROUP BY 1, 2),
 merged AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, f, chunk_key) - 1 AS INT) AS rank, chunk_key, file_id, content, score, path FROM g)"""
-BASE = f"WITH {Q}, {DOCS}, {SUMMARIES}, {ALLOWED}"
+LIVE = "live AS (SELECT * FROM docs WHERE available = 1)"
+BASE = f"WITH {Q}, {DOCS}, {LIVE}, {SUMMARIES}, {ALLOWED}"
 ALL = f"{BASE}, {A}, {B}, {MERGED}"
 
 
 class Inputs:
-    """The tables that the searches read."""
+    """The tables that the searches read, each made when it is first asked for."""
 
     def __init__(self, v):
-        e = v.embeddings.select("vec_id", "embedding")
-        visible = versions.visible_chunks(v.v_chunk_v1.unionByName(v.v_chunk_v2), v.v_active)
-        key = (F.col("file_id") * 31 + F.col("chunk_order")) % 500
-        rows = visible.select("chunk_key", "file_id", "tenant_id", "chunk_order", "content").withColumn("vec_id", key)
-        self.vectors = staged(rows.join(e, "vec_id").drop("vec_id"), "index")  # every step reads it
-        self.chunks = self.vectors.drop("embedding").withColumn("simhash", fingerprint(F.col("content")))
-        self.docs = self.vectors.withColumnRenamed("chunk_key", "doc_key")
-        s = v.v_summary.select(F.col("summary_key").alias("doc_key"), "file_id", (F.col("file_id") % 4).alias("tenant_id"), F.col("summary_text").alias("content"), "coverage_ratio")
-        self.summaries = staged(s.withColumn("vec_id", (F.col("file_id") * 13) % 500).join(e, "vec_id").drop("vec_id"), "summaries")
-        self.sources = staged(v.v_source, "sources")
-        first = self.sources.where("pos = 0").join(v.v_chunk_v1.select("chunk_key", "content"), "chunk_key")
-        self.anchors = first.select("summary_key", "file_id", fingerprint(F.col("content")).alias("simhash"))
-        shared = v.v_kb.where("visibility <> 'me'")
-        self.allowed = staged(access.tenant_files(shared, v.v_file_kb), "allowed")
-        self.queries = v.v_query
+        self.v, self.queries = v, v.v_query
+
+    def _with_vectors(self, rows, key):
+        placed = rows.crossJoin(F.broadcast(self.v.v_size)).withColumn("vec_id", key % F.col("n_vectors")).drop("n_vectors")  # one row
+        levels = self.v.v_sensitivity.distinct()
+        return placed.join(self.v.embeddings.select("vec_id", "embedding"), "vec_id").drop("vec_id").join(levels, "file_id", "left").na.fill(0, ["sensitivity"])
+
+    @cached_property
+    def index(self):
+        """The active version's chunks with vector, availability and sensitivity."""
+        v = self.v
+        active = versions.visible_chunks(v.v_chunk_v1.unionByName(v.v_chunk_v2), v.v_active)
+        rows = active.join(v.v_shown, ["file_id", "chunk_order", "version"]).select("chunk_key", "file_id", "tenant_id", "chunk_order", "content", "available")
+        return staged(self._with_vectors(rows, F.col("file_id") * 31 + F.col("chunk_order")), "index")
+
+    @property
+    def vectors(self):
+        return self.index.where("available = 1")
+
+    @property
+    def chunks(self):
+        return self.vectors.drop("embedding", "available", "sensitivity")
+
+    @property
+    def docs(self):
+        return self.index.withColumnRenamed("chunk_key", "doc_key")
+
+    @cached_property
+    def summaries(self):
+        s = self.v.v_summary.select(F.col("summary_key").alias("doc_key"), "file_id", (F.col("file_id") % 4).alias("tenant_id"), F.col("summary_text").alias("content"), "coverage_ratio")
+        s = s.withColumn("available", F.when(F.col("file_id") % 31 == 3, 0).otherwise(1))
+        return staged(self._with_vectors(s, F.col("file_id") * 13), "summaries")
+
+    @cached_property
+    def sources(self):
+        return staged(self.v.v_source, "sources")
+
+    @property
+    def anchors(self):
+        first = self.sources.where("pos = 0").join(self.v.v_chunk_v1.select("chunk_key", "content"), "chunk_key")
+        return first.select("summary_key", "file_id", simhash64("content").alias("simhash"))
+
+    @cached_property
+    def allowed(self):
+        """What each query's principal may read: access resolved, cut to the tenant."""
+        v = self.v
+        return staged(access.authorised_files(self.queries, v.v_member, v.v_kb, grants_of(v), v.v_file_kb), "allowed")
+
+    @cached_property
+    def _path_a(self):
+        return retrieval.path_a(self.queries, self.summaries, self.sources, self.anchors, self.chunks, self.vectors, self.allowed)
 
     def path_a(self):
-        return retrieval.path_a(self.queries, self.summaries, self.sources, self.anchors, self.chunks, self.vectors, self.allowed, radius=RADIUS)
+        return self._path_a
 
     def path_b(self):
         return retrieval.hybrid_search(self.queries, self.docs, self.allowed)
@@ -171,13 +217,13 @@ def r8(v):
 @query("r9_relocate_anchor", f"{BASE}, {A} SELECT summary_key, moved AS chunk_key, distance FROM moved")
 def r9(v):
     x = Inputs(v)
-    return retrieval.relocate_anchor(x.anchors, x.chunks, RADIUS).withColumn("distance", F.col("distance").cast("byte"))
+    return retrieval.relocate_anchor(x.anchors, x.chunks).withColumn("distance", F.col("distance").cast("byte"))
 
 
 @query("r10_resolve_anchors", f"{BASE}, {A} SELECT query_id, summary_key, chunk_key, validity FROM resolved")
 def r10(v):
     x = Inputs(v)
-    return retrieval.resolve_anchors(x.wanted(), x.anchors, x.chunks, RADIUS)
+    return retrieval.resolve_anchors(x.wanted(), x.anchors, x.chunks)
 
 
 @query(
@@ -192,7 +238,7 @@ def r11(v):
 @query("r12_soft_gate", f"{BASE}, {A} SELECT query_id, summary_key, span FROM gate WHERE span IS NOT NULL")
 def r12(v):
     x = Inputs(v)
-    placed = retrieval.resolve_anchors(x.wanted(), x.anchors, x.chunks, RADIUS).join(x.chunks.select("chunk_key", "file_id", "chunk_order"), "chunk_key")
+    placed = retrieval.resolve_anchors(x.wanted(), x.anchors, x.chunks).join(x.chunks.select("chunk_key", "file_id", "chunk_order"), "chunk_key")
     return retrieval.soft_gate(placed.join(x.queries.select("query_id", "q_vec"), "query_id"), x.vectors)
 
 
@@ -232,35 +278,35 @@ def r16(v):
     return retrieval.score_threshold(Inputs(v).merged(), 0.0145).select("query_id", "rank", "chunk_key", "score")
 
 
-STRICT = "SELECT tenant_id, file_id FROM allowed WHERE file_id % 7 <> 2"
+STRICT = "SELECT query_id, tenant_id, file_id FROM allowed WHERE file_id % 7 <> 2"
 
 
-@query("r17_post_verify", f"{ALL}, strict AS ({STRICT}) SELECT query_id, rank, chunk_key FROM merged m JOIN q USING (query_id) SEMI JOIN strict s ON s.tenant_id = q.tenant_id AND s.file_id = m.file_id")
+@query("r17_post_verify", f"{ALL}, strict AS ({STRICT}) SELECT query_id, rank, chunk_key FROM merged m SEMI JOIN strict s ON s.query_id = m.query_id AND s.file_id = m.file_id")
 def r17(v):
     x = Inputs(v)
-    return retrieval.post_verify(x.merged(), x.queries, x.allowed.where("file_id % 7 <> 2"), x.chunks)[0].select("query_id", "rank", "chunk_key")
+    return retrieval.post_verify(x.merged(), x.allowed.where("file_id % 7 <> 2"), x.chunks)[0].select("query_id", "rank", "chunk_key")
 
 
 @query(
     "r17_violations",
-    f"""{ALL}, strict AS ({STRICT}) SELECT query_id, string_agg(chunk_key, ',' ORDER BY chunk_key) AS dropped FROM merged m JOIN q USING (query_id) ANTI JOIN strict s ON s.tenant_id = q.tenant_id AND s.file_id = m.file_id GROUP BY 1""",
+    f"""{ALL}, strict AS ({STRICT}) SELECT query_id, string_agg(chunk_key, ',' ORDER BY chunk_key) AS dropped FROM merged m ANTI JOIN strict s ON s.query_id = m.query_id AND s.file_id = m.file_id GROUP BY 1""",
 )
 def r17_violations(v):
     x = Inputs(v)
-    bad = retrieval.post_verify(x.merged(), x.queries, x.allowed.where("file_id % 7 <> 2"), x.chunks)[1]
+    bad = retrieval.post_verify(x.merged(), x.allowed.where("file_id % 7 <> 2"), x.chunks)[1]
     return bad.select("query_id", F.array_join("dropped", ",").alias("dropped"))
 
 
 @query(
     "r18_final_topk",
-    f"""{ALL}, {RERANKED}, strict AS ({STRICT}), ok AS (SELECT r.* FROM ranked r JOIN q USING (query_id) SEMI JOIN strict s ON s.tenant_id = q.tenant_id AND s.file_id = r.file_id)
+    f"""{ALL}, {RERANKED}, strict AS ({STRICT}), ok AS (SELECT r.* FROM ranked r SEMI JOIN strict s ON s.query_id = r.query_id AND s.file_id = r.file_id)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) - 1 AS INT) AS rank, chunk_key FROM ok QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 8""",
 )
 def r18(v):
     x = Inputs(v)
     merged = x.merged()
     hits = retrieval.apply_rerank(merged, relevance(v, merged))
-    return retrieval.final_topk(hits, x.queries, x.allowed.where("file_id % 7 <> 2"), x.chunks, True).select("query_id", "rank", "chunk_key")
+    return retrieval.final_topk(hits, x.allowed.where("file_id % 7 <> 2"), x.chunks, True).select("query_id", "rank", "chunk_key")
 
 
 @query(
@@ -280,7 +326,7 @@ TOP = "top AS (SELECT * FROM merged WHERE rank < 8)"
 
 def top(v):
     x = Inputs(v)
-    return retrieval.search(x.queries, x.chunks, x.vectors, x.summaries, x.sources, x.anchors, x.allowed, radius=RADIUS)
+    return retrieval.search(x.queries, x.chunks, x.index, x.summaries, x.sources, x.anchors, x.allowed)
 
 
 @query("r20_search", f"{ALL}, {TOP} SELECT {NARROW} FROM top")
@@ -291,7 +337,7 @@ def r20(v):
 @query("r20_search_embedding", f"{BASE}, {B} SELECT query_id, rank, chunk_key, round(1.0 / (60 + rank), 9) AS score FROM b WHERE rank < 8")
 def r20_embedding(v):
     x = Inputs(v)
-    return retrieval.search(x.queries, x.chunks, x.vectors, x.summaries, x.sources, x.anchors, x.allowed, "embedding").select("query_id", "rank", "chunk_key", "score")
+    return retrieval.search(x.queries, x.chunks, x.index, x.summaries, x.sources, x.anchors, x.allowed, "embedding").select("query_id", "rank", "chunk_key", "score")
 
 
 @query("r21_hit_view", f"{ALL}, {TOP} SELECT query_id, rank, chunk_key, file_id, substr(content, 1, 120) AS snippet, round(score, 4) AS score FROM top")
@@ -324,10 +370,13 @@ def r23(v):
 
 @query(
     "r24_cite",
-    f"""WITH {ACCESS}, {FILES}, asked AS (SELECT u.user_id, u.tenant_id, chunk_key, file_id FROM {{v_user}} u JOIN {{v_chunk_v1}} c ON c.file_id = u.user_id % 1000 AND chunk_order < 3)
-SELECT a.user_id, a.chunk_key FROM asked a SEMI JOIN files f ON f.user_id = a.user_id AND f.tenant_id = a.tenant_id AND f.file_id = a.file_id""",
+    f"""WITH {ACCESS}, {FILES}, asked AS (SELECT w.user_id, w.tenant_id, chunk_key, c.file_id FROM who w CROSS JOIN (SELECT count(*) AS n_files FROM {{v_file}})
+  JOIN {{v_chunk_v1}} c ON c.file_id = (w.user_id * 7919) % n_files)
+SELECT a.user_id, a.tenant_id, a.chunk_key FROM asked a SEMI JOIN files f ON f.user_id = a.user_id AND f.tenant_id = a.tenant_id AND f.file_id = a.file_id""",
 )
 def r24(v):
-    asked = v.v_user.join(v.v_chunk_v1.where("chunk_order < 3"), F.col("file_id") == F.col("user_id") % 1000).select("user_id", "tenant_id", "chunk_key")
-    files = access.allowed_files(access.resolve_access(v.v_user, v.v_kb, grants_of(v)), v.v_kb, v.v_file_kb)
-    return retrieval.cite(asked, v.v_chunk_v1, files).select("user_id", "chunk_key")
+    n = v.v_file.agg(F.count("*").alias("n_files"))  # one row
+    wanted = who_of(v).crossJoin(F.broadcast(n)).withColumn("file_id", F.col("user_id") * 7919 % F.col("n_files"))
+    asked = wanted.join(v.v_chunk_v1, "file_id").select("user_id", "tenant_id", "chunk_key")
+    files = access.allowed_files(access.resolve_access(who_of(v), v.v_kb, grants_of(v)), v.v_kb, v.v_file_kb)
+    return retrieval.cite(asked, v.v_chunk_v1, files).select("user_id", "tenant_id", "chunk_key")

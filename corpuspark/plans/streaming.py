@@ -4,22 +4,36 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from corpuspark.functions.expr import strip
-from corpuspark.operators import audit, chunk
+from corpuspark.operators import audit
 from corpuspark.plans.base import query
+from corpuspark.plans.ingest import simhash_sql
 from corpuspark.sources.staging import fresh_path, staged
 from corpuspark.sources.views import VIEWS
 from corpuspark.streaming import streams
 
 #: A last row far in the future moves the watermark past all windows.
 END = "2100-01-01"
+PARTS = 3
 
 
-def stream_of(v, name: str, rows=None):
-    """The rows as a stream of Parquet files, all in one batch, with a place for its output and its checkpoint."""
-    table = staged((getattr(v, name) if rows is None else rows).repartition(4), f"stream-{name}")
-    path = table.inputFiles()[0].rsplit("/", 1)[0]
-    return streams.read_log(v.spark, path, table.schema), f"{path}-out-{uuid.uuid4().hex[:8]}"
+def stream_of(v, name: str, rows=None, part=None, last=None):
+    """The rows as a stream of Parquet files in ``PARTS`` batches, and a place for its output. ``part`` numbers the batch of a row; by default rows
+    are dealt out by hash, so that each batch has rows earlier than some before it. ``last`` rows come in a batch of their own."""
+    rows = getattr(v, name) if rows is None else rows
+    part = F.pmod(F.xxhash64(*rows.columns), F.lit(PARTS)) if part is None else part
+    path = fresh_path(v.spark, f"stream-{name}")
+    numbered = staged(rows.withColumn("_part", part.cast("int")), f"rows-{name}")
+    for k in range(PARTS):
+        numbered.where(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(path)
+    if last is not None:
+        last.coalesce(1).write.mode("append").parquet(path)
+    return streams.read_log(v.spark, path, rows.schema, 1), f"{path}-out-{uuid.uuid4().hex[:8]}"
+
+
+def in_order(rows, column: str):
+    """The part of a row so that parts follow each other by ``column``."""
+    least, most = rows.agg(F.min(column), F.max(column)).first()
+    return F.floor((F.col(column) - least) * PARTS / ((most or 0) - (least or 0) + 1))
 
 
 def finished(v, stream, out):
@@ -28,22 +42,25 @@ def finished(v, stream, out):
 
 
 def with_end(rows):
-    """The rows and one in the future, so that every real window closes."""
-    last = rows.limit(1).select(*(F.to_timestamp_ntz(F.lit(END)).alias(c) if c == "created_at" else F.col(c) for c in rows.columns))
-    return rows.unionByName(last)
+    """One row far in the future, so that every real window closes."""
+    return rows.limit(1).select(*(F.to_timestamp_ntz(F.lit(END)).alias(c) if c == "created_at" else F.col(c) for c in rows.columns))
 
 
 @query("t1_tumbling_metrics", "SELECT CAST(date_trunc('hour', created_at) AS VARCHAR) AS start, tenant_id, count(*) AS n, sum(tokens)::BIGINT AS tokens FROM {v_cost_log} GROUP BY 1, 2")
 def t1(v):
     rows = v.v_cost_log
-    stream, out = stream_of(v, "cost_log", with_end(rows))
+    stream, out = stream_of(v, "cost_log", rows, last=with_end(rows))
     windows = streams.tumbling_metrics(streams.with_event_time(stream, late="100 days"))
     return finished(v, windows, out).where(f"start < '{END}'").withColumn("start", F.col("start").cast("string"))
 
 
-@query("t2_sliding_p95")
+@query(
+    "t2_sliding_p95",
+    """SELECT CAST(time_bucket(INTERVAL 5 MINUTE, created_at) - k * INTERVAL 5 MINUTE AS VARCHAR) AS start, tenant_id, quantile_disc(latency_ms, 0.95) AS p95
+FROM (SELECT *, CAST(unnest(range(12)) AS INT) AS k FROM {v_query_log}) GROUP BY 1, 2""",
+)
 def t2(v):
-    stream, out = stream_of(v, "query_log", with_end(v.v_query_log))
+    stream, out = stream_of(v, "query_log", v.v_query_log, last=with_end(v.v_query_log))
     windows = streams.sliding_p95(streams.with_event_time(stream, late="100 days"))
     return finished(v, windows, out).where(f"start < '{END}'").withColumn("start", F.col("start").cast("string"))
 
@@ -56,8 +73,8 @@ SELECT doc_key, indexed AS indexed_seq, CASE WHEN set_at > indexed THEN set_to E
 )
 def t3(v):
     stream, out = stream_of(v, "outbox", v.v_outbox.select("seq", "doc_key", "event_type", "available"))
-    streams.index_change_log(stream, f"{out}/log", f"{out}/index", f"{out}/checkpoint").awaitTermination()
-    return v.spark.read.parquet(f"{out}/index")
+    streams.index_change_log(stream, f"{out}/index", f"{out}/checkpoint").awaitTermination()
+    return streams.read_index(v.spark, f"{out}/index")
 
 
 @query("t4_dedupe_uploads", "SELECT tenant_id, sha256(content) AS content_hash FROM {v_file} GROUP BY 1, 2")
@@ -71,8 +88,9 @@ def t4(v):
 def t5(v):
     built = audit.build_chain(v.v_audit)
     tampered = built.withColumn("result", F.when(F.col("id") % 1000 == 7, "tampered").otherwise(F.col("result")))
-    stream, out = stream_of(v, "audit", tampered)
-    return finished(v, streams.verify_audit(stream), out).select("id", "mismatch", "broken", "gap")
+    stream, out = stream_of(v, "audit", tampered, in_order(tampered, "id"))
+    streams.verify_audit(stream, out, f"{out}/checkpoint").awaitTermination()
+    return v.spark.read.parquet(f"{out}/findings").select("id", "mismatch", "broken", "gap")
 
 
 @query(
@@ -81,20 +99,27 @@ def t5(v):
 SELECT tenant_id, period, (arg_max(d, seq) - least(0, min(d)))::BIGINT AS docs, (arg_max(b, seq) - least(0, min(b)))::BIGINT AS bytes FROM s GROUP BY 1, 2""",
 )
 def t6(v):
-    stream, out = stream_of(v, "v_meter_event")
-    usage = streams.meter_usage(stream)
-    write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
-    usage.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start().awaitTermination()
-    last = v.spark.read.parquet(out).groupBy("tenant_id", "period").agg(F.max_by(F.struct("docs", "bytes"), "batch").alias("u"))
-    return last.select("tenant_id", "period", "u.docs", "u.bytes")
+    stream, out = stream_of(v, "v_meter_event", None, in_order(v.v_meter_event, "seq"))
+    streams.meter_usage(stream, f"{out}/usage", f"{out}/checkpoint").awaitTermination()
+    return streams.latest(v.spark, f"{out}/usage", streams.USAGE)
 
 
-@query("t7_document_arrivals", r"SELECT file_id, chunk_order, sha256(content) AS content_hash FROM {v_line}")
+ARRIVED = r"""WITH d AS (SELECT doc_id AS file_id, trim(text, ' ' || chr(10)) AS body FROM {documents} WHERE trim(text, ' ' || chr(10)) <> ''),
+t AS (SELECT file_id, regexp_extract_all(body, '[\pL\pN_]+|[^\s\pL\pN_]|\s+') AS t FROM d),
+w AS (SELECT file_id, t, unnest(range(0, 1 + CAST(ceil(greatest(0, len(t) - 512) / 460.0) AS BIGINT))) AS k FROM t),
+c AS (SELECT file_id, CAST(k AS BIGINT) AS chunk_order, trim(array_to_string(t[460 * k + 1 : 460 * k + 512], ''), ' ' || chr(10)) AS content, file_id || ':' || k AS k0 FROM w)"""
+
+
+@query(
+    "t7_document_arrivals",
+    f"""{ARRIVED}, {simhash_sql("c", "k0", "content", "sh")}
+SELECT file_id, chunk_order, sha256(content) AS content_hash, h AS simhash FROM c JOIN sh USING (k0)""",
+)
 def t7(v):
     stream, out = stream_of(v, "documents")
-    line = stream.select(F.col("doc_id").alias("file_id"), F.posexplode(F.split("text", "\n")).alias("n", "content")).where(strip(F.col("content")) != "")
-    chunks = line.select("file_id", F.col("n").cast("long").alias("chunk_order"), chunk.content_hash(F.col("content")).alias("content_hash"))
-    return finished(v, chunks, out)
+    files = stream.select(F.col("doc_id").alias("file_id"), "text")
+    streams.ingest_arrivals(files, f"{out}/chunks", f"{out}/checkpoint").awaitTermination()
+    return v.spark.read.parquet(f"{out}/chunks").select("file_id", "chunk_order", "content_hash", "simhash")
 
 
 @query("s10_append_log", f"SELECT CAST(CAST(created_at AS DATE) AS VARCHAR) AS day, count(*) AS n FROM ({VIEWS['v_query_log']}) GROUP BY 1")

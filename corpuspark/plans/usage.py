@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from corpuspark.operators import access, usage
-from corpuspark.plans.access import ACCESS, grants_of
+from corpuspark.plans.access import ACCESS, grants_of, who_of
 from corpuspark.plans.base import query
 from corpuspark.sources.views import AS_OF
 
@@ -110,11 +110,11 @@ def u10(v):
 @query(
     "u11_kb_listing",
     f"""WITH {ACCESS}, n AS (SELECT kb_id, count(DISTINCT file_id) AS documents FROM {{v_file_kb}} GROUP BY 1)
-SELECT a.user_id, a.kb_id, k.name, a.role, coalesce(documents, 0) AS documents
+SELECT a.user_id, a.tenant_id, a.kb_id, k.name, a.role, coalesce(documents, 0) AS documents
 FROM access a JOIN {{v_kb}} k ON a.kb_id = k.kb_id AND a.tenant_id = k.tenant_id LEFT JOIN n ON n.kb_id = a.kb_id""",
 )
 def u11(v):
-    return usage.kb_listing(v.v_kb, v.v_file_kb, access.resolve_access(v.v_user, v.v_kb, grants_of(v)))
+    return usage.kb_listing(v.v_kb, v.v_file_kb, access.resolve_access(who_of(v), v.v_kb, grants_of(v)))
 
 
 @query(
@@ -161,13 +161,13 @@ def u15(v):
 
 @query(
     "u16_member_listing",
-    f"""WITH {ACCESS}, n AS (SELECT user_id, count(*) AS kbs FROM access GROUP BY 1)
+    f"""WITH {ACCESS}, n AS (SELECT user_id, tenant_id, count(*) AS kbs FROM access GROUP BY 1, 2)
 SELECT u.tenant_id, u.user_id, u.role, department, group_name, coalesce(kbs, 0) AS kbs,
   CAST(row_number() OVER (PARTITION BY u.tenant_id ORDER BY department ASC NULLS LAST, group_name ASC NULLS LAST, u.user_id) AS INT) AS nth
-FROM {{v_user}} u LEFT JOIN n ON n.user_id = u.user_id""",
+FROM {{v_user}} u LEFT JOIN n ON n.user_id = u.user_id AND n.tenant_id = u.tenant_id""",
 )
 def u16(v):
-    return usage.member_listing(v.v_user, access.resolve_access(v.v_user, v.v_kb, grants_of(v)))
+    return usage.member_listing(v.v_user, access.resolve_access(who_of(v), v.v_kb, grants_of(v)))
 
 
 @query("u17_departments", "SELECT DISTINCT tenant_id, department FROM {v_user} WHERE department IS NOT NULL")

@@ -49,13 +49,13 @@ def v4(v):
     "v5_reuse_vectors",
     f"""WITH {DIFF}, vec AS (SELECT vec_id, embedding[1]::DOUBLE AS x FROM {{embeddings}})
 SELECT diff.chunk_key, coalesce(o.x, n.x) AS x, o.x IS NOT NULL AS reused FROM diff
-LEFT JOIN (SELECT c.chunk_key, x FROM {{v_chunk_v1}} c JOIN vec ON vec_id = (c.file_id * 31 + c.chunk_order) % 500) o ON o.chunk_key = previous_key
-LEFT JOIN (SELECT c.chunk_key AS k, x FROM {{v_chunk_v2}} c JOIN vec ON vec_id = (c.file_id * 7 + c.chunk_order) % 500) n ON n.k = diff.chunk_key""",
+LEFT JOIN (SELECT chunk_key, x FROM (SELECT chunk_key, (file_id * 31 + chunk_order) % n_vectors AS slot FROM {{v_chunk_v1}} CROSS JOIN {{v_size}}) c JOIN vec ON vec_id = slot) o ON o.chunk_key = previous_key
+LEFT JOIN (SELECT chunk_key AS k, x FROM (SELECT chunk_key, (file_id * 7 + chunk_order) % n_vectors AS slot FROM {{v_chunk_v2}} CROSS JOIN {{v_size}}) c JOIN vec ON vec_id = slot) n ON n.k = diff.chunk_key""",
 )
 def v5(v):
     def vectors(chunks, factor):
-        key = (F.col("file_id") * factor + F.col("chunk_order")) % 500
-        return chunks.select("chunk_key", key.alias("vec_id")).join(v.embeddings, "vec_id").select("chunk_key", F.col("embedding").alias("vector"))
+        key = (F.col("file_id") * factor + F.col("chunk_order")) % F.col("n_vectors")
+        return chunks.crossJoin(F.broadcast(v.v_size)).select("chunk_key", key.alias("vec_id")).join(v.embeddings, "vec_id").select("chunk_key", F.col("embedding").alias("vector"))
 
     found = versions.reuse_vectors(diff(v), vectors(v.v_chunk_v1, 31), vectors(v.v_chunk_v2, 7))
     return found.select("chunk_key", F.col("vector")[0].cast("double").alias("x"), "reused")
@@ -89,10 +89,12 @@ def v7(v):
 @query(
     "v8_visible_chunks",
     """WITH c AS (SELECT * FROM {v_chunk_v1} UNION ALL SELECT * FROM {v_chunk_v2})
-SELECT chunk_key, c.file_id, tenant_id FROM c JOIN {v_active} a ON a.file_id = c.file_id AND version = active_version""",
+SELECT chunk_key, c.file_id, tenant_id FROM c JOIN {v_active} a ON a.file_id = c.file_id AND version = active_version
+SEMI JOIN (SELECT * FROM {v_shown} WHERE available = 1) s ON s.file_id = c.file_id AND s.chunk_order = c.chunk_order AND s.version = c.version""",
 )
 def v8(v):
-    return versions.visible_chunks(v.v_chunk_v1.unionByName(v.v_chunk_v2), v.v_active).select("chunk_key", "file_id", "tenant_id")
+    chunks = v.v_chunk_v1.unionByName(v.v_chunk_v2).join(v.v_shown, ["file_id", "chunk_order", "version"])
+    return versions.visible_chunks(chunks, v.v_active).select("chunk_key", "file_id", "tenant_id")
 
 
 STATE = """state AS (SELECT doc_key, max(seq) FILTER (event_type = 'index') AS indexed, max(seq) FILTER (event_type = 'delete') AS deleted, max(seq) FILTER (event_type = 'set_available') AS set_at,

@@ -32,7 +32,7 @@ FROM {customer}""",
     "v_grant_event": """SELECT o_orderkey AS seq, o_custkey AS user_id,
   concat('t', CAST(o_orderkey % 4 AS STRING), '_src', CAST(o_orderkey % 20 AS STRING)) AS kb_id,
   CASE o_orderpriority WHEN '1-URGENT' THEN 'admin' WHEN '2-HIGH' THEN 'editor' ELSE 'viewer' END AS role,
-  CASE WHEN o_orderstatus = 'F' THEN 'revoke' ELSE 'grant' END AS op,
+  CASE WHEN o_orderstatus = 'F' THEN 'revoke' WHEN o_orderkey % 5 = 0 THEN 'bulk' ELSE 'grant' END AS op,
   CASE WHEN o_orderstatus = 'P' THEN CAST(o_orderdate AS DATE) + 365 END AS expires_date, CAST(o_orderdate AS DATE) AS event_date
 FROM {orders}""",
     "v_query_log": """SELECT event_id AS id, user_id % 4 AS tenant_id, user_id,
@@ -78,8 +78,13 @@ FROM {documents} LATERAL VIEW posexplode(split(text, '\n')) x AS pos, line WHERE
   concat(CAST(file_id AS STRING), ':2:', CAST(chunk_order AS STRING)) AS chunk_key FROM {v_line} WHERE chunk_order % 17 <> 16""",
     "v_active": """SELECT file_id, CASE WHEN file_id % 4 = 3 THEN 1 ELSE 2 END AS active_version, file_id % 4 AS tenant_id,
   CASE WHEN file_id % 29 = 0 THEN 1 ELSE CASE WHEN file_id % 4 = 3 THEN 1 ELSE 2 END END AS active_summary_version FROM {v_file}""",
-    "v_vec": "SELECT l.file_id, l.chunk_order, e.vec_id, e.embedding FROM {v_line} l JOIN {embeddings} e ON e.vec_id = (l.file_id * 31 + l.chunk_order) % 500",
-    "v_query": "SELECT b.item_id AS query_id, b.text AS query_text, b.item_id % 4 AS tenant_id, e.embedding AS q_vec FROM {benchmark} b JOIN {embeddings} e ON e.vec_id = b.item_id",
+    "v_size": "SELECT count(*) AS n_vectors FROM {embeddings}",
+    "v_query": """SELECT b.item_id AS query_id, b.text AS query_text, u.user_id, u.tenant_id, e.embedding AS q_vec
+FROM {benchmark} b JOIN {embeddings} e ON e.vec_id = b.item_id JOIN {v_user} u ON u.user_id = (b.item_id * 37) % 150""",
+    "v_member": """SELECT user_id, tenant_id, role FROM {v_user} WHERE user_id % 17 <> 5
+UNION ALL SELECT user_id, (tenant_id + 1) % 4, CASE WHEN user_id % 2 = 0 THEN 'editor' ELSE 'viewer' END FROM {v_user} WHERE user_id % 13 = 0""",
+    "v_actor": """SELECT user_id, tenant_id FROM {v_user}
+UNION ALL SELECT user_id, (tenant_id + 1) % 4 FROM {v_user} WHERE user_id % 13 = 0 OR user_id % 19 = 4""",
     "v_summary": """SELECT c.file_id, 1 AS summary_version, concat('s', CAST(c.file_id AS STRING)) AS summary_key,
   min(CASE WHEN c.rn = 1 THEN c.content END) AS summary_text, CAST(3 AS DOUBLE) / max(c.n) AS coverage_ratio
 FROM (SELECT file_id, content, row_number() OVER (PARTITION BY file_id ORDER BY chunk_order) AS rn, count(*) OVER (PARTITION BY file_id) AS n FROM {v_line}) c
@@ -88,6 +93,8 @@ WHERE c.rn <= 3 AND c.n >= 5 GROUP BY c.file_id""",
   concat(CAST(c.file_id AS STRING), ':1:', CAST(c.chunk_order AS STRING)) AS chunk_key
 FROM (SELECT file_id, chunk_order, row_number() OVER (PARTITION BY file_id ORDER BY chunk_order) AS rn, count(*) OVER (PARTITION BY file_id) AS n FROM {v_line}) c
 WHERE c.rn <= 3 AND c.n >= 5""",
+    "v_shown": """SELECT file_id, chunk_order, version, CASE WHEN (file_id * 5 + chunk_order) % 23 = 0 THEN 0 ELSE 1 END AS available
+FROM (SELECT file_id, chunk_order, version FROM {v_chunk_v1} UNION ALL SELECT file_id, chunk_order, version FROM {v_chunk_v2}) x""",
     "v_index": """SELECT c.chunk_key AS doc_key, c.file_id, CASE WHEN (c.file_id * 7 + c.chunk_order) % 89 = 0 THEN 0 ELSE c.version END AS chunk_version,
   CASE WHEN (c.file_id * 7 + c.chunk_order) % 83 = 0 THEN 0 ELSE 1 END AS available
 FROM {v_chunk_v2} c WHERE (c.file_id * 7 + c.chunk_order) % 97 <> 0

@@ -1,20 +1,24 @@
-"""Structured Streaming forms of the log metrics, the change log, deduplication, audit verification and metering.
+"""Structured Streaming forms of the log metrics, the change log, deduplication, audit verification, metering and document arrivals.
 
-Each takes and returns a streaming DataFrame (or a query); state and watermarks are Spark's own.
+Windows and deduplication are streaming DataFrames with Spark's own state. What needs an order or a whole document runs on each
+micro-batch with DataFrame operators; the little that goes from batch to batch is a table of its own for each batch, so a batch that
+runs twice starts from the same table and writes the same rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from corpuspark.operators.audit import canonical_payload, row_hash
-from corpuspark.operators.versions import apply_change_log
+from corpuspark.operators import chunk, parse
+from corpuspark.operators.audit import canonical_payload, meter_from, meter_walk, row_hash
+from corpuspark.operators.versions import change_state, indexed_documents, merge_states
+
+BUCKETS = 64
+STATE = "doc_key {}, indexed long, deleted long, set_at long, set_to int, indexed_as int"
 
 
 def read_log(spark: SparkSession, path: str, schema, per_trigger: int = 1000) -> DataFrame:
@@ -22,6 +26,30 @@ def read_log(spark: SparkSession, path: str, schema, per_trigger: int = 1000) ->
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
+def each_batch(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, **trigger) -> StreamingQuery:
+    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def batches_in(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the finished tables ``batch=N`` in a folder, in order."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path(folder)):
+        return []
+    names = [s.getPath() for s in fs.listStatus(path(folder)) if s.getPath().getName().startswith("batch=")]
+    return sorted(int(p.getName().split("=")[1]) for p in names if fs.exists(path(p, "_SUCCESS")))
+
+
+def latest(spark: SparkSession, folder: str, schema: str, before: int | None = None) -> DataFrame:
+    """The table of the last batch (before a number); empty where there is none."""
+    done = [n for n in batches_in(spark, folder) if before is None or n < before]
+    return spark.read.schema(schema).parquet(f"{folder}/batch={done[-1]}") if done else spark.createDataFrame([], schema)
+
+
+def _write(df: DataFrame, folder: str, number: int, *by: str) -> None:
+    df.write.mode("overwrite").partitionBy(*by).parquet(f"{folder}/batch={number}")
+
+
 def with_event_time(logs: DataFrame, column: str = "created_at", late: str = "1 hour") -> DataFrame:
     """Time stamps without zone are taken as UTC; rows later than the watermark are dropped by what follows."""
     return logs.withColumn(column, F.col(column).cast("timestamp")).withWatermark(column, late)
@@ -41,15 +69,36 @@ def sliding_p95(logs: DataFrame, width: str = "1 hour", slide: str = "5 minutes"
     )
 
 
-def index_change_log(events: DataFrame, log_path: str, index_path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Keep the index at ``index_path`` equal to the fold of all events; a batch that runs twice writes the same files again."""
+POINTERS = "bucket int, number long"
+
+
+def index_change_log(events: DataFrame, index_path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Keep the state of every document at ``index_path``. A batch reads and writes only the hash buckets that it touches, as files of its own;
+    a small table of pointers (bucket, batch), written last, says which files are live, so readers see whole batches only."""
+    key = events.schema["doc_key"].dataType.simpleString()
 
     def apply(batch: DataFrame, number: int) -> None:
-        batch.dropDuplicates(["seq"]).write.mode("overwrite").parquet(f"{log_path}/batch={number}")
-        log = batch.sparkSession.read.schema(batch.schema).parquet(log_path)
-        apply_change_log(log.dropDuplicates(["seq"])).write.mode("overwrite").parquet(index_path)
+        spark = batch.sparkSession
+        bucket = F.pmod(F.xxhash64("doc_key"), F.lit(BUCKETS)).cast("int").alias("bucket")
+        fresh = change_state(batch).select("*", bucket)
+        pointers = {r.bucket: r.number for r in latest(spark, f"{index_path}/pointers", POINTERS, number).collect()}  # at most BUCKETS rows
+        touched = sorted(r.bucket for r in fresh.select("bucket").distinct().collect())
+        paths = [f"{index_path}/states/batch={pointers[b]}/bucket={b}" for b in touched if b in pointers]
+        old = spark.read.schema(STATE.format(key)).parquet(*paths) if paths else spark.createDataFrame([], STATE.format(key))
+        merged = merge_states(old.unionByName(fresh.drop("bucket")))
+        _write(merged.select("*", bucket), f"{index_path}/states", number, "bucket")
+        live = spark.createDataFrame(sorted((pointers | dict.fromkeys(touched, number)).items()), POINTERS)
+        _write(live.coalesce(1), f"{index_path}/pointers", number)
+
+    return each_batch(events, apply, checkpoint, **trigger)
+
 
-    return events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+def read_index(spark: SparkSession, index_path: str, key: str = "long") -> DataFrame:
+    """The documents of the index as of the last whole batch."""
+    live = latest(spark, f"{index_path}/pointers", POINTERS).collect()
+    paths = [f"{index_path}/states/batch={r.number}/bucket={r.bucket}" for r in live]
+    states = spark.read.schema(STATE.format(key)).parquet(*paths) if paths else spark.createDataFrame([], STATE.format(key))
+    return indexed_documents(states)
 
 
 def dedupe_uploads(files: DataFrame) -> DataFrame:
@@ -57,47 +106,64 @@ def dedupe_uploads(files: DataFrame) -> DataFrame:
     return files.withColumn("content_hash", F.sha2("content", 256)).dropDuplicatesWithinWatermark(["tenant_id", "content_hash"])
 
 
-AUDIT_OUT = "tenant_key string, id long, mismatch boolean, broken boolean, gap boolean"
+TAILS = "tenant_key string, last string, started boolean"
 
 
-def verify_audit(rows: DataFrame) -> DataFrame:
-    """Findings for each chained row; the state of a tenant is its last hash. Rows must come in the order of ids from batch to batch."""
+def verify_audit(rows: DataFrame, out_path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Findings for each chained row (tenant_key, id, mismatch, broken, gap) at ``out_path``/findings. Rows are compared with those before them in
+    id order; what goes on is one row a tenant, its last hash. Rows must come in the order of ids from batch to batch."""
 
-    def check(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, started = state.get if state.exists else (None, False)
-        frame = pd.concat(list(batches)).sort_values("id")
-        out = []
-        for r in frame.itertuples():
-            if pd.isna(r.row_hash):
-                out.append((key[0], r.id, False, False, True))
-                last = None
-                continue
-            no_prev = pd.isna(r.prev_hash)
-            out.append((key[0], r.id, r.expected != r.row_hash, not no_prev and last is not None and r.prev_hash != last, bool(no_prev and started)))
-            last, started = r.row_hash, True
-        state.update((last, started))
-        yield pd.DataFrame(out, columns=["tenant_key", "id", "mismatch", "broken", "gap"])
-
-    tenant = F.coalesce(F.col("tenant_id").cast("string"), F.lit("")).alias("tenant_key")
-    slim = rows.select(tenant, "id", "prev_hash", "row_hash", row_hash(F.col("prev_hash"), canonical_payload(rows)).alias("expected"))
-    return slim.groupBy("tenant_key").applyInPandasWithState(check, AUDIT_OUT, "last string, started boolean", "append", GroupStateTimeout.NoTimeout)
+    def apply(batch: DataFrame, number: int) -> None:
+        tails = latest(batch.sparkSession, f"{out_path}/tails", TAILS, number)
+        tenant = F.coalesce(F.col("tenant_id").cast("string"), F.lit("")).alias("tenant_key")
+        slim = batch.select(tenant, "id", "prev_hash", "row_hash", row_hash(F.col("prev_hash"), canonical_payload(batch)).alias("expected"))
+        order = Window.partitionBy("tenant_key").orderBy("id")
+        before = order.rowsBetween(Window.unboundedPreceding, -1)
+        there = F.col("row_hash").isNotNull()
+        placed = slim.select("*", F.row_number().over(order).alias("nth"), F.lag("row_hash").over(order).alias("above"), F.count("row_hash").over(before).alias("hashed"))
+        known = placed.join(tails, "tenant_key", "left")
+        above = F.when(F.col("nth") == 1, F.col("last")).otherwise(F.col("above"))
+        begun = (F.col("hashed") > 0) | F.coalesce("started", F.lit(False))
+        no = F.lit(False)
+        findings = known.select(
+            "tenant_key",
+            "id",
+            (there & (F.col("expected") != F.col("row_hash"))).alias("mismatch"),
+            (there & F.coalesce(F.col("prev_hash") != above, no)).alias("broken"),
+            (~there | (F.col("prev_hash").isNull() & begun)).alias("gap"),
+        )
+        _write(findings, f"{out_path}/findings", number)
+        ends = slim.groupBy("tenant_key").agg(F.max_by(F.struct("row_hash"), "id").alias("end"), (F.count("row_hash") > 0).alias("some"))
+        new = tails.join(ends, "tenant_key", "full").select(
+            "tenant_key",
+            F.when(F.col("end").isNull(), F.col("last")).otherwise(F.col("end.row_hash")).alias("last"),
+            (F.coalesce("started", no) | F.coalesce("some", no)).alias("started"),
+        )
+        _write(new, f"{out_path}/tails", number)
+
+    return each_batch(rows, apply, checkpoint, **trigger)
+
+
+USAGE = "tenant_id long, period string, docs long, bytes long"
+
+
+def meter_usage(events: DataFrame, out_path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Running usage of each tenant-month, never below 0, at ``out_path`` as of each batch, whose events apply in the order of seq."""
 
+    def apply(batch: DataFrame, number: int) -> None:
+        _write(meter_from(meter_walk(batch), latest(batch.sparkSession, out_path, USAGE, number)), out_path, number)
 
-METER_OUT = "tenant_id long, period string, docs long, bytes long"
+    return each_batch(events, apply, checkpoint, **trigger)
 
 
-def meter_usage(events: DataFrame) -> DataFrame:
-    """Running usage of each tenant-month, never below 0; updated with each batch, whose events apply in the order of seq."""
+def ingest_arrivals(docs: DataFrame, out_path: str, checkpoint: str, size: int = chunk.SIZE, overlap: float = chunk.OVERLAP, **trigger) -> StreamingQuery:
+    """Documents (file_id, text) as they arrive: parsed to blocks, cut to chunks, each with its content hash and fingerprint."""
 
-    def add(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        docs, size = state.get if state.exists else (0, 0)
-        for r in pd.concat(list(batches)).sort_values("seq").itertuples():
-            docs, size = max(0, docs + int(r.doc_delta)), max(0, size + int(r.doc_delta) * int(r.bytes))
-        state.update((docs, size))
-        yield pd.DataFrame([(*key, docs, size)], columns=["tenant_id", "period", "docs", "bytes"])
+    def apply(batch: DataFrame, number: int) -> None:
+        chunks = chunk.chunk_naive(parse.parse_markdown(batch), size, overlap)
+        _write(chunks.select("*", chunk.content_hash(F.col("content")).alias("content_hash"), chunk.simhash64("content").alias("simhash")), out_path, number)
 
-    slim = events.select("tenant_id", "period", "seq", "doc_delta", "bytes")
-    return slim.groupBy("tenant_id", "period").applyInPandasWithState(add, METER_OUT, "docs long, bytes long", "update", GroupStateTimeout.NoTimeout)
+    return each_batch(docs, apply, checkpoint, **trigger)
 
 
 def append_log(rows: DataFrame, path: str, time_column: str = "created_at") -> None:

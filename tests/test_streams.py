@@ -2,8 +2,54 @@ import numpy as np
 import pandas as pd
 from conftest import SMALL
 
+from corpuspark.operators import audit
 from corpuspark.plans.registry import QUERIES
 from corpuspark.sources.views import view
+from corpuspark.streaming import streams
+
+
+def arrive(folder, frames, spark, schema):
+    """Each frame is a file of its own and so a batch."""
+    for rows in frames:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    return streams.read_log(spark, folder, spark.createDataFrame([], schema).schema, 1)
+
+
+def test_rows_behind_the_watermark_are_dropped(spark, tmp_path):
+    schema = "created_at timestamp_ntz, tenant_id long, tokens long"
+    at = lambda h: (pd.Timestamp(2024, 1, 1) + pd.Timedelta(hours=h)).to_pydatetime()
+    stream = arrive(f"{tmp_path}/in", [[(at(10), 1, 5)], [(at(9.6), 1, 7), (at(14), 1, 1)], [(at(20), 1, 1)], [(at(9.7), 1, 100)], [(at(40), 1, 0)]], spark, schema)
+    streams.run_once(streams.tumbling_metrics(streams.with_event_time(stream, late="1 hour")), f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    got = {r.start.hour: (r.n, r.tokens) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {9: (1, 7), 10: (1, 5), 14: (1, 1), 20: (1, 1)}  # 9:36 came within the hour, 9:42 did not
+
+
+def test_index_is_kept_by_touched_buckets(spark, tmp_path):
+    schema = "seq long, doc_key long, event_type string, available int"
+    first = [[(1, 1, "index", None), (2, 2, "index", None)], [(3, 1, "set_available", 1), (4, 3, "index", None)], [(5, 2, "delete", None)]]
+    index, log = f"{tmp_path}/index", f"{tmp_path}/log"
+    streams.index_change_log(arrive(log, first, spark, schema), index, f"{tmp_path}/c").awaitTermination()
+    assert {r.doc_key: r.available for r in streams.read_index(spark, index).collect()} == {1: 1, 3: 0}
+    done = streams.batches_in(spark, f"{index}/pointers")
+    assert len(done) == 3 and len(list((tmp_path / "index/states" / f"batch={done[-1]}").glob("bucket=*"))) == 1
+    streams.index_change_log(arrive(log, [[(6, 2, "index", None)]], spark, schema), index, f"{tmp_path}/c").awaitTermination()  # goes on from there
+    assert {r.doc_key: r.available for r in streams.read_index(spark, index).collect()} == {1: 1, 2: 0, 3: 0}
+
+
+def test_audit_and_usage_go_on_from_batch_to_batch(spark, tmp_path):
+    rows = spark.createDataFrame([(k, k % 2, "a", "ok") for k in range(12)], "id long, tenant_id long, action string, result string")
+    chain = audit.build_chain(rows).selectExpr("*", "CASE WHEN id = 5 THEN 'x' ELSE prev_hash END AS p", "CASE WHEN id = 8 THEN NULL ELSE row_hash END AS r")
+    chain = chain.drop("prev_hash", "row_hash").withColumnsRenamed({"p": "prev_hash", "r": "row_hash"})
+    whole = {r.tenant_id: (r.breaks, r.gaps) for r in audit.verify_chain(chain).collect()}
+    parts = [chain.where(f"id BETWEEN {a} AND {a + 3}").collect() for a in (0, 4, 8)]
+    streams.verify_audit(arrive(f"{tmp_path}/a", parts, spark, chain.schema), f"{tmp_path}/found", f"{tmp_path}/ca").awaitTermination()
+    found = spark.read.parquet(f"{tmp_path}/found/findings").toPandas()
+    assert {int(t): (g.broken.sum(), g.gap.sum()) for t, g in found.groupby("tenant_key")} == whole == {0: (0, 1), 1: (1, 0)}
+    steps = [[(1, "p", k, d, b) for k, d, b in part] for part in ([(0, 1, 5), (1, -1, 9)], [(70_000, -1, 3), (70_001, 1, 4)], [(140_000, 1, 2)])]
+    schema = "tenant_id long, period string, seq long, doc_delta int, bytes long"
+    streams.meter_usage(arrive(f"{tmp_path}/m", steps, spark, schema), f"{tmp_path}/usage", f"{tmp_path}/cm").awaitTermination()
+    used = streams.latest(spark, f"{tmp_path}/usage", streams.USAGE).first()
+    assert (used.docs, used.bytes) == (2, 6)
 
 
 def test_sliding_windows_start_every_five_minutes(spark):
