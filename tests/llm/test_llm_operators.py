@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import pathlib
 import re
 import zlib
 from collections import defaultdict
@@ -548,7 +549,31 @@ def test_compaction_keeps_all_rows_and_versions(spark, odd, none, tmp_path):
 def test_licence_scan_of_odd_rows(odd, none):
     got = {r.doc_id: r for r in licenses.scan(odd).collect()}
     assert got[9].licence == "Apache-2.0" and got[9].dice == 1.0 and got[1].n_matches == 0 and got[8].licence is None
-    assert licenses.scan(none).count() == 0
+    assert licenses.scan(odd).count() == len(ODD) and licenses.scan(none).count() == 0
+
+
+def test_licences_in_longer_texts(spark):
+    mit = next(t for n, t in licenses.TEMPLATES if n == "MIT" and len(t) > 900)
+    rows = [
+        (1, (mit + " ") * 20),  # as many words as it may have, the same distinct bigrams
+        (2, "Some words before. Released under the MIT License. Some words after"),
+        (3, "# head\n# Redistribution and use in source and binary\n# forms, with or without modification, are permitted\n# provided that the following conditions are met: so"),
+        (None, mit),
+        (4, "nothing here"),
+        (4, mit),
+        (5, "word " * 30_000),
+    ]
+    got = sorted((str(r.doc_id), r.licence or "") for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [("1", "MIT"), ("2", "MIT"), ("3", "BSD-3-Clause"), ("4", ""), ("4", "MIT"), ("5", ""), ("None", "MIT")]
+
+
+@pytest.mark.parametrize(("name", "licence"), [("Apache-2.0", "Apache-2.0"), ("GPL-3", "GPL-3.0"), ("BSD", "BSD-3-Clause"), ("MPL-2.0", "MPL-2.0")])
+def test_full_texts_are_found(spark, name, licence):
+    path = pathlib.Path("/usr/share/common-licenses", name)
+    if not path.exists():
+        pytest.skip("this system has no licence texts")
+    text = path.read_text()
+    assert licence in licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().licences.split(",")
 
 
 def test_word_hashes_don_t_depend_on_place():
