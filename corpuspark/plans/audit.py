@@ -39,7 +39,13 @@ def q2(v):
     return linked(v).select("id", "prev_hash", "row_hash")
 
 
-@query("q3_build_chain")
+@query(
+    "q3_build_chain",
+    f"""WITH RECURSIVE p AS (SELECT id, tenant_id, coalesce(tenant_id, -1) AS t, {PAYLOAD} AS payload, row_number() OVER (PARTITION BY tenant_id ORDER BY id) AS n FROM {{v_audit}}),
+c AS (SELECT id, tenant_id, t, n, CAST(NULL AS VARCHAR) AS prev_hash, sha256('|' || payload) AS row_hash FROM p WHERE n = 1
+  UNION ALL SELECT p.id, p.tenant_id, p.t, p.n, c.row_hash, sha256(c.row_hash || '|' || payload) FROM c JOIN p ON p.t = c.t AND p.n = c.n + 1)
+SELECT id, tenant_id, prev_hash, row_hash FROM c""",
+)
 def q3(v):
     return audit.build_chain(v.v_audit).select("id", "tenant_id", "prev_hash", "row_hash")
 
@@ -105,7 +111,16 @@ def q8(v):
     return audit.check_quota(used(v), audit.quota_limits(v.v_file, v.v_quota))
 
 
-@query("q9_admit_uploads")
+@query(
+    "q9_admit_uploads",
+    f"""WITH RECURSIVE {LIMITS}, u AS (SELECT f.tenant_id, strftime(created_date, '%Y-%m') AS period, file_id AS seq, size_bytes AS bytes, max_docs, max_bytes,
+  row_number() OVER (PARTITION BY f.tenant_id, strftime(created_date, '%Y-%m') ORDER BY file_id) AS n FROM {{v_file}} f JOIN limits l ON l.tenant_id = f.tenant_id),
+a AS (SELECT *, NOT (max_bytes > 0 AND bytes > max_bytes) AS ok, CASE WHEN max_bytes > 0 AND bytes > max_bytes THEN 0 ELSE 1 END AS docs,
+    CAST(CASE WHEN max_bytes > 0 AND bytes > max_bytes THEN 0 ELSE bytes END AS HUGEINT) AS used FROM u WHERE n = 1
+  UNION ALL SELECT u.*, o.ok, a.docs + o.ok::INT, a.used + CASE WHEN o.ok THEN u.bytes ELSE 0 END FROM a JOIN u ON u.tenant_id = a.tenant_id AND u.period = a.period AND u.n = a.n + 1,
+    LATERAL (SELECT NOT (u.max_docs > 0 AND a.docs >= u.max_docs) AND NOT (u.max_bytes > 0 AND a.used + u.bytes > u.max_bytes) AS ok) o)
+SELECT tenant_id, period, seq, bytes, ok AS admitted FROM a""",
+)
 def q9(v):
     uploads = v.v_file.select("tenant_id", F.date_format("created_date", "yyyy-MM").alias("period"), F.col("file_id").alias("seq"), F.col("size_bytes").alias("bytes"))
     return audit.admit_uploads(uploads, audit.quota_limits(v.v_file, v.v_quota))

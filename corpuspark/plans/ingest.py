@@ -227,7 +227,17 @@ def counted(v):
     return v.v_chunk_v1.select("file_id", "chunk_key", "chunk_order", "version", chunk.token_count(F.col("content")).alias("n_tokens"), (F.col("chunk_order") % 9 == 8).alias("skip_summary"))
 
 
-@query("c15_summary_windows")
+TOKEN_COUNT = r"len(regexp_extract_all(content, '[\pL\pN_]+|[^\s\pL\pN_]'))"
+
+
+@query(
+    "c15_summary_windows",
+    f"""WITH RECURSIVE t AS (SELECT file_id, chunk_order, {TOKEN_COUNT} AS m FROM {{v_chunk_v1}} WHERE chunk_order % 9 <> 8),
+e AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY chunk_order) AS n FROM t QUALIFY sum(m) OVER (PARTITION BY file_id) >= 50 AND count(*) OVER (PARTITION BY file_id) >= 5),
+w AS (SELECT file_id, chunk_order, n, 0 AS window_no, m AS total FROM e WHERE n = 1
+  UNION ALL SELECT e.file_id, e.chunk_order, e.n, w.window_no + (w.total >= 200)::INT, CASE WHEN w.total >= 200 THEN e.m ELSE w.total + e.m END FROM w JOIN e ON e.file_id = w.file_id AND e.n = w.n + 1)
+SELECT file_id, chunk_order, window_no FROM w""",
+)
 def c15(v):
     return chunk.summary_windows(counted(v), 200, 50, 5)
 

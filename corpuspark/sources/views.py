@@ -136,4 +136,6 @@ def with_views(sql: str) -> str:
     head = ", ".join(f"{n} AS ({t})" for n, t in ready.items())
     if not head:
         return body
+    if body.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head}, {body[15:]}"
     return f"WITH {head}, {body[5:]}" if own else f"WITH {head} {body}"
