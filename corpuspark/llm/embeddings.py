@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpuspark.llm.common import afresh, discard, stored, table
+from corpuspark.llm.common import discard, stored, table
 from corpuspark.llm.components import cells, components, links_of_cell
 
 THRESHOLD = 0.98
@@ -154,7 +154,7 @@ def seeds(reps: DataFrame, bits: int, seed: int, best_of: int) -> DataFrame:
 def nearest(edges: DataFrame, apart: DataFrame | None, k: int) -> DataFrame:
     """(src, dst, sim, fresh): the ``k`` most similar neighbours of each node that are not of its component of ``apart`` (node, component).
     An edge that was there before isn't fresh."""
-    once = edges.groupBy("src", "dst").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
+    once = edges.repartition("src").groupBy("src", "dst").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))  # one exchange serves all
     if apart is not None:
         of = lambda name: apart.select(F.col("node").alias(name), F.col("component").alias(f"{name}_in"))
         once = once.join(of("src"), "src", "left").join(of("dst"), "dst", "left")
@@ -167,11 +167,11 @@ def local_join(graph: DataFrame, halves: DataFrame, turn: int, best_of: int) ->
     """Proposed edges and star edges among the neighbours, in either direction, of each node that has a fresh one. A hub's many neighbours
     meet in bounded blocks, dealt out anew in each turn."""
     back = graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "fresh")
-    around = graph.select("src", "dst", "fresh").unionByName(back).groupBy("src", "dst").agg(F.max("fresh").alias("fresh"))
-    degrees = around.groupBy("src").agg(F.count("*").alias("n"), F.max("fresh").alias("any"))
-    active = degrees.where("any = 1 AND n > 1").select(afresh("src").alias("center"), F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
-    met = around.join(active, F.col("src") == F.col("center")).select("src", F.col("dst").alias("rep"), "parts")
-    met = met.withColumn("part", F.pmod(F.xxhash64("rep", F.lit(turn)), "parts").cast("int")).join(halves, "rep")
+    around = graph.select("src", "dst", "fresh").unionByName(back).repartition("src").groupBy("src", "dst").agg(F.max("fresh").alias("fresh"))
+    of_src = Window.partitionBy("src")
+    active = around.withColumns({"n": F.count("*").over(of_src), "any": F.max("fresh").over(of_src)}).where("any = 1 AND n > 1")
+    part = F.pmod(F.xxhash64("dst", F.lit(turn)), F.ceil(F.col("n") / BLOCK)).cast("int")
+    met = active.select("src", F.col("dst").alias("rep"), part.alias("part")).join(halves, "rep")
     return met.repartition("src", "part").sortWithinPartitions("src", "part").select("src", "part", "rep", "half").mapInArrow(_proposals(2, BLOCK, best_of), EDGES)
 
 
@@ -179,16 +179,16 @@ def neighbour_graph(reps: DataFrame, largest_label: int, k: int, seed: int, know
     """(node, component) of the threshold edges that NN-descent finds, and of those that are ``known``, in the same form."""
     halves = stored(reps.select("rep", "vector").mapInArrow(_halve, "rep long, half binary"), "halves")
     proposed = stored(seeds(reps, seed_bits(largest_label), seed, k), "proposed")
-    stars, apart, graph = None, known, None
+    apart, graph = known, None
     for turn in range(MAX_ROUNDS + 1):
         found = proposed.where("sim IS NULL").select("src", "dst")
         met = found if apart is None else found.join(apart.withColumnRenamed("node", "src"), "src", "left").join(
             apart.select(F.col("node").alias("dst"), F.col("component").alias("other")), "dst", "left"
         ).where("component IS NULL OR other IS NULL OR component <> other").select("src", "dst")
         if not met.isEmpty():  # saturated lists: what is near by now is set aside, so that other vectors get a place
-            before = stars if stars is not None else known.select(F.col("node").alias("src"), F.col("component").alias("dst")) if known is not None else None
-            stars = stored((found if before is None else before.unionByName(found)).distinct(), "stars")
-            apart = stored(components(stars, "src", "dst"), "apart")
+            if apart is not None:  # what is known is an edge for each node
+                met = met.unionByName(apart.select(F.col("node").alias("src"), F.col("component").alias("dst")))
+            apart = stored(components(stored(met.distinct(), "stars"), "src", "dst"), "apart")
         fresh = proposed.where("sim IS NOT NULL").withColumn("fresh", F.lit(1))
         old = None if graph is None else graph.withColumn("fresh", F.lit(0))
         after = stored(nearest(fresh if old is None else old.unionByName(fresh), apart, k), "graph")
