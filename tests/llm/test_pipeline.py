@@ -45,3 +45,17 @@ def test_odd_rows_pass(spark):
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 0, 1, 2, 3, 4]
     assert corpus_pipeline.drop_unknown_language(spark, docs, SMALL).where("doc_id IN (1, 2, 3)").count() == 0
     assert corpus_pipeline.drop_near_duplicates(spark, docs.where("false"), SMALL).count() == 0
+
+
+def test_every_stage_takes_odd_rows(spark):
+    rows = [(1, None), (2, ""), (3, "12"), (4, "the and of to"), (4, "the and of to"), (None, "the and of"), (5, "x" * 50_000), (6, "you idiot, you stupid clown, you moron " * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "1L AS n_chars", "'a' AS score", "2 AS predicted", "'b' AS saved")
+    whole = spark.read.parquet(f"{SMALL}/documents.parquet").selectExpr("*", "'a' AS score", "2 AS predicted", "'b' AS saved")
+    mixed = whole.unionByName(docs.withColumn("doc_id", docs.doc_id + 1_000_000))
+    kept = corpus_pipeline.drop_toxic(spark, mixed, SMALL)
+    ids = [r.doc_id for r in kept.select("doc_id").where("doc_id IS NULL OR doc_id > 1000000").collect()]
+    assert kept.columns == mixed.columns and sorted(ids, key=str) == [1000001, 1000002, 1000003, 1000004, 1000004, 1000005, None]
+    packed = corpus_pipeline.pack(spark, docs, SMALL)
+    assert {r.doc_id for r in packed.select("doc_id").collect()} == {1, 2, 3, 4, 5, 6, None} and packed.where("doc_id = 4").count() == 2
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), SMALL).count() == 0
