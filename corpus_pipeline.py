@@ -1,4 +1,11 @@
-"""A corpus pipeline of four stages: toxicity, language ID, near-duplicates, packing."""
+"""A corpus pipeline of four stages: toxicity, language ID, near-duplicates, packing.
+
+Defined results, of every stage: an empty table gives no rows; all columns come through as they are, whatever their names; the last stage
+returns its own. Null and empty texts: kept by toxicity (they are scored as texts without words), dropped by language (no letter), kept
+by near-duplicates, packed as the end id alone. Repeated rows of an id: kept by the first two stages, one row after near-duplicates.
+Rows without an id: kept by the first two, one for each different text after near-duplicates. Ties: of near-duplicates the least id
+stays; of languages the alphabetically first counts.
+"""
 
 from __future__ import annotations
 
