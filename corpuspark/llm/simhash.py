@@ -30,6 +30,7 @@ RADIUS = 6
 BLOCKS = 8
 ROWS_PER_RANGE = 500
 MOST_RANGES = 1_000_000
+NAMELESS_RANGES = 10_000
 BUCKET_PART = 128
 LANES = "4294967297L"  # the lowest bit of each half of a long
 
@@ -94,24 +95,30 @@ def with_next(docs: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> DataFram
     """(range, nth, doc_id, text, next_id, next_text): every document beside the following one.
 
     Each range of ids is ordered for itself; the first document of a range also closes the range before it. Only the ranges' first ids
-    are ordered together. Rows without an id get range -1 and their own order only to be told apart.
+    are ordered together. Rows without an id get negative ranges and their own order only to be told apart.
     """
     rows = docs.select("doc_id", text_or_empty().alias("text"))
     named, nameless = rows.where("doc_id IS NOT NULL"), rows.where("doc_id IS NULL")
     cut = ranges(docs, rows_per_range)
     if cut is None:
-        lone = nameless.select(F.lit(-1.0).alias("range"), F.monotonically_increasing_id().alias("nth"), "doc_id", "text")
+        lone = nameless.select(F.lit(-1).cast("long").alias("range"), F.monotonically_increasing_id().alias("nth"), "doc_id", "text")
         return lone.select("*", F.col("doc_id").alias("next_id"), F.lit("").alias("next_text"))
-    ranged = cut.transform(named.withColumn("place", F.col("doc_id").cast("double"))).drop("place")
-    firsts = cut.transform(docs.where("doc_id IS NOT NULL").select("doc_id", F.col("doc_id").cast("double").alias("place"))).groupBy("range").agg(F.min("doc_id").alias("first_id"))
+    # As a whole number: of a double, Spark deals out a normalised form, and would deal the rows out again for what is grouped by it.
+    in_range = lambda df: cut.transform(df.withColumn("place", F.col("doc_id").cast("double"))).drop("place").withColumn("range", F.col("range").cast("long"))
+    ranged = in_range(named)
+    firsts = in_range(docs.where("doc_id IS NOT NULL").select("doc_id")).groupBy("range").agg(F.min("doc_id").alias("first_id"))
     closes = firsts.select("first_id", F.lag("range").over(Window.orderBy("range")).alias("before"), F.max("range").over(Window.partitionBy(F.lit(1))).alias("last"))
     closes = closes.select("first_id", F.coalesce("before", "last").alias("range"), F.col("before").isNull().alias("is_first"))  # one row a range
     ghosts = stored(
         named.join(F.broadcast(closes), F.col("doc_id") == F.col("first_id")).groupBy("range", "doc_id", "is_first").agg(F.min("text").alias("text")), "firsts"
     )
     order = Window.partitionBy("range").orderBy("ghost", "doc_id", "text")
+    # Rows without an id go to ranges of their own by hash. Everything is in its range before the one exchange, so that what follows needs none.
+    salted = nameless.withColumn("range", -1 - F.pmod(F.xxhash64("text"), F.lit(NAMELESS_RANGES)))
+    first = ghosts.where("is_first").select(F.lit(True).alias("outside"), F.col("doc_id").alias("first_id"), F.col("text").alias("first_text"))  # one row
     ordered = (
-        ranged.withColumn("ghost", F.lit(0))
+        ranged.unionByName(salted)
+        .withColumn("ghost", F.lit(0))
         .unionByName(ghosts.select("doc_id", "text", "range", F.lit(1).alias("ghost")))
         .select(
             "range",
@@ -119,15 +126,15 @@ def with_next(docs: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> DataFram
             "doc_id",
             "text",
             "ghost",
-            F.lead("doc_id").over(order).alias("next_id"),
-            F.lead("text").over(order).alias("next_text"),
+            F.lead("doc_id").over(order).alias("lead_id"),
+            F.lead("text").over(order).alias("lead_text"),
+            F.col("doc_id").isNull().alias("no_id"),
         )
         .where("ghost = 0")
-        .drop("ghost")
+        .join(F.broadcast(first), F.col("no_id") == F.col("outside"), "left")
     )
-    first = ghosts.where("is_first").select(F.col("doc_id").alias("next_id"), F.col("text").alias("next_text"))  # one row
-    outside = nameless.select(F.lit(-1.0).alias("range"), F.monotonically_increasing_id().alias("nth"), "doc_id", "text").crossJoin(F.broadcast(first))
-    return ordered.unionByName(outside)
+    nxt = lambda a, b: F.when(F.col("no_id"), F.col(a)).otherwise(F.col(b))
+    return ordered.select("range", "nth", "doc_id", "text", nxt("first_id", "lead_id").alias("next_id"), nxt("first_text", "lead_text").alias("next_text"))
 
 
 def near_counts(prints: DataFrame, radius: int = RADIUS, part_size: int = BUCKET_PART) -> DataFrame:
