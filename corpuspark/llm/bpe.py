@@ -25,10 +25,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from corpuspark.llm.common import kind_of, map_texts, table
-from corpuspark.llm.textscan import row_slices, span_hashes
+from corpuspark.llm.textscan import lanes, row_slices, span_hashes
 
 CACHED_PIECES = 1 << 21
-LONGEST_CACHED = 48
+LONGEST_CACHED = 23  # bytes; with its length such a piece is three whole numbers
 M64 = (1 << 64) - 1
 # Odd 64-bit multipliers that mix a displacement into a hash.
 MIX_D, MIX_H = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -198,8 +198,8 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 class PieceTable:
     """Ids of texts, piece by piece. ``encode`` gives (ids, where each piece's begin, how many) of pieces (UTF-8); those of short ones are
-    kept in a two-way table by hash, with length and first bytes as a check, of at most ``size`` places (28 bytes and some four ids
-    each). A whole batch is looked up at once, without an object for a word."""
+    kept in a two-way table by hash with all their bytes, of at most ``size`` places (36 bytes and some four ids each). Pieces are equal
+    only where all their bytes are; longer ones are encoded each. A whole batch is looked up at once, without an object for a word."""
 
     def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]], size: int):
         self.encode = encode
@@ -209,8 +209,7 @@ class PieceTable:
 
     def _clear(self) -> None:
         sets = 1 << self.bits
-        self.keys = np.zeros(sets, np.uint64)
-        self.checks = np.zeros(sets, np.uint64)  # 0 marks a free place: a piece has a byte
+        self.pieces = np.zeros((3, sets), np.uint64)  # the last one's highest byte is the length: 0 marks a free place
         self.at = np.zeros(sets, np.int64)
         self.n = np.zeros(sets, np.int32)
         self.ids = np.zeros(1 << 16, np.uint32)
@@ -234,35 +233,39 @@ class PieceTable:
         ends = np.append(starts[1:], len(data))
         key = span_hashes(data, starts, ends)
         length = ends - starts
-        head = np.zeros(len(starts), np.uint64)  # the first six bytes and the length
-        for k in range(6):
-            more = length > k
-            head[more] |= data[starts[more] + k].astype(np.uint64) << np.uint64(8 * k)
-        check = head | np.minimum(length, 0xFFFF).astype(np.uint64) << np.uint64(48)
+        short = length <= LONGEST_CACHED
+        piece = np.stack([lanes(data, starts, length, k) for k in range(3)])
+        piece[2] &= np.uint64((1 << 56) - 1)
+        piece[2] |= np.minimum(length, 255).astype(np.uint64) << np.uint64(56)
+
+        def equal(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            return (a[0] == b[0]) & (a[1] == b[1]) & (a[2] == b[2])
+
         slot = (key >> np.uint64(65 - self.bits)).astype(np.int64) * 2
-        other = (self.keys[slot] != key) | (self.checks[slot] != check)
+        other = ~equal(self.pieces[:, slot], piece)
         slot[other] += 1
-        missed = other & ((self.keys[slot] != key) | (self.checks[slot] != check))
+        missed = ~short
+        missed[other] |= ~equal(self.pieces[:, slot[other]], piece[:, other])
         at, n = self.at[slot], self.n[slot].astype(np.int64)
         if missed.any():
             where = np.flatnonzero(missed)
             _, first, inverse = np.unique(key[where], return_index=True, return_inverse=True)
             new = where[first]
-            same = check[where] == check[new][inverse]
-            if not same.all():  # two pieces of one hash: these go one by one
-                new = np.concatenate([new, where[~same]])
-                inverse[~same] = len(first) + np.arange((~same).sum())
+            alone = ~short[where] | ~equal(piece[:, where], piece[:, new[inverse]])
+            alone[first] = False
+            new = np.concatenate([new, where[alone]])  # long pieces and two pieces of one hash go one by one
+            inverse[alone] = len(first) + np.arange(alone.sum())
             raw = data.tobytes()
             ids, begin, sizes = self.encode([raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
             begin = begin + self._keep(ids)
             at[where], n[where] = begin[inverse], sizes[inverse]
-            short = np.flatnonzero(length[new] < LONGEST_CACHED)
-            place, last = np.unique(slot[new[short]] & ~np.int64(1), return_index=True)
-            for values in (self.keys, self.checks, self.at, self.n):  # the younger of two stays
+            fit = np.flatnonzero(short[new])
+            place, last = np.unique(slot[new[fit]] & ~np.int64(1), return_index=True)
+            for values in (*self.pieces, self.at, self.n):  # the younger of two stays
                 values[place + 1] = values[place]
-            short = short[last]
-            self.keys[place], self.checks[place] = key[new[short]], check[new[short]]
-            self.at[place], self.n[place] = begin[short], sizes[short]
+            fit = fit[last]
+            self.pieces[:, place] = piece[:, new[fit]]
+            self.at[place], self.n[place] = begin[fit], sizes[fit]
         edges = np.concatenate([[0], np.cumsum(n)])
         return _gathered(self.ids, at, n), edges[np.searchsorted(starts, offsets)]
 

@@ -6,11 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Symbols of ``letters``: 0 a run of anything that is no letter, 1-26 a-z, then the bytes 0x80-0xFF.
 SYMBOLS = 27 + 128
 SLICE_BYTES = 400_000
-#: Fixed value: an odd multiplier, the base of the rolling hashes.
+LONG_SPAN = 64
+#: Fixed value: an odd multiplier.
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -59,19 +61,6 @@ def letters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out[keep], np.concatenate([kept[starts], kept[-1:]]).astype(np.int64)
 
 
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n at least; one pair of arrays for each worker, grown when needed."""
-    if n > len(_POWERS[0]):
-        for k, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
-            factors = np.full(1 << max(16, int(n - 1).bit_length()), base, np.uint64)
-            factors[0] = 1
-            _POWERS[k] = np.cumprod(factors)
-    return _POWERS[0], _POWERS[1]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: xor-shifts and odd multipliers (fixed values of a published mixer)."""
     h = h ^ (h >> np.uint64(33))
@@ -81,12 +70,31 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def lanes(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, k: int) -> np.ndarray:
+    """Bytes 8k to 8k + 7 of each span as one number; bytes behind its end are 0."""
+    padded = np.zeros(len(values) + 8, np.uint8)
+    padded[: len(values)] = values
+    at = np.minimum(starts + 8 * k, len(values))
+    return np.ndarray(len(values) + 1, "<u8", padded, strides=(1,))[at] & _HEADS[np.clip(lengths - 8 * k, 0, 8)]
+
+
+_HEADS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
+
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each span of ``values``, equal for equal spans wherever they lie."""
-    up, down = powers(len(values) + 1)
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: len(values)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+    """A hash of each span of ``values`` (bytes), equal for equal spans wherever they lie. Eight bytes at a time are mixed in, so that
+    spans with a common pattern have no more chance of equal hashes than others; long ones are hashed one by one."""
+    lengths = ends - starts
+    out = mix(lengths.astype(np.uint64) * np.uint64(BASE) + np.uint64(1))
+    short = np.flatnonzero(lengths <= LONG_SPAN)
+    for k in range(LONG_SPAN // 8):
+        short = short[lengths[short] > 8 * k]
+        if not len(short):
+            break
+        out[short] = mix(out[short] * np.uint64(BASE) ^ mix(lanes(values, starts[short], lengths[short], k) + np.uint64(k + 1)))
+    for i in np.flatnonzero(lengths > LONG_SPAN).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(values[starts[i] : ends[i]].tobytes(), seed=LONG_SPAN)
+    return out
 
 
 def spans(is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
