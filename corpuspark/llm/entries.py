@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpuspark.llm import bpe, chat, compaction, embeddings, jaccard, langid, licenses, packing, simhash, toxicity
+from corpuspark.llm import bpe, chat, compaction, embeddings, jaccard, langid, licenses, packing, phrases, simhash, toxicity
 
-MODULES = (chat, embeddings, langid, compaction, jaccard, licenses, toxicity, bpe, simhash, packing)
+MODULES = (chat, embeddings, langid, compaction, jaccard, licenses, toxicity, bpe, simhash, packing, phrases)
 
 
 def queries():
