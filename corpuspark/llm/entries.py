@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpuspark.llm import bpe, chat, compaction, embeddings, jaccard, langid, licenses, packing, phrases, simhash, toxicity, whitening
+from corpuspark.llm import bpe, chat, compaction, embeddings, jaccard, langid, licenses, packing, phrases, simhash, superkmers, toxicity, whitening
 
-MODULES = (chat, embeddings, langid, compaction, jaccard, licenses, toxicity, bpe, simhash, packing, whitening, phrases)
+MODULES = (chat, embeddings, langid, compaction, jaccard, licenses, toxicity, bpe, simhash, packing, whitening, phrases, superkmers)
 
 
 def queries():
