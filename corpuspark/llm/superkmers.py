@@ -3,10 +3,11 @@
 A window is ``WINDOW`` consecutive words of a document; its minimiser is the least hash of its runs of ``MINIMISER`` words. Consecutive windows with
 one minimiser travel as one packed string of words (a super-k-mer) to the bucket of that hash, where equal windows meet whatever lies around
 them: their words are numbered exactly, windows are sorted, and each run of equal ones gets the least document it starts in. Equal
-super-k-mers of a slice are one row with their least and greatest document, so that copies collapse before the shuffle.
+super-k-mers of a slice are one with their least and greatest document, so that copies collapse before the shuffle. A task sends its
+super-k-mers of a part (a range of buckets, sized to fit a task) as one compressed parcel.
 
 Buckets that many different super-k-mers share (a passage with changing words around it) are known in advance by a count of minimisers
-in 65,536 cells, or else by their bytes when they come; the windows of these are grouped by their own words, with partial aggregates, so no
+in 65,536 cells, or else by a part's bytes when they come; the windows of these are grouped by their own words, with partial aggregates, so no
 task holds such a bucket. What comes back are the super-k-mers with a window that a smaller document has; only their occurrences, by a bitmap of
 bounded size, are joined with them, and only the documents that lose words are shuffled.
 
@@ -24,20 +25,22 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuspark.llm.common import IdFilter, afresh, map_texts, stored, table
-from corpuspark.llm.textscan import BASE, mix, row_slices, span_hashes, spans, utf8
+from corpuspark.llm.textscan import BASE, mix, row_slices, span_hashes, spans
 
 WINDOW = 13
 MINIMISER = 3
 MOST_WINDOWS = 32  # of a super-k-mer: longer runs are cut
 CELLS = 1 << 16
 HOT = 8  # times the mean of a cell
-CHUNK_BYTES = 2 << 20
-BUCKET_BYTES = 16 << 20
+TASK_BYTES = 24 << 20  # of super-k-mers that a task holds before it sends them
+PART_BYTES, MOST_OF_PART = 12 << 20, 48 << 20
 LAST = (1 << 63) - 1
+LARGEST = np.uint64((1 << 64) - 1)
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -89,13 +92,7 @@ class Slice:
         return at[first], np.diff(np.append(first, len(at))), least[first]
 
     def names(self, first: np.ndarray, windows: np.ndarray) -> np.ndarray:
-        """A second hash of each super-k-mer's words, in their order."""
-        out, words = mix(windows.astype(np.uint64) + np.uint64(BASE)), windows + WINDOW - 1
-        live = np.arange(len(first))
-        for j in range(int(words.max()) if len(words) else 0):
-            live = live[words[live] > j]
-            out[live] = mix(out[live] * np.uint64(BASE) ^ self.hashes[first[live] + j])
-        return out
+        return _names(self.hashes, first, windows)
 
 
 def _cell(minimisers: np.ndarray) -> np.ndarray:
@@ -107,91 +104,163 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("key"), "text").where(F.col("text").isNotNull())
 
 
-def hot_cells(docs: DataFrame) -> np.ndarray:
-    """For each cell of minimisers whether it has more than ``HOT`` times the mean of super-k-mers."""
+def hot_cells(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """(for each cell of minimisers whether it has more than ``HOT`` times the mean of super-k-mers, bytes of all of them)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.int64)
+        total, size = np.zeros(CELLS, np.int64), 0
         for batch in batches:
             for _, data, offsets in row_slices(batch):
-                total += np.bincount(_cell(Slice(data, offsets).superkmers()[2]), minlength=CELLS)
+                words = Slice(data, offsets)
+                first, windows, least = words.superkmers()
+                total += np.bincount(_cell(least), minlength=CELLS)
+                size += int((words.at[first + windows + WINDOW - 1] - words.at[first]).sum())
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, CELLS)), pa.array(np.append(total[some], size))], ["cell", "n"])
 
     sizes = map_texts(docs.select("text").where(F.col("text").isNotNull()), run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    rows = np.array(sizes.collect(), np.int64).reshape(-1, 2)
-    hot = np.zeros(CELLS, bool)
-    hot[rows[rows[:, 1] > HOT * max(1.0, rows[:, 1].sum() / CELLS), 0]] = True
-    return hot
+    totals = np.zeros(CELLS + 1, np.int64)
+    for cell, n in sizes.collect():  # one row a cell
+        totals[cell] = n
+    return totals[:CELLS] > HOT * max(1.0, totals[:CELLS].mean()), int(totals[CELLS])
+
+
+def _bytes_of(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The runs of bytes, one after the other."""
+    edges = np.cumsum(lengths)
+    return data[np.arange(edges[-1] if len(edges) else 0) + np.repeat(starts - edges + lengths, lengths)]
+
+
+def _texts(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    edges = np.concatenate([[0], np.cumsum(lengths)])
+    return pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(_bytes_of(data, starts, lengths))])
+
+
+def _parcel(lengths: np.ndarray, low: np.ndarray, high: np.ndarray, data: np.ndarray) -> bytes:
+    """Super-k-mers of one part as one compressed string: numbers by their bytes, which are mostly alike, then the words."""
+    numbers = np.stack([lengths, low, high - low]).astype("<i8").view(np.uint8).reshape(3, -1, 8).transpose(0, 2, 1)
+    return zstandard.compress(len(lengths).to_bytes(8, "little") + numbers.tobytes() + data.tobytes(), 3)
+
+
+def _opened(parcel: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(lengths, low, high, words) of a parcel."""
+    raw = zstandard.decompress(parcel)
+    n = int.from_bytes(raw[:8], "little")
+    numbers = np.frombuffer(raw, np.uint8, 24 * n, 8).reshape(3, 8, n).transpose(0, 2, 1)
+    lengths, low, more = np.ascontiguousarray(numbers).view("<i8").reshape(3, n)
+    return lengths, low, low + more, np.frombuffer(raw, np.uint8, offset=8 + 24 * n)
+
+
+SHIPPED = "part long, parcel binary, bucket long, name long, low long, high long, words string"
+
+
+def packed(docs: DataFrame, hot: np.ndarray, parts: int) -> DataFrame:
+    """The different super-k-mers of each slice with their least and greatest document: those of ordinary buckets as parcels of a task by
+    ``part``, those of hot buckets in rows of their own."""
+    names = [c.split()[0] for c in SHIPPED.split(", ")]
 
+    def rows(n: int, **columns: pa.Array) -> pa.RecordBatch:
+        kinds = {"parcel": pa.binary(), "words": pa.string()}
+        return pa.RecordBatch.from_arrays([columns.get(k, pa.nulls(n, kinds.get(k, pa.int64()))) for k in names], names)
 
-def packed(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(hot, bucket, name, low, high, words): the different super-k-mers of each slice with their least and greatest document."""
+    def parcels(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        part, lengths, low, high, data = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(part, kind="stable")
+        data = _bytes_of(data, (np.cumsum(lengths) - lengths)[order], lengths[order])
+        part, lengths, low, high = part[order], lengths[order], low[order], high[order]
+        at, edges = np.concatenate([[0], np.cumsum(lengths)]), np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
+        made = [_parcel(lengths[a:b], low[a:b], high[a:b], data[at[a] : at[b]]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        yield rows(len(made), part=pa.array(part[edges[:-1]]), parcel=pa.array(made, pa.binary()))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            for part, data, offsets in row_slices(batch):
+            for texts, data, offsets in row_slices(batch):
                 words = Slice(data, offsets)
                 first, windows, least = words.superkmers()
                 if not len(first):
                     continue
                 name = words.names(first, windows)
-                doc = part.column(0).to_numpy(zero_copy_only=False)[words.doc[first]]
+                doc = texts.column(0).to_numpy(zero_copy_only=False)[words.doc[first]]
                 order = np.lexsort((doc, name, least))
                 new = np.ones(len(order), bool)
                 new[1:] = (name[order][1:] != name[order][:-1]) | (least[order][1:] != least[order][:-1])
                 edge = np.flatnonzero(new)
                 low, high = doc[order][edge], doc[order][np.append(edge[1:], len(order)) - 1]
                 one = order[edge]
-                a, b = words.at[first[one]], words.at[first[one] + windows[one] + WINDOW - 1] - 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(hot[_cell(least[one])]), pa.array(least[one].view(np.int64)), pa.array(name[one].view(np.int64)), pa.array(low), pa.array(high), _texts(words.spaced, a, b)],
-                    ["hot", "bucket", "name", "low", "high", "words"],
-                )
-
-    return map_texts(docs.select("doc", "text"), run, "hot boolean, bucket long, name long, low long, high long, words string")
-
-
-def _texts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """The runs of bytes as a string column."""
-    lengths = ends - starts
-    edges = np.concatenate([[0], np.cumsum(lengths)])
-    raw = data[np.arange(edges[-1]) + np.repeat(starts - edges[:-1], lengths)]
-    return pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(raw)])
-
-
-def _least_of_windows(texts: pa.Array, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(number of windows of each super-k-mer, for each window the least document of any that has it)."""
-    data, offsets = utf8(texts)
-    begins = np.unique(np.concatenate([offsets[:-1], np.flatnonzero(data == 32) + 1]))
-    of = np.searchsorted(offsets[:-1], begins, "right") - 1
-    stops = np.append(begins[1:], len(data))
-    stops = np.where(np.append(of[1:] != of[:-1], True), stops, stops - 1)
-    lengths = stops - begins
-    edges = np.concatenate([[0], np.cumsum(lengths)])
-    raw = data[np.arange(edges[-1]) + np.repeat(begins - edges[:-1], lengths)]
-    words = pa.Array.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(raw)])
-    codes = words.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    counts = np.bincount(of, minlength=len(offsets) - 1) - WINDOW + 1
-    first_word = np.cumsum(counts + WINDOW - 1) - counts - WINDOW + 1
-    edge = np.cumsum(counts) - counts
-    start = np.repeat(first_word - edge, counts) + np.arange(counts.sum())
-    h = np.zeros(len(start), np.uint64)
-    for j in range(WINDOW):
-        h = mix(h * np.uint64(BASE) ^ codes[start + j].astype(np.uint64))
-    order = np.argsort(h, kind="stable")
-    if _clash(codes, start, h, order):
-        order = np.lexsort([codes[start + j] for j in range(WINDOW)])
-    new = np.ones(len(order), bool)
-    new[1:] = False
-    for j in range(WINDOW):
-        x = codes[start[order] + j]
-        new[1:] |= x[1:] != x[:-1]
-    group = np.flatnonzero(new)
-    least = np.minimum.reduceat(np.repeat(low, counts)[order], group)
-    out = np.empty(len(order), np.int64)
-    out[order] = np.repeat(least, np.diff(np.append(group, len(order))))
-    return counts, out
+                starts, lengths = words.at[first[one]], words.at[first[one] + windows[one] + WINDOW - 1] - 1 - words.at[first[one]]
+                aside = hot[_cell(least[one])]
+                if aside.any():
+                    key = one[aside]
+                    columns = {"bucket": least[key].view(np.int64), "name": name[key].view(np.int64), "low": low[aside], "high": high[aside]}
+                    yield rows(len(key), words=_texts(words.spaced, starts[aside], lengths[aside]), **{k: pa.array(c) for k, c in columns.items()})
+                stay = ~aside
+                part = (_cell(least[one[stay]]) << 22 | (least[one[stay]] & np.uint64(0x3FFFFF)).astype(np.int64)) * parts >> 38  # ranges of cells, then of minimisers
+                held.append((part, lengths[stay], low[stay], high[stay], _bytes_of(words.spaced, starts[stay], lengths[stay])))
+                size += int(lengths[stay].sum())
+                if size > TASK_BYTES:
+                    yield from parcels(held)
+                    held, size = [], 0
+        if size:
+            yield from parcels(held)
+
+    return map_texts(docs.select("doc", "text"), run, SHIPPED)
+
+
+class Bucket:
+    """Super-k-mers with their words, each hashed, and the minimisers and names that follow from these."""
+
+    def __init__(self, lengths: np.ndarray, data: np.ndarray):
+        self.data, self.starts, self.lengths = data, np.cumsum(lengths) - lengths, lengths
+        begins = np.unique(np.concatenate([self.starts, np.flatnonzero(data == 32) + 1]))
+        of = np.searchsorted(self.starts, begins, "right") - 1
+        stops = np.append(begins[1:], len(data))
+        self.begins, self.stops = begins, np.where(np.append(of[1:] != of[:-1], True), stops, stops - 1)  # a space lies between words only
+        words = np.bincount(of, minlength=len(lengths))
+        self.first, self.windows = np.cumsum(words) - words, words - WINDOW + 1
+        hashes = span_hashes(data, self.begins, self.stops)
+        self.bucket = np.full(len(lengths), LARGEST)
+        for k in range(WINDOW - MINIMISER + 1):
+            one = np.zeros(len(lengths), np.uint64)
+            for j in range(MINIMISER):
+                one = one * np.uint64(BASE) + hashes[self.first + k + j]
+            self.bucket = np.minimum(self.bucket, mix(one))
+        self.name = _names(hashes, self.first, self.windows)
+
+    def least(self, some: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of windows of each of ``some``, for each window the least document of any of these that has it)."""
+        lengths = self.stops - self.begins
+        edges = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+        words = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(edges), pa.py_buffer(_bytes_of(self.data, self.begins, lengths))])
+        codes = words.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        counts = self.windows[some]
+        start = np.repeat(self.first[some] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        h = np.zeros(len(start), np.uint64)
+        for j in range(WINDOW):
+            h = mix(h * np.uint64(BASE) ^ codes[start + j].astype(np.uint64))
+        order = np.argsort(h, kind="stable")
+        if _clash(codes, start, h, order):
+            order = np.lexsort([codes[start + j] for j in range(WINDOW)])
+        new = np.ones(len(order), bool)
+        new[1:] = False
+        for j in range(WINDOW):
+            x = codes[start[order] + j]
+            new[1:] |= x[1:] != x[:-1]
+        group = np.flatnonzero(new)
+        least = np.minimum.reduceat(np.repeat(low, counts)[order], group)
+        out = np.empty(len(order), np.int64)
+        out[order] = np.repeat(least, np.diff(np.append(group, len(order))))
+        return counts, out
+
+
+def _names(hashes: np.ndarray, first: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """A hash of each super-k-mer's words, in their order."""
+    out, words = mix(windows.astype(np.uint64) + np.uint64(BASE)), windows + WINDOW - 1
+    live = np.arange(len(first))
+    for j in range(int(words.max()) if len(words) else 0):
+        live = live[words[live] > j]
+        out[live] = mix(out[live] * np.uint64(BASE) ^ hashes[first[live] + j])
+    return out
 
 
 def _clash(codes: np.ndarray, start: np.ndarray, h: np.ndarray, order: np.ndarray) -> bool:
@@ -202,77 +271,66 @@ def _clash(codes: np.ndarray, start: np.ndarray, h: np.ndarray, order: np.ndarra
 
 
 FOUND = "bucket long, name long, least array<long>, words string, low long, high long"
+_FOUND = ["bucket", "name", "least", "words", "low", "high"]
 
 
 def in_buckets(rows: DataFrame) -> DataFrame:
     """Super-k-mers with a window that a document before their last one has, with the least document of each window; those of hot buckets,
-    which are dealt out by name, and of buckets that are too large for a task come back with their words instead."""
+    which are dealt out by name, and of parts that are too large for a task come back with their words instead."""
 
-    def judged(batch: pa.Table) -> pa.RecordBatch | None:
-        keys = {k: batch.column(k).combine_chunks().to_numpy(zero_copy_only=False) for k in ("bucket", "name", "low", "high")}
-        order = np.lexsort((keys["name"], keys["bucket"]))
+    def judged(lengths: np.ndarray, low: np.ndarray, high: np.ndarray, data: np.ndarray) -> Iterator[pa.RecordBatch]:
+        found = Bucket(lengths, data)
+        order = np.lexsort((found.name, found.bucket))
         new = np.ones(len(order), bool)
-        new[1:] = (np.diff(keys["name"][order]) != 0) | (np.diff(keys["bucket"][order]) != 0)
+        new[1:] = (found.name[order][1:] != found.name[order][:-1]) | (found.bucket[order][1:] != found.bucket[order][:-1])
         edge = np.flatnonzero(new)
-        low, high = np.minimum.reduceat(keys["low"][order], edge), np.maximum.reduceat(keys["high"][order], edge)
-        one = order[edge]
-        texts = batch.column("words").combine_chunks().take(pa.array(one))
-        counts, least = _least_of_windows(texts, low)
+        low, high, one = np.minimum.reduceat(low[order], edge), np.maximum.reduceat(high[order], edge), order[edge]
+        counts, least = found.least(one, low)
         at = np.cumsum(counts) - counts
         hit = np.flatnonzero(np.minimum.reduceat(least, at) < high)
-        if not len(hit):
-            return None
-        n = counts[hit]
-        edges = np.concatenate([[0], np.cumsum(n)])
-        flat = least[np.arange(edges[-1]) + np.repeat(at[hit] - edges[:-1], n)]
-        lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(flat))
-        none = pa.nulls(len(hit), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(keys["bucket"][one][hit]), pa.array(keys["name"][one][hit]), lists, pa.nulls(len(hit), pa.string()), none, none], _FOUND)
-
-    def passed_on(batch: pa.RecordBatch | pa.Table) -> pa.RecordBatch:
-        get = {k: batch.column(batch.schema.get_field_index(k)) for k in ("bucket", "name", "words", "low", "high")}
-        return pa.RecordBatch.from_arrays([get["bucket"], get["name"], pa.nulls(batch.num_rows, pa.list_(pa.int64())), get["words"].cast(pa.string()), get["low"], get["high"]], _FOUND)
+        if len(hit):
+            n = counts[hit]
+            edges = np.concatenate([[0], np.cumsum(n)])
+            flat = least[np.arange(edges[-1]) + np.repeat(at[hit] - edges[:-1], n)]
+            lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(flat))
+            none, key = pa.nulls(len(hit), pa.int64()), one[hit]
+            yield pa.RecordBatch.from_arrays([pa.array(found.bucket[key].view(np.int64)), pa.array(found.name[key].view(np.int64)), lists, pa.nulls(len(hit), pa.string()), none, none], _FOUND)
+
+    def passed_on(lengths: np.ndarray, low: np.ndarray, high: np.ndarray, data: np.ndarray) -> Iterator[pa.RecordBatch]:
+        found = Bucket(lengths, data)
+        columns = [pa.array(found.bucket.view(np.int64)), pa.array(found.name.view(np.int64)), pa.nulls(len(lengths), pa.list_(pa.int64())), _texts(data, found.starts, lengths), pa.array(low), pa.array(high)]
+        yield pa.RecordBatch.from_arrays(columns, _FOUND)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, overfull = [], 0, None  # whole buckets and the beginning of the last one
+        now, held, size = None, [], 0
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            if held:
+                yield from judged(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held.clear()
+
         for batch in batches:
-            hot = batch.column(batch.schema.get_field_index("hot"))
-            if hot.true_count:
-                yield passed_on(batch.filter(hot))
-                batch = batch.filter(pc.invert(hot))
-                if not batch.num_rows:
+            rows = batch.filter(pc.is_null(batch.column(0)))
+            if rows.num_rows:
+                get = {k: rows.column(rows.schema.get_field_index(k)) for k in _FOUND if k != "least"}
+                yield pa.RecordBatch.from_arrays([get["bucket"], get["name"], pa.nulls(rows.num_rows, pa.list_(pa.int64())), get["words"].cast(pa.string()), get["low"], get["high"]], _FOUND)
+            shipped = batch.filter(pc.is_valid(batch.column(0)))
+            for k, part in enumerate(shipped.column(0).to_pylist()):
+                if part != now:
+                    yield from settle()
+                    now, size = part, 0
+                opened = _opened(shipped.column(1)[k].as_py())
+                size += len(opened[3])
+                if size <= MOST_OF_PART:
+                    held.append(opened)
                     continue
-            buckets = batch.column(0).to_numpy(zero_copy_only=False)
-            if overfull is not None:
-                k = int(np.searchsorted(buckets, overfull, "right"))
-                if k:
-                    yield passed_on(batch.slice(0, k))
-                    batch, buckets = batch.slice(k), buckets[k:]
-                if not len(buckets):
-                    continue
-                overfull = None
-            held.append(batch)
-            size += batch.nbytes
-            if size < CHUNK_BYTES:
-                continue
-            last = buckets[-1]
-            all_of = pa.Table.from_batches(held).combine_chunks()
-            k = int(np.searchsorted(all_of.column(0).to_numpy(), last, "left"))
-            if k and (found := judged(all_of.slice(0, k))) is not None:
-                yield found
-            held = all_of.slice(k).to_batches()
-            size = sum(b.nbytes for b in held)
-            if size > BUCKET_BYTES:
-                yield from map(passed_on, held)
-                held, size, overfull = [], 0, last
-        if held and (found := judged(pa.Table.from_batches(held).combine_chunks())) is not None:
-            yield found
-
-    dealt = rows.select("bucket", "name", "low", "high", "words", "hot").repartition(F.when(F.col("hot"), F.col("name")).otherwise(F.col("bucket"))).sortWithinPartitions("bucket")
-    return map_texts(dealt, run, FOUND)
+                for parcel in (*held, opened):
+                    yield from passed_on(*parcel)
+                held.clear()
+        yield from settle()
 
-
-_FOUND = ["bucket", "name", "least", "words", "low", "high"]
+    dealt = rows.repartition(F.coalesce("part", "name")).sortWithinPartitions("part")
+    return map_texts(dealt, run, FOUND)
 
 
 def by_window(rows: DataFrame) -> DataFrame:
@@ -334,8 +392,8 @@ def _finished(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """(doc, key, starts): of each document the first words of the windows that also start in a document before it."""
     numbered = _numbered(docs)
-    hot = hot_cells(docs)
-    found = stored(in_buckets(packed(numbered, hot)), "found")
+    hot, size = hot_cells(docs)
+    found = stored(in_buckets(packed(numbered, hot, min(CELLS << 8, size // PART_BYTES + 1))), "found")
     aside = found.where("least IS NULL").select("bucket", "name", "low", "high", "words")
     whole = found.where("least IS NOT NULL").select("bucket", "name", "least")
     if not aside.isEmpty():

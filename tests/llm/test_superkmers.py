@@ -41,16 +41,16 @@ def texts(seed):
     return rows
 
 
-@pytest.mark.parametrize("how", ["plain", "hot", "overfull", "chunks"])
+@pytest.mark.parametrize("how", ["plain", "hot", "overfull", "parts"])
 def test_equals_brute_force(spark, monkeypatch, how):
     if how == "hot":
         monkeypatch.setattr(superkmers, "HOT", 0)
     if how == "overfull":
         monkeypatch.setattr(superkmers, "HOT", 1 << 40)
-        monkeypatch.setattr(superkmers, "CHUNK_BYTES", 500)
-        monkeypatch.setattr(superkmers, "BUCKET_BYTES", 1000)
-    if how == "chunks":
-        monkeypatch.setattr(superkmers, "CHUNK_BYTES", 500)
+        monkeypatch.setattr(superkmers, "MOST_OF_PART", 1000)
+    if how == "parts":
+        monkeypatch.setattr(superkmers, "PART_BYTES", 500)
+        monkeypatch.setattr(superkmers, "TASK_BYTES", 2000)
         monkeypatch.setattr(superkmers, "MOST_WINDOWS", 2)
     rows = texts(1)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
@@ -71,9 +71,15 @@ def test_odd_rows(spark):
 
 
 def test_windows_of_equal_hashes_are_compared_by_their_words(monkeypatch):
-    import pyarrow as pa
-
-    monkeypatch.setattr(superkmers, "mix", lambda h: h & np.uint64(0))
     a, b = " ".join("abcdefghijklm"), " ".join("abcdefghijkln")
-    counts, least = superkmers._least_of_windows(pa.array([a, b, a + " x", b]), np.array([4, 3, 2, 9]))
+    rows = [x.encode() for x in (a, b, a + " x", b)]
+    found = superkmers.Bucket(np.array([len(x) for x in rows]), np.frombuffer(b"".join(rows), np.uint8))
+    monkeypatch.setattr(superkmers, "mix", lambda h: h & np.uint64(0))
+    counts, least = found.least(np.arange(4), np.array([4, 3, 2, 9]))
     assert counts.tolist() == [1, 1, 2, 1] and least.tolist() == [2, 3, 2, 2, 3]
+
+
+def test_parcels():
+    words = np.frombuffer(b"one two three", np.uint8)
+    got = superkmers._opened(superkmers._parcel(np.array([3, 10]), np.array([-5, 7]), np.array([1 << 62, 7]), words))
+    assert [x.tolist() for x in got] == [[3, 10], [-5, 7], [1 << 62, 7], list(b"one two three")]
