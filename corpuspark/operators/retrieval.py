@@ -5,10 +5,14 @@ Hit tables have query_id, rank (from 0), chunk_key, file_id, content, score and,
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuspark.functions.expr import bigrams, cosine, dot, hamming, norm, strip, tokens
+from corpuspark.functions.expr import bigrams, cosine, hamming, strip, tokens
+from corpuspark.operators.blocks import best_of, by_block, column, cosines, over, overlaps, readable, rounded, same_tenant, slices, spread, token_counts, weighted
 from corpuspark.operators.chunk import simhash64
 from corpuspark.sources.staging import staged
 
@@ -26,65 +30,142 @@ def _first(rows: DataFrame, order: Window, k: int) -> DataFrame:
     return nth.withColumn("rank", F.col("_nth") - 1).drop("_nth")
 
 
-def lexical_overlap(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(query_id, doc_key, overlap): the share of a query's distinct tokens that the document has. Pairs without a common token have no row.
+def _tokenised(docs: DataFrame, distinct: bool) -> DataFrame:
+    """(doc_key, tokens), dealt out to all cores."""
+    found = tokens(F.col("content"))
+    return spread(docs.select("doc_key", "content")).select("doc_key", (F.array_distinct(found) if distinct else found).alias("tokens"))
+
+
+def _pairs(batch, block, scores: np.ndarray, some: np.ndarray, name: str) -> pa.RecordBatch:
+    row, query = np.nonzero(some)
+    return pa.RecordBatch.from_arrays([block.ids.take(pa.array(query)), column(batch, "doc_key").take(pa.array(row)), pa.array(scores[row, query])], ["query_id", "doc_key", name])
+
+
+def _kinds(queries: DataFrame, docs: DataFrame) -> str:
+    return f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_key {docs.schema['doc_key'].dataType.simpleString()}"
+
+
+def lexical_overlap(queries: DataFrame, docs: DataFrame, k: int | None = None) -> DataFrame:
+    """(query_id, doc_key, overlap): the share of a query's distinct tokens that the document has, of all pairs with a common token or of the
+    ``k`` best documents of each query (ties: least key), then with ``rank``. Nothing is shuffled but those."""
+    schema = f"{_kinds(queries, docs)}, overlap double"
+
+    def score(block) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches):
+            some = lambda batch, block: overlaps(batch, block) > 0
+            if k:
+                yield from best_of(batches, shared.value, k, "doc_key", "overlap", (), overlaps, some)
+                return
+            for batch in slices(batches):
+                found = overlaps(batch, shared.value)
+                yield _pairs(batch, shared.value, found, found > 0, "overlap")
+
+        return over(_tokenised(docs, True), run, schema)
+
+    found = by_block(queries.select("query_id", "query_text"), score, schema)
+    return _first(found, _by_rank("overlap", "doc_key"), k) if k else found
+
+
+def _statistics(terms: DataFrame, shared) -> tuple[float, float, np.ndarray]:
+    """(documents, mean size, documents with each token that the block asks for)."""
+
+    def run(batches):
+        n, sized, total, df = 0, 0, 0, np.zeros(len(shared.value.vocabulary), np.int64)
+        for batch in slices(batches):
+            lists = column(batch, "tokens")
+            _, token, _ = token_counts(lists, shared.value.vocabulary)
+            df += np.bincount(token, minlength=len(df))
+            n, sized = n + batch.num_rows, sized + batch.num_rows - lists.null_count
+            total += pc.sum(pc.list_value_length(lists)).as_py() or 0
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([-3, -2, -1, *some.tolist()], pa.int64()), pa.array([n, sized, total, *df[some].tolist()], pa.int64())], ["token", "n"])
+
+    rows = dict(map(tuple, over(terms, run, "token long, n long").groupBy("token").agg(F.sum("n")).collect()))  # no more than the block's tokens
+    df = np.zeros(len(shared.value.vocabulary))
+    for token, n in rows.items():
+        if token >= 0:
+            df[token] = n
+    return rows.get(-3, 0), rows.get(-1, 0) / max(1, rows.get(-2, 0)), df
 
-    An equi-join on tokens; where the queries' tokens are few Spark broadcasts them by itself.
-    """
-    q = queries.select("query_id", F.array_distinct(tokens(F.col("query_text"))).alias("t")).where(F.size("t") > 0)
-    asked = q.select("query_id", F.size("t").alias("n"), F.explode("t").alias("token"))
-    had = docs.select("doc_key", F.explode(F.array_distinct(tokens(F.col("content")))).alias("token"))
-    return had.join(asked, "token").groupBy("query_id", "doc_key").agg(F.round(F.count("*") / F.first("n"), DIGITS).alias("overlap"))
 
+def bm25_score(queries: DataFrame, docs: DataFrame, k: int | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query_id, doc_key, bm25) by Okapi BM25 with the smoothed inverse document frequency, of all pairs with a common token or of the ``k``
+    best documents of each query (ties: least key), then with ``rank``.
 
-def bm25_score(queries: DataFrame, docs: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, doc_key, bm25) by Okapi BM25 with the smoothed inverse document frequency. Only tokens that some query asks for are counted."""
-    terms = docs.select("doc_key", tokens(F.col("content")).alias("t"))
-    sizes = terms.agg(F.count("*").alias("n_docs"), F.avg(F.size("t")).alias("mean"))
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query_text")))).alias("token"))
-    had = terms.select("doc_key", F.size("t").alias("size"), F.explode("t").alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
-    tf = staged(had.groupBy("doc_key", "size", "token").agg(F.count("*").alias("tf")), "postings")
-    df = tf.groupBy("token").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean")))
-    scored = asked.join(df, "token").join(tf, "token").crossJoin(F.broadcast(sizes))  # one row
-    return scored.groupBy("query_id", "doc_key").agg(F.round(F.sum(part), DIGITS).alias("bm25"))
+    One pass counts the documents of the asked tokens, one scores: weights of a few hundred documents times the matrix of asked tokens.
+    Only the counts and the results are shuffled.
+    """
+    schema = f"{_kinds(queries, docs)}, bm25 double"
+
+    def score(block) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+        terms = _tokenised(docs, False)
+        n_docs, mean, df = _statistics(terms, shared)
+        idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
 
+        def parts(batch, block):
+            lists = column(batch, "tokens")
+            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            row, token, tf = token_counts(lists, block.vocabulary)
+            weight = idf[token] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[row] / mean))
+            return rounded(weighted(len(lists), row, token, weight, block.asks)), weighted(len(lists), row, token, np.ones(len(row)), block.asks) > 0
 
-def _similarity(pairs: DataFrame, *columns: str) -> DataFrame:
-    """Cosine of q_vec and embedding, 0 where a norm is 0; the norms are taken before, once for each vector."""
-    norms = F.col("q_norm") * F.col("norm")
-    cosine_ = F.when(norms == 0, 0.0).otherwise(dot(F.col("q_vec"), F.col("embedding")) / norms)
-    return pairs.select(*columns, F.round(cosine_, DIGITS).alias("similarity"))
+        def run(batches):
+            if k:
+                yield from best_of(batches, shared.value, k, "doc_key", "bm25", (), lambda *a: parts(*a)[0], lambda *a: parts(*a)[1])
+                return
+            for batch in slices(batches):
+                yield _pairs(batch, shared.value, *parts(batch, shared.value), "bm25")
 
+        return over(terms, run, schema)
 
-def vector_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(query_id, doc_key, similarity) of every query against every document of its tenant."""
-    asked = queries.select("query_id", "tenant_id", "q_vec", norm(F.col("q_vec")).alias("q_norm"))
-    pairs = docs.withColumn("norm", norm(F.col("embedding"))).join(asked, "tenant_id")
-    return _similarity(pairs, "query_id", "doc_key")
+    found = by_block(queries.select("query_id", "query_text"), score, schema)
+    return _first(found, _by_rank("bm25", "doc_key"), k) if k else found
 
 
 def knn_topk(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """The ``k`` most similar documents of each query, exactly; ``docs`` is filtered beforehand."""
-    return _first(vector_scores(queries, docs), _by_rank("similarity", "doc_key"), k)
+    """The ``k`` most similar documents of each query within its tenant, exactly; ``docs`` is filtered beforehand. Vectors of another length
+    than the queries' and those without one count as zero: their similarity is 0."""
+    schema = f"{_kinds(queries, docs)}, similarity double"
+
+    def score(block) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches):
+            yield from best_of(batches, shared.value, k, "doc_key", "similarity", (), cosines, same_tenant)
+
+        return over(spread(docs.select("doc_key", "tenant_id", "embedding")), run, schema)
+
+    found = by_block(queries.select("query_id", "tenant_id", "q_vec"), score, schema)
+    return _first(found, _by_rank("similarity", "doc_key"), k)
 
 
 def hybrid_search(queries: DataFrame, docs: DataFrame, allowed: DataFrame, n: int = 24) -> DataFrame:
     """Hits by lexical overlap plus cosine among documents (doc_key, file_id, tenant_id, content, embedding, available, sensitivity): those of
     files that the query may read (query_id, tenant_id, file_id, clearance), available, and no more sensitive than its clearance.
 
-    Documents without any common token still compete with their vector score.
+    Documents without any common token still compete with their vector score. Documents meet the readers of their file, not each query; both
+    scores are products of matrices, and each task passes on at most ``n`` rows of a query.
     """
-    files = allowed.select("tenant_id", "file_id").distinct()
-    mine = docs.where("available = 1").join(files, ["tenant_id", "file_id"], "left_semi")
-    vectors = mine.select("doc_key", "file_id", "tenant_id", "sensitivity", "embedding", norm(F.col("embedding")).alias("norm"))
-    asked = queries.select("query_id", "q_vec", norm(F.col("q_vec")).alias("q_norm"))
-    readable = vectors.join(allowed, ["tenant_id", "file_id"]).where("sensitivity <= clearance").join(asked, "query_id")
-    near = _similarity(readable, "query_id", "doc_key")
-    text = lexical_overlap(queries.select("query_id", "query_text"), mine)
-    scored = near.join(text, ["query_id", "doc_key"], "left").withColumn("score", F.round(F.col("similarity") + F.coalesce("overlap", F.lit(0.0)), DIGITS))
-    top = _first(scored, _by_rank("score", "doc_key"), n)
+    mine = docs.where("available = 1")
+    schema = f"{_kinds(queries, docs)}, score double"
+
+    def score(block) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+        asking = F.col("query_id").between(block.ids[0].as_py(), block.ids[-1].as_py())
+        readers = allowed.where(asking).groupBy("tenant_id", "file_id").agg(F.collect_list(F.struct("query_id", "clearance")).alias("readers"))  # a block's
+        rows = mine.join(readers, ["tenant_id", "file_id"]).select("doc_key", "embedding", "sensitivity", "readers", F.array_distinct(tokens(F.col("content"))).alias("tokens"))
+
+        def run(batches):
+            both = lambda batch, block: rounded(cosines(batch, block) + overlaps(batch, block))
+            yield from best_of(batches, shared.value, n, "doc_key", "score", (), both, readable)
+
+        return over(rows, run, schema)
+
+    found = by_block(queries.select("query_id", "query_text", "q_vec"), score, schema)
+    top = _first(found, _by_rank("score", "doc_key"), n)
     return top.join(mine.select("doc_key", "file_id", "content"), "doc_key").select("query_id", "rank", F.col("doc_key").alias("chunk_key"), "file_id", "content", "score")
 
 
@@ -118,16 +199,27 @@ def resolve_anchors(wanted: DataFrame, anchors: DataFrame, chunks: DataFrame, ra
     return joined.select("query_id", "summary_key", F.coalesce("center", "moved").alias("chunk_key"), validity.alias("validity"))
 
 
+def chunk_windows(chunks: DataFrame, before: int = 2, after: int = 4) -> DataFrame:
+    """(file_id, chunk_order, window_text) of every chunk: its neighbours by order, from one sort of each file."""
+    return _framed(chunks.select("file_id", "chunk_order", "content"), before, after)
+
+
+def _framed(rows: DataFrame, before: int, after: int) -> DataFrame:
+    """``rows`` with window_text instead of content: the contents, nulls left out, of the rows of the file within that range of orders."""
+    frame = Window.partitionBy("file_id").orderBy("chunk_order").rangeBetween(-before, after)
+    near = F.collect_list(F.when(F.col("content").isNotNull(), F.struct("chunk_order", "content"))).over(frame)
+    text = F.array_join(F.transform(F.sort_array("_near"), lambda x: x.content), "\n")
+    return rows.withColumn("_near", near).withColumn("window_text", F.when(F.size("_near") > 0, text)).drop("content", "_near")
+
+
 def read_window(centers: DataFrame, chunks: DataFrame, before: int = 2, after: int = 4) -> DataFrame:
-    """Add window_text to centers (id columns, file_id, chunk_order): the neighbouring visible chunks in order.
+    """Add window_text to centers (id columns, file_id, chunk_order): the neighbouring visible chunks in order; centers without any go.
 
-    The range condition becomes an equi-join on the orders it spans.
+    Centers and the chunks of their files are sorted together once and read through a range frame.
     """
-    keys = centers.columns
-    wanted = centers.withColumn("wanted", F.explode(F.sequence(F.col("chunk_order") - before, F.col("chunk_order") + after)))
-    near = chunks.select("file_id", F.col("chunk_order").alias("wanted"), "content")
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("wanted", "content"))), lambda x: x.content), "\n")
-    return wanted.join(near, ["file_id", "wanted"]).groupBy(*keys).agg(text.alias("window_text"))
+    near = chunks.select("file_id", "chunk_order", "content").join(centers.select("file_id").distinct(), "file_id", "left_semi")
+    both = centers.withColumn("_center", F.lit(True)).unionByName(near, allowMissingColumns=True)
+    return _framed(both, before, after).where(F.col("_center") & F.col("window_text").isNotNull()).drop("_center")
 
 
 def gate_scores(centers: DataFrame, vectors: DataFrame, before: int, after: int) -> DataFrame:

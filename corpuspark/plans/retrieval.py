@@ -231,8 +231,7 @@ def r10(v):
     """SELECT a.file_id, a.chunk_order, sha256(string_agg(b.content, chr(10) ORDER BY b.chunk_order)) AS digest FROM {v_line} a JOIN {v_line} b ON b.file_id = a.file_id AND b.chunk_order BETWEEN a.chunk_order - 2 AND a.chunk_order + 4 GROUP BY 1, 2""",
 )
 def r11(v):
-    windows = retrieval.read_window(v.v_line.select("file_id", "chunk_order"), v.v_line)
-    return windows.select("file_id", "chunk_order", F.sha2("window_text", 256).alias("digest"))
+    return retrieval.chunk_windows(v.v_line).select("file_id", "chunk_order", F.sha2("window_text", 256).alias("digest"))
 
 
 @query("r12_soft_gate", f"{BASE}, {A} SELECT query_id, summary_key, span FROM gate WHERE span IS NOT NULL")

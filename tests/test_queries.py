@@ -6,12 +6,7 @@ from conftest import SMALL, rows_of
 from corpuspark.plans.base import ORACLE_SQL, QUERIES
 from corpuspark.plans.registry import FLAGSHIP
 
-#: The compositions take seconds each; these stand for the others.
-RETRIEVAL = {"r1_tokenize", "r2_lexical_overlap", "r3_bm25_score", "r5_knn_topk", "r9_relocate_anchor", "r11_read_window", "r13_path_a_reasons", "r18_final_topk", "r20_search", "r24_cite"}
-NAMES = [n for n in ORACLE_SQL if not n.startswith("r") or n in RETRIEVAL]
-
-
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", list(ORACLE_SQL))
 def test_equals_duckdb(spark, duck, name):
     got = QUERIES[name](spark, SMALL).toPandas()
     want = duck.execute(ORACLE_SQL[name]).df()
