@@ -6,11 +6,16 @@ import hashlib
 import ipaddress
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpuspark.sources.staging import staged
+
 #: The keys of a payload, in the order of their names.
 PAYLOAD = ("action", "detail", "hit_chunk_ids", "ip", "kb_ids", "query_text", "request_id", "result", "tenant_id", "user_agent", "user_id")
 ARRAYS, IDS = ("hit_chunk_ids", "kb_ids"), ("tenant_id", "user_id")
@@ -79,32 +84,105 @@ def build_chain(rows: DataFrame) -> DataFrame:
     return rows.join(hashes.drop("tenant_key"), "id")
 
 
-def verify_chain(chained: DataFrame) -> DataFrame:
-    """One report for each tenant: mismatches (a field changed), breaks (a link changed), gaps, ends and first bad ids. No fold: each row
-    is checked against the one before it."""
-    w = Window.partitionBy("tenant_id").orderBy("id")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    null_hash, null_prev = F.col("row_hash").isNull(), F.col("prev_hash").isNull()
-    checked = chained.select(
-        "tenant_id",
-        "id",
-        null_hash.alias("no_hash"),
-        F.coalesce(row_hash(F.col("prev_hash"), canonical_payload(chained)) != F.col("row_hash"), F.lit(False)).alias("mismatch"),
-        F.coalesce(~null_hash & (F.col("prev_hash") != F.lag("row_hash").over(w)), F.lit(False)).alias("broken"),
-        (~null_hash & null_prev & (F.count("row_hash").over(before) > 0)).alias("restart"),
-    )
-    n = lambda c: F.count(F.when(c, 1))
-    report = checked.groupBy("tenant_id").agg(
+CHECKED = "tenant_key string, id long, mismatch boolean, no_hash boolean, broken boolean, restart boolean, first boolean, pending boolean, edge string, part int, tail string, hashed boolean"
+
+
+def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (tenant_key, id, mismatch, prev_hash, row_hash) of one range in order, each against the one before it; what the ranges before
+    decide is left open: ``edge`` has the link of a tenant's first row here, ``pending`` marks its first hash without a link. Each tenant's last
+    hash here follows as a row without id."""
+    part, tenant, above, hashed = TaskContext.get().partitionId(), None, None, False
+    names = [c.split()[0] for c in CHECKED.split(", ")]
+
+    def tail() -> pa.RecordBatch:
+        row = dict.fromkeys(names) | {"tenant_key": tenant, "part": part, "tail": above, "hashed": hashed}
+        kinds = {"tenant_key": pa.string(), "id": pa.int64(), "edge": pa.string(), "part": pa.int32(), "tail": pa.string()}
+        return pa.RecordBatch.from_arrays([pa.array([row[k]], kinds.get(k, pa.bool_())) for k in names], names)
+
+    for batch in batches:
+        keys = batch.column(0)
+        of = keys.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1, [len(of)]]) if len(of) else [0]
+        links, hashes = (np.array(batch.column(k).to_pylist(), dtype=object) for k in (3, 4))
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            first = np.zeros(b - a, bool)
+            if keys[a].as_py() != tenant:
+                if tenant is not None:
+                    yield tail()
+                tenant, above, hashed, first[0] = keys[a].as_py(), None, False, True
+            link, own = links[a:b], hashes[a:b]
+            there, free = own != None, link == None  # noqa: E711
+            before = np.concatenate([[above], own[:-1]])
+            broken = there & ~free & (before != None) & (link != before)  # noqa: E711
+            begun = hashed | (np.cumsum(there) - there > 0)
+            rows = b - a
+            columns = {
+                "tenant_key": keys.slice(a, rows),
+                "id": batch.column(1).slice(a, rows),
+                "mismatch": batch.column(2).slice(a, rows),
+                "no_hash": pa.array(~there),
+                "broken": pa.array(broken.astype(bool)),
+                "restart": pa.array(there & free & begun),
+                "first": pa.array(first),
+                "pending": pa.array(there & free & ~begun),
+                "edge": pa.array(np.where(first & there, link, None), pa.string()),
+                "part": pa.array(np.full(rows, part, np.int32)),
+                "tail": pa.nulls(rows, pa.string()),
+                "hashed": pa.nulls(rows, pa.bool_()),
+            }
+            yield pa.RecordBatch.from_arrays([columns[k] for k in names], names)
+            above, hashed = own[-1], hashed or bool(there.any())
+    if tenant is not None:
+        yield tail()
+
+
+TAILS = "tenant_key string, last string, started boolean"
+
+
+def chain_findings(rows: DataFrame, tails: DataFrame | None = None, ranges: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(findings: tenant_key, id, mismatch, broken, gap; tails: tenant_key, last, started) of rows (tenant_key, id, prev_hash, row_hash, expected)
+    and the ``tails`` of what came before.
+
+    The log is cut into ranges of (tenant, id), so a tenant with most of the rows is as many tasks as it needs. Within a range each row meets
+    the one before it; between ranges only a tenant's last hash and whether it had any are exchanged.
+    """
+    there = F.col("row_hash").isNotNull()
+    slim = rows.select("tenant_key", "id", (there & (F.col("expected") != F.col("row_hash"))).alias("mismatch"), "prev_hash", "row_hash")
+    dealt = slim.repartitionByRange(*([ranges] if ranges else []), "tenant_key", "id").sortWithinPartitions("tenant_key", "id")
+    checked = staged(dealt.mapInArrow(_checked, CHECKED), "checked")
+    ends = checked.where("id IS NULL").select("tenant_key", "part", "tail", "hashed")
+    if tails is not None:
+        ends = ends.unionByName(tails.select("tenant_key", F.lit(-1).alias("part"), F.col("last").alias("tail"), F.col("started").alias("hashed")))
+    ends = staged(ends, "ends")  # a row a tenant and range
+    order = Window.partitionBy("tenant_key").orderBy("part")
+    known = ends.select("tenant_key", "part", F.lag("tail").over(order).alias("above"), F.max("hashed").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("begun"))
+    no = F.lit(False)
+    flags = ["tenant_key", "id", "mismatch", "broken", (F.col("no_hash") | F.col("restart")).alias("gap")]
+    inner = checked.where("id IS NOT NULL AND NOT first AND NOT pending").select(*flags)
+    edges = checked.where("id IS NOT NULL AND (first OR pending)").join(known, ["tenant_key", "part"])
+    edges = edges.withColumn("broken", F.col("broken") | F.coalesce(F.col("edge") != F.col("above"), no)).withColumn("restart", F.col("restart") | (F.col("pending") & F.coalesce("begun", no)))
+    last = ends.groupBy("tenant_key").agg(F.max_by(F.struct("tail"), "part").alias("end"), F.max("hashed").alias("started"))
+    return inner.unionByName(edges.select(*flags)), last.select("tenant_key", F.col("end.tail").alias("last"), F.coalesce("started", no).alias("started"))
+
+
+def verify_chain(chained: DataFrame, ranges: int | None = None) -> DataFrame:
+    """One report for each tenant: mismatches (a field changed), breaks (a link changed), gaps, ends and first bad ids."""
+    key = F.coalesce(F.concat(F.lit("="), F.col("tenant_id").cast("string")), F.lit("")).alias("tenant_key")
+    rows = chained.select(key, "id", "prev_hash", "row_hash", row_hash(F.col("prev_hash"), canonical_payload(chained)).alias("expected"))
+    findings, _ = chain_findings(rows, ranges=ranges)
+    n = lambda c: F.count(F.when(F.col(c), 1))
+    report = findings.groupBy("tenant_key").agg(
         F.count("*").alias("rows"),
-        n(F.col("mismatch")).alias("mismatches"),
-        n(F.col("broken")).alias("breaks"),
-        n(F.col("no_hash") | F.col("restart")).alias("gaps"),
+        n("mismatch").alias("mismatches"),
+        n("broken").alias("breaks"),
+        n("gap").alias("gaps"),
         F.min("id").alias("head_id"),
         F.max("id").alias("tail_id"),
         F.min(F.when(F.col("mismatch"), F.col("id"))).alias("first_mismatch_id"),
         F.min(F.when(F.col("broken"), F.col("id"))).alias("first_break_id"),
     )
-    return report.withColumn("verified", (F.col("mismatches") == 0) & (F.col("breaks") == 0))
+    tenant = F.when(F.col("tenant_key") != "", F.expr("substring(tenant_key, 2)")).cast(chained.schema["tenant_id"].dataType).alias("tenant_id")
+    return report.select(tenant, "*").drop("tenant_key").withColumn("verified", (F.col("mismatches") == 0) & (F.col("breaks") == 0))
 
 
 def anchor_chain(chained: DataFrame) -> DataFrame:

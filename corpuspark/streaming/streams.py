@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from corpuspark.operators import chunk, parse
-from corpuspark.operators.audit import canonical_payload, meter_from, meter_walk, row_hash
+from corpuspark.operators.audit import TAILS, canonical_payload, chain_findings, meter_from, meter_walk, row_hash
 from corpuspark.operators.versions import change_state, indexed_documents, merge_states
 
 BUCKETS = 64
@@ -46,6 +46,17 @@ def latest(spark: SparkSession, folder: str, schema: str, before: int | None = N
     return spark.read.schema(schema).parquet(f"{folder}/batch={done[-1]}") if done else spark.createDataFrame([], schema)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def keep_last(spark: SparkSession, folder: str, number: int) -> None:
+    """Remove the tables before the last one that a repetition of batch ``number`` would start from."""
+    for old in [n for n in batches_in(spark, folder) if n < number][:-1]:
+        remove(spark, f"{folder}/batch={old}")
+
+
 def _write(df: DataFrame, folder: str, number: int, *by: str) -> None:
     df.write.mode("overwrite").partitionBy(*by).parquet(f"{folder}/batch={number}")
 
@@ -89,10 +100,22 @@ def index_change_log(events: DataFrame, index_path: str, checkpoint: str, **trig
         _write(merged.select("*", bucket), f"{index_path}/states", number, "bucket")
         live = spark.createDataFrame(sorted((pointers | dict.fromkeys(touched, number)).items()), POINTERS)
         _write(live.coalesce(1), f"{index_path}/pointers", number)
+        for b in touched:  # what a repetition of this batch reads stays; older files of these buckets have no pointer any more
+            for old in superseded(spark, f"{index_path}/states", b, pointers.get(b, -1)):
+                remove(spark, old)
+        keep_last(spark, f"{index_path}/pointers", number)
 
     return each_batch(events, apply, checkpoint, **trigger)
 
 
+def superseded(spark: SparkSession, folder: str, bucket: int, number: int) -> list[str]:
+    """A bucket's folders in batches before ``number``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in fs.globStatus(path(f"{folder}/batch=*/bucket={bucket}")) or ()]
+    return [p.toString() for p in found if int(p.getParent().getName().split("=")[1]) < number]
+
+
 def read_index(spark: SparkSession, index_path: str, key: str = "long") -> DataFrame:
     """The documents of the index as of the last whole batch."""
     live = latest(spark, f"{index_path}/pointers", POINTERS).collect()
@@ -106,40 +129,18 @@ def dedupe_uploads(files: DataFrame) -> DataFrame:
     return files.withColumn("content_hash", F.sha2("content", 256)).dropDuplicatesWithinWatermark(["tenant_id", "content_hash"])
 
 
-TAILS = "tenant_key string, last string, started boolean"
-
-
 def verify_audit(rows: DataFrame, out_path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Findings for each chained row (tenant_key, id, mismatch, broken, gap) at ``out_path``/findings. Rows are compared with those before them in
-    id order; what goes on is one row a tenant, its last hash. Rows must come in the order of ids from batch to batch."""
+    id order, a large tenant in several ranges; what goes on is one row a tenant, its last hash. Rows must come in the order of ids from
+    batch to batch."""
 
     def apply(batch: DataFrame, number: int) -> None:
-        tails = latest(batch.sparkSession, f"{out_path}/tails", TAILS, number)
         tenant = F.coalesce(F.col("tenant_id").cast("string"), F.lit("")).alias("tenant_key")
         slim = batch.select(tenant, "id", "prev_hash", "row_hash", row_hash(F.col("prev_hash"), canonical_payload(batch)).alias("expected"))
-        order = Window.partitionBy("tenant_key").orderBy("id")
-        before = order.rowsBetween(Window.unboundedPreceding, -1)
-        there = F.col("row_hash").isNotNull()
-        placed = slim.select("*", F.row_number().over(order).alias("nth"), F.lag("row_hash").over(order).alias("above"), F.count("row_hash").over(before).alias("hashed"))
-        known = placed.join(tails, "tenant_key", "left")
-        above = F.when(F.col("nth") == 1, F.col("last")).otherwise(F.col("above"))
-        begun = (F.col("hashed") > 0) | F.coalesce("started", F.lit(False))
-        no = F.lit(False)
-        findings = known.select(
-            "tenant_key",
-            "id",
-            (there & (F.col("expected") != F.col("row_hash"))).alias("mismatch"),
-            (there & F.coalesce(F.col("prev_hash") != above, no)).alias("broken"),
-            (~there | (F.col("prev_hash").isNull() & begun)).alias("gap"),
-        )
+        findings, tails = chain_findings(slim, latest(batch.sparkSession, f"{out_path}/tails", TAILS, number))
         _write(findings, f"{out_path}/findings", number)
-        ends = slim.groupBy("tenant_key").agg(F.max_by(F.struct("row_hash"), "id").alias("end"), (F.count("row_hash") > 0).alias("some"))
-        new = tails.join(ends, "tenant_key", "full").select(
-            "tenant_key",
-            F.when(F.col("end").isNull(), F.col("last")).otherwise(F.col("end.row_hash")).alias("last"),
-            (F.coalesce("started", no) | F.coalesce("some", no)).alias("started"),
-        )
-        _write(new, f"{out_path}/tails", number)
+        _write(tails, f"{out_path}/tails", number)
+        keep_last(batch.sparkSession, f"{out_path}/tails", number)
 
     return each_batch(rows, apply, checkpoint, **trigger)
 
@@ -152,6 +153,7 @@ def meter_usage(events: DataFrame, out_path: str, checkpoint: str, **trigger) ->
 
     def apply(batch: DataFrame, number: int) -> None:
         _write(meter_from(meter_walk(batch), latest(batch.sparkSession, out_path, USAGE, number)), out_path, number)
+        keep_last(batch.sparkSession, out_path, number)
 
     return each_batch(events, apply, checkpoint, **trigger)
 

@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 from conftest import SMALL
+from pyspark.sql import functions as F
 
 from corpuspark.operators import audit
 from corpuspark.plans.registry import QUERIES
@@ -31,7 +32,7 @@ def test_index_is_kept_by_touched_buckets(spark, tmp_path):
     streams.index_change_log(arrive(log, first, spark, schema), index, f"{tmp_path}/c").awaitTermination()
     assert {r.doc_key: r.available for r in streams.read_index(spark, index).collect()} == {1: 1, 3: 0}
     done = streams.batches_in(spark, f"{index}/pointers")
-    assert len(done) == 3 and len(list((tmp_path / "index/states" / f"batch={done[-1]}").glob("bucket=*"))) == 1
+    assert done == [1, 2] and len(list((tmp_path / "index/states" / f"batch={done[-1]}").glob("bucket=*"))) == 1
     streams.index_change_log(arrive(log, [[(6, 2, "index", None)]], spark, schema), index, f"{tmp_path}/c").awaitTermination()  # goes on from there
     assert {r.doc_key: r.available for r in streams.read_index(spark, index).collect()} == {1: 1, 2: 0, 3: 0}
 
@@ -59,3 +60,31 @@ def test_sliding_windows_start_every_five_minutes(spark):
     windows = pd.concat([rows.assign(start=(last - pd.Timedelta(minutes=5 * k)).dt.strftime("%Y-%m-%d %H:%M:%S")) for k in range(12)])
     want = windows.groupby(["start", "tenant_id"]).latency_ms.agg(lambda x: np.quantile(x, 0.95, method="inverted_cdf"))
     assert got.set_index(["start", "tenant_id"]).p95.sort_index().to_dict() == want.sort_index().to_dict()
+
+
+def test_a_large_tenant_is_checked_in_ranges(spark):
+    rows = spark.createDataFrame([(k, 1 if k % 10 else None, "a", "ok") for k in range(400)], "id long, tenant_id long, action string, result string")
+    chain = audit.build_chain(rows)
+    bent = chain.selectExpr("id", "tenant_id", "action", "CASE WHEN id % 71 = 5 THEN 'x' ELSE result END AS result", "CASE WHEN id % 53 = 7 THEN 'y' WHEN id % 59 = 3 THEN NULL ELSE prev_hash END AS prev_hash", "CASE WHEN id % 37 = 11 THEN NULL ELSE row_hash END AS row_hash")
+    reports = [sorted(map(str, audit.verify_chain(bent, n).collect())) for n in (1, 2, 7, 40)]
+    assert all(r == reports[0] for r in reports)
+    mine = [r for r in bent.orderBy("id").collect() if r.tenant_id == 1]
+    breaks = sum(1 for a, b in zip(mine, mine[1:]) if b.row_hash and b.prev_hash and a.row_hash and b.prev_hash != a.row_hash)
+    gaps = sum(1 for i, r in enumerate(mine) if r.row_hash is None or (r.prev_hash is None and any(x.row_hash for x in mine[:i])))
+    got = next(r for r in audit.verify_chain(bent, 9).collect() if r.tenant_id == 1)
+    assert (got.rows, got.breaks, got.gaps) == (360, breaks, gaps) and breaks and gaps
+    slim = bent.selectExpr("CAST(tenant_id AS STRING) AS tenant_key", "id", "prev_hash", "row_hash", "row_hash AS expected").where("tenant_key IS NOT NULL")
+    tasks = slim.repartitionByRange(9, "tenant_key", "id").groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) > 5  # one tenant, many tasks
+    assert audit.verify_chain(rows.limit(0).selectExpr("*", "'' AS prev_hash", "'' AS row_hash")).count() == 0
+
+
+def test_old_tables_of_a_stream_go(spark, tmp_path):
+    schema = "seq long, doc_key long, event_type string, available int"
+    log, index = f"{tmp_path}/log", f"{tmp_path}/index"
+    for n in range(5):
+        streams.index_change_log(arrive(log, [[(n, 7, "index", None), (100 + n, 8 + n, "index", None)]], spark, schema), index, f"{tmp_path}/c").awaitTermination()
+    assert {r.doc_key for r in streams.read_index(spark, index).collect()} == {7, 8, 9, 10, 11, 12}
+    assert len(streams.batches_in(spark, f"{index}/pointers")) == 2
+    bucket = spark.range(1).selectExpr(f"pmod(xxhash64(7L), {streams.BUCKETS}) AS b").first().b
+    assert len(list((tmp_path / "index/states").glob(f"batch=*/bucket={bucket}"))) == 2
