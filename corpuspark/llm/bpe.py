@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from corpuspark.llm.common import kind_of, map_texts, table
-from corpuspark.llm.textscan import lanes, row_slices, span_hashes
+from corpuspark.llm.textscan import lanes, row_slices, span_hashes, windows_of_eight
 
 CACHED_PIECES = 1 << 21
 LONGEST_CACHED = 23  # bytes; with its length such a piece is three whole numbers
@@ -234,7 +234,8 @@ class PieceTable:
         key = span_hashes(data, starts, ends)
         length = ends - starts
         short = length <= LONGEST_CACHED
-        piece = np.stack([lanes(data, starts, length, k) for k in range(3)])
+        eights = windows_of_eight(data)
+        piece = np.stack([lanes(eights, starts, length, k) for k in range(3)])
         piece[2] &= np.uint64((1 << 56) - 1)
         piece[2] |= np.minimum(length, 255).astype(np.uint64) << np.uint64(56)
 

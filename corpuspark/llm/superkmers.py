@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuspark.llm.common import IdFilter, afresh, map_texts, stored, table
-from corpuspark.llm.textscan import BASE, mix, row_slices, span_hashes, spans
+from corpuspark.llm.textscan import BASE, lanes, mix, row_slices, span_hashes, spans, windows_of_eight
 
 WINDOW = 13
 MINIMISER = 3
@@ -46,22 +46,39 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _rolling(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sums, factors): (sums[b] - sums[a]) * factors[a] is a hash of the words a to b - 1 from their hashes, the same wherever they lie."""
+    if len(hashes) + 1 > len(_POWERS[0]):
+        for k, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
+            factors = np.full(1 << int(len(hashes) + 1).bit_length(), base, np.uint64)
+            factors[0] = 1
+            _POWERS[k] = np.cumprod(factors)
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * _POWERS[0][: len(hashes)], out=sums[1:])
+    return sums, _POWERS[1]
+
+
 class Slice:
     """The words of some texts: hash of each, its text, and all words one after the other, a space behind each."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         n = len(offsets) - 1
-        text = np.full(len(data) + n, 32, np.uint8)
+        text = np.full(len(data) + n + 1, 32, np.uint8)  # a space before each text and one behind the last
         text[np.arange(len(data)) + np.repeat(np.arange(1, n + 1), np.diff(offsets))] = data
-        starts, ends = spans(~_SPACE[text])
-        lengths = ends - starts
-        self.doc = np.searchsorted(offsets[:-1] + np.arange(n), starts, "right") - 1
-        self.first = np.searchsorted(self.doc, np.arange(n + 1))  # of each text
-        self.at = np.concatenate([[0], np.cumsum(lengths + 1)])
-        self.spaced = np.full(self.at[-1], 32, np.uint8)
-        here = np.repeat(self.at[:-1] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
-        self.spaced[here] = text[~_SPACE[text]]
+        space = _SPACE[text]
+        starts, ends = spans(~space)
+        self.first = np.searchsorted(starts, offsets + np.arange(n + 1))  # of each text
+        self.doc = np.repeat(np.arange(n), np.diff(self.first))
+        self.at = np.concatenate([[0], np.cumsum(ends - starts + 1)])
+        keep = ~space
+        keep[1:] |= ~space[:-1]
+        text[space] = 32
+        self.spaced = text[keep]
         self.hashes = span_hashes(text, starts, ends) if len(starts) else np.zeros(0, np.uint64)
+        self.rolling = _rolling(self.hashes)
 
     def minimisers(self) -> tuple[np.ndarray, np.ndarray]:
         """(first words of all windows, their minimisers)."""
@@ -92,7 +109,7 @@ class Slice:
         return at[first], np.diff(np.append(first, len(at))), least[first]
 
     def names(self, first: np.ndarray, windows: np.ndarray) -> np.ndarray:
-        return _names(self.hashes, first, windows)
+        return _names(self.rolling, first, windows)
 
 
 def _cell(minimisers: np.ndarray) -> np.ndarray:
@@ -136,10 +153,10 @@ def _texts(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.Arra
     return pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(_bytes_of(data, starts, lengths))])
 
 
-def _parcel(lengths: np.ndarray, low: np.ndarray, high: np.ndarray, data: np.ndarray) -> bytes:
+def _parcel(lengths: np.ndarray, low: np.ndarray, high: np.ndarray, words: bytes) -> bytes:
     """Super-k-mers of one part as one compressed string: numbers by their bytes, which are mostly alike, then the words."""
     numbers = np.stack([lengths, low, high - low]).astype("<i8").view(np.uint8).reshape(3, -1, 8).transpose(0, 2, 1)
-    return zstandard.compress(len(lengths).to_bytes(8, "little") + numbers.tobytes() + data.tobytes(), 3)
+    return zstandard.compress(len(lengths).to_bytes(8, "little") + numbers.tobytes() + words, 1)
 
 
 def _opened(parcel: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -164,16 +181,16 @@ def packed(docs: DataFrame, hot: np.ndarray, parts: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([columns.get(k, pa.nulls(n, kinds.get(k, pa.int64()))) for k in names], names)
 
     def parcels(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        part, lengths, low, high, data = (np.concatenate(x) for x in zip(*held, strict=True))
+        part, lengths, low, high, starts, data = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.argsort(part, kind="stable")
-        data = _bytes_of(data, (np.cumsum(lengths) - lengths)[order], lengths[order])
-        part, lengths, low, high = part[order], lengths[order], low[order], high[order]
-        at, edges = np.concatenate([[0], np.cumsum(lengths)]), np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
-        made = [_parcel(lengths[a:b], low[a:b], high[a:b], data[at[a] : at[b]]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        yield rows(len(made), part=pa.array(part[edges[:-1]]), parcel=pa.array(made, pa.binary()))
+        part, lengths, low, high, starts = part[order], lengths[order], low[order], high[order], starts[order]
+        raw, spans_ = data.tobytes(), list(zip(starts.tolist(), (starts + lengths).tolist(), strict=True))
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]).tolist()
+        made = [_parcel(lengths[a:b], low[a:b], high[a:b], b"".join([raw[i:j] for i, j in spans_[a:b]])) for a, b in zip(edges, edges[1:], strict=False)]
+        yield rows(len(made), part=pa.array(part[np.array(edges[:-1])]), parcel=pa.array(made, pa.binary()))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, behind = [], 0, 0
         for batch in batches:
             for texts, data, offsets in row_slices(batch):
                 words = Slice(data, offsets)
@@ -182,12 +199,8 @@ def packed(docs: DataFrame, hot: np.ndarray, parts: int) -> DataFrame:
                     continue
                 name = words.names(first, windows)
                 doc = texts.column(0).to_numpy(zero_copy_only=False)[words.doc[first]]
-                order = np.lexsort((doc, name, least))
-                new = np.ones(len(order), bool)
-                new[1:] = (name[order][1:] != name[order][:-1]) | (least[order][1:] != least[order][:-1])
-                edge = np.flatnonzero(new)
-                low, high = doc[order][edge], doc[order][np.append(edge[1:], len(order)) - 1]
-                one = order[edge]
+                order, edge = _groups(name, least)
+                low, high, one = np.minimum.reduceat(doc[order], edge), np.maximum.reduceat(doc[order], edge), order[edge]
                 starts, lengths = words.at[first[one]], words.at[first[one] + windows[one] + WINDOW - 1] - 1 - words.at[first[one]]
                 aside = hot[_cell(least[one])]
                 if aside.any():
@@ -196,11 +209,12 @@ def packed(docs: DataFrame, hot: np.ndarray, parts: int) -> DataFrame:
                     yield rows(len(key), words=_texts(words.spaced, starts[aside], lengths[aside]), **{k: pa.array(c) for k, c in columns.items()})
                 stay = ~aside
                 part = (_cell(least[one[stay]]) << 22 | (least[one[stay]] & np.uint64(0x3FFFFF)).astype(np.int64)) * parts >> 38  # ranges of cells, then of minimisers
-                held.append((part, lengths[stay], low[stay], high[stay], _bytes_of(words.spaced, starts[stay], lengths[stay])))
+                held.append((part, lengths[stay], low[stay], high[stay], starts[stay] + behind, words.spaced))
+                behind += len(words.spaced)
                 size += int(lengths[stay].sum())
                 if size > TASK_BYTES:
                     yield from parcels(held)
-                    held, size = [], 0
+                    held, size, behind = [], 0, 0
         if size:
             yield from parcels(held)
 
@@ -212,12 +226,15 @@ class Bucket:
 
     def __init__(self, lengths: np.ndarray, data: np.ndarray):
         self.data, self.starts, self.lengths = data, np.cumsum(lengths) - lengths, lengths
-        begins = np.unique(np.concatenate([self.starts, np.flatnonzero(data == 32) + 1]))
-        of = np.searchsorted(self.starts, begins, "right") - 1
-        stops = np.append(begins[1:], len(data))
-        self.begins, self.stops = begins, np.where(np.append(of[1:] != of[:-1], True), stops, stops - 1)  # a space lies between words only
-        words = np.bincount(of, minlength=len(lengths))
-        self.first, self.windows = np.cumsum(words) - words, words - WINDOW + 1
+        begin = np.zeros(len(data) + 1, bool)
+        begin[1:] = data == 32
+        begin[self.starts] = True
+        self.begins = np.flatnonzero(begin[: len(data)])
+        self.first = np.searchsorted(self.begins, self.starts)
+        words = np.diff(np.append(self.first, len(self.begins)))
+        self.windows = words - WINDOW + 1
+        self.stops = np.append(self.begins[1:], len(data)) - 1  # a space lies between words only
+        self.stops[self.first + words - 1] += 1
         hashes = span_hashes(data, self.begins, self.stops)
         self.bucket = np.full(len(lengths), LARGEST)
         for k in range(WINDOW - MINIMISER + 1):
@@ -225,49 +242,62 @@ class Bucket:
             for j in range(MINIMISER):
                 one = one * np.uint64(BASE) + hashes[self.first + k + j]
             self.bucket = np.minimum(self.bucket, mix(one))
-        self.name = _names(hashes, self.first, self.windows)
+        self.rolling = _rolling(hashes)
+        self.name = _names(self.rolling, self.first, self.windows)
 
     def least(self, some: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number of windows of each of ``some``, for each window the least document of any of these that has it)."""
-        lengths = self.stops - self.begins
-        edges = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-        words = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(edges), pa.py_buffer(_bytes_of(self.data, self.begins, lengths))])
-        codes = words.dictionary_encode().indices.to_numpy(zero_copy_only=False)
         counts = self.windows[some]
         start = np.repeat(self.first[some] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-        h = np.zeros(len(start), np.uint64)
-        for j in range(WINDOW):
-            h = mix(h * np.uint64(BASE) ^ codes[start + j].astype(np.uint64))
-        order = np.argsort(h, kind="stable")
-        if _clash(codes, start, h, order):
-            order = np.lexsort([codes[start + j] for j in range(WINDOW)])
-        new = np.ones(len(order), bool)
-        new[1:] = False
-        for j in range(WINDOW):
-            x = codes[start[order] + j]
-            new[1:] |= x[1:] != x[:-1]
+        sums, factors = self.rolling
+        h = (sums[start + WINDOW] - sums[start]) * factors[start]
+        order = np.argsort(h)
+        if not self._equal_where(h, start, order):
+            h = self._numbers(start)
+            order = np.argsort(h)
+        new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
         group = np.flatnonzero(new)
         least = np.minimum.reduceat(np.repeat(low, counts)[order], group)
         out = np.empty(len(order), np.int64)
         out[order] = np.repeat(least, np.diff(np.append(group, len(order))))
         return counts, out
 
-
-def _names(hashes: np.ndarray, first: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    def _equal_where(self, h: np.ndarray, start: np.ndarray, order: np.ndarray) -> bool:
+        """Whether neighbours in order with one hash have the same bytes."""
+        same = np.flatnonzero(h[order][1:] == h[order][:-1])
+        a, b = start[order[same]], start[order[same + 1]]
+        at, to = self.begins[a], self.begins[b]
+        lengths = self.stops[a + WINDOW - 1] - at
+        if (lengths != self.stops[b + WINDOW - 1] - to).any():
+            return False
+        eights = windows_of_eight(self.data)
+        for k in range(int(lengths.max(initial=0) + 7) // 8):
+            live = lengths > 8 * k
+            at, to, lengths = at[live], to[live], lengths[live]
+            if (lanes(eights, at, lengths, k) != lanes(eights, to, lengths, k)).any():
+                return False
+        return True
+
+    def _numbers(self, start: np.ndarray) -> np.ndarray:
+        """Equal numbers for windows of equal bytes only."""
+        raw = self.data.tobytes()
+        texts = [raw[a:b] for a, b in zip(self.begins[start].tolist(), self.stops[start + WINDOW - 1].tolist(), strict=True)]
+        return np.unique(np.array(texts, object), return_inverse=True)[1]
+
+
+def _names(rolling: tuple[np.ndarray, np.ndarray], first: np.ndarray, windows: np.ndarray) -> np.ndarray:
     """A hash of each super-k-mer's words, in their order."""
-    out, words = mix(windows.astype(np.uint64) + np.uint64(BASE)), windows + WINDOW - 1
-    live = np.arange(len(first))
-    for j in range(int(words.max()) if len(words) else 0):
-        live = live[words[live] > j]
-        out[live] = mix(out[live] * np.uint64(BASE) ^ hashes[first[live] + j])
-    return out
+    sums, factors = rolling
+    return mix((sums[first + windows + WINDOW - 1] - sums[first]) * factors[first] + windows.astype(np.uint64))
 
 
-def _clash(codes: np.ndarray, start: np.ndarray, h: np.ndarray, order: np.ndarray) -> bool:
-    """Whether two different windows have one hash."""
-    same = np.flatnonzero(h[order][1:] == h[order][:-1])
-    a, b = start[order[same]], start[order[same + 1]]
-    return any((codes[a + j] != codes[b + j]).any() for j in range(WINDOW))
+def _groups(key: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(an order in which equal pairs of numbers lie together, where each run begins). Two different pairs may, rarely, split each other's
+    runs; a super-k-mer then is two rows with the same windows, which changes no result."""
+    order = np.argsort(key ^ other * np.uint64(BASE), kind="stable")
+    a, b = key[order], other[order]
+    edge = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    return order, edge
 
 
 FOUND = "bucket long, name long, least array<long>, words string, low long, high long"
@@ -280,10 +310,7 @@ def in_buckets(rows: DataFrame) -> DataFrame:
 
     def judged(lengths: np.ndarray, low: np.ndarray, high: np.ndarray, data: np.ndarray) -> Iterator[pa.RecordBatch]:
         found = Bucket(lengths, data)
-        order = np.lexsort((found.name, found.bucket))
-        new = np.ones(len(order), bool)
-        new[1:] = (found.name[order][1:] != found.name[order][:-1]) | (found.bucket[order][1:] != found.bucket[order][:-1])
-        edge = np.flatnonzero(new)
+        order, edge = _groups(found.name, found.bucket)
         low, high, one = np.minimum.reduceat(low[order], edge), np.maximum.reduceat(high[order], edge), order[edge]
         counts, least = found.least(one, low)
         at = np.cumsum(counts) - counts

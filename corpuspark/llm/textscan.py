@@ -70,12 +70,17 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def lanes(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, k: int) -> np.ndarray:
-    """Bytes 8k to 8k + 7 of each span as one number; bytes behind its end are 0."""
+def windows_of_eight(values: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, zeros behind the end."""
     padded = np.zeros(len(values) + 8, np.uint8)
     padded[: len(values)] = values
-    at = np.minimum(starts + 8 * k, len(values))
-    return np.ndarray(len(values) + 1, "<u8", padded, strides=(1,))[at] & _HEADS[np.clip(lengths - 8 * k, 0, 8)]
+    return np.ndarray(len(values) + 1, "<u8", padded, strides=(1,))
+
+
+def lanes(eights: np.ndarray, starts: np.ndarray, lengths: np.ndarray, k: int) -> np.ndarray:
+    """Bytes 8k to 8k + 7 of each span as one number; bytes behind its end are 0."""
+    at = np.minimum(starts + 8 * k, len(eights) - 1)
+    return eights[at] & _HEADS[np.clip(lengths - 8 * k, 0, 8)]
 
 
 _HEADS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
@@ -86,12 +91,12 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     spans with a common pattern have no more chance of equal hashes than others; long ones are hashed one by one."""
     lengths = ends - starts
     out = mix(lengths.astype(np.uint64) * np.uint64(BASE) + np.uint64(1))
-    short = np.flatnonzero(lengths <= LONG_SPAN)
+    short, eights = np.flatnonzero(lengths <= LONG_SPAN), windows_of_eight(values)
     for k in range(LONG_SPAN // 8):
         short = short[lengths[short] > 8 * k]
         if not len(short):
             break
-        out[short] = mix(out[short] * np.uint64(BASE) ^ mix(lanes(values, starts[short], lengths[short], k) + np.uint64(k + 1)))
+        out[short] = mix(out[short] * np.uint64(BASE) ^ mix(lanes(eights, starts[short], lengths[short], k) + np.uint64(k + 1)))
     for i in np.flatnonzero(lengths > LONG_SPAN).tolist():
         out[i] = xxhash.xxh3_64_intdigest(values[starts[i] : ends[i]].tobytes(), seed=LONG_SPAN)
     return out
