@@ -77,12 +77,6 @@ def by_block(queries: DataFrame, score: Callable[[QueryBlock], DataFrame], empty
     return reduce(DataFrame.unionByName, parts) if parts else queries.sparkSession.createDataFrame([], empty)
 
 
-def spread(docs: DataFrame) -> DataFrame:
-    """A scan of few row groups is dealt out to all cores; a large one stays as it is."""
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs.repartition(cores) if len(docs.inputFiles()) < cores else docs
-
-
 def over(docs: DataFrame, run, schema: str) -> DataFrame:
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return docs.mapInArrow(run, schema)

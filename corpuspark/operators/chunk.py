@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 
 from corpuspark.functions.expr import hamming, strip, tokens, uuid5
 from corpuspark.operators.parse import split_blocks
+from corpuspark.sources.staging import staged
 
 #: Delimiters by chunking method, and the question marks.
 DELIMITERS = {
@@ -176,9 +178,29 @@ def _simhash_slice(texts: list[str]) -> np.ndarray:
     distinct, of = np.unique(pair[keep], return_inverse=True)
     names = [chr(x >> 32) + (chr((x & 0xFFFFFFFF) - 1) if x & 0xFFFFFFFF else "") for x in distinct.tolist()]
     digests = b"".join(hashlib.blake2b(f.encode("utf-8", "surrogatepass"), digest_size=8).digest() for f in names)
-    signs = 2 * np.unpackbits(np.frombuffer(digests, np.uint8)).reshape(-1, 64).astype(np.int32) - 1
+    signs = 2 * np.unpackbits(np.frombuffer(digests, np.uint8)).reshape(-1, 64).astype(np.float32) - 1
     starts = np.concatenate([[0], np.cumsum(keep)])[ends - [len(t) for t in texts]]
-    return np.packbits(np.add.reduceat(signs[of], starts, axis=0) > 0, axis=1).view(">i8").ravel()
+    stops = np.append(starts[1:], len(of))
+    votes = np.empty((len(texts), 64))
+    for a, b in _runs(starts, stops, len(distinct)):  # how often each text has each pair, times the pairs' signs
+        rows = b - a
+        if rows == 1 and len(distinct) > VOTE_CELLS:
+            own, n = np.unique(of[starts[a] : stops[a]], return_counts=True)
+            votes[a] = n @ signs[own]
+            continue
+        key = np.repeat(np.arange(rows), stops[a:b] - starts[a:b]) * len(distinct) + of[starts[a] : stops[b - 1]]
+        votes[a:b] = np.bincount(key, minlength=rows * len(distinct)).reshape(rows, -1).astype(np.float32) @ signs
+    return np.packbits(votes > 0, axis=1).view(">i8").ravel()
+
+
+VOTE_CELLS = 2_000_000
+
+
+def _runs(starts: np.ndarray, stops: np.ndarray, width: int) -> Iterator[tuple[int, int]]:
+    """Runs of texts whose tables of counts have at most ``VOTE_CELLS`` places."""
+    step = max(1, VOTE_CELLS // max(1, width))
+    for a in range(0, len(starts), step):
+        yield a, min(a + step, len(starts))
 
 
 SIMHASH_CHARS = 200_000
@@ -206,31 +228,83 @@ def same_segment(a: Column, b: Column, radius: int = 3) -> Column:
     return hamming(a, b) <= radius
 
 
+BLOCK = 512
+CELL = "place, t, v, i, j"
+
+
+def _near_in_cells(radius: int):
+    """Sums of ``n`` of the fingerprints within the radius, for the rows (place, t, v, i, j, block, simhash, n) of cells in order. Pairs count in
+    the first band that they share only; a cell of two blocks counts pairs across them."""
+
+    def of_cell(t: int, across: bool, block: np.ndarray, f: np.ndarray, n: np.ndarray) -> np.ndarray:
+        x = f[:, None] ^ f
+        near = (np.bitwise_count(x) <= radius) & (x != 0)
+        for k in range(t):
+            near &= (x >> np.uint64(16 * k)) & np.uint64(0xFFFF) != 0
+        if across:
+            near &= block[:, None] != block
+        return near @ n
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        last = None
+
+        def settle(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if not len(rows):
+                return
+            edges = np.flatnonzero((rows[1:, :5] != rows[:-1, :5]).any(1)) + 1
+            near = np.zeros(len(rows), np.int64)
+            for a, b in zip(np.append(0, edges).tolist(), np.append(edges, len(rows)).tolist(), strict=True):
+                if b - a > 1:
+                    near[a:b] = of_cell(int(rows[a, 1]), rows[a, 3] != rows[a, 4], rows[a:b, 5], rows[a:b, 6].view(np.uint64), rows[a:b, 7])
+            some = near > 0
+            yield pa.RecordBatch.from_arrays([pa.array(rows[some, 0]), pa.array(rows[some, 6]), pa.array(near[some])], ["place", "simhash", "near"])
+
+        for batch in batches:
+            rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], 1)
+            if not len(rows):
+                continue
+            new = np.flatnonzero((rows[:, :5] != rows[-1, :5]).any(1))
+            if last is not None and (rows[0, :5] != last).any():
+                yield from settle(np.concatenate(held))
+                held = []
+            k = int(new[-1]) + 1 if len(new) else 0  # where the last cell of this batch begins
+            if k:
+                yield from settle(np.concatenate([*held, rows[:k]]))
+                held = []
+            held.append(rows[k:])
+            last = rows[-1, :5]
+        if held:
+            yield from settle(np.concatenate(held))
+
+    return run
+
+
 def near_duplicate_segments(chunks: DataFrame, radius: int = 3, within_file: bool = True) -> DataFrame:
     """(chunk_key, class_key, n_links) of chunks (chunk_key, file_id, simhash): the first chunk with an equal fingerprint, and how many other
-    chunks lie within a Hamming radius of at most 3; in the same file, or anywhere.
+    chunks lie within a Hamming radius of at most 3; in the same file, or anywhere. Chunks without a fingerprint have no row.
 
-    Chunks of equal fingerprints are one class, so copies are never paired. Two fingerprints within the radius agree on one of four
-    16-bit bands; pairs of classes meet in the first band they share, and only their counts go on.
+    Chunks of equal fingerprints are one class, so copies are never paired. Two fingerprints within the radius agree on one of four 16-bit
+    bands. A band value that many classes share is cut into cells of two blocks of at most some ``BLOCK`` classes, compared as one matrix
+    each; only counts leave a cell. Fingerprints are taken once, into a staged table.
     """
     if radius > 3:
         raise ValueError("four bands find radii up to 3")
-    place = F.col("file_id") if within_file else F.lit(0).cast("long")
-    known = chunks.select("chunk_key", place.alias("place"), "simhash")
-    classes = known.groupBy("place", "simhash").agg(F.min("chunk_key").alias("class_key"), F.count("*").alias("n"))
-    part = lambda c, k: F.shiftrightunsigned(c, 16 * k).bitwiseAND(0xFFFF)
-    band = F.explode(F.array(*(F.struct(F.lit(k).alias("t"), part("simhash", k).alias("v")) for k in range(4))))
-    a = classes.select("place", "simhash", band.alias("band"))
-    b = classes.select(F.col("place").alias("place_b"), F.col("simhash").alias("other"), F.col("n").alias("n_other"), band.alias("band_b"))
-    met = (F.col("place") == F.col("place_b")) & (F.col("band.t") == F.col("band_b.t")) & (F.col("band.v") == F.col("band_b.v"))
-    first = F.lit(True)
-    for k in range(3):  # not met in an earlier band
-        first = first & ((F.col("band.t") <= k) | (part("simhash", k) != part("other", k)))
-    near = (F.col("simhash") != F.col("other")) & (hamming(F.col("simhash"), F.col("other")) <= radius)
-    links = a.join(b, met & first & near).groupBy("place", "simhash").agg(F.sum("n_other").alias("near"))
+    place = F.col("file_id") if within_file else F.lit(0)
+    known = staged(chunks.where("simhash IS NOT NULL").select("chunk_key", place.cast("long").alias("place"), "simhash"), "fingerprints")
+    classes = staged(known.groupBy("place", "simhash").agg(F.min("chunk_key").alias("class_key"), F.count("*").alias("n")), "classes")
+    part = lambda k: F.shiftrightunsigned("simhash", 16 * k).bitwiseAND(0xFFFF)
+    banded = classes.select("place", "simhash", "n", F.inline(F.array(*(F.struct(F.lit(k).alias("t"), part(k).alias("v")) for k in range(4)))))
+    sizes = banded.groupBy("place", "t", "v").agg(F.count("*").alias("size")).where("size > 1")
+    sizes = sizes.select(F.col("place").alias("p"), F.col("t").alias("u"), F.col("v").alias("w"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    met = banded.join(sizes, (F.col("place") == F.col("p")) & (F.col("t") == F.col("u")) & (F.col("v") == F.col("w")))
+    met = met.withColumn("block", F.pmod(F.xxhash64("simhash"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = met.select("place", "t", "v", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "simhash", "n")
+    dealt = cells.repartition(*CELL.split(", ")).sortWithinPartitions(*CELL.split(", "))
+    links = dealt.mapInArrow(_near_in_cells(radius), "place long, simhash long, near long").groupBy("place", "simhash").agg(F.sum("near").alias("near"))
     of_class = classes.join(links, ["place", "simhash"], "left")
-    counted = of_class.select("place", "simhash", "class_key", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
-    return known.join(counted, ["place", "simhash"]).select("chunk_key", "class_key", "n_links")
+    counted = of_class.select(F.col("place").alias("p"), F.col("simhash").bitwiseXOR(F.lit(0)).alias("h"), "class_key", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+    return known.join(counted, (F.col("place") == F.col("p")) & (F.col("simhash") == F.col("h"))).select("chunk_key", "class_key", "n_links")
 
 
 def hash_embedding(dim: int):

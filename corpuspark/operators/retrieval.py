@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuspark.functions.expr import bigrams, cosine, hamming, strip, tokens
-from corpuspark.operators.blocks import best_of, by_block, column, cosines, over, overlaps, readable, rounded, same_tenant, slices, spread, token_counts, weighted
+from corpuspark.operators.blocks import best_of, by_block, column, cosines, over, overlaps, readable, rounded, same_tenant, slices, token_counts, weighted
 from corpuspark.operators.chunk import simhash64
-from corpuspark.sources.staging import staged
+from corpuspark.sources.staging import spread, staged
 
 DIGITS = 6  # scores are rounded before ranking, so that ties are ties on every engine
 

@@ -202,6 +202,18 @@ def c11(v):
     return chunk.near_duplicate_segments(v.v_chunk_v1.select("chunk_key", "file_id", chunk.simhash64("content").alias("simhash")))
 
 
+@query(
+    "c11_near_duplicates_anywhere",
+    f"""WITH t AS (SELECT chunk_key, content FROM {{v_chunk_v1}}), {simhash_sql("t", "chunk_key", "content", "sh")},
+d AS (SELECT h, count(*) AS n, min(chunk_key) AS class_key FROM sh GROUP BY 1),
+b AS (SELECT h, n, k, (h >> (16 * k)) & 65535 AS v FROM d, (SELECT unnest([0, 1, 2, 3]) AS k) x),
+l AS (SELECT h, sum(n) AS near FROM (SELECT DISTINCT a.h, c.h AS o, c.n FROM b a JOIN b c ON a.k = c.k AND a.v = c.v AND a.h <> c.h AND bit_count(xor(a.h, c.h)) <= 3) GROUP BY 1)
+SELECT s.chunk_key, d.class_key, (d.n - 1 + coalesce(near, 0))::BIGINT AS n_links FROM sh s JOIN d ON d.h = s.h LEFT JOIN l ON l.h = s.h""",
+)
+def c11_anywhere(v):
+    return chunk.near_duplicate_segments(v.v_chunk_v1.select("chunk_key", "file_id", chunk.simhash64("content").alias("simhash")), within_file=False)
+
+
 @query(
     "c12_token_count",
     r"SELECT file_id, chunk_order, CAST(len(regexp_extract_all(content, '[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]')) AS INT) AS n FROM {v_line}".replace("{L}", "{{L}}").replace("{N}", "{{N}}").replace("{{", "{").replace("}}", "}"),
