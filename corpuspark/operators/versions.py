@@ -6,9 +6,14 @@ rewritten last.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpuspark.sources.numbered import batches_in, latest, write_number
+from corpuspark.sources.staging import staged
+
 EVENTS_PER_DELETE = 500
 MAX_ATTEMPTS = 3
 
@@ -70,6 +75,37 @@ def publish(chunks: DataFrame, targets: DataFrame, pending: DataFrame) -> tuple[
     return flipped.withColumn("available", live).drop("target"), pointers
 
 
+POINTERS = "file_id long, active_doc_version int, active_chunk_version int, active_summary_version int, active_anchor_version int"
+
+
+def stage_version(chunks: DataFrame, path: str, number: int) -> None:
+    """First half of a publish: the rows of the new versions as a table of their own. Nobody sees them before the flip."""
+    write_number(chunks, f"{path}/chunks", number)
+
+
+def flip(spark: SparkSession, targets: DataFrame, pending: DataFrame, path: str, number: int) -> None:
+    """Second half of a publish: a small table of pointers, written last. It moves all four pointers of each target (file_id, next_version)
+    without pending events; all other files keep theirs. Repeating it writes the same."""
+    ready = targets.join(pending.select("file_id").distinct(), "file_id", "left_anti")
+    old = latest(spark, f"{path}/pointers", POINTERS, number)
+    moved = ready.select("file_id", F.col("next_version").cast("int").alias("target"))
+    kinds = [c.split()[0] for c in POINTERS.split(", ")[1:]]
+    new = old.join(moved, "file_id", "full").select("file_id", *(F.coalesce("target", k).alias(k) for k in kinds))
+    write_number(new, f"{path}/pointers", number)
+
+
+def published_pointers(spark: SparkSession, path: str) -> DataFrame:
+    return latest(spark, f"{path}/pointers", POINTERS)
+
+
+def published_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """The chunks of each file's live version: staged tables joined with the last pointers. What was staged without a flip is invisible."""
+    staged_numbers = batches_in(spark, f"{path}/chunks")
+    rows = spark.read.parquet(*(f"{path}/chunks/batch={n}" for n in staged_numbers))
+    live = published_pointers(spark, path).select("file_id", F.col("active_chunk_version").alias("version"))
+    return rows.join(live, ["file_id", "version"])
+
+
 def visible_chunks(chunks: DataFrame, active: DataFrame) -> DataFrame:
     """Chunks of each file's active version only, with the file's tenant. Where chunks say whether they are ``available``, only those are."""
     if "available" in chunks.columns:
@@ -113,9 +149,22 @@ def apply_change_log(events: DataFrame) -> DataFrame:
     return indexed_documents(change_state(events))
 
 
-def write_index(state: DataFrame, path: str) -> None:
-    """Replace the index table at ``path``; running it again changes nothing."""
-    state.write.mode("overwrite").parquet(path)
+INDEX_BUCKETS = 64
+
+
+def upsert_index(rows: DataFrame, path: str, key: str, seq: str, buckets: int = INDEX_BUCKETS) -> None:
+    """Upsert rows into the index table at ``path``, partitioned by hash buckets of the key: only the buckets that ``rows`` touch are read
+    and replaced, all others keep their files. The greatest ``seq`` of a key stays, so doing it twice changes nothing."""
+    spark = rows.sparkSession
+    fresh = staged(rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")), "upsert")
+    touched = sorted(r.bucket for r in fresh.select("bucket").distinct().collect())  # at most ``buckets``
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        old = spark.read.schema(fresh.schema).parquet(path).where(F.col("bucket").isin(touched))
+        fresh = staged(newest_per_id(old.unionByName(fresh), key, seq), "merged")  # a table can't be read while it is replaced
+    else:
+        fresh = newest_per_id(fresh, key, seq)
+    fresh.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
 def newest_per_id(rows: DataFrame, key: str, seq: str) -> DataFrame:
@@ -151,15 +200,28 @@ def purge_projection(active: DataFrame, tables: dict[str, DataFrame], retain: in
     return due.na.fill(0, list(tables))
 
 
-def purge_apply(rows: DataFrame, projection: DataFrame, pending: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(surviving rows, delete events): below each file's threshold rows go, unless the file has pending events; ids go in batches."""
+def delete_events(gone: DataFrame, per_event: int = EVENTS_PER_DELETE) -> DataFrame:
+    """(file_id, batch, ids) of rows (file_id, kind, key) that leave the index: a file's ids in order of kind and key, so many in an event."""
+    nth = F.row_number().over(Window.partitionBy("file_id").orderBy("kind", "key")) - 1
+    placed = gone.withColumn("batch", F.floor(nth / per_event))
+    ids = F.transform(F.sort_array(F.collect_list(F.struct("kind", "key"))), lambda x: x.key)
+    return placed.groupBy("file_id", "batch").agg(ids.alias("ids"))
+
+
+def purge_tables(tables: dict[str, DataFrame], projection: DataFrame, pending: DataFrame, keys: dict[str, str], per_event: int = EVENTS_PER_DELETE) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(survivors of every table (file_id, version), delete events): below each file's threshold rows go, unless the file has pending events. The
+    ids of the tables in ``keys`` (name: key column), which the index holds, go into events."""
     due = projection.select("file_id", "threshold").join(pending.select("file_id").distinct(), "file_id", "left_anti")
-    marked = rows.join(due, "file_id", "left")
-    gone = F.coalesce(F.col("version") < F.col("threshold"), F.lit(False))
-    nth = F.row_number().over(Window.partitionBy("file_id").orderBy(key)) - 1
-    deleted = marked.where(gone).withColumn("batch", F.floor(nth / EVENTS_PER_DELETE))
-    events = deleted.groupBy("file_id", "batch").agg(F.sort_array(F.collect_list(key)).alias("ids"))
-    return marked.where(~gone).drop("threshold"), events
+    below = F.coalesce(F.col("version") < F.col("threshold"), F.lit(False))
+    marked = {name: rows.join(due, "file_id", "left") for name, rows in tables.items()}
+    gone = [marked[name].where(below).select("file_id", F.lit(name).alias("kind"), F.col(key).cast("string").alias("key")) for name, key in keys.items()]
+    return {name: rows.where(~below).drop("threshold") for name, rows in marked.items()}, delete_events(reduce(DataFrame.unionByName, gone), per_event)
+
+
+def purge_apply(rows: DataFrame, projection: DataFrame, pending: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """``purge_tables`` of one table."""
+    left, events = purge_tables({"rows": rows}, projection, pending, {"rows": key})
+    return left["rows"], events
 
 
 def prune_change_log(outbox: DataFrame, as_of: str, days: int = 7) -> DataFrame:
@@ -174,8 +236,17 @@ def delete_files(gone: DataFrame, **tables: DataFrame) -> dict[str, DataFrame]:
     return {name: rows.join(ids, "file_id", "left_anti") for name, rows in tables.items()}
 
 
+def delete_cascade(gone: DataFrame, tables: dict[str, DataFrame], keys: dict[str, str], per_event: int = EVENTS_PER_DELETE) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
+    """(survivors, delete events, refund) of deleting files (file_id, tenant_id, size_bytes) with all that hangs on them. The ids of the tables in
+    ``keys`` go into events; each tenant gets back its files and bytes."""
+    ids = gone.select("file_id").distinct()
+    leaving = [tables[name].join(ids, "file_id", "left_semi").select("file_id", F.lit(name).alias("kind"), F.col(key).cast("string").alias("key")) for name, key in keys.items()]
+    return delete_files(gone, **tables), delete_events(reduce(DataFrame.unionByName, leaving), per_event), quota_refund(gone)
+
+
 def quota_refund(gone: DataFrame) -> DataFrame:
-    return gone.groupBy("tenant_id").agg((-F.count("*")).alias("docs"), (-F.sum("size_bytes")).alias("bytes"))
+    """(tenant_id, docs, bytes): what is taken off the counters; unknown sizes count as 0."""
+    return gone.groupBy("tenant_id").agg((-F.count("*")).alias("docs"), (-F.sum(F.coalesce("size_bytes", F.lit(0)))).alias("bytes"))
 
 
 def reconcile_classify(chunks: DataFrame, active: DataFrame, index: DataFrame) -> DataFrame:

@@ -1,10 +1,14 @@
 """Queries of the versioned publish and the reconciliation."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuspark.operators import chunk, versions
 from corpuspark.plans.base import query
 from corpuspark.plans.ingest import answers
+from corpuspark.sources.staging import fresh_path
 from corpuspark.sources.views import AS_OF
 
 
@@ -86,6 +90,26 @@ def v7(v):
     return flipped.select("file_id", "chunk_key", "available")
 
 
+@query(
+    "v7_pointers",
+    f"""WITH p AS (SELECT DISTINCT aggregate_id % 300 AS file_id FROM {{v_outbox}} WHERE published_at IS NULL),
+a AS (SELECT f.file_id, CASE WHEN p.file_id IS NULL THEN 2 ELSE 1 END AS v FROM {{v_file}} f LEFT JOIN p ON p.file_id = f.file_id),
+c AS (SELECT file_id, 1 AS v, count(*) AS n FROM {{v_chunk_v1}} GROUP BY 1 UNION ALL SELECT file_id, 2, count(*) FROM {{v_chunk_v2}} GROUP BY 1)
+SELECT a.file_id, a.v AS active_doc_version, a.v AS active_chunk_version, a.v AS active_summary_version, a.v AS active_anchor_version, coalesce(n, 0) AS visible
+FROM a LEFT JOIN c ON c.file_id = a.file_id AND c.v = a.v""",
+)
+def v7_pointers(v):
+    """Two publishes: all files with version 1, then those without pending events with version 2; a third is staged and never flipped."""
+    path = fresh_path(v.spark, "published")
+    none = pending(v).limit(0)
+    for number, chunks, waiting in ((1, v.v_chunk_v1, none), (2, v.v_chunk_v2, pending(v))):
+        versions.stage_version(chunks, path, number)
+        versions.flip(v.spark, v.v_file.select("file_id", F.lit(number).alias("next_version")), waiting, path, number)
+    versions.stage_version(v.v_chunk_v2.withColumn("version", F.lit(3)), path, 3)
+    visible = versions.published_chunks(v.spark, path).groupBy("file_id").agg(F.count("*").alias("visible"))
+    return versions.published_pointers(v.spark, path).join(visible, "file_id", "left").na.fill(0, ["visible"])
+
+
 @query(
     "v8_visible_chunks",
     """WITH c AS (SELECT * FROM {v_chunk_v1} UNION ALL SELECT * FROM {v_chunk_v2})
@@ -114,6 +138,16 @@ def s8(v):
     return versions.newest_per_id(v.v_outbox, "doc_key", "seq").select("doc_key", "seq", "event_type")
 
 
+@query("s8_upsert_index", "SELECT doc_key, max(seq) AS seq, arg_max(event_type, seq) AS event_type FROM {v_outbox} GROUP BY 1")
+def s8_upsert(v):
+    """Three batches in any order, the second one twice."""
+    path = fresh_path(v.spark, "index")
+    rows = v.v_outbox.select("doc_key", "seq", "event_type")
+    for part in (2, 0, 0, 1):
+        versions.upsert_index(rows.where(F.col("seq") % 3 == part), path, "doc_key", "seq")
+    return v.spark.read.parquet(path).drop("bucket")
+
+
 @query("s9_decode_event", "SELECT seq, doc_key, available FROM {v_outbox}")
 def s9(v):
     packed = v.v_outbox.select("seq", versions.encode_event("doc_key", "available").alias("payload"))
@@ -166,19 +200,72 @@ def v12(v):
     return left.join(gone, "file_id", "full").select("file_id", F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("deleted", F.lit(0)).alias("deleted"))
 
 
+PER_EVENT = 20  # few ids an event, so that files have several
+
+
+def keyed_tables(v):
+    """The four tables of versions with their keys."""
+    chunks = v.v_chunk_v1.unionByName(v.v_chunk_v2).select("file_id", "version", "chunk_key")
+    summaries = v.v_summary.select("file_id", F.col("summary_version").alias("version"), "summary_key")
+    both = v.v_file.select("file_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("version"))
+    return {"chunks": chunks, "summaries": summaries, "anchors": summaries, "versions": both}
+
+
+KEYED = """rows AS (SELECT 'chunks' AS name, file_id, version, chunk_key AS key FROM {v_chunk_v1} UNION ALL SELECT 'chunks', file_id, version, chunk_key FROM {v_chunk_v2}
+  UNION ALL SELECT 'summaries', file_id, summary_version, summary_key FROM {v_summary} UNION ALL SELECT 'anchors', file_id, summary_version, summary_key FROM {v_summary}
+  UNION ALL SELECT 'versions', file_id, x, NULL FROM {v_file}, (SELECT unnest([1, 2]) AS x) y)"""
+PURGED = f"""WITH {DUE}, {PENDING}, {KEYED}, k AS (SELECT r.*, coalesce(r.version < threshold AND p.file_id IS NULL, false) AS gone
+  FROM rows r LEFT JOIN due ON due.file_id = r.file_id LEFT JOIN p ON p.file_id = r.file_id)"""
+EVENTS = f"(row_number() OVER (PARTITION BY file_id ORDER BY name, key) - 1) // {PER_EVENT}"
+KEYS = {"chunks": "chunk_key", "summaries": "summary_key"}
+
+
+def event_view(events):
+    return events.select("file_id", "batch", F.array_join("ids", ",").alias("ids"))
+
+
+@query("v12_purge_tables", f"{PURGED} SELECT name, count(*) FILTER (NOT gone) AS kept FROM k GROUP BY 1")
+def v12_tables(v):
+    left, _ = versions.purge_tables(keyed_tables(v), versions.purge_projection(v.v_active, tables(v)), pending(v), KEYS, PER_EVENT)
+    return reduce(DataFrame.unionByName, [rows.agg(F.count("*").alias("kept")).select(F.lit(name).alias("name"), "kept") for name, rows in left.items()])
+
+
+@query(
+    "v12_delete_events",
+    f"{PURGED}, e AS (SELECT file_id, name, key, {EVENTS} AS batch FROM k WHERE gone AND name IN ('chunks', 'summaries')) SELECT file_id, batch, string_agg(key, ',' ORDER BY name, key) AS ids FROM e GROUP BY 1, 2",
+)
+def v12_events(v):
+    return event_view(versions.purge_tables(keyed_tables(v), versions.purge_projection(v.v_active, tables(v)), pending(v), KEYS, PER_EVENT)[1])
+
+
 @query("v13_prune_change_log", f"SELECT seq FROM {{v_outbox}} WHERE published_at IS NULL OR published_at >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY")
 def v13(v):
     return versions.prune_change_log(v.v_outbox, AS_OF).select("seq")
 
 
+def deleted(v):
+    return versions.delete_cascade(v.v_file.where("file_id % 8 = 3"), keyed_tables(v) | {"links": v.v_file_kb}, KEYS, PER_EVENT)
+
+
 @query(
     "v14_delete_files",
-    "SELECT 'chunks' AS name, count(*) AS n FROM {v_chunk_v1} WHERE file_id % 8 <> 3 UNION ALL SELECT 'summaries', count(*) FROM {v_summary} WHERE file_id % 8 <> 3 UNION ALL SELECT 'links', count(*) FROM {v_file_kb} WHERE file_id % 8 <> 3",
+    f"WITH {KEYED} SELECT name, count(*) AS n FROM (SELECT name, file_id FROM rows UNION ALL SELECT 'links', file_id FROM {{v_file_kb}}) x WHERE file_id % 8 <> 3 GROUP BY 1",
 )
 def v14(v):
-    left = versions.delete_files(v.v_file.where("file_id % 8 = 3"), chunks=v.v_chunk_v1, summaries=v.v_summary, links=v.v_file_kb)
-    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in left.items()]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+    return reduce(DataFrame.unionByName, [rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, rows in deleted(v)[0].items()])
+
+
+@query(
+    "v14_delete_events",
+    f"WITH {KEYED}, e AS (SELECT file_id, name, key, {EVENTS} AS batch FROM rows WHERE file_id % 8 = 3 AND name IN ('chunks', 'summaries')) SELECT file_id, batch, string_agg(key, ',' ORDER BY name, key) AS ids FROM e GROUP BY 1, 2",
+)
+def v14_events(v):
+    return event_view(deleted(v)[1])
+
+
+@query("v14_refund", "SELECT tenant_id, -count(*) AS docs, -sum(size_bytes)::BIGINT AS bytes FROM {v_file} WHERE file_id % 8 = 3 GROUP BY 1")
+def v14_refund(v):
+    return deleted(v)[2]
 
 
 DRIFT = """known AS (SELECT c.chunk_key AS doc_key, c.file_id, version, active_version FROM (SELECT * FROM {v_chunk_v1} UNION ALL SELECT * FROM {v_chunk_v2}) c JOIN {v_active} a ON a.file_id = c.file_id),

@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from corpuspark.operators import chunk, parse
 from corpuspark.operators.audit import TAILS, canonical_payload, chain_findings, meter_from, meter_walk, row_hash
 from corpuspark.operators.versions import change_state, indexed_documents, merge_states
+from corpuspark.sources.numbered import batches_in, keep_last, latest, remove, write_number  # noqa: F401
 
 BUCKETS = 64
 STATE = "doc_key {}, indexed long, deleted long, set_at long, set_to int, indexed_as int"
@@ -30,37 +31,6 @@ def each_batch(stream: DataFrame, apply: Callable[[DataFrame, int], None], check
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def batches_in(spark: SparkSession, folder: str) -> list[int]:
-    """Numbers of the finished tables ``batch=N`` in a folder, in order."""
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path(folder)):
-        return []
-    names = [s.getPath() for s in fs.listStatus(path(folder)) if s.getPath().getName().startswith("batch=")]
-    return sorted(int(p.getName().split("=")[1]) for p in names if fs.exists(path(p, "_SUCCESS")))
-
-
-def latest(spark: SparkSession, folder: str, schema: str, before: int | None = None) -> DataFrame:
-    """The table of the last batch (before a number); empty where there is none."""
-    done = [n for n in batches_in(spark, folder) if before is None or n < before]
-    return spark.read.schema(schema).parquet(f"{folder}/batch={done[-1]}") if done else spark.createDataFrame([], schema)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def keep_last(spark: SparkSession, folder: str, number: int) -> None:
-    """Remove the tables before the last one that a repetition of batch ``number`` would start from."""
-    for old in [n for n in batches_in(spark, folder) if n < number][:-1]:
-        remove(spark, f"{folder}/batch={old}")
-
-
-def _write(df: DataFrame, folder: str, number: int, *by: str) -> None:
-    df.write.mode("overwrite").partitionBy(*by).parquet(f"{folder}/batch={number}")
-
-
 def with_event_time(logs: DataFrame, column: str = "created_at", late: str = "1 hour") -> DataFrame:
     """Time stamps without zone are taken as UTC; rows later than the watermark are dropped by what follows."""
     return logs.withColumn(column, F.col(column).cast("timestamp")).withWatermark(column, late)
@@ -97,9 +67,9 @@ def index_change_log(events: DataFrame, index_path: str, checkpoint: str, **trig
         paths = [f"{index_path}/states/batch={pointers[b]}/bucket={b}" for b in touched if b in pointers]
         old = spark.read.schema(STATE.format(key)).parquet(*paths) if paths else spark.createDataFrame([], STATE.format(key))
         merged = merge_states(old.unionByName(fresh.drop("bucket")))
-        _write(merged.select("*", bucket), f"{index_path}/states", number, "bucket")
+        write_number(merged.select("*", bucket), f"{index_path}/states", number, "bucket")
         live = spark.createDataFrame(sorted((pointers | dict.fromkeys(touched, number)).items()), POINTERS)
-        _write(live.coalesce(1), f"{index_path}/pointers", number)
+        write_number(live.coalesce(1), f"{index_path}/pointers", number)
         for b in touched:  # what a repetition of this batch reads stays; older files of these buckets have no pointer any more
             for old in superseded(spark, f"{index_path}/states", b, pointers.get(b, -1)):
                 remove(spark, old)
@@ -138,8 +108,8 @@ def verify_audit(rows: DataFrame, out_path: str, checkpoint: str, **trigger) ->
         tenant = F.coalesce(F.col("tenant_id").cast("string"), F.lit("")).alias("tenant_key")
         slim = batch.select(tenant, "id", "prev_hash", "row_hash", row_hash(F.col("prev_hash"), canonical_payload(batch)).alias("expected"))
         findings, tails = chain_findings(slim, latest(batch.sparkSession, f"{out_path}/tails", TAILS, number))
-        _write(findings, f"{out_path}/findings", number)
-        _write(tails, f"{out_path}/tails", number)
+        write_number(findings, f"{out_path}/findings", number)
+        write_number(tails, f"{out_path}/tails", number)
         keep_last(batch.sparkSession, f"{out_path}/tails", number)
 
     return each_batch(rows, apply, checkpoint, **trigger)
@@ -152,7 +122,7 @@ def meter_usage(events: DataFrame, out_path: str, checkpoint: str, **trigger) ->
     """Running usage of each tenant-month, never below 0, at ``out_path`` as of each batch, whose events apply in the order of seq."""
 
     def apply(batch: DataFrame, number: int) -> None:
-        _write(meter_from(meter_walk(batch), latest(batch.sparkSession, out_path, USAGE, number)), out_path, number)
+        write_number(meter_from(meter_walk(batch), latest(batch.sparkSession, out_path, USAGE, number)), out_path, number)
         keep_last(batch.sparkSession, out_path, number)
 
     return each_batch(events, apply, checkpoint, **trigger)
@@ -163,7 +133,7 @@ def ingest_arrivals(docs: DataFrame, out_path: str, checkpoint: str, size: int =
 
     def apply(batch: DataFrame, number: int) -> None:
         chunks = chunk.chunk_naive(parse.parse_markdown(batch), size, overlap)
-        _write(chunks.select("*", chunk.content_hash(F.col("content")).alias("content_hash"), chunk.simhash64("content").alias("simhash")), out_path, number)
+        write_number(chunks.select("*", chunk.content_hash(F.col("content")).alias("content_hash"), chunk.simhash64("content").alias("simhash")), out_path, number)
 
     return each_batch(docs, apply, checkpoint, **trigger)
 
