@@ -110,12 +110,13 @@ def sensitivity_filter(files: DataFrame, sensitivity: DataFrame, cleared: DataFr
 
 def authorised_files(queries: DataFrame, members: DataFrame, kbs: DataFrame, grants: DataFrame, links: DataFrame, requested: DataFrame | None = None) -> DataFrame:
     """(query_id, tenant_id, file_id, clearance) that each query (query_id, user_id, tenant_id) may read: access is resolved for its
-    principal, cut to the requested bases (query_id, kb_id) if there are any, and to bases of its tenant."""
+    principal, cut to the requested bases (query_id, kb_id) of queries that request any, and to bases of its tenant."""
     who = principals(queries, members)
     bases = resolve_access(who, kbs, grants).join(kbs.select("kb_id", "tenant_id"), ["kb_id", "tenant_id"], "left_semi")
     of_query = queries.select("query_id", "user_id", "tenant_id").join(bases.select("user_id", "tenant_id", "kb_id"), ["user_id", "tenant_id"])
     if requested is not None:
-        of_query = of_query.join(requested, ["query_id", "kb_id"], "left_semi")
+        asking = requested.select("query_id").distinct()
+        of_query = of_query.join(requested, ["query_id", "kb_id"], "left_semi").unionByName(of_query.join(asking, "query_id", "left_anti"))
     files = of_query.join(links, "kb_id").select("query_id", "user_id", "tenant_id", "file_id").distinct()
     return files.join(clearance(who, grants), ["user_id", "tenant_id"]).select("query_id", "tenant_id", "file_id", "clearance")
 

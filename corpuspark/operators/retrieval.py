@@ -5,6 +5,8 @@ Hit tables have query_id, rank (from 0), chunk_key, file_id, content, score and,
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -388,15 +390,18 @@ def cite(requests: DataFrame, chunks: DataFrame, allowed: DataFrame) -> DataFram
     return found.join(allowed, ["user_id", "tenant_id", "file_id"], "left_semi")
 
 
-def search(queries, chunks, vectors, summaries, sources, anchors, allowed, mode: str = "hybrid", k: int = 8, scores: DataFrame | None = None, threshold: float | None = None, radius: int = 8) -> DataFrame:
-    """The composition: both paths (or one), fusion, optional rerank and threshold, verification, top k. ``allowed`` is what each query may
-    read, as from ``access.authorised_files``; queries that may read nothing have no rows."""
+def search(queries, chunks, vectors, summaries, sources, anchors, allowed, mode: str = "hybrid", k: int = 8, rerank: Callable[[DataFrame], DataFrame] | None = None, threshold: float | None = None, radius: int = 8) -> DataFrame:
+    """The composition: both paths (``hybrid``) or one of them (``summary``, ``embedding``), fusion, optional rerank and threshold, verification,
+    top k. ``rerank`` gives relevances (query_id, chunk_key, relevance) for the fused hits. ``allowed`` is what each query may read, as from
+    ``access.authorised_files``; queries that may read nothing have no rows."""
+    if mode not in ("hybrid", "summary", "embedding"):
+        raise ValueError(f"no such mode: {mode}")
     empty = queries.select("query_id", F.lit(0).alias("rank"), F.lit("").alias("chunk_key"), F.lit(0).cast("long").alias("file_id"), F.lit("").alias("content"), F.lit(0.0).alias("score")).where("false")
     shown = vectors.where("available = 1")
     a = path_a(queries, summaries, sources, anchors, chunks, shown, allowed, radius=radius)[0] if mode in ("hybrid", "summary") else empty
     docs = vectors.withColumnRenamed("chunk_key", "doc_key")
     b = hybrid_search(queries, docs, allowed) if mode in ("hybrid", "embedding") else empty
     merged = staged(rrf_merge(a, b), "merged")
-    if scores is not None:
-        merged = apply_rerank(merged, scores)
-    return final_topk(score_threshold(merged, threshold), allowed, chunks, scores is not None, k)
+    if rerank:
+        merged = apply_rerank(merged, rerank(merged))
+    return final_topk(score_threshold(merged, threshold), allowed, chunks, rerank is not None, k)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpuspark.functions.expr import hamming, hex_to_signed, signed_to_hex
 from corpuspark.operators import chunk, parse
 from corpuspark.plans.base import query
+from corpuspark.sources.staging import fresh_path
 
 
 def one_block(rows, text="content"):
@@ -53,6 +54,21 @@ def fingerprint(text):
     return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
 
 
+@query(
+    "s1_read_files",
+    """SELECT file_id, CASE WHEN file_id % 5 = 0 THEN 'html' ELSE 'text' END AS format, strlen(content) + 1 AS size_bytes, sha256(content || chr(10)) AS digest FROM {v_file} WHERE content IS NOT NULL""",
+)
+def s1_files(v):
+    """The documents written as files of their own, one in five as HTML, and read back as such: name, format, size, bytes."""
+    path = fresh_path(v.spark, "files")
+    texts = v.v_file.where("content IS NOT NULL").select("content", "file_id", F.when(F.col("file_id") % 5 == 0, ".html").otherwise(".md").alias("ending"))
+    texts.write.partitionBy("ending", "file_id").text(path)
+    files = parse.read_corpus(v.spark, path, "part-*")
+    name = F.concat(F.regexp_extract("path", r"file_id=(\d+)", 1), F.regexp_extract("path", "ending=([^/]*)", 1))
+    kind = parse.classify_format(F.lit(None).cast("string"), name)
+    return files.select(F.regexp_extract(name, r"^\d+", 0).cast("long").alias("file_id"), kind.alias("format"), "size_bytes", F.sha2("content", 256).alias("digest"))
+
+
 @query("s1_read_corpus", "SELECT file_id, name, strlen(content) AS size_bytes, sha256(content) AS digest FROM {v_file}")
 def s1(v):
     return v.v_file.select("file_id", "name", F.octet_length("content").cast("long").alias("size_bytes"), F.sha2("content", 256).alias("digest"))
@@ -284,13 +300,14 @@ def c17(v):
 
 @query(
     "c18_build_anchors",
-    f"""WITH {VALID} SELECT s.file_id, summary_key, ids[1] AS target_chunk_id, 'a/' || summary_key AS section_path, sha256(content) AS target_content_hash
-FROM valid s JOIN {{v_chunk_v1}} c ON c.chunk_key = ids[1]""",
+    f"""WITH {VALID}, t AS (SELECT s.file_id, summary_key, ids[1] AS target_chunk_id, content FROM valid s JOIN {{v_chunk_v1}} c ON c.chunk_key = ids[1]), {simhash_sql("t", "target_chunk_id", "content", "sh")}
+SELECT file_id, summary_key, t.target_chunk_id, 'a/' || summary_key AS section_path, sha256(content) AS target_content_hash, h AS simhash FROM t JOIN sh ON sh.target_chunk_id = t.target_chunk_id""",
 )
 def c18(v):
-    chunks = v.v_chunk_v1.withColumn("simhash", fingerprint(F.col("content")))
     summaries = chunk.validate_summaries(answers(v)).withColumnRenamed("summary_text", "summary_key")
-    return chunk.build_anchors(summaries, chunks).select("file_id", "summary_key", "target_chunk_id", "section_path", "target_content_hash")
+    cited = v.v_chunk_v1.join(v.v_source.where("pos <= 1").select("chunk_key").distinct(), "chunk_key", "left_semi")  # first sources, foreign ones left out
+    anchors = chunk.build_anchors(summaries, cited.withColumn("simhash", chunk.simhash64("content")))
+    return anchors.select("file_id", "summary_key", "target_chunk_id", "section_path", "target_content_hash", "simhash")
 
 
 @query(

@@ -339,6 +339,72 @@ def r20_embedding(v):
     return retrieval.search(x.queries, x.chunks, x.index, x.summaries, x.sources, x.anchors, x.allowed, "embedding").select("query_id", "rank", "chunk_key", "score")
 
 
+NO_B = "b AS (SELECT * FROM (SELECT 0::BIGINT AS query_id, 0 AS rank, '' AS chunk_key, 0::BIGINT AS file_id, '' AS content, 0.0 AS score) x WHERE false)"
+
+
+def searched(v, **how):
+    x = Inputs(v)
+    return retrieval.search(x.queries, x.chunks, x.index, x.summaries, x.sources, x.anchors, how.pop("allowed", x.allowed), **how)
+
+
+@query("r20_search_summary", f"{BASE}, {A}, {NO_B}, {MERGED}, {TOP} SELECT {NARROW}, path FROM top")
+def r20_summary(v):
+    return narrow(searched(v, mode="summary"), "path")
+
+
+@query(
+    "r20_search_reranked",
+    f"""{ALL}, {RERANKED}, over AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS nth FROM ranked WHERE score >= 0.0145)
+SELECT query_id, CAST(nth - 1 AS INT) AS rank, chunk_key, file_id, score, reranked FROM over WHERE nth <= 8""",
+)
+def r20_reranked(v):
+    """Relevances of labelled files, a threshold after them."""
+    return searched(v, rerank=lambda merged: relevance(v, merged), threshold=0.0145).select("query_id", "rank", "chunk_key", "file_id", "score", "reranked")
+
+
+@query("r20_search_threshold", f"{ALL}, {TOP} SELECT {NARROW} FROM top WHERE score >= 0.0162")
+def r20_threshold(v):
+    return narrow(searched(v, threshold=0.0162))
+
+
+REQUESTED = f"""wanted AS (SELECT query_id, concat('t', CAST(tenant_id AS VARCHAR), '_src', CAST((query_id + x) % 20 AS VARCHAR)) AS kb_id FROM q, (SELECT unnest([0, 7, 13]) AS x) w WHERE query_id % 3 <> 1),
+readable AS (SELECT DISTINCT q.query_id, q.tenant_id, l.file_id FROM q JOIN access a ON a.user_id = q.user_id AND a.tenant_id = q.tenant_id JOIN {{v_kb}} k ON k.kb_id = a.kb_id AND k.tenant_id = a.tenant_id
+  JOIN {{v_file_kb}} l ON l.kb_id = a.kb_id WHERE query_id % 3 = 1 OR EXISTS (SELECT 1 FROM wanted w WHERE w.query_id = q.query_id AND w.kb_id = a.kb_id)),
+allowed AS (SELECT r.query_id, r.tenant_id, r.file_id, c.clearance FROM readable r JOIN q ON q.query_id = r.query_id JOIN cleared c ON c.user_id = q.user_id AND c.tenant_id = q.tenant_id)"""
+
+
+@query("r20_search_requested", f"WITH {Q}, {DOCS}, {ACCESS}, {CLEARED}, {REQUESTED}, {B} SELECT query_id, rank, chunk_key, round(1.0 / (60 + rank), 9) AS score FROM b WHERE rank < 8")
+def r20_requested(v):
+    """Two queries of three ask for three bases, most of which they may not read."""
+    q = v.v_query
+    base = F.concat(F.lit("t"), F.col("tenant_id").cast("string"), F.lit("_src"), ((F.col("query_id") + F.col("x")) % 20).cast("string"))
+    wanted = q.where("query_id % 3 <> 1").withColumn("x", F.explode(F.array(*map(F.lit, (0, 7, 13))))).select("query_id", base.alias("kb_id"))
+    allowed = access.authorised_files(q, v.v_member, v.v_kb, grants_of(v), v.v_file_kb, wanted)
+    return searched(v, allowed=staged(allowed, "allowed"), mode="embedding").select("query_id", "rank", "chunk_key", "score")
+
+
+@query(
+    "r3_bm25_topk",
+    f"""WITH t AS (SELECT doc_id AS doc_key, {TOKENS.format("text").replace("list_distinct(", "(")} AS t FROM {{documents}}), s AS (SELECT count(*) AS n_docs, avg(len(t)) AS mean FROM t),
+tf AS (SELECT doc_key, size, token, count(*) AS tf FROM (SELECT doc_key, len(t) AS size, unnest(t) AS token FROM t) GROUP BY 1, 2, 3), df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1),
+qt AS (SELECT query_id, unnest({TOKENS.format("query_text")}) AS token FROM {{v_query}}),
+p AS (SELECT query_id, doc_key, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS bm25 FROM qt JOIN df USING (token) JOIN tf USING (token) CROSS JOIN s GROUP BY 1, 2)
+SELECT query_id, doc_key, bm25, CAST(nth - 1 AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, doc_key) AS nth FROM p) x WHERE nth <= 10""",
+)
+def r3_topk(v):
+    return retrieval.bm25_score(v.v_query, v.documents.select(F.col("doc_id").alias("doc_key"), F.col("text").alias("content")), 10)
+
+
+@query(
+    "r2_overlap_topk",
+    f"""WITH qt AS (SELECT query_id, len(t) AS n, unnest(t) AS token FROM (SELECT query_id, {TOKENS.format("query_text")} AS t FROM {{v_query}}) WHERE len(t) > 0),
+dt AS (SELECT doc_id AS doc_key, unnest({TOKENS.format("text")}) AS token FROM {{documents}}), p AS (SELECT query_id, doc_key, round(count(*) / first(n), 6) AS overlap FROM dt JOIN qt USING (token) GROUP BY 1, 2)
+SELECT query_id, doc_key, overlap, CAST(nth - 1 AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, doc_key) AS nth FROM p) x WHERE nth <= 10""",
+)
+def r2_topk(v):
+    return retrieval.lexical_overlap(v.v_query, v.documents.select(F.col("doc_id").alias("doc_key"), F.col("text").alias("content")), 10)
+
+
 @query("r21_hit_view", f"{ALL}, {TOP} SELECT query_id, rank, chunk_key, file_id, substr(content, 1, 120) AS snippet, round(score, 4) AS score FROM top")
 def r21(v):
     return retrieval.build_citation(top(v))
