@@ -46,67 +46,94 @@ def token_count(text: Column) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(r"(\p{IsHan}|[\p{L}\p{N}_&&[^\p{IsHan}]]+|[^\s\p{L}\p{N}_])"), F.lit(1)))
 
 
-def _greedy(blocks: list[tuple], size: int, overlap: float, tokenize: Callable[[str], list[str]]) -> list[tuple]:
-    """Chunks (content, page, section, is barrier) of one file's blocks (text, block_type, page, section) in order."""
-    step, budget_of_overlap = max(1, int(size * (1 - overlap))), max(0, int(size * overlap))
-    out: list[tuple] = []
-    waiting: list[tuple[tuple, int]] = []
-
-    def put(text: str, block: tuple, barrier: bool) -> None:
-        if text := text.strip():
-            out.append((text, block[2], block[3], barrier))
-
-    def release(keep_tail: bool) -> None:
-        if not waiting:
-            return
-        put("\n".join(b[0] for b, _ in waiting), waiting[0][0], False)
-        tail, room = len(waiting), budget_of_overlap if keep_tail else 0
-        while tail and waiting[tail - 1][1] <= room:
+class _Greedy:
+    """Chunks (content, page, section, is barrier) of one file from its blocks (text, block_type, page, section) in order, one block at a
+    time. What waits is less than a chunk."""
+
+    def __init__(self, size: int, overlap: float, tokenize: Callable[[str], list[str]]):
+        self.size, self.tokenize = size, tokenize
+        self.step, self.carried = max(1, int(size * (1 - overlap))), max(0, int(size * overlap))
+        self.waiting: list[tuple[tuple, int]] = []
+
+    def _released(self, keep_tail: bool) -> list[tuple]:
+        if not self.waiting:
+            return []
+        first = self.waiting[0][0]
+        text = "\n".join(b[0] for b, _ in self.waiting).strip()
+        tail, room = len(self.waiting), self.carried if keep_tail else 0
+        while tail and self.waiting[tail - 1][1] <= room:
             tail -= 1
-            room -= waiting[tail][1]
-        waiting[:] = waiting[tail:] if tail else []  # what would be all of it again is not carried
+            room -= self.waiting[tail][1]
+        self.waiting = self.waiting[tail:] if tail else []  # what would be all of it again is not carried
+        return [(text, first[2], first[3], False)] if text else []
 
-    for block in blocks:
-        text, kind = block[0], block[1]
+    def add(self, block: tuple) -> list[tuple]:
+        """The chunks that are whole once this block is known."""
+        text, kind, page, section = block
         if not text or not text.strip():
-            continue
-        pieces = tokenize(text)
-        if kind in BARRIERS or (kind != "title" and len(pieces) > size):
-            release(False)
-            if kind in BARRIERS:
-                put(text, block, True)
-                continue
-            for a in range(0, len(pieces), step):
-                put("".join(pieces[a : a + size]), block, False)
-                if a + size >= len(pieces):
-                    break
-            continue
+            return []
+        if kind in BARRIERS:
+            return [*self._released(False), (text.strip(), page, section, True)]
+        pieces = self.tokenize(text)
+        if kind != "title" and len(pieces) > self.size:
+            starts = range(0, max(1, len(pieces) - self.size + self.step), self.step)
+            slid = ("".join(pieces[a : a + self.size]).strip() for a in starts)
+            return [*self._released(False), *((t, page, section, False) for t in slid if t)]
+        out = []
         if kind == "title":
-            release(False)
-        elif waiting and sum(n for _, n in waiting) + len(pieces) > size:
-            release(True)
-        waiting.append((block, len(pieces)))
-    release(False)
-    return out
+            out = self._released(False)
+        elif self.waiting and sum(n for _, n in self.waiting) + len(pieces) > self.size:
+            out = self._released(True)
+        self.waiting.append((block, len(pieces)))
+        return out
+
+    def end(self) -> list[tuple]:
+        return self._released(False)
+
+
+ROWS_AT_ONCE = 1000
 
 
 def chunk_naive(blocks: DataFrame, size: int = SIZE, overlap: float = OVERLAP, tokenize: Callable[[str], list[str]] = token_spans) -> DataFrame:
     """Layout-aware greedy chunks: titles start one, tables and figures are their own, whole blocks overlap, long blocks slide.
 
-    A fold over a file's blocks: they are nested by file in one shuffle, then folded file by file.
+    A fold over sorted blocks: files follow each other in a task, and what is kept is the open chunk of one file, so no file is ever whole.
     """
+    names = [c.split()[0] for c in CHUNKS.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.bool_()]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [
-                (f, k, *c)
-                for f, blocks in zip(batch.file_id, batch.blocks, strict=True)
-                for k, c in enumerate(_greedy([(b["text"], b["block_type"], b["page"], b["section_path"]) for b in blocks], size, overlap, tokenize))
-            ]
-            yield pd.DataFrame(rows, columns=["file_id", "chunk_order", "content", "page", "section_path", "skip_summary"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, fold, order, rows = object(), None, 0, []
 
-    nested = blocks.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("pos", "text", "block_type", "page", "section_path"))).alias("blocks"))
-    return nested.mapInPandas(run, CHUNKS)
+        def put(chunks: list[tuple]) -> None:
+            nonlocal order
+            for c in chunks:
+                rows.append((now, order, *c))
+                order += 1
+
+        def taken() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            rows.clear()
+            return out
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                for file_id, _, *block in zip(*(c.to_pylist() for c in batch.slice(at, ROWS_AT_ONCE).columns), strict=True):
+                    if file_id != now:
+                        if fold:
+                            put(fold.end())
+                        now, fold, order = file_id, _Greedy(size, overlap, tokenize), 0
+                    put(fold.add(tuple(block)))
+                if rows:
+                    yield taken()
+        if fold:
+            put(fold.end())
+        if rows:
+            yield taken()
+
+    slim = blocks.select(F.col("file_id").cast("long").alias("file_id"), "pos", "text", "block_type", F.col("page").cast("int").alias("page"), "section_path")
+    slim.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)
+    return slim.repartition("file_id").sortWithinPartitions("file_id", "pos", "text", "block_type", "page", "section_path").mapInArrow(run, CHUNKS)
 
 
 def chunk_one(blocks: DataFrame) -> DataFrame:

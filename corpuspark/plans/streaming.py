@@ -117,6 +117,18 @@ def t6(v):
     return streams.latest(v.spark, f"{out}/usage", streams.USAGE)
 
 
+@query(
+    "t6_running_usage",
+    """WITH s AS (SELECT *, sum(doc_delta) OVER w AS d, sum(doc_delta * bytes) OVER w AS b FROM {v_meter_event} WINDOW w AS (PARTITION BY tenant_id, period ORDER BY seq))
+SELECT tenant_id, period, max(seq) AS seq, (arg_max(d, seq) - least(0, min(d)))::BIGINT AS docs, (arg_max(b, seq) - least(0, min(b)))::BIGINT AS bytes FROM s GROUP BY 1, 2""",
+)
+def t6_running(v):
+    stream, out = stream_of(v, "v_meter_event", None, in_order(v.v_meter_event, "seq"))
+    rows = finished(v, streams.running_usage(stream), out)
+    last = F.max_by(F.struct("seq", "docs", "bytes"), "seq").alias("last")
+    return rows.groupBy("tenant_id", "period").agg(last).select("tenant_id", "period", "last.*")
+
+
 ARRIVED = r"""WITH d AS (SELECT doc_id AS file_id, trim(text, ' ' || chr(10)) AS body FROM {documents} WHERE trim(text, ' ' || chr(10)) <> ''),
 t AS (SELECT file_id, regexp_extract_all(body, '[\pL\pN_]+|[^\s\pL\pN_]|\s+') AS t FROM d),
 w AS (SELECT file_id, t, unnest(range(0, 1 + CAST(ceil(greatest(0, len(t) - 512) / 460.0) AS BIGINT))) AS k FROM t),

@@ -75,13 +75,13 @@ def v6(v):
 
 
 def pending(v):
-    return v.v_outbox.where("published_at IS NULL").select((F.col("aggregate_id") % 300).alias("file_id"))
+    return v.v_outbox.where("published_at IS NULL").select("file_id")
 
 
 @query(
     "v7_stage_and_flip",
     """WITH c AS (SELECT file_id, version, chunk_key FROM {v_chunk_v1} UNION ALL SELECT file_id, version, chunk_key FROM {v_chunk_v2}),
-p AS (SELECT DISTINCT aggregate_id % 300 AS file_id FROM {v_outbox} WHERE published_at IS NULL)
+p AS (SELECT DISTINCT file_id FROM {v_outbox} WHERE published_at IS NULL)
 SELECT c.file_id, chunk_key, CASE WHEN p.file_id IS NULL THEN (version = 2)::INT END AS available FROM c LEFT JOIN p ON p.file_id = c.file_id""",
 )
 def v7(v):
@@ -92,7 +92,7 @@ def v7(v):
 
 @query(
     "v7_pointers",
-    f"""WITH p AS (SELECT DISTINCT aggregate_id % 300 AS file_id FROM {{v_outbox}} WHERE published_at IS NULL),
+    f"""WITH p AS (SELECT DISTINCT file_id FROM {{v_outbox}} WHERE published_at IS NULL),
 a AS (SELECT f.file_id, CASE WHEN p.file_id IS NULL THEN 2 ELSE 1 END AS v FROM {{v_file}} f LEFT JOIN p ON p.file_id = f.file_id),
 c AS (SELECT file_id, 1 AS v, count(*) AS n FROM {{v_chunk_v1}} GROUP BY 1 UNION ALL SELECT file_id, 2, count(*) FROM {{v_chunk_v2}} GROUP BY 1)
 SELECT a.file_id, a.v AS active_doc_version, a.v AS active_chunk_version, a.v AS active_summary_version, a.v AS active_anchor_version, coalesce(n, 0) AS visible
@@ -183,7 +183,7 @@ def v11(v):
     return versions.purge_projection(v.v_active, tables(v))
 
 
-PENDING = "p AS (SELECT DISTINCT aggregate_id % 300 AS file_id FROM {v_outbox} WHERE published_at IS NULL)"
+PENDING = "p AS (SELECT DISTINCT file_id FROM {v_outbox} WHERE published_at IS NULL)"
 
 
 @query(

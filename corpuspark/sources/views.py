@@ -47,18 +47,18 @@ FROM {events}""",
   CASE WHEN event_type <> 'error' THEN concat('llm-', CAST(user_id % 3 AS STRING)) END AS model,
   event_id % 9 AS hits, CAST(floor(value * 10) AS INT) AS latency_ms, ts AS created_at
 FROM {events} WHERE event_type IN ('purchase', 'error', 'view')""",
-    "v_cost_log": """SELECT event_id AS id, user_id % 4 AS tenant_id, event_id % 200 AS file_id, event_id % 40 + 1 AS chunks,
+    "v_cost_log": """SELECT event_id AS id, user_id % 4 AS tenant_id, event_id % n_files AS file_id, event_id % 40 + 1 AS chunks,
   CAST(floor(value * 100) AS BIGINT) AS tokens, concat('emb-', CAST(user_id % 2 AS STRING)) AS model, ts AS created_at
-FROM {events} WHERE event_type = 'signup'""",
+FROM {events} CROSS JOIN (SELECT count(*) AS n_files FROM {documents}) n WHERE event_type = 'signup'""",
     "v_audit": """SELECT event_id AS id, CASE WHEN user_id % 10 = 0 THEN NULL ELSE user_id % 4 END AS tenant_id, user_id,
   event_type AS action, props AS query_text,
   CASE event_type WHEN 'error' THEN 'dropped' WHEN 'click' THEN 'reused' ELSE 'ok' END AS result, ts AS created_at
 FROM {events}""",
-    "v_outbox": """SELECT event_id AS seq, user_id AS aggregate_id, event_id % 200 AS doc_key,
+    "v_outbox": """SELECT event_id AS seq, user_id AS aggregate_id, user_id % n_files AS file_id, event_id % n_keys AS doc_key,
   CASE event_type WHEN 'error' THEN 'delete' WHEN 'signup' THEN 'set_available' WHEN 'purchase' THEN 'set_available' ELSE 'index' END AS event_type,
   CASE event_type WHEN 'signup' THEN 1 WHEN 'purchase' THEN 0 END AS available,
   CAST(event_id % 4 AS INT) AS attempts, CASE WHEN event_id % 10 < 8 THEN ts END AS published_at, ts AS created_at
-FROM {events}""",
+FROM {events} CROSS JOIN (SELECT CAST(floor(count(*) / 37) AS BIGINT) + 1 AS n_keys FROM {events}) k CROSS JOIN (SELECT count(*) AS n_files FROM {documents}) n""",
     "v_access_log": """SELECT event_id AS id, user_id, CASE WHEN event_type IN ('view', 'click') THEN 'GET' ELSE 'POST' END AS method,
   concat('/v1/docs/', CAST(event_id AS STRING)) AS path,
   CASE event_type WHEN 'error' THEN '500' WHEN 'signup' THEN '429' ELSE '200' END AS status, value / 100 AS seconds, ts AS created_at
@@ -82,7 +82,7 @@ FROM {documents} LATERAL VIEW posexplode(split(text, '\n')) x AS pos, line WHERE
   CASE WHEN file_id % 29 = 0 THEN 1 ELSE CASE WHEN file_id % 4 = 3 THEN 1 ELSE 2 END END AS active_summary_version FROM {v_file}""",
     "v_size": "SELECT count(*) AS n_vectors FROM {embeddings}",
     "v_query": """SELECT b.item_id AS query_id, b.text AS query_text, u.user_id, u.tenant_id, e.embedding AS q_vec
-FROM {benchmark} b JOIN {embeddings} e ON e.vec_id = b.item_id JOIN {v_user} u ON u.user_id = (b.item_id * 37) % 150""",
+FROM {benchmark} b JOIN {embeddings} e ON e.vec_id = b.item_id CROSS JOIN (SELECT count(*) AS n_users FROM {v_user}) n JOIN {v_user} u ON u.user_id = (b.item_id * 37) % n_users""",
     "v_member": """SELECT user_id, tenant_id, role FROM {v_user} WHERE user_id % 17 <> 5
 UNION ALL SELECT user_id, (tenant_id + 1) % 4, CASE WHEN user_id % 2 = 0 THEN 'editor' ELSE 'viewer' END FROM {v_user} WHERE user_id % 13 = 0""",
     "v_actor": """SELECT user_id, tenant_id FROM {v_user}

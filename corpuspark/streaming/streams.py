@@ -7,11 +7,14 @@ runs twice starts from the same table and writes the same rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpuspark.operators import chunk, parse
 from corpuspark.operators.audit import TAILS, canonical_payload, chain_findings, meter_from, meter_walk, row_hash
@@ -128,6 +131,25 @@ def meter_usage(events: DataFrame, out_path: str, checkpoint: str, **trigger) ->
     return each_batch(events, apply, checkpoint, **trigger)
 
 
+RUNNING = "tenant_id long, period string, seq long, docs long, bytes long"
+
+
+def running_usage(events: DataFrame) -> DataFrame:
+    """The counters of each tenant-month after each batch that touches it, with the last seq, from state that Spark keeps: two whole numbers a
+    tenant-month. Within a batch events apply in the order of seq; batches must follow each other by it. It goes on from its checkpoint."""
+
+    def walk(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        used = np.array(state.get if state.exists else (0, 0), np.int64)
+        steps = pd.concat(list(frames)).sort_values("seq")  # a batch's events of one tenant-month
+        change = steps.doc_delta.to_numpy(np.int64)
+        sums = used + np.cumsum(np.stack([change, change * steps.bytes.to_numpy(np.int64)], 1), 0)
+        docs, size = (sums[-1] - np.minimum(0, sums.min(0))).tolist()  # a running sum that never goes below 0
+        state.update((docs, size))
+        yield pd.DataFrame({"tenant_id": [key[0]], "period": [key[1]], "seq": [steps.seq.iloc[-1]], "docs": [docs], "bytes": [size]})
+
+    return events.groupBy("tenant_id", "period").applyInPandasWithState(walk, RUNNING, "docs long, bytes long", "append", GroupStateTimeout.NoTimeout)
+
+
 def ingest_arrivals(docs: DataFrame, out_path: str, checkpoint: str, size: int = chunk.SIZE, overlap: float = chunk.OVERLAP, **trigger) -> StreamingQuery:
     """Documents (file_id, text) as they arrive: parsed to blocks, cut to chunks, each with its content hash and fingerprint."""
 

@@ -73,18 +73,37 @@ def carried(sizes, size, budget):
     return chunks + [now] * bool(now)
 
 
+def folded(blocks, size, overlap):
+    fold = chunk._Greedy(size, overlap, str.split)
+    return [c for b in blocks for c in fold.add(b)] + fold.end()
+
+
+def test_a_large_file_is_never_whole(spark):
+    """20,000 blocks of one file and one of another, in batches of a few rows: the fold keeps less than a chunk."""
+    blocks = spark.range(20_001).selectExpr("IF(id = 20000, 2L, 1L) AS file_id", "id AS pos", "'text' AS block_type", "concat('word', id % 7, ' a b') AS text", "1 AS page", "CAST(NULL AS STRING) AS section_path")
+    got = chunk.chunk_naive(blocks.repartition(7), 300, 0.0).orderBy("file_id", "chunk_order").collect()
+    assert [r.chunk_order for r in got if r.file_id == 1] == list(range(len(got) - 1)) and got[-1].content == "word1 a b"
+    assert "\n".join(r.content for r in got[:-1]) == "\n".join(f"word{k % 7} a b" for k in range(20_000))
+    fold = chunk._Greedy(300, 0.1, str.split)
+    most = 0
+    for k in range(5000):
+        fold.add((f"word{k} a b", "text", 1, None))
+        most = max(most, sum(n for _, n in fold.waiting))
+    assert most <= 300
+
+
 @SLOW
 @given(st.lists(st.integers(1, 12), min_size=1, max_size=25), st.integers(4, 12), st.sampled_from([0.0, 0.1, 0.3, 0.5]))
 def test_chunks_carry_whole_blocks(sizes, size, overlap):
     sizes = [min(n, size) for n in sizes]
     made = [(" ".join(f"b{i}w{k}" for k in range(n)), "text", 1, None) for i, n in enumerate(sizes)]
-    found = chunk._greedy(made, size, overlap, str.split)
+    found = folded(made, size, overlap)
     assert [c[0].split("\n") for c in found] == [[made[i][0] for i in c] for c in carried(sizes, size, int(size * overlap))]
 
 
 def test_blocks_that_all_fit_the_overlap_are_not_carried():
     words = [" ".join("b" * 2), " ".join("b" * 2), " ".join("c" * 98)]
-    found = chunk._greedy([(w, "text", 1, None) for w in words], 100, 0.1, str.split)
+    found = folded([(w, "text", 1, None) for w in words], 100, 0.1)
     assert [c[0] for c in found] == ["b b\nb b", words[2]]
 
 

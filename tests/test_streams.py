@@ -88,3 +88,16 @@ def test_old_tables_of_a_stream_go(spark, tmp_path):
     assert len(streams.batches_in(spark, f"{index}/pointers")) == 2
     bucket = spark.range(1).selectExpr(f"pmod(xxhash64(7L), {streams.BUCKETS}) AS b").first().b
     assert len(list((tmp_path / "index/states").glob(f"batch=*/bucket={bucket}"))) == 2
+
+
+def test_running_usage_goes_on_after_a_restart(spark, tmp_path):
+    schema = "tenant_id long, period string, seq long, doc_delta int, bytes long"
+    steps = [(t, "p", k, -1 if (k * 7 + t) % 5 < 3 else 1, k % 11) for k in range(120) for t in (1, 2)]
+    want = {r.tenant_id: (r.docs, r.bytes) for r in audit.meter(spark.createDataFrame(steps, schema)).collect()}
+    for part in (steps[:80], steps[80:]):  # a stop and a new start in between
+        for half in (part[: len(part) // 2], part[len(part) // 2 :]):
+            stream = arrive(f"{tmp_path}/log", [half], spark, schema)
+        streams.run_once(streams.running_usage(stream), f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    rows = spark.read.parquet(f"{tmp_path}/out").orderBy("seq").collect()
+    assert {r.tenant_id: (r.docs, r.bytes) for r in rows} == want
+    assert len(rows) == 8  # two tenants in four batches
