@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,9 +44,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def map_texts(df: DataFrame, run, schema) -> DataFrame:
     """``df.mapInArrow`` for rows with long texts: from here on the session's Arrow batches are bounded by bytes as well as by rows, so that
-    neither an executor nor its Python workers hold thousands of long texts at once."""
+    neither an executor nor its Python workers hold thousands of long texts at once. ``run`` sees columns whose names aren't plain words under
+    other names, in their places."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    return df.mapInArrow(run, schema)
+    names = [c if re.fullmatch(r"\w+", c) else f"_{k}" for k, c in enumerate(df.columns)]
+    return (df if names == df.columns else df.toDF(*names)).mapInArrow(run, schema)
 
 
 def afresh(column: str):
@@ -58,6 +62,11 @@ def kind_of(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
+def quoted(names: list[str]) -> list[str]:
+    """Column names as expressions, whatever signs they have."""
+    return ["`" + n.replace("`", "``") + "`" for n in names]
+
+
 def unused(name: str, taken: list[str]) -> str:
     """``name``, or with underscores added until no column has it, whatever the case."""
     while name.lower() in {t.lower() for t in taken}:

@@ -118,6 +118,7 @@ class ShardStore:
             shards = self.shards(base)
             runs = self.due(shards)
             if not runs:
+                self.vacuum()
                 return base
             fresh = []
             for a in range(0, len(runs), MERGES_PER_JOB):
@@ -129,13 +130,18 @@ class ShardStore:
         raise RuntimeError("compaction did not settle")
 
     def vacuum(self) -> None:
-        """Delete shards that only versions before the latest two list."""
+        """Delete the shards that no version lists but ones before the latest two, then the manifests of those. Shards that no manifest has
+        listed yet stay: an append may be about to."""
         version = self.version()
-        live = {s["path"] for v in range(max(1, version - 1), version + 1) for s in self.shards(v)}
-        for v in range(max(1, version - 3), max(1, version - 1)):
+        folder = self._path(f"{self.root}/manifest")
+        names = [s.getPath().getName() for s in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        old = sorted(v for v in (int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()) if v < version - 1)
+        live = {s["path"] for v in (version - 1, version) if v > 0 for s in self.shards(v)} if old else set()
+        for v in old:
             for s in self.shards(v):
                 if s["path"] not in live:
                     self._fs.delete(self._path(s["path"]), False)
+            self._fs.delete(self._path(f"{self.root}/manifest/{v:08d}.json"), False)
 
 
 def ingest(docs: DataFrame, store: ShardStore, arrival, arrivals: int) -> None:

@@ -38,6 +38,7 @@ MARGIN = 0.005  # of half-precision similarities, which only propose candidates
 NEIGHBOURS = 8
 SEED_TABLES = 4
 SEED_BUCKET = 24
+MOST_SEED_BITS = 40
 LEAST_CHANGE = 0.1  # of the places of all lists, by which a round counts as changing them
 MAX_ROUNDS = 24  # only the audit's doubled lists come after these
 BLOCK = 192
@@ -73,9 +74,11 @@ def classes(vectors: DataFrame) -> DataFrame:
     return usable.mapInArrow(run, "vec_id long, label string, dim int, vector binary")
 
 
-def seed_bits(largest_label: int) -> int:
-    """Sign bits that make buckets of about ``SEED_BUCKET``."""
-    return max(2, min(40, math.ceil(math.log2(max(1, largest_label / SEED_BUCKET)))))
+def seed_bits(label_size: int) -> int:
+    """Sign bits that make buckets of about ``SEED_BUCKET`` in a label of that size; a small label is one bucket, compared whole."""
+    if label_size <= 2 * SEED_BUCKET:
+        return 0
+    return max(2, min(MOST_SEED_BITS, math.ceil(math.log2(label_size / SEED_BUCKET))))
 
 
 def _blocks(batches: Iterable[pa.RecordBatch], key_columns: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -126,8 +129,9 @@ EDGES = "src long, dst long, sim float"
 KEYS = ["label", "dim", "t", "key"]
 
 
-def seeds(reps: DataFrame, bits: int, seed: int, best_of: int) -> DataFrame:
-    """Proposed edges and star edges among vectors of equal sign hashes, in blocks of neighbours along another random direction."""
+def seeds(reps: DataFrame, seed: int, best_of: int) -> DataFrame:
+    """Proposed edges and star edges among vectors of equal sign hashes, in blocks of neighbours along another random direction. Each label has
+    as many bits as its own ``size`` needs."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,15 +142,18 @@ def seeds(reps: DataFrame, bits: int, seed: int, best_of: int) -> DataFrame:
                 v = np.frombuffer(b"".join(some.column(3).to_pylist()), np.float64).reshape(len(at), dim)
                 half = pa.array([x.tobytes() for x in v.astype(np.float16)], pa.binary())
                 random = np.random.default_rng([int(dim), seed])
+                own = np.array([seed_bits(n) for n in some.column(4).to_pylist()], np.int64)
+                bits = int(own.max())
                 for t in range(SEED_TABLES):
-                    side = v @ random.standard_normal((dim, bits + 1))
-                    key = (side[:, :bits] > 0) @ (1 << np.arange(bits, dtype=np.int64))
+                    along = random.standard_normal((dim, MOST_SEED_BITS + 1))
+                    side = v @ along[:, : bits + 1]
+                    key = ((side[:, 1:] > 0) @ (1 << np.arange(bits, dtype=np.int64))) & ((1 << own) - 1)
                     yield pa.RecordBatch.from_arrays(
-                        [some.column(1), some.column(2), pa.array(np.full(len(at), t, np.int32)), pa.array(key), pa.array(side[:, bits]), some.column(0), half],
+                        [some.column(1), some.column(2), pa.array(np.full(len(at), t, np.int32)), pa.array(key), pa.array(side[:, 0]), some.column(0), half],
                         ["label", "dim", "t", "key", "along", "rep", "half"],
                     )
 
-    keyed = reps.select("rep", "label", "dim", "vector").mapInArrow(run, "label string, dim int, t int, key long, along double, rep long, half binary")
+    keyed = reps.select("rep", "label", "dim", "vector", "size").mapInArrow(run, "label string, dim int, t int, key long, along double, rep long, half binary")
     in_blocks = keyed.repartition(*KEYS).sortWithinPartitions(*KEYS, "along").select(*KEYS, "rep", "half")
     return in_blocks.mapInArrow(_proposals(4, BLOCK, best_of), EDGES)
 
@@ -175,10 +182,10 @@ def local_join(graph: DataFrame, halves: DataFrame, turn: int, best_of: int) ->
     return met.repartition("src", "part").sortWithinPartitions("src", "part").select("src", "part", "rep", "half").mapInArrow(_proposals(2, BLOCK, best_of), EDGES)
 
 
-def neighbour_graph(reps: DataFrame, largest_label: int, k: int, seed: int, known: DataFrame | None = None) -> DataFrame:
+def neighbour_graph(reps: DataFrame, k: int, seed: int, known: DataFrame | None = None) -> DataFrame:
     """(node, component) of the threshold edges that NN-descent finds, and of those that are ``known``, in the same form."""
     halves = stored(reps.select("rep", "vector").mapInArrow(_halve, "rep long, half binary"), "halves")
-    proposed = stored(seeds(reps, seed_bits(largest_label), seed, k), "proposed")
+    proposed = stored(seeds(reps, seed, k), "proposed")
     apart, graph = known, None
     for turn in range(MAX_ROUNDS + 1):
         found = proposed.where("sim IS NULL").select("src", "dst")
@@ -265,12 +272,13 @@ def near_duplicates(vectors: DataFrame, attempts: int = 2) -> DataFrame:
     once = classes(vectors).groupBy("vec_id").agg(F.min(F.struct("vector", "label", "dim")).alias("v"))
     usable = stored(once.select("vec_id", "v.label", "v.dim", "v.vector"), "vectors")
     grouped = usable.groupBy("label", "dim", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
-    reps = stored(grouped, "classes")
-    largest = reps.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
+    grouped = stored(grouped, "grouped")
+    sizes = grouped.groupBy("label", "dim").agg(F.count("*").alias("size")).select(F.concat("label", F.lit("")).alias("of_label"), F.col("dim").alias("of_dim"), "size")
+    reps = stored(grouped.join(sizes, (F.col("label") == F.col("of_label")) & (F.col("dim") == F.col("of_dim"))).drop("of_label", "of_dim"), "classes")
     whole = lambda found: stored(found.groupBy("rep").agg(F.sum("links").alias("links")), "links")
     candidates = None
     for attempt in range(attempts):
-        candidates = neighbour_graph(reps, largest, NEIGHBOURS << attempt, attempt, candidates)
+        candidates = neighbour_graph(reps, NEIGHBOURS << attempt, attempt, candidates)
         found = stored(exact_links(reps, candidates), "found")
         links = whole(found)
         recall, missing = audit(reps, links)

@@ -26,11 +26,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuspark.llm.common import in_fold, map_texts, table, unused
+from corpuspark.llm.common import in_fold, map_texts, quoted, table, unused
 from corpuspark.llm.textscan import row_slices
 
 ORDER = 3
 TRAIN_BYTES = 16_000_000
+PIECE = 16_384  # characters of a long text that are drawn at once
 UNKNOWN = "und"
 #: What precedes every text.
 BEFORE = 10
@@ -207,6 +208,16 @@ def train(docs: DataFrame) -> Model:
             share = F.when(F.col("lang") == x, TRAIN_BYTES / sizes[x]).otherwise(share)
         rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000)
     counted = count_grams(rows, langs).toArrow()
+    missed = [langs.index(x) for x in large if langs.index(x) not in set(counted.column("lang").unique().to_pylist())]
+    if missed:  # a few long texts, of which the draw took none: pieces of them
+        few = docs.where(F.col("lang").isin([langs[i] for i in missed])).where("text IS NOT NULL").select("lang", "text")
+        piece = few.select("lang", F.posexplode(F.sequence(F.lit(0), F.floor(F.length("text") / PIECE).cast("int"))).alias("k", "at"), "text")
+        piece = piece.select("lang", F.xxhash64("text", "k").alias("drawn"), F.substring("text", F.col("at") * PIECE + 1, F.lit(PIECE)).alias("text")).where("text <> ''")
+        for i in missed:
+            own = piece.where((F.col("lang") == langs[i]) & (F.pmod("drawn", F.lit(1_000_000)) < TRAIN_BYTES / sizes[langs[i]] * 1_000_000))
+            least = piece.where(F.col("lang") == langs[i]).orderBy("drawn").limit(1)
+            drawn = (own.unionByName(least) if own.isEmpty() else own).select("lang", "text")
+            counted = pa.concat_tables([counted, count_grams(drawn, langs).toArrow()])
     lang, codes, n = (counted.column(c).to_numpy() for c in ("lang", "gram", "n"))
     return Model.freeze({langs[i]: (codes[lang == i], n[lang == i]) for i in np.unique(lang).tolist()})
 
@@ -247,7 +258,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
                     [*part.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(np.where(ok, score, 0.0)), pa.array(np.where(ok, saved, 0.0))], names
                 )
 
-    rows = docs.select(*keep, *([] if "text" in keep else ["text"]))
+    rows = docs.select(*quoted(keep), *([] if "text" in keep else ["text"]))
     kinds = (T.StringType(), T.DoubleType(), T.DoubleType())
     schema = T.StructType([*rows.schema.fields[: len(keep)], *(T.StructField(n, t) for n, t in zip(names[-3:], kinds, strict=True))])
     return map_texts(rows, run, schema)

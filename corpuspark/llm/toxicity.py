@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuspark.llm.common import IdFilter, discard, in_fold, kind_of, map_texts, stored, table, unused
+from corpuspark.llm.common import IdFilter, discard, in_fold, kind_of, map_texts, quoted, stored, table, unused
 from corpuspark.llm.textscan import letters, mix, row_slices, span_hashes, spans
 
 STEM_BYTES = (4, 5, 6, 7, 8)
@@ -426,7 +426,7 @@ def score(docs: DataFrame, model: Classifier, keep: list[str] | None = None) ->
                 predicted = (p >= 0.5).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(p), pa.array(predicted)], names)
 
-    rows = docs.select(*keep, *([] if "text" in keep else ["text"]))
+    rows = docs.select(*quoted(keep), *([] if "text" in keep else ["text"]))
     schema = T.StructType([*rows.schema.fields[: len(keep)], T.StructField(names[-2], T.DoubleType()), T.StructField(names[-1], T.IntegerType())])
     return map_texts(rows, run, schema)
 

@@ -165,8 +165,8 @@ def isolated_pairs(n, seed):
 def test_rounds_find_what_the_start_misses(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "SEED_TABLES", 2)
     vectors = spark.createDataFrame(isolated_pairs(1500, 3), "vec_id long, embedding array<float>, label string")
-    reps = vectors.transform(embeddings.classes).withColumnRenamed("vec_id", "rep").withColumn("n", F.lit(1)).cache()
-    joined = lambda: embeddings.neighbour_graph(reps, 1650, embeddings.NEIGHBOURS, 0).count() / 300
+    reps = vectors.transform(embeddings.classes).withColumnRenamed("vec_id", "rep").withColumn("n", F.lit(1)).withColumn("size", F.lit(1650)).cache()
+    joined = lambda: embeddings.neighbour_graph(reps, embeddings.NEIGHBOURS, 0).count() / 300
     assert joined() > 0.92
     monkeypatch.setattr(embeddings, "MAX_ROUNDS", 0)
     assert joined() < 0.9
