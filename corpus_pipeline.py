@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuspark.llm import jaccard, langid, packing, toxicity
-from corpuspark.llm.common import IdFilter, in_fold, stored, table
+from corpuspark.llm.common import IdFilter, in_fold, quoted, stored, table
 
 #: SQL can't express a trained classifier or a tokenizer; tests compare the stages with brute force.
 ORACLE_SQL = None
@@ -25,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier calls toxic go. It learns labels of the training rows among ``docs`` only."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~in_fold("doc_id", 5, 0))
     scored = toxicity.score(docs, model, docs.columns)
-    return scored.where(F.col(scored.columns[-1]) == 0).select(docs.columns)
+    return scored.where(F.col(quoted(scored.columns)[-1]) == 0).select(quoted(docs.columns))
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +33,8 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     known language. Short documents of several possible languages stay."""
     trees = langid.train(docs.where(~in_fold("doc_id", 4, 2)))
     found = langid.predict(docs, trees, docs.columns)
-    lang, _, saved = map(F.col, found.columns[-3:])
-    return found.where((lang != langid.UNKNOWN) & (saved > 0)).select(docs.columns)
+    lang, _, saved = map(F.col, quoted(found.columns)[-3:])
+    return found.where((lang != langid.UNKNOWN) & (saved > 0)).select(quoted(docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     touched = IdFilter(gone.unionByName(again), "doc_id")  # all other rows stay where they are
     key = "only where the id is null"
     few = touched.maybe(docs).join(gone, "doc_id", "left_anti").withColumn(key, F.when(F.col("doc_id").isNull(), F.col("text")))
-    few = few.dropDuplicates(["doc_id", key]).select(*(f"`{c}`" for c in docs.columns))
+    few = few.dropDuplicates(["doc_id", key]).select(quoted(docs.columns))
     return touched.surely_not(docs).unionByName(few)
 
 
