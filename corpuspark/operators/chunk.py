@@ -369,27 +369,26 @@ def embed_batch(rows: DataFrame, model: Callable[[list[str]], list[list[float]]]
 
 
 def summary_windows(chunks: DataFrame, window: int = 8000, min_tokens: int = 1500, min_chunks: int = 5) -> DataFrame:
-    """(file_id, chunk_order, window_no) of the chunks (file_id, chunk_order, n_tokens, skip_summary) of files long enough to summarise."""
+    """(file_id, chunk_order, window_no) of the chunks (file_id, chunk_order, n_tokens, skip_summary) of files long enough to summarise. A fold
+    over sorted chunks: what is kept is one file's number and tokens so far."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, number, total = object(), 0, 0
         for batch in batches:
-            rows = []
-            for f, items in zip(batch.file_id, batch["items"], strict=True):
-                number = total = 0
-                for item in items:
-                    rows.append((f, item["chunk_order"], number))
-                    total += item["n_tokens"]
-                    if total >= window:
-                        number, total = number + 1, 0
-            yield pd.DataFrame(rows, columns=["file_id", "chunk_order", "window_no"])
-
-    nested = (
-        chunks.where("NOT skip_summary")
-        .groupBy("file_id")
-        .agg(F.sum("n_tokens").alias("total"), F.sort_array(F.collect_list(F.struct("chunk_order", "n_tokens"))).alias("items"))
-        .where((F.col("total") >= min_tokens) & (F.size("items") >= min_chunks))
-    )
-    return nested.select("file_id", "items").mapInPandas(run, "file_id long, chunk_order long, window_no int")
+            numbers = []
+            for f, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if f != now:
+                    now, number, total = f, 0, 0
+                elif total >= window:
+                    number, total = number + 1, 0
+                numbers.append(number)
+                total += n or 0
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(numbers, pa.int32())], ["file_id", "chunk_order", "window_no"])
+
+    some = chunks.where("NOT skip_summary").select(F.col("file_id").cast("long").alias("file_id"), F.col("chunk_order").cast("long").alias("chunk_order"), F.col("n_tokens").cast("long").alias("n_tokens"))
+    long_ones = some.groupBy("file_id").agg(F.sum("n_tokens").alias("total"), F.count("*").alias("n")).where((F.col("total") >= min_tokens) & (F.col("n") >= min_chunks))
+    kept = some.join(long_ones.select("file_id"), "file_id", "left_semi").repartition("file_id").sortWithinPartitions("file_id", "chunk_order")
+    return kept.mapInArrow(run, "file_id long, chunk_order long, window_no int")
 
 
 ITEMS = "array<struct<summary_text:string,source_chunk_ids:array<string>,coverage:string,heading_path:array<string>>>"

@@ -122,6 +122,20 @@ def a10(v):
     return joined.select("user_id", "kb_id", "role", F.col("revoked_date").cast("string").alias("revoked"), F.coalesce("member", F.lit(False)).alias("member"))
 
 
+@query(
+    "a10_revoked_keys",
+    f"""SELECT k.user_id, k.key_no, CAST(CASE WHEN k.user_id % 9 = 0 THEN coalesce(k.revoked_date, DATE '{AS_OF[:10]}') ELSE k.revoked_date END AS VARCHAR) AS revoked
+FROM (SELECT user_id, n AS key_no, CASE WHEN (user_id + n) % 7 = 0 THEN DATE '2023-05-01' END AS revoked_date FROM {{v_user}}, (SELECT unnest([1, 2, 3]) AS n) x) k""",
+)
+def a10_keys(v):
+    """Three keys a user, some revoked before: those of users who leave any tenant are revoked, once."""
+    key = v.v_user.select("user_id", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("key_no"))
+    keys = key.withColumn("revoked_date", F.when((F.col("user_id") + F.col("key_no")) % 7 == 0, F.to_date(F.lit("2023-05-01"))))
+    leaving = v.v_user.where("user_id % 9 = 0").select("user_id", "tenant_id")
+    _, _, after = access.offboard(v.v_user, grants_of(v).withColumn("revoked_date", F.lit(None).cast("date")), keys, leaving, AS_OF)
+    return after.select("user_id", "key_no", F.col("revoked_date").cast("string").alias("revoked"))
+
+
 @query(
     "a11_authenticate_keys",
     """WITH k AS (SELECT user_id AS key_user, sha256('key-' || CAST(user_id AS VARCHAR)) AS h FROM {v_user} WHERE user_id % 6 <> 0)

@@ -123,7 +123,8 @@ class Inputs:
     def allowed(self):
         """What each query's principal may read: access resolved, cut to the tenant."""
         v = self.v
-        return staged(access.authorised_files(self.queries, v.v_member, v.v_kb, grants_of(v), v.v_file_kb), "allowed")
+        kbs, grants = staged(v.v_kb, "kbs"), staged(grants_of(v), "grants")  # read several times
+        return staged(access.authorised_files(self.queries, v.v_member, kbs, grants, v.v_file_kb), "allowed")
 
     @cached_property
     def _path_a(self):

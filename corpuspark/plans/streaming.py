@@ -84,28 +84,39 @@ def t4(v):
     return finished(v, streams.dedupe_uploads(streams.with_event_time(stream, late="3650 days")), out).select("tenant_id", "content_hash")
 
 
-@query(
-    "t5_verify_audit",
-    """WITH r AS (SELECT *, lag(id) OVER w AS prior, id % 1000 <> 13 AS hashed, count(*) FILTER (id % 1000 <> 13) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n
+AUDITED = """WITH r AS (SELECT *, lag(id) OVER w AS prior, id % 1000 <> 13 AS hashed, count(*) FILTER (id % 1000 <> 13) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n
   FROM {v_audit} WINDOW w AS (PARTITION BY tenant_id ORDER BY id))
 SELECT id, hashed AND (id % 1000 = 11 OR (id % 1000 = 17 AND prior IS NOT NULL) OR (id % 1000 = 7 AND result <> 'tampered')) AS mismatch,
-  id % 1000 = 11 AND coalesce(prior % 1000 <> 13, false) AS broken, NOT hashed OR ((id % 1000 = 17 OR prior IS NULL) AND n > 0) AS gap FROM r""",
-)
-def t5(v):
+  id % 1000 = 11 AND coalesce(prior % 1000 <> 13, false) AS broken, NOT hashed OR ((id % 1000 = 17 OR prior IS NULL) AND n > 0) AS gap FROM r"""
+
+
+def bent_chain(v):
+    """A chain with changed fields, links and hashes, as a stream in order of ids."""
     built = audit.build_chain(v.v_audit)
     kind = F.col("id") % 1000
-    tampered = built.withColumns(
+    bent = built.withColumns(
         {
             "result": F.when(kind == 7, "tampered").otherwise(F.col("result")),
             "prev_hash": F.when(kind == 11, "x").when(kind == 17, None).otherwise(F.col("prev_hash")),
             "row_hash": F.when(kind != 13, F.col("row_hash")),
         }
     )
-    stream, out = stream_of(v, "audit", tampered, in_order(tampered, "id"))
+    return stream_of(v, "audit", bent, in_order(bent, "id"))
+
+
+@query("t5_verify_audit", AUDITED)
+def t5(v):
+    stream, out = bent_chain(v)
     streams.verify_audit(stream, out, f"{out}/checkpoint").awaitTermination()
     return v.spark.read.parquet(f"{out}/findings").select("id", "mismatch", "broken", "gap")
 
 
+@query("t5_audit_findings", AUDITED)
+def t5_stateful(v):
+    stream, out = bent_chain(v)
+    return finished(v, streams.audit_findings(stream), out).select("id", "mismatch", "broken", "gap")
+
+
 @query(
     "t6_meter_usage",
     """WITH s AS (SELECT *, sum(doc_delta) OVER w AS d, sum(doc_delta * bytes) OVER w AS b FROM {v_meter_event} WINDOW w AS (PARTITION BY tenant_id, period ORDER BY seq))

@@ -118,6 +118,30 @@ def verify_audit(rows: DataFrame, out_path: str, checkpoint: str, **trigger) ->
     return each_batch(rows, apply, checkpoint, **trigger)
 
 
+FINDINGS = "tenant_key string, id long, mismatch boolean, broken boolean, gap boolean"
+
+
+def audit_findings(rows: DataFrame) -> DataFrame:
+    """The findings of ``verify_audit`` as a stateful stream: Spark keeps each tenant's last hash and whether it had any. A tenant's rows of one
+    batch are one group, so batches should be small; ``verify_audit`` is the form for tenants with very many rows in a batch."""
+
+    def check(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, started = state.get if state.exists else (None, False)
+        part = pd.concat(list(frames)).sort_values("id")
+        link, own = (part[c].where(part[c].notna(), None).to_numpy(object) for c in ("prev_hash", "row_hash"))
+        there, free = own != None, link == None  # noqa: E711
+        above = np.concatenate([[last], own[:-1]])
+        begun = started | (np.cumsum(there) - there > 0)
+        broken = there & ~free & (above != None) & (link != above)  # noqa: E711
+        state.update((own[-1], bool(started or there.any())))
+        columns = {"tenant_key": key[0], "id": part.id, "mismatch": there & (part.expected.to_numpy(object) != own), "broken": broken, "gap": ~there | (free & begun)}
+        yield pd.DataFrame(columns).astype({c: bool for c in ("mismatch", "broken", "gap")})
+
+    tenant = F.coalesce(F.col("tenant_id").cast("string"), F.lit("")).alias("tenant_key")
+    slim = rows.select(tenant, "id", "prev_hash", "row_hash", row_hash(F.col("prev_hash"), canonical_payload(rows)).alias("expected"))
+    return slim.groupBy("tenant_key").applyInPandasWithState(check, FINDINGS, "last string, started boolean", "append", GroupStateTimeout.NoTimeout)
+
+
 USAGE = "tenant_id long, period string, docs long, bytes long"
 
 
