@@ -69,7 +69,7 @@ def t8(v):
     return metrics.rate_excess(v.v_access_log, 3, "day").select("user_id", F.col("start").cast("string").alias("start"), "requests")
 
 
-BURST = """SELECT event_id AS id, user_id % 5 AS client, TIMESTAMP '2024-01-01 00:00:00' + CAST(event_id % 40 AS INT) * INTERVAL 1 MINUTE AS created_at,
+BURST = """SELECT event_id AS id, user_id % 5 AS client, TIMESTAMP '2024-01-01 00:00:00' + CAST(event_id % 4 AS INT) * INTERVAL 1 MINUTE AS created_at,
   CASE event_type WHEN 'view' THEN '/v1/search' WHEN 'click' THEN '/v1/docs' WHEN 'purchase' THEN '/v1/chat' ELSE concat('/v1/docs/', CAST(event_id AS STRING)) END AS path FROM {events}"""
 
 
@@ -80,7 +80,7 @@ BURST = """SELECT event_id AS id, user_id % 5 AS client, TIMESTAMP '2024-01-01 0
 SELECT client, endpoint, start, requests, requests - allowed AS rejected FROM l WHERE requests > allowed""",
 )
 def t8_limited(v):
-    """A burst: all events within 40 minutes, from five clients."""
+    """A burst: all events within four minutes, from five clients."""
     burst = v.spark.sql(BURST, events=v.events)
     return metrics.rate_limited(burst).select("client", "endpoint", F.col("start").cast("string").alias("start"), "requests", "rejected")
 

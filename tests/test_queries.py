@@ -3,9 +3,20 @@
 import pytest
 from conftest import SMALL, rows_of
 
+from corpuspark.plans import retrieval
 from corpuspark.plans.base import ORACLE_SQL, QUERIES
 from corpuspark.plans.registry import FLAGSHIP
 
+
+@pytest.fixture(scope="module", autouse=True)
+def shared_inputs():
+    """The retrieval queries take their staged inputs from one place, as a session of searches would."""
+    real, made = retrieval.Inputs, {}
+    retrieval.Inputs = lambda v: made.setdefault(v.sf_dir, real(v))
+    yield
+    retrieval.Inputs = real
+
+
 @pytest.mark.parametrize("name", list(ORACLE_SQL))
 def test_equals_duckdb(spark, duck, name):
     got = QUERIES[name](spark, SMALL).toPandas()
