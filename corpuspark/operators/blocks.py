@@ -60,7 +60,7 @@ def query_blocks(queries: DataFrame) -> Iterator[QueryBlock]:
     if "query_text" in queries.columns:
         queries = queries.withColumn("q_tokens", F.array_distinct(tokens(F.col("query_text")))).drop("query_text")
     rows, size = [], 0
-    for r in queries.orderBy("query_id").toLocalIterator():
+    for r in queries.where("query_id IS NOT NULL").orderBy("query_id").toLocalIterator():
         rows.append(r)
         size += 8 * len(r["q_vec"] or ()) if "q_vec" in queries.columns else 0
         size += sum(40 + 8 * BLOCK_QUERIES for _ in r["q_tokens"] or ()) // 8 if "q_tokens" in queries.columns else 0
