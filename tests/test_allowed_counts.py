@@ -34,3 +34,14 @@ def test_counts_equal_pairs(monkeypatch, duck, spark, tables):
     assert rows_of(got.toPandas()) == rows_of(pairs.toPandas())
     assert {tuple(r) for r in got.collect()} == {(1, 0, 4, 47), (2, 0, 3, 35), (2, 1, 1, 12)}
     without_pairs(monkeypatch, duck, spark, "a5_allowed_files")
+
+
+def test_cleared_counts_equal_pairs(monkeypatch, duck, spark, tables):
+    """A file with two sensitivities counts for each, as a join does."""
+    levels = spark.createDataFrame([(10, 0), (11, 3), (11, 1), (12, 2), (14, 4)], "file_id long, sensitivity int")
+    cleared = spark.createDataFrame([(1, 0, 4), (2, 0, 1), (2, 1, 1), (9, 0, 4)], "user_id long, tenant_id long, clearance int")
+    pairs = access.sensitivity_filter(access.allowed_files(*tables), levels, cleared).groupBy("user_id", "tenant_id").agg(F.count("*").alias("files"))
+    got = access.count_allowed(*tables, levels, cleared).drop("ids")
+    assert rows_of(got.toPandas()) == rows_of(pairs.toPandas())
+    assert {tuple(r) for r in got.collect()} == {(1, 0, 5), (2, 0, 2)}
+    without_pairs(monkeypatch, duck, spark, "a6_sensitivity_filter")
