@@ -18,16 +18,24 @@ PARTS = 3
 
 def stream_of(v, name: str, rows=None, part=None, last=None):
     """The rows as a stream of Parquet files in ``PARTS`` batches, and a place for its output. ``part`` numbers the batch of a row; by default rows
-    are dealt out by hash, so that each batch has rows earlier than some before it. ``last`` rows come in a batch of their own."""
+    are dealt out by hash, so that each batch has rows earlier than some before it. ``last`` rows come in a batch of their own.
+
+    A batch is as many files as tasks read the table, so that no task writes or reads a batch alone. Files without rows make up the number where
+    some tasks have none, as the stream takes the same number of files for each batch."""
     rows = getattr(v, name) if rows is None else rows
     part = F.pmod(F.xxhash64(*rows.columns), F.lit(PARTS)) if part is None else part
     path = fresh_path(v.spark, f"stream-{name}")
     numbered = staged(rows.withColumn("_part", part.cast("int")), f"rows-{name}")
+    tasks, written = numbered.rdd.getNumPartitions(), 0
     for k in range(PARTS):
-        numbered.where(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(path)
+        numbered.where(F.col("_part") == k).drop("_part").write.mode("append").parquet(path)
+        there = len(v.spark.read.schema(rows.schema).parquet(path).inputFiles())
+        for _ in range(written + tasks - there):
+            rows.where("false").coalesce(1).write.mode("append").parquet(path)
+        written += tasks
     if last is not None:
         last.coalesce(1).write.mode("append").parquet(path)
-    return streams.read_log(v.spark, path, rows.schema, 1), f"{path}-out-{uuid.uuid4().hex[:8]}"
+    return streams.read_log(v.spark, path, rows.schema, tasks), f"{path}-out-{uuid.uuid4().hex[:8]}"
 
 
 def in_order(rows, column: str):

@@ -5,7 +5,7 @@ from conftest import SMALL, rows_of
 from pyspark.sql import functions as F
 
 from corpuspark.operators import access
-from corpuspark.plans.base import ORACLE_SQL, QUERIES
+from corpuspark.plans.registry import ORACLE_SQL, QUERIES
 
 KBS = [("a", 0), ("b", 0), ("c", 1)]
 #: user 1 reaches both bases of tenant 0, user 2 one of them and, by a grant, one of another tenant, user 3 none of its own.
