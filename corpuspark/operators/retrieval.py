@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from corpuspark.functions.expr import bigrams, cosine, hamming, strip, tokens
 from corpuspark.operators.blocks import best_of, by_block, column, cosines, over, overlaps, readable, rounded, same_tenant, slices, token_counts, weighted
 from corpuspark.operators.chunk import simhash64
-from corpuspark.sources.staging import spread, staged
+from corpuspark.sources.staging import few, spread, staged
 
+READERS = 1 << 18  # of 16 bytes or so
 DIGITS = 6  # scores are rounded before ranking, so that ties are ties on every engine
 
 
@@ -146,19 +147,30 @@ def knn_topk(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
 
 def hybrid_search(queries: DataFrame, docs: DataFrame, allowed: DataFrame, n: int = 24) -> DataFrame:
     """Hits by lexical overlap plus cosine among documents (doc_key, file_id, tenant_id, content, embedding, available, sensitivity): those of
-    files that the query may read (query_id, tenant_id, file_id, clearance), available, and no more sensitive than its clearance.
+    files that the query may read (query_id, tenant_id, file_id, clearance), available, and no more sensitive than its clearance. What may be
+    read can also be told by base (query_id, tenant_id, kb_id, clearance) if the documents have their file's ``bases``: then they meet the
+    readers of each set of bases, which is broadcast up to ``READERS`` readers in all, and aren't shuffled.
 
     Documents without any common token still compete with their vector score. Documents meet the readers of their file, not each query; both
     scores are products of matrices, and each task passes on at most ``n`` rows of a query.
     """
     mine = docs.where("available = 1")
+    by_base = "kb_id" in allowed.columns
+    place = ["tenant_id", "bases" if by_base else "file_id"]
+    if by_base:  # files in the same bases have the same readers
+        sets = mine.select(*place).distinct().withColumn("kb_id", F.explode("bases"))
+        allowed = sets.join(allowed, ["tenant_id", "kb_id"]).select("query_id", *place, "clearance").distinct()
     schema = f"{_kinds(queries, docs)}, score double"
 
     def score(block) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(block)
         asking = F.col("query_id").between(block.ids[0].as_py(), block.ids[-1].as_py())
-        readers = allowed.where(asking).groupBy("tenant_id", "file_id").agg(F.collect_list(F.struct("query_id", "clearance")).alias("readers"))  # a block's
-        rows = mine.join(readers, ["tenant_id", "file_id"]).select("doc_key", "embedding", "sensitivity", "readers", F.array_distinct(tokens(F.col("content"))).alias("tokens"))
+        readers = allowed.where(asking).groupBy(*place).agg(F.collect_list(F.struct("query_id", "clearance")).alias("readers"))  # a block's
+        if by_base:
+            readers = staged(readers, "readers")
+            pairs = readers.select(F.size("readers").alias("n")).agg(F.sum("n")).first()[0] or 0
+            readers = F.broadcast(readers) if pairs <= READERS else readers
+        rows = mine.join(readers, place).select("doc_key", "embedding", "sensitivity", "readers", F.array_distinct(tokens(F.col("content"))).alias("tokens"))
 
         def run(batches):
             both = lambda batch, block: rounded(cosines(batch, block) + overlaps(batch, block))
@@ -168,13 +180,14 @@ def hybrid_search(queries: DataFrame, docs: DataFrame, allowed: DataFrame, n: in
 
     found = by_block(queries.select("query_id", "query_text", "q_vec"), score, schema)
     top = _first(found, _by_rank("score", "doc_key"), n)
-    return top.join(mine.select("doc_key", "file_id", "content"), "doc_key").select("query_id", "rank", F.col("doc_key").alias("chunk_key"), "file_id", "content", "score")
+    texts = mine.select("doc_key", "file_id", "content")
+    return texts.join(few(top, "top"), "doc_key").select("query_id", "rank", F.col("doc_key").alias("chunk_key"), "file_id", "content", "score")
 
 
 def select_center(wanted: DataFrame, chunks: DataFrame) -> DataFrame:
     """(query_id, summary_key, chunk_key): among the still visible sources (query_id, query_text, summary_key, pos, chunk_key) the one that
     shares most distinct character pairs with the query; earlier ones win ties."""
-    alive = wanted.join(chunks.select("chunk_key", "content"), "chunk_key")
+    alive = chunks.select("chunk_key", "content").join(few(wanted, "wanted"), "chunk_key")
     shared = F.size(F.array_intersect(bigrams(F.col("query_text")), bigrams(F.col("content"))))
     nth = F.row_number().over(Window.partitionBy("query_id", "summary_key").orderBy(F.desc("shared"), "pos"))
     return alive.withColumn("shared", shared).withColumn("nth", nth).where("nth = 1").select("query_id", "summary_key", "chunk_key")
@@ -183,7 +196,7 @@ def select_center(wanted: DataFrame, chunks: DataFrame) -> DataFrame:
 def relocate_anchor(anchors: DataFrame, chunks: DataFrame, radius: int = 8) -> DataFrame:
     """(summary_key, chunk_key, distance): the visible chunk of the same file whose fingerprint is nearest, within the radius. Only chunks of
     files that have an anchor here are fingerprinted."""
-    near_by = chunks.select("file_id", "chunk_key", "content").join(anchors.select("file_id").distinct(), "file_id", "left_semi")
+    near_by = chunks.select("file_id", "chunk_key", "content").join(few(anchors.select("file_id").distinct()), "file_id", "left_semi")
     near_by = near_by.select("file_id", "chunk_key", simhash64("content").alias("simhash"))
     pairs = anchors.select("summary_key", "file_id", F.col("simhash").alias("wanted")).join(near_by, "file_id")
     near = pairs.withColumn("distance", hamming(F.col("wanted"), F.col("simhash"))).where(F.col("distance") <= radius)
@@ -191,11 +204,13 @@ def relocate_anchor(anchors: DataFrame, chunks: DataFrame, radius: int = 8) -> D
 
 
 def resolve_anchors(wanted: DataFrame, anchors: DataFrame, chunks: DataFrame, radius: int = 8) -> DataFrame:
-    """(query_id, summary_key, chunk_key, validity): valid by a living source, relocated by fingerprint, else stale."""
+    """(query_id, summary_key, chunk_key, validity): valid by a living source, relocated by fingerprint, else stale. ``anchors`` are a table
+    or a function that makes that of some (summary_key)."""
     asked = wanted.select("query_id", "summary_key").distinct()
-    center = select_center(wanted, chunks).withColumnRenamed("chunk_key", "center")
-    lost = asked.join(center, ["query_id", "summary_key"], "left_anti").select("summary_key").distinct()
-    moved = relocate_anchor(anchors.join(lost, "summary_key", "left_semi"), chunks, radius).select("summary_key", F.col("chunk_key").alias("moved"))
+    center = staged(select_center(wanted, chunks), "center").withColumnRenamed("chunk_key", "center")
+    lost = few(asked.join(center, ["query_id", "summary_key"], "left_anti").select("summary_key").distinct(), "lost")
+    sought = anchors(lost) if callable(anchors) else anchors.join(lost, "summary_key", "left_semi")
+    moved = relocate_anchor(staged(sought, "anchors"), chunks, radius).select("summary_key", F.col("chunk_key").alias("moved"))
     joined = asked.join(center, ["query_id", "summary_key"], "left").join(moved, "summary_key", "left")
     validity = F.when(F.col("center").isNotNull(), "valid").when(F.col("moved").isNotNull(), "relocated").otherwise("stale")
     return joined.select("query_id", "summary_key", F.coalesce("center", "moved").alias("chunk_key"), validity.alias("validity"))
@@ -219,7 +234,7 @@ def read_window(centers: DataFrame, chunks: DataFrame, before: int = 2, after: i
 
     Centers and the chunks of their files are sorted together once and read through a range frame.
     """
-    near = chunks.select("file_id", "chunk_order", "content").join(centers.select("file_id").distinct(), "file_id", "left_semi")
+    near = chunks.select("file_id", "chunk_order", "content").join(few(centers.select("file_id").distinct()), "file_id", "left_semi")
     both = centers.withColumn("_center", F.lit(True)).unionByName(near, allowMissingColumns=True)
     return _framed(both, before, after).where(F.col("_center") & F.col("window_text").isNotNull()).drop("_center")
 
@@ -229,7 +244,7 @@ def gate_scores(centers: DataFrame, vectors: DataFrame, before: int, after: int)
     wanted = centers.withColumn("wanted", F.explode(F.sequence(F.col("chunk_order") - before, F.col("chunk_order") + after)))
     near = vectors.select("file_id", F.col("chunk_order").alias("wanted"), "embedding")
     best = F.max(F.round(cosine(F.col("q_vec"), F.col("embedding")), DIGITS))
-    return wanted.join(near, ["file_id", "wanted"]).groupBy("query_id", "summary_key").agg(best.alias("best"))
+    return near.join(few(wanted, "windows"), ["file_id", "wanted"]).groupBy("query_id", "summary_key").agg(best.alias("best"))
 
 
 def soft_gate(centers: DataFrame, vectors: DataFrame, theta: float = 0.2, before: int = 2, after: int = 4) -> DataFrame:
@@ -251,18 +266,19 @@ def path_a(queries, summaries, sources, anchors, chunks, vectors, allowed, k: in
     """(hits, reasons): summaries, their anchors, the windows around those, gated. ``weight`` is the summary's coverage, 1 if that is 0 or null."""
     found = summary_search(queries, summaries, allowed, k).select("query_id", "rank", F.col("chunk_key").alias("summary_key"), "file_id", "score")
     found = staged(found, "found")  # at most k rows a query, as what follows
-    wanted = found.select("query_id", "summary_key").join(queries.select("query_id", "query_text"), "query_id").join(sources.select("summary_key", "pos", "chunk_key"), "summary_key")
+    keys = few(found.select("query_id", "summary_key", "rank", "score"), "found-keys")
+    wanted = sources.select("summary_key", "pos", "chunk_key").join(keys.drop("rank", "score"), "summary_key").join(queries.select("query_id", "query_text"), "query_id")
     resolved = found.select("query_id", "summary_key").join(resolve_anchors(wanted, anchors, chunks, radius), ["query_id", "summary_key"], "left")
-    resolved = staged(resolved, "resolved")
-    placed = resolved.join(chunks.select("chunk_key", "file_id", "chunk_order"), "chunk_key").join(queries.select("query_id", "q_vec"), "query_id")
+    resolved = few(resolved, "resolved")
+    placed = chunks.select("chunk_key", "file_id", "chunk_order").join(resolved, "chunk_key").join(queries.select("query_id", "q_vec"), "query_id")
     placed = staged(placed, "placed")
     passed = staged(soft_gate(placed, vectors, theta), "passed")
     spans = placed.drop("q_vec").join(passed, ["query_id", "summary_key"])
     windows = [read_window(spans.where(F.col("span") == s), chunks, 2 * s, 4 * s) for s in (1, 2)]
     coverage = F.col("coverage_ratio")
     weight = F.when(coverage.isNull() | (coverage == 0), 1.0).otherwise(coverage)
-    hits = windows[0].unionByName(windows[1]).join(found.select("query_id", "summary_key", "rank", "score"), ["query_id", "summary_key"])
-    hits = hits.join(summaries.select(F.col("doc_key").alias("summary_key"), "coverage_ratio"), "summary_key")
+    covered = staged(summaries.select(F.col("doc_key").alias("summary_key"), "coverage_ratio").join(keys, "summary_key"), "covered")
+    hits = windows[0].unionByName(windows[1]).join(covered, ["query_id", "summary_key"])
     hits = hits.select("query_id", "rank", "chunk_key", "file_id", F.col("window_text").alias("content"), "score", weight.alias("weight"))
     state = resolved.join(passed, ["query_id", "summary_key"], "left")
     reading = allowed.select("query_id").distinct().withColumn("reads", F.lit(True))
@@ -325,13 +341,22 @@ def score_threshold(hits: DataFrame, threshold: float | None) -> DataFrame:
 def post_verify(hits: DataFrame, allowed: DataFrame, visible: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(kept, violations): hits must be visible chunks (chunk_key, file_id, tenant_id) of a file that the query may read (query_id, tenant_id,
     file_id); the ids of others are reported by query."""
-    owned = hits.join(visible.select("chunk_key", F.col("file_id").alias("in_file"), F.col("tenant_id").alias("owner")), "chunk_key", "left")
+    seen = visible.select("chunk_key", F.col("file_id").alias("in_file"), F.col("tenant_id").alias("owner"))
+    seen = staged(seen.join(few(hits.select("chunk_key").distinct()), "chunk_key", "left_semi"), "seen")  # no more than there are hits
+    owned = hits.join(seen, "chunk_key", "left")
     may = allowed.select(F.col("query_id").alias("q"), F.col("tenant_id").alias("t"), F.col("file_id").alias("f")).distinct().withColumn("ok", F.lit(True))
     checked = owned.join(may, (F.col("query_id") == F.col("q")) & (F.col("owner") == F.col("t")) & (F.col("in_file") == F.col("f")), "left")
     bad = checked.where("ok IS NULL").groupBy("query_id").agg(F.sort_array(F.collect_set("chunk_key")).alias("dropped"))
     return checked.where("ok").select(*hits.columns), bad
 
 
+def readable_files(hits: DataFrame, visible: DataFrame, allowed: DataFrame) -> DataFrame:
+    """(query_id, tenant_id, file_id, clearance) of the files of the hits' chunks that the query may read, where that is told by base."""
+    of = visible.select("chunk_key", "tenant_id", "file_id", "bases").join(few(hits.select("query_id", "chunk_key").distinct()), "chunk_key")
+    of = of.select("query_id", "tenant_id", "file_id", F.explode("bases").alias("kb_id"))
+    return of.join(allowed, ["query_id", "tenant_id", "kb_id"]).select("query_id", "tenant_id", "file_id", "clearance").distinct()
+
+
 def cut(hits: DataFrame, k: int) -> DataFrame:
     """The first ``k`` hits of each query by their present order."""
     ordered = hits.withColumn("_order", F.col("rank"))
@@ -393,7 +418,8 @@ def cite(requests: DataFrame, chunks: DataFrame, allowed: DataFrame) -> DataFram
 def search(queries, chunks, vectors, summaries, sources, anchors, allowed, mode: str = "hybrid", k: int = 8, rerank: Callable[[DataFrame], DataFrame] | None = None, threshold: float | None = None, radius: int = 8) -> DataFrame:
     """The composition: both paths (``hybrid``) or one of them (``summary``, ``embedding``), fusion, optional rerank and threshold, verification,
     top k. ``rerank`` gives relevances (query_id, chunk_key, relevance) for the fused hits. ``allowed`` is what each query may read, as from
-    ``access.authorised_files``; queries that may read nothing have no rows."""
+    ``access.authorised_files`` or, if summaries and vectors have their files' ``bases``, ``access.authorised_bases``; queries that may read
+    nothing have no rows."""
     if mode not in ("hybrid", "summary", "embedding"):
         raise ValueError(f"no such mode: {mode}")
     empty = queries.select("query_id", F.lit(0).alias("rank"), F.lit("").alias("chunk_key"), F.lit(0).cast("long").alias("file_id"), F.lit("").alias("content"), F.lit(0.0).alias("score")).where("false")
@@ -404,4 +430,6 @@ def search(queries, chunks, vectors, summaries, sources, anchors, allowed, mode:
     merged = staged(rrf_merge(a, b), "merged")
     if rerank:
         merged = apply_rerank(merged, rerank(merged))
+    if "kb_id" in allowed.columns:
+        allowed = readable_files(merged, chunks, allowed)
     return final_topk(score_threshold(merged, threshold), allowed, chunks, rerank is not None, k)
