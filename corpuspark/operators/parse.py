@@ -5,14 +5,18 @@ A block table has file_id, pos (order in the file), block_type (title, text, tab
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuspark.functions.expr import strip
+from corpuspark.operators.blocks import over
 
 #: Line ends, and formats by MIME type and by extension.
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\u0085  ]"
@@ -37,6 +41,32 @@ def read_corpus(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame
     return files.select("path", name.alias("name"), F.col("length").alias("size_bytes"), "content", F.decode("content", "UTF-8").alias("text"))
 
 
+FOLDERS = 256
+
+
+def write_corpus(files: DataFrame, path: str) -> None:
+    """Files (name, content) below ``path``, each written whole before it gets its name, so that a repeated task writes the same files. They are
+    dealt out to ``FOLDERS`` folders by name, which tasks list; names must differ. Folders must be such as Arrow opens by their URI."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(path)
+        made = set()
+        for batch in batches:
+            for folder, name, content in zip(*batch.to_pydict().values(), strict=True):
+                at = f"{root}/{folder}"
+                if folder not in made:
+                    fs.create_dir(at, recursive=True)
+                    made.add(folder)
+                draft = f"{at}/{name}.{uuid.uuid4().hex}.draft"
+                with fs.open_output_stream(draft, buffer_size=0) as out:
+                    out.write(content.encode())
+                fs.move(draft, f"{at}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    folder = F.pmod(F.xxhash64("name"), F.lit(FOLDERS)).alias("folder")
+    over(files.select(folder, "name", "content"), run, "n long").agg(F.sum("n")).collect()
+
+
 def scan_index(index: DataFrame, *fields: str) -> DataFrame:
     return index.select(*fields) if fields else index
 

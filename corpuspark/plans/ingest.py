@@ -3,6 +3,7 @@
 import hashlib
 from functools import cache
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpuspark.functions.expr import hamming, hex_to_signed, signed_to_hex
@@ -61,12 +62,14 @@ def fingerprint(text):
 def s1_files(v):
     """The documents written as files of their own, one in five as HTML, and read back as such: name, format, size, bytes."""
     path = fresh_path(v.spark, "files")
-    texts = v.v_file.where("content IS NOT NULL").select("content", "file_id", F.when(F.col("file_id") % 5 == 0, ".html").otherwise(".md").alias("ending"))
-    texts.write.partitionBy("ending", "file_id").text(path)
-    files = parse.read_corpus(v.spark, path, "part-*")
-    name = F.concat(F.regexp_extract("path", r"file_id=(\d+)", 1), F.regexp_extract("path", "ending=([^/]*)", 1))
-    kind = parse.classify_format(F.lit(None).cast("string"), name)
-    return files.select(F.regexp_extract(name, r"^\d+", 0).cast("long").alias("file_id"), kind.alias("format"), "size_bytes", F.sha2("content", 256).alias("digest"))
+    nth = F.row_number().over(Window.partitionBy("file_id").orderBy("content"))  # rows of one id are files of their own
+    ending = F.when(F.col("file_id") % 5 == 0, ".html").otherwise(".md")
+    name = F.concat(F.coalesce(F.col("file_id").cast("string"), F.lit("none")), F.lit("_"), nth.cast("string"), ending)
+    texts = v.v_file.where("content IS NOT NULL").select(name.alias("name"), F.concat("content", F.lit("\n")).alias("content"))
+    parse.write_corpus(texts, path)
+    files = parse.read_corpus(v.spark, path, "*.{md,html}")
+    kind = parse.classify_format(F.lit(None).cast("string"), F.col("name"))
+    return files.select(F.nullif(F.regexp_extract("name", r"^-?\d+", 0), F.lit("")).cast("long").alias("file_id"), kind.alias("format"), "size_bytes", F.sha2("content", 256).alias("digest"))
 
 
 @query("s1_read_corpus", "SELECT file_id, name, strlen(content) AS size_bytes, sha256(content) AS digest FROM {v_file}")
