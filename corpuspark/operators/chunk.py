@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from corpuspark.functions.expr import hamming, strip, tokens, uuid5
 from corpuspark.operators.parse import split_blocks
-from corpuspark.sources.staging import staged
+from corpuspark.sources.staging import few, staged
 
 #: Delimiters by chunking method, and the question marks.
 DELIMITERS = {
@@ -255,22 +255,32 @@ def same_segment(a: Column, b: Column, radius: int = 3) -> Column:
     return hamming(a, b) <= radius
 
 
-BLOCK = 512
+SMALL = 512
+BLOCK = 2048
+SIDE = 512
 CELL = "place, t, v, i, j"
 
 
+def _agreeing() -> list[int]:
+    """The bits on which fingerprints of a bucket agree: four bands of 16 bits, then for each band its bits and one of four parts of the others."""
+    bands = [0xFFFF << 16 * k for k in range(4)]
+    rest = [[b for b in range(64) if not band >> b & 1] for band in bands]
+    return bands + [band | sum(1 << b for b in bits[part::4]) for band, bits in zip(bands, rest, strict=True) for part in range(4)]
+
+
+AGREEING = _agreeing()
+
+
+def _first_of(t: int) -> list[np.uint64]:
+    """The bits of the buckets of the same level that come before ``t``, and of the bands before its own: a pair that shares one counts there."""
+    band, part = (t, 0) if t < 4 else divmod(t - 4, 4)
+    return [np.uint64(m) for m in AGREEING[:band] + AGREEING[4 + 4 * band : 4 + 4 * band + part]]
+
+
 def _near_in_cells(radius: int):
     """Sums of ``n`` of the fingerprints within the radius, for the rows (place, t, v, i, j, block, simhash, n) of cells in order. Pairs count in
-    the first band that they share only; a cell of two blocks counts pairs across them."""
-
-    def of_cell(t: int, across: bool, block: np.ndarray, f: np.ndarray, n: np.ndarray) -> np.ndarray:
-        x = f[:, None] ^ f
-        near = (np.bitwise_count(x) <= radius) & (x != 0)
-        for k in range(t):
-            near &= (x >> np.uint64(16 * k)) & np.uint64(0xFFFF) != 0
-        if across:
-            near &= block[:, None] != block
-        return near @ n
+    the first bucket that they share only; a cell of two blocks counts pairs across them."""
+    before = [_first_of(t) for t in range(len(AGREEING))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -279,11 +289,42 @@ def _near_in_cells(radius: int):
         def settle(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
             if not len(rows):
                 return
-            edges = np.flatnonzero((rows[1:, :5] != rows[:-1, :5]).any(1)) + 1
-            near = np.zeros(len(rows), np.int64)
-            for a, b in zip(np.append(0, edges).tolist(), np.append(edges, len(rows)).tolist(), strict=True):
-                if b - a > 1:
-                    near[a:b] = of_cell(int(rows[a, 1]), rows[a, 3] != rows[a, 4], rows[a:b, 5], rows[a:b, 6].view(np.uint64), rows[a:b, 7])
+            t, f, n, near = rows[:, 1].copy(), rows[:, 6].copy().view(np.uint64), rows[:, 7].copy(), np.zeros(len(rows), np.int64)
+
+            def add(a: np.ndarray, b: np.ndarray) -> None:
+                """Pairs of rows within the radius."""
+                x, of = f[a] ^ f[b], t[a]
+                first = x != 0
+                for k in np.unique(of).tolist():
+                    for bits in before[k]:
+                        first &= (of != k) | (x & bits != 0)
+                a, b = a[first], b[first]
+                np.add.at(near, a, n[b])
+                np.add.at(near, b, n[a])
+
+            starts = np.append(0, np.flatnonzero((rows[1:, :5] != rows[:-1, :5]).any(1)) + 1)
+            sizes = np.diff(np.append(starts, len(rows)))
+            across = rows[starts, 3] != rows[starts, 4]
+            small = (sizes <= 32) & ~across
+            left = np.where(np.repeat(small, sizes), np.repeat(starts + sizes, sizes) - np.arange(len(rows)), 0)  # rows of a small cell from here on
+            a = np.flatnonzero(left > 1)
+            for d in range(1, 32):  # all small cells at once: each row and the d-th after it
+                a = a[left[a] > d]
+                if not len(a):
+                    break
+                hit = a[np.bitwise_count(f[a] ^ f[a + d]) <= radius]
+                add(hit, hit + d)
+            for start, size, two in zip(starts[~small].tolist(), sizes[~small].tolist(), across[~small].tolist(), strict=True):
+                here = np.arange(start, start + size)
+                own = rows[here, 5] == rows[start, 3]
+                one, other = (here[own], here[~own]) if two else (here, here)
+                for p in range(0, len(one), SIDE):
+                    for q in range(0 if two else p, len(other), SIDE):
+                        a, b = one[p : p + SIDE], other[q : q + SIDE]
+                        i, j = np.nonzero(np.bitwise_count(f[a, None] ^ f[b]) <= radius)
+                        if p == q and not two:
+                            i, j = i[i < j], j[i < j]
+                        add(a[i], b[j])
             some = near > 0
             yield pa.RecordBatch.from_arrays([pa.array(rows[some, 0]), pa.array(rows[some, 6]), pa.array(near[some])], ["place", "simhash", "near"])
 
@@ -312,22 +353,29 @@ def near_duplicate_segments(chunks: DataFrame, radius: int = 3, within_file: boo
     chunks lie within a Hamming radius of at most 3; in the same file, or anywhere. Chunks without a fingerprint have no row.
 
     Chunks of equal fingerprints are one class, so copies are never paired. Two fingerprints within the radius agree on one of four 16-bit
-    bands. A band value that many classes share is cut into cells of two blocks of at most some ``BLOCK`` classes, compared as one matrix
-    each; only counts leave a cell. Fingerprints are taken once, into a staged table.
+    bands, and on one of four parts of the other bits. A band value that more than ``SMALL`` classes share is cut by those parts, so that
+    buckets stay small as the fingerprints grow in number; what more than ``BLOCK`` share even so is cut into cells of two blocks of some
+    ``BLOCK`` classes. Only counts leave a cell. Fingerprints are taken once, into a staged table.
     """
     if radius > 3:
         raise ValueError("four bands find radii up to 3")
     place = F.col("file_id") if within_file else F.lit(0)
     known = staged(chunks.where("simhash IS NOT NULL").select("chunk_key", place.cast("long").alias("place"), "simhash"), "fingerprints")
     classes = staged(known.groupBy("place", "simhash").agg(F.min("chunk_key").alias("class_key"), F.count("*").alias("n")), "classes")
-    part = lambda k: F.shiftrightunsigned("simhash", 16 * k).bitwiseAND(0xFFFF)
-    banded = classes.select("place", "simhash", "n", F.inline(F.array(*(F.struct(F.lit(k).alias("t"), part(k).alias("v")) for k in range(4)))))
-    sizes = banded.groupBy("place", "t", "v").agg(F.count("*").alias("size")).where("size > 1")
-    sizes = sizes.select(F.col("place").alias("p"), F.col("t").alias("u"), F.col("v").alias("w"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    met = banded.join(sizes, (F.col("place") == F.col("p")) & (F.col("t") == F.col("u")) & (F.col("v") == F.col("w")))
-    met = met.withColumn("block", F.pmod(F.xxhash64("simhash"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = met.select("place", "t", "v", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "simhash", "n")
-    dealt = cells.repartition(*CELL.split(", ")).sortWithinPartitions(*CELL.split(", "))
+    bits = F.array(*(F.lit(m - (m >> 63 << 64)) for m in AGREEING))
+    bucket = lambda t: F.struct(t.cast("int").alias("t"), F.col("simhash").bitwiseAND(F.element_at(bits, (t + 1).cast("int"))).alias("v"))
+    banded = classes.select("place", "simhash", "n", F.inline(F.array(*(bucket(F.lit(k)) for k in range(4)))))
+    sizes = banded.groupBy("place", "t", "v").agg(F.count("*").alias("size")).where("size > 1").select(F.col("place").alias("p"), F.col("t").alias("u"), F.col("v").alias("w"), "size")
+    same = lambda of: (F.col("place") == of["p"]) & (F.col("t") == of["u"]) & (F.col("v") == of["w"])
+    met = staged(banded.join(sizes, same(sizes)).select("place", "t", "v", "simhash", "n", "size"), "banded")
+    finer = met.where(F.col("size") > SMALL).select("place", "simhash", "n", F.inline(F.array(*(bucket(4 + 4 * F.col("t") + k) for k in range(4)))))
+    crowds = finer.groupBy("place", "t", "v").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK)
+    crowds = few(crowds.select(F.col("place").alias("p"), F.col("t").alias("u"), F.col("v").alias("w"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "crowds")
+    cut = finer.join(crowds, same(crowds), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    cut = cut.withColumn("block", F.pmod(F.xxhash64("simhash"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cut.select("place", "t", "v", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "simhash", "n")
+    whole = met.where(F.col("size") <= SMALL).select("place", "t", "v", *(F.lit(0).alias(c) for c in ("i", "j", "block")), "simhash", "n")
+    dealt = whole.unionByName(cells).repartition(*CELL.split(", ")).sortWithinPartitions(*CELL.split(", "))
     links = dealt.mapInArrow(_near_in_cells(radius), "place long, simhash long, near long").groupBy("place", "simhash").agg(F.sum("near").alias("near"))
     of_class = classes.join(links, ["place", "simhash"], "left")
     counted = of_class.select(F.col("place").alias("p"), F.col("simhash").bitwiseXOR(F.lit(0)).alias("h"), "class_key", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
