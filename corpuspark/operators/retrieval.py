@@ -400,8 +400,10 @@ def build_context(hits: DataFrame, limit: int = 8, chars: int = 1500, snippet: i
 
 
 def build_prompt(questions: DataFrame, contexts: DataFrame, history: DataFrame, turns: int = 8) -> DataFrame:
-    """(query_id, prompt): the last non-empty turns (query_id, id, role, content), the context, the question."""
-    last = history.where("content <> ''").withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("id")))).where(F.col("nth") <= turns)
+    """(query_id, prompt): the last non-empty turns (query_id, id, role, content), the context, the question. Only turns of the questions are
+    dealt out."""
+    asked = few(questions.select("query_id").distinct(), "asked")
+    last = history.join(asked, "query_id", "left_semi").where("content <> ''").withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("id")))).where(F.col("nth") <= turns)
     line = F.concat("role", F.lit(": "), "content", F.lit("\n")).alias("line")
     told = last.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", line))), lambda x: x.line), "").alias("told"))
     joined = questions.join(contexts, "query_id", "left").join(told, "query_id", "left")
