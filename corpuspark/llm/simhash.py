@@ -154,7 +154,8 @@ def near_counts(prints: DataFrame, radius: int = RADIUS, part_size: int = BUCKET
     crowded = keyed.groupBy("t", "block").agg(F.count("*").alias("size")).where("size > 1")
     crowded = crowded.select(afresh("t").alias("of_t"), afresh("block").alias("of_block"), "size")  # names of its own: a large bucket can be split
     parts = F.ceil(F.col("size") / part_size).cast("int")
-    placed = keyed.join(crowded, (F.col("t") == F.col("of_t")) & (F.col("block") == F.col("of_block")))
+    # Never broadcast: Spark takes the exploded tables for no larger than the fingerprints that they come from.
+    placed = keyed.hint("merge").join(crowded, (F.col("t") == F.col("of_t")) & (F.col("block") == F.col("of_block")))
     placed = placed.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("f0", "f1"), "parts").cast("int"))
     cells = (
         placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
