@@ -8,6 +8,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from pathlib import PurePosixPath
 
 import pandas as pd
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuspark.functions.expr import strip
-from corpuspark.operators.blocks import over
+from corpuspark.operators.blocks import BATCH_BYTES, ROWS, over
 
 #: Line ends, and formats by MIME type and by extension.
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\u0085  ]"
@@ -34,11 +35,107 @@ EXTENSION = {".pdf": "pdf", ".docx": "docx", ".pptx": "pptx", ".xlsx": "xlsx", "
 TABLE_ROWS = 50
 
 
+#: Levels of folders that are dealt out to tasks; what lies deeper is listed by the task that has the folder above it.
+LEVELS = 3
+LISTED = "root int, at string, size long"
+
+
+def _opened(uri: str) -> tuple[pafs.FileSystem, str] | None:
+    """The file system of a URI and the path in it, if Arrow opens it."""
+    try:
+        fs, at = pafs.FileSystem.from_uri(uri)
+    except (pa.ArrowException, OSError):
+        return None
+    return fs, at.rstrip("/")
+
+
+def _hidden(name: str, folder: bool = False) -> bool:
+    """What Spark's readers pass over."""
+    if folder and name.startswith(("_metadata", "_common_metadata")):
+        return False
+    return name.startswith(".") or name.endswith("._COPYING_") or (name.startswith("_") and "=" not in name)
+
+
+def _listing(uris: list[str], deep: bool):
+    """A run over ``LISTED``: files stay; folders, which have no size, become what is in them, and ``deep`` all that is below them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened = {}
+        for batch in batches:
+            todo, done = list(zip(*batch.to_pydict().values(), strict=True)), []
+            while todo:
+                root, at, size = todo.pop()
+                if size is not None:
+                    done.append((root, at, size))
+                else:
+                    fs, base = opened[root] = opened.get(root) or _opened(uris[root])
+                    for x in fs.get_file_info(pafs.FileSelector(f"{base}{at}" or "/")):
+                        folder = x.type == pafs.FileType.Directory
+                        if (folder or x.is_file) and not _hidden(x.base_name, folder):
+                            (todo if folder and deep else done).append((root, f"{at}/{x.base_name}", None if folder else x.size))
+                if len(done) >= ROWS or (done and not todo):
+                    roots, ats, sizes = zip(*done, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(roots, pa.int32()), pa.array(ats, pa.string()), pa.array(sizes, pa.int64())], ["root", "at", "size"])
+                    done = []
+
+    return run
+
+
+def _contents(uris: list[str], shown: list[str]):
+    """A run over files of ``LISTED`` that reads them, a few MB at a time."""
+
+    def rows(paths, sizes, contents):
+        return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sizes, pa.int64()), pa.array(contents, pa.binary())], ["path", "length", "content"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened = {}
+        paths, sizes, contents = [], [], []
+        for batch in batches:
+            for root, at, size in zip(*batch.to_pydict().values(), strict=True):
+                if paths and (len(paths) == ROWS or sum(sizes) + size > BATCH_BYTES):
+                    yield rows(paths, sizes, contents)
+                    paths, sizes, contents = [], [], []
+                fs, base = opened[root] = opened.get(root) or _opened(uris[root])
+                with fs.open_input_stream(f"{base}{at}", compression=None) as file:
+                    contents.append(file.read())
+                paths.append(f"{shown[root]}{at}")
+                sizes.append(size)
+        if paths:
+            yield rows(paths, sizes, contents)
+
+    return run
+
+
+def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """(path, length, content) of each file that isn't empty, as ``binaryFile`` has them, but listed and read by tasks: Spark's reader keeps an
+    entry for each file on the driver, here it holds only what ``path`` itself names. Spark's reader does what Arrow doesn't open."""
+    jvm, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    at = jvm.Path(path)
+    named = {x.getPath().toString(): x for x in at.getFileSystem(conf).globStatus(at) or ()}
+    tops, start = {}, []
+    for x in named.values():
+        folder, name = x.isDirectory(), x.getPath().getName()
+        top = x.getPath() if folder else x.getPath().getParent()
+        root = tops.setdefault((top.toUri().toString(), top.toString().rstrip("/")), len(tops))
+        if folder or not _hidden(name):
+            start.append((root, "" if folder else f"/{name}", None if folder else x.getLen()))
+    nested = any(str(up) in named for x in named for up in PurePosixPath(x).parents)
+    if not named or nested or not all(_opened(uri) for uri, _ in tops):  # it also says what is missing
+        return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "length", "content")
+    uris, shown = map(list, zip(*tops, strict=True))
+    files = spark.createDataFrame(start, LISTED)
+    for _ in range(LEVELS):
+        files = over(files, _listing(uris, False), LISTED).repartition(2 * spark.sparkContext.defaultParallelism, "root", "at")
+    fits = F.regexp_extract("at", "([^/]*)$", 1).rlike(rf"(?s)\A(?:{jvm.GlobPattern(pattern).compiled().pattern()})\z")
+    files = over(files, _listing(uris, True), LISTED).where(F.col("size") > 0).where(fits)
+    dealt = files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "root", "at")
+    return over(dealt, _contents(uris, shown), "path string, length long, content binary")
+
+
 def read_corpus(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """One row for each file below ``path``: name, size, bytes and the text they hold as UTF-8."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     name = F.regexp_extract("path", r"([^/]*)$", 1)
-    return files.select("path", name.alias("name"), F.col("length").alias("size_bytes"), "content", F.decode("content", "UTF-8").alias("text"))
+    return _files(spark, path, pattern).select("path", name.alias("name"), F.col("length").alias("size_bytes"), "content", F.decode("content", "UTF-8").alias("text"))
 
 
 FOLDERS = 256
