@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from corpuspark.functions.expr import hamming, hex_to_signed, signed_to_hex
 from corpuspark.operators import chunk, parse
 from corpuspark.plans.base import query
-from corpuspark.sources.staging import fresh_path
+from corpuspark.sources.staging import among, fresh_path
 
 
 def one_block(rows, text="content"):
@@ -63,10 +63,12 @@ def s1_files(v):
     """The documents written as files of their own, one in five as HTML, and read back as such: name, format, size, bytes."""
     path = fresh_path(v.spark, "files")
     nth = F.row_number().over(Window.partitionBy("file_id").orderBy("content"))  # rows of one id are files of their own
+    again = v.v_file.groupBy("file_id").agg(F.count("*").alias("n")).where("n > 1").select("file_id")
+    texts = v.v_file.where("content IS NOT NULL").select("file_id", "content")  # only those of repeated ids are shuffled
+    numbered = among(texts, again, "file_id", inside=False).withColumn("nth", F.lit(1)).unionByName(among(texts, again, "file_id").withColumn("nth", nth))
     ending = F.when(F.col("file_id") % 5 == 0, ".html").otherwise(".md")
-    name = F.concat(F.coalesce(F.col("file_id").cast("string"), F.lit("none")), F.lit("_"), nth.cast("string"), ending)
-    texts = v.v_file.where("content IS NOT NULL").select(name.alias("name"), F.concat("content", F.lit("\n")).alias("content"))
-    parse.write_corpus(texts, path)
+    name = F.concat(F.coalesce(F.col("file_id").cast("string"), F.lit("none")), F.lit("_"), F.col("nth").cast("string"), ending)
+    parse.write_corpus(numbered.select(name.alias("name"), F.concat("content", F.lit("\n")).alias("content")), path)
     files = parse.read_corpus(v.spark, path, "*.{md,html}")
     kind = parse.classify_format(F.lit(None).cast("string"), F.col("name"))
     return files.select(F.nullif(F.regexp_extract("name", r"^-?\d+", 0), F.lit("")).cast("long").alias("file_id"), kind.alias("format"), "size_bytes", F.sha2("content", 256).alias("digest"))

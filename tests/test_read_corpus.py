@@ -1,8 +1,12 @@
 """Files are listed and read by tasks, with the rows of Spark's own reader, which keeps every name on the driver."""
 
 import pytest
+from conftest import SMALL
+from pyspark.sql import functions as F
 
 from corpuspark.operators import parse
+from corpuspark.plans import ingest
+from corpuspark.plans.base import Views
 
 FILES = {
     "a.md": "é",
@@ -60,3 +64,24 @@ def test_what_arrow_does_not_open_is_read_by_spark(spark, folder, monkeypatch):
 def test_a_missing_folder_is_an_error(spark, tmp_path):
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         parse.read_corpus(spark, f"{tmp_path}/none")
+
+
+def test_only_texts_of_repeated_ids_are_shuffled(spark, monkeypatch, tmp_path):
+    """All rows are files of their own, also of repeated ids and of none; each other text goes from its scan to its file."""
+    given = spark.read.parquet(f"{SMALL}/documents.parquet").where("doc_id < 50")
+    odd = given.where("doc_id = 3").unionByName(given.where("doc_id = 7").withColumn("text", F.lit("other")))
+    nameless = given.where("doc_id IN (1, 2)").withColumn("doc_id", F.lit(None).cast("long"))
+    docs = given.unionByName(odd).unionByName(nameless).unionByName(given.where("doc_id = 9").withColumn("text", F.lit(None).cast("string")))
+    docs.repartition(8).write.parquet(f"{tmp_path}/documents.parquet")
+    seen = []
+    monkeypatch.setattr(ingest.parse, "write_corpus", lambda files, path, real=parse.write_corpus: seen.append(files) or real(files, path))
+    got = ingest.s1_files(Views(spark, str(tmp_path))).collect()
+    want = docs.where("text IS NOT NULL").selectExpr("doc_id", "octet_length(text) + 1 AS size_bytes", "sha2(concat(text, chr(10)), 256) AS digest").collect()
+    assert sorted(((r.file_id, r.size_bytes, r.digest) for r in got), key=repr) == sorted(map(tuple, want), key=repr)
+    names = [r["name"] for r in seen[0].select("name").collect()]
+    assert len(set(names)) == len(names) == len(got)
+    plan = seen[0]._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Union":
+        plan = plan.children().head()
+    once, repeated = plan.children().apply(0).toString(), plan.children().apply(1).toString()
+    assert "Window" not in once and "Window" in repeated
